@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import with_computed_once
 from ..functions.text import line_count as _line_count
 from ..functions.text import word_shingles
 
@@ -187,27 +188,40 @@ def rank_pairs(pairs: DataFrame, score: str = "similarity") -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def shingle_sets(units: DataFrame, k: int = 5) -> DataFrame:
-    """Adds ``sh`` (distinct xxhash64 of each k-word shingle) and ``n`` = |sh|."""
-    sh = F.array_distinct(F.transform(word_shingles("code", k), lambda s: F.xxhash64(s)))
-    return units.withColumn("sh", sh).withColumn("n", F.size("sh"))
+    """Adds ``sh`` (sorted distinct xxhash64 of each k-word shingle) and ``n``.
 
-
-def _set_keyed(units: DataFrame, k: int, bucket_size: int) -> DataFrame:
-    s = shingle_sets(with_bucket(units, bucket_size), k).filter(F.col("n") > 0)
-    return s.withColumn("set_key", F.xxhash64(F.array_sort("sh")))
+    Sorting makes equal sets equal arrays, so identical sets can be grouped
+    on the array itself.
+    """
+    sh = F.array_sort(F.array_distinct(F.transform(word_shingles("code", k),
+                                                   lambda s: F.xxhash64(s))))
+    return with_computed_once(units, sh=sh).withColumn("n", F.size("sh"))
 
 
-_SET_KEY = ["lang_group", "bucket", "n", "set_key"]
+def _keyed(units: DataFrame, k: int, bucket_size: int) -> DataFrame:
+    # No filter on ``n`` here: Catalyst would push it below the projection and
+    # run the shingle regex twice.  Empty sets are dropped after the shuffle.
+    return (shingle_sets(with_bucket(units, bucket_size), k)
+            .select("unit_id", "scan_ord", "lang_group", "bucket", "sh"))
 
 
-def _group_sizes(keyed: DataFrame) -> DataFrame:
-    """Representative (smallest scan_ord) and size of each identical-set group.
+def _representatives(units: DataFrame, k: int, bucket_size: int) -> DataFrame:
+    """One row per identical shingle set inside (group, bucket).
 
-    An aggregate, so a group holding a third of the rows is combined map-side.
+    Grouped on the set itself: the map-side partial aggregate collapses copies
+    before the shuffle, so a copy group holding a third of all rows sends one
+    row per map task.  The representative is the member with the smallest
+    scan order.
     """
-    return (keyed.groupBy(*_SET_KEY)
-            .agg(F.min(F.struct("scan_ord", "unit_id")).alias("_rep"),
-                 F.count(F.lit(1)).alias("n_copies")))
+    return (_keyed(units, k, bucket_size)
+            .groupBy("lang_group", "bucket", "sh")
+            .agg(F.min_by("unit_id", "scan_ord").alias("unit_id"),
+                 F.min("scan_ord").alias("scan_ord"),
+                 F.count(F.lit(1)).alias("n_copies"),
+                 # an aggregate output, so the filter below is not pushed
+                 # under the aggregate (where it would re-run the regex)
+                 F.max(F.size("sh")).alias("n"))
+            .filter(F.col("n") > 0))
 
 
 def copy_groups(units: DataFrame, k: int = 5, bucket_size: int = BUCKET_SIZE) -> DataFrame:
@@ -216,20 +230,21 @@ def copy_groups(units: DataFrame, k: int = 5, bucket_size: int = BUCKET_SIZE) ->
     One row per unit: its representative and the group size.  Exact copies
     are reported here instead of as all-pairs, so a group holding a third of
     the rows costs one aggregate, not n^2 rows.  Units with fewer than k words
-    (no shingle) are left out.
+    (no shingle) are left out.  The join back to the units is on a hashed set
+    key; AQE's skew join splits a hot group's partition.
     """
-    keyed = _set_keyed(units, k, bucket_size)
-    return (keyed.select("unit_id", *_SET_KEY)
-            .join(_group_sizes(keyed), _SET_KEY)
-            .select("unit_id", "lang_group", "bucket",
-                    F.col("_rep.unit_id").alias("rep_id"), "n_copies"))
-
-
-def _representatives(units: DataFrame, k: int, bucket_size: int) -> DataFrame:
-    keyed = _set_keyed(units, k, bucket_size)
-    reps = _group_sizes(keyed).select(F.col("_rep.unit_id").alias("unit_id"), "n_copies")
-    return keyed.join(reps, "unit_id").select("unit_id", "scan_ord", "lang_group", "bucket",
-                                              "n", "sh", "n_copies")
+    keyed = _keyed(units, k, bucket_size).select(
+        "unit_id", "scan_ord", "lang_group", "bucket",
+        F.size("sh").alias("n"), F.xxhash64("sh").alias("set_key"))
+    key = ["lang_group", "bucket", "n", "set_key"]
+    groups = (keyed.groupBy(*key)
+              .agg(F.min_by("unit_id", "scan_ord").alias("rep_id"),
+                   F.count(F.lit(1)).alias("n_copies"),
+                   F.max("n").alias("_n"))
+              .filter(F.col("_n") > 0)       # aggregate output: not pushed down
+              .drop("_n"))
+    return (keyed.select("unit_id", *key).join(groups, key)
+            .select("unit_id", "lang_group", "bucket", "rep_id", "n_copies"))
 
 
 def prefix_length(n_col, threshold: float):

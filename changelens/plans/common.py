@@ -16,6 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows when the scan gives fewer partitions than cores.
+
+    Heavy per-row text work (regex shingling, hashing) runs in the scan
+    stage.  A large input already arrives in thousands of splits and is left
+    alone; a small single-row-group file would otherwise run on one thread.
+    Planning only, no job is run for the check.
+    """
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def documents_as_units(docs: DataFrame) -> DataFrame:
     """``documents`` bound to the unit schema: one unit per document.
 

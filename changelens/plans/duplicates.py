@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup
-from .common import documents_as_units, sql_line_count, table
+from .common import documents_as_units, spread, sql_line_count, table
 
 K = 5
 T = dedup.SIMILARITY_THRESHOLD
@@ -14,8 +14,9 @@ B = dedup.BUCKET_SIZE
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.min_size_filter(documents_as_units(table(spark, sf_dir, "documents")),
-                                 dedup.MIN_FUNCTION_LINES)
+    units = dedup.min_size_filter(documents_as_units(table(spark, sf_dir, "documents")),
+                                  dedup.MIN_FUNCTION_LINES)
+    return spread(units)
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
