@@ -49,7 +49,7 @@ def min_size_filter(units: DataFrame, n: int = MIN_FUNCTION_LINES) -> DataFrame:
 
 
 def with_bucket(units: DataFrame, bucket_size: int = BUCKET_SIZE) -> DataFrame:
-    return units.withColumn("bucket", F.expr(f"line_count div {int(bucket_size)}"))
+    return units.withColumn("bucket", F.expr(f"line_count div {int(bucket_size)}").cast("int"))
 
 
 def size_histogram(units: DataFrame, bucket_size: int = BUCKET_SIZE) -> DataFrame:
