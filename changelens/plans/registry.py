@@ -8,6 +8,7 @@ _MODULES = [
     "duplicates",
     "diffs",
     "intake",
+    "architecture",
 ]
 
 
