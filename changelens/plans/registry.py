@@ -9,6 +9,7 @@ _MODULES = [
     "diffs",
     "intake",
     "architecture",
+    "reviews",
 ]
 
 
