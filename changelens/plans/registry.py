@@ -10,6 +10,7 @@ _MODULES = [
     "intake",
     "architecture",
     "reviews",
+    "events",
 ]
 
 
