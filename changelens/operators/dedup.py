@@ -114,8 +114,8 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
     (``min`` of a struct led by the scan orders) rather than a window, so a
     hot identity is combined map-side.
     """
-    ida = F.struct("a_file", "a_name", "a_start_line")
-    idb = F.struct("b_file", "b_name", "b_start_line")
+    ida = F.struct(F.col("a_file").alias("f"), F.col("a_name").alias("n"), F.col("a_start_line").alias("l"))
+    idb = F.struct(F.col("b_file").alias("f"), F.col("b_name").alias("n"), F.col("b_start_line").alias("l"))
     rest = [c for c in pairs.columns]
     keyed = pairs.withColumn("_k1", F.least(ida, idb)).withColumn("_k2", F.greatest(ida, idb))
     best = (keyed.groupBy("_k1", "_k2")
@@ -147,6 +147,12 @@ def _ratio_batches(threshold: float):
     return run
 
 
+def _cpu_partitions(df: DataFrame) -> int:
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(shuffle, 4 * spark.sparkContext.defaultParallelism)
+
+
 def similar_pairs_exact(units: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
                         bucket_size: int = BUCKET_SIZE) -> DataFrame:
     """Reference-exact near-duplicate pairs (difflib ratio >= threshold).
@@ -168,6 +174,9 @@ def similar_pairs_exact(units: DataFrame, threshold: float = SIMILARITY_THRESHOL
                            "a_scan_ord", "b_scan_ord", "a_lang_group", "a_code", "b_code")
     out_schema = T.StructType([f for f in base.schema.fields if f.name not in ("a_code", "b_code")]
                               + [T.StructField("similarity", T.DoubleType())])
+    # The ratio is CPU-bound while the rows are small, so AQE's byte-based
+    # coalescing would leave few Python workers: spread by pair explicitly.
+    base = base.repartition(_cpu_partitions(units), "a_unit_id", "b_unit_id")
     scored = base.mapInPandas(_ratio_batches(float(threshold)), out_schema)
     return scored.select(
         F.col("a_lang_group").alias("lang_group"),

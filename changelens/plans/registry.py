@@ -11,6 +11,7 @@ _MODULES = [
     "architecture",
     "reviews",
     "events",
+    "segments",
 ]
 
 
