@@ -19,13 +19,23 @@ def _mods():
     return [importlib.import_module(f"changelens.plans.{m}") for m in _MODULES]
 
 
+def _shipped(fn):
+    def run(spark, sf_dir):
+        from ..session import ship_package
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict:
     out = {}
     for m in _mods():
         for k, v in m.QUERIES.items():
             if k in out:
                 raise KeyError(f"duplicate query name {k}")
-            out[k] = v
+            out[k] = _shipped(v)
     return out
 
 

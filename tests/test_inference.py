@@ -92,7 +92,7 @@ def _group(rows):
 
 
 def test_batch_infer_failures_become_rows(spark):
-    def fn(p):
+    def fn(p):  # no module globals: the worker cannot import test modules
         if "boom" in p:
             raise RuntimeError("Rate limit hit")
         if "slow" in p:
