@@ -18,3 +18,23 @@ def with_computed_once(df: DataFrame, **cols: Column) -> DataFrame:
     """
     packed = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
     return df.select("*", F.inline(packed))
+
+
+def bitmap_of(keys: list[int], m_bits: int) -> bytes:
+    """A one-hash bit set over ``pmod(key, m_bits)`` (driver side, bounded
+    by ``m_bits / 8`` bytes whatever the number of keys)."""
+    bits = bytearray(m_bits // 8)
+    for k in keys:
+        p = k % m_bits          # Python's % is non-negative, like pmod
+        bits[p >> 3] |= 1 << (p & 7)
+    return bytes(bits)
+
+
+def bitmap_contains(bitmap: bytes, key: Column, m_bits: int) -> Column:
+    """Membership test of a long column in ``bitmap_of`` (false positives
+    possible, no false negatives), as native expressions on one binary
+    literal: byte = substring(bits, p div 8 + 1, 1), bit = byte >> (p % 8) & 1."""
+    p = F.pmod(key, F.lit(m_bits).cast("long"))
+    byte = F.substring(F.lit(bitmap), (p / 8).cast("int") + 1, F.lit(1))
+    val = F.conv(F.hex(byte), 16, 10).cast("int")
+    return F.call_function("shiftright", val, (p % 8).cast("int")).bitwiseAND(F.lit(1)) == 1

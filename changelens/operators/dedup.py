@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import with_computed_once
+from ..functions.columns import bitmap_contains, bitmap_of, with_computed_once
+from ..session import materialize
 from ..functions.text import line_count as _line_count
 from ..functions.text import word_shingles
 
@@ -39,6 +40,9 @@ BUCKET_SIZE = 5
 # Float slack for threshold products (t * n); a smaller alpha only lengthens
 # prefixes, which keeps the filter lossless.
 _EPS = 1e-9
+# Bits of the frequent-shingle bit set (128 KiB literal; a false positive only
+# moves a shingle later in the token order).
+_HEAVY_BITS = 1 << 20
 
 
 def min_size_filter(units: DataFrame, n: int = MIN_FUNCTION_LINES) -> DataFrame:
@@ -202,7 +206,7 @@ def shingle_sets(units: DataFrame, k: int = 5) -> DataFrame:
     Sorting makes equal sets equal arrays, so identical sets can be grouped
     on the array itself.
     """
-    sh = F.array_sort(F.array_distinct(F.transform(word_shingles("code", k),
+    sh = F.sort_array(F.array_distinct(F.transform(word_shingles("code", k),
                                                    lambda s: F.xxhash64(s))))
     return with_computed_once(units, sh=sh).withColumn("n", F.size("sh"))
 
@@ -222,15 +226,18 @@ def _representatives(units: DataFrame, k: int, bucket_size: int) -> DataFrame:
     row per map task.  The representative is the member with the smallest
     scan order.
     """
-    return (_keyed(units, k, bucket_size)
-            .groupBy("lang_group", "bucket", "sh")
-            .agg(F.min_by("unit_id", "scan_ord").alias("unit_id"),
-                 F.min("scan_ord").alias("scan_ord"),
-                 F.count(F.lit(1)).alias("n_copies"),
-                 # an aggregate output, so the filter below is not pushed
-                 # under the aggregate (where it would re-run the regex)
-                 F.max(F.size("sh")).alias("n"))
-            .filter(F.col("n") > 0))
+    # The aggregates are packed in one struct: column pruning cannot drop
+    # parts of it, so every later branch (tokens, left side, right side)
+    # sees the same aggregate and Spark reuses its exchange - the shingle
+    # regex runs once per row, not once per branch.
+    agg = (_keyed(units, k, bucket_size)
+           .groupBy("lang_group", "bucket", "sh")
+           .agg(F.struct(F.min_by("unit_id", "scan_ord").alias("unit_id"),
+                         F.min("scan_ord").alias("scan_ord"),
+                         F.count(F.lit(1)).alias("n_copies"),
+                         F.max(F.size("sh")).alias("n")).alias("r")))
+    # a filter on an aggregate output is not pushed under the aggregate
+    return agg.filter(F.col("r.n") > 0).select("lang_group", "bucket", "sh", "r.*")
 
 
 def copy_groups(units: DataFrame, k: int = 5, bucket_size: int = BUCKET_SIZE) -> DataFrame:
@@ -261,16 +268,40 @@ def prefix_length(n_col, threshold: float):
     return n_col - F.ceil(n_col * F.lit(float(threshold)) - F.lit(_EPS)) + 1
 
 
+def _heavy_tokens(reps: DataFrame, min_df: int, max_tokens: int, fraction: float) -> list[int]:
+    """Keys (xxhash64(group, shingle)) of the most frequent shingles.
+
+    Counted on a deterministic sample of the representatives, kept when the
+    sampled count reaches ``min_df * fraction``, at most ``max_tokens`` of
+    them (the most frequent first).  The list only orders tokens, so its size
+    bound and the sampling cannot change any result; it is collected to the
+    driver with a proven bound (``max_tokens`` longs).
+    """
+    src = reps if fraction >= 1.0 else reps.sample(fraction=fraction, seed=17)
+    cut = max(1, int(math.ceil(min_df * min(fraction, 1.0))))
+    top = (src.select("lang_group", F.explode("sh").alias("tok"))
+           .groupBy("lang_group", "tok").agg(F.count(F.lit(1)).alias("c"))
+           .filter(F.col("c") >= cut)
+           .orderBy(F.col("c").desc(), F.col("tok"))
+           .limit(max_tokens)
+           .select(F.xxhash64("lang_group", "tok").alias("k")))
+    return [r.k for r in top.collect()]
+
+
 def shingle_similar_pairs(units: DataFrame, k: int = 5, threshold: float = SIMILARITY_THRESHOLD,
-                          bucket_size: int = BUCKET_SIZE) -> DataFrame:
+                          bucket_size: int = BUCKET_SIZE, materialize_sets: bool = True,
+                          heavy_min_df: int = 16, heavy_max: int = 10000,
+                          heavy_fraction: float = 0.25) -> DataFrame:
     """Pairs of representatives with shingle Jaccard >= threshold, same band.
 
-    Steps (all native, four shuffles on growing data):
+    Steps (all native; three shuffles on growing data):
       1. shingle sets per unit inside the row (regex, no explode);
-      2. collapse identical sets per (group, bucket) -> representatives;
-      3. shingle document frequency (aggregate with map-side combine);
-      4. per representative, keep the prefix of its rarest shingles;
-      5. equi-join prefixes on (group, shingle, band key) + length bound;
+      2. collapse identical sets per (group, bucket) -> representatives,
+         written once to the shared checkpoint folder (``materialize_sets``);
+      3. the most frequent shingles from a sample (bounded list);
+      4. per representative, inside the row, the prefix of its shingles in
+         (frequent?, hash) order - frequent ones last;
+      5. equi-join prefixes on (group, shingle), band rule + length bound;
       6. verify on the full sets with ``array_intersect``.
     Output: ``lang_group, a_id, b_id, a_copies, b_copies, inter, union_size``
     with ``a`` the smaller (bucket, scan_ord).  ``inter``/``union_size`` are
@@ -278,21 +309,34 @@ def shingle_similar_pairs(units: DataFrame, k: int = 5, threshold: float = SIMIL
     """
     t = float(threshold)
     reps = _representatives(units, k, bucket_size)
-    toks = reps.select("unit_id", "scan_ord", "lang_group", "bucket", "n",
-                       F.explode("sh").alias("tok"))
-    dfreq = toks.groupBy("lang_group", "tok").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("unit_id").orderBy("df", "tok")
-    prefix = (toks.join(dfreq, ["lang_group", "tok"])
-              .withColumn("rn", F.row_number().over(w))
-              .filter(F.col("rn") <= prefix_length(F.col("n"), t))
-              .drop("rn", "df"))
+    if materialize_sets:
+        # three branches read the shingle sets (tokens, both verify sides)
+        reps = materialize(reps)
+    heavy = _heavy_tokens(reps, heavy_min_df, heavy_max, heavy_fraction)
+    # Token order: (heavy?, hash).  Any order shared by all units of a group
+    # keeps prefix filtering exact; putting the frequent shingles last keeps
+    # the prefix posting lists short.  The prefix is chosen inside the row.
+    if heavy:
+        bits = bitmap_of(heavy, _HEAVY_BITS)
+        is_heavy = lambda t: bitmap_contains(bits, F.xxhash64(F.col("lang_group"), t), _HEAVY_BITS)
+    else:
+        is_heavy = lambda t: F.lit(False)
+    ordered = F.sort_array(F.transform("sh", lambda t: F.struct(is_heavy(t).alias("h"), t.alias("t"))))
+    plen = prefix_length(F.col("n"), t)
+    prefix = reps.select("unit_id", "scan_ord", "lang_group", "bucket", "n",
+                         F.explode(F.slice(ordered, 1, plen)).alias("_e")).select(
+        "unit_id", "scan_ord", "lang_group", "bucket", "n", F.col("_e.t").alias("tok"))
+    # Both sides are the same prefix table joined on (group, shingle), so its
+    # exchange is computed once and reused; the band rule is a join filter
+    # (posting lists of prefix shingles are short by construction).
     a = prefix.select(F.col("unit_id").alias("a_id"), F.col("scan_ord").alias("a_ord"),
-                      "lang_group", "tok", F.col("bucket").alias("a_bucket"), F.col("n").alias("a_n"),
-                      F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("band"))
+                      "lang_group", "tok", F.col("bucket").alias("a_bucket"), F.col("n").alias("a_n"))
     b = prefix.select(F.col("unit_id").alias("b_id"), F.col("scan_ord").alias("b_ord"),
-                      "lang_group", "tok", F.col("bucket").alias("band"), F.col("n").alias("b_n"))
-    cand = (a.join(b, ["lang_group", "tok", "band"])
-            .where(((F.col("band") == F.col("a_bucket") + 1) | (F.col("a_ord") < F.col("b_ord")))
+                      "lang_group", "tok", F.col("bucket").alias("b_bucket"), F.col("n").alias("b_n"))
+    same = (F.col("b_bucket") == F.col("a_bucket")) & (F.col("a_ord") < F.col("b_ord"))
+    nxt = F.col("b_bucket") == F.col("a_bucket") + 1
+    cand = (a.join(b, ["lang_group", "tok"])
+            .where((same | nxt)
                    & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(t) - F.lit(_EPS)))
             .select("lang_group", "a_id", "b_id")
             .distinct())

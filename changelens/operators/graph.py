@@ -83,7 +83,7 @@ def diagram_text(edges: DataFrame, top: DataFrame) -> DataFrame:
                     F.lit("]"))
     per = sel.select("repo", "src_file", "dst_module", line.alias("line"))
     return (per.groupBy("repo")
-            .agg(F.array_sort(F.collect_list(F.struct("src_file", "dst_module", "line"))).alias("_l"),
+            .agg(F.sort_array(F.collect_list(F.struct("src_file", "dst_module", "line"))).alias("_l"),
                  F.count(F.lit(1)).alias("n_edges"))
             .select("repo", "n_edges",
                     F.concat(F.lit("graph TD\n"),

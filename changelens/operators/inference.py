@@ -219,7 +219,7 @@ def validate_responses(answers: DataFrame, required: list[str], raw: str = "raw"
     kind = F.schema_of_variant(v)
     keys = F.json_object_keys(F.col("text"))
     req = F.array(*[F.lit(k) for k in required])
-    missing = F.array_sort(F.array_except(req, F.coalesce(keys, F.array().cast("array<string>"))))
+    missing = F.sort_array(F.array_except(req, F.coalesce(keys, F.array().cast("array<string>"))))
     reason = (F.when(F.col(raw).isNull(), F.lit("no answer"))
               .when(v.isNull(), F.lit("not json"))
               .when(~kind.startswith("OBJECT"), F.lit("not object"))

@@ -87,7 +87,7 @@ def structure_text(structures: DataFrame, order: str = "ord") -> DataFrame:
     """
     blocks = structure_blocks(structures, order)
     return (blocks.groupBy("repo")
-            .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("block").alias("b"))))
+            .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("block").alias("b"))))
                  .alias("_bs"), F.count(F.lit(1)).alias("n_files"))
             .select("repo", "n_files",
                     F.array_join(F.transform("_bs", lambda s: s["b"]), "\n").alias("structure_text")))

@@ -94,6 +94,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used where several branches of one plan consume an expensive
+    intermediate: the branches read the written table instead of re-running
+    its stages, and the lineage is cut (a lost executor costs a re-read, not
+    a recomputation).  Never a machine-local checkpoint.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_path(spark: SparkSession, *parts: str) -> str:
     """A sub-folder of the shared checkpoint folder (stream checkpoints, sinks)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

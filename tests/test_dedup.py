@@ -168,3 +168,15 @@ def test_size_histogram_counts(spark):
 def test_min_size_filter_edges(spark):
     rows = [("a.py", "f", 1, "python", "a\nb"), ("a.py", "g", 1, "python", "a\nb\nc")]
     assert [r.name for r in dedup.min_size_filter(_units(spark, rows)).collect()] == ["g"]
+
+
+def test_bitmap_has_no_false_negatives(spark):
+    from changelens.functions.columns import bitmap_contains, bitmap_of
+    keys = [-(2 ** 63), -5, 0, 7, 2 ** 40 + 3, 2 ** 63 - 1]
+    m = 1 << 12
+    bits = bitmap_of(keys, m)
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert all(r.c for r in df.select(bitmap_contains(bits, F.col("k"), m).alias("c")).collect())
+    other = spark.range(1000).select((F.col("id") * 7919 + 11).alias("k"))
+    hits = other.select(bitmap_contains(bits, F.col("k"), m).alias("c")).filter("c").count()
+    assert hits < 50
