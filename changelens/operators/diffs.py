@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate_text
+from .caps import top_n_per_key
 from .languages import GENERIC_FRAMEWORK, GENERIC_LANGUAGE, attach_language
 
 # Fixed values that must equal the reference's.
@@ -46,8 +47,11 @@ def primary_language(files: DataFrame, key: list[str], keys: DataFrame | None =
     """
     per_ext = (files.groupBy(*key, "ext")
                .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_pos")))
+    # ordering packed in one long (count high, earlier position wins ties)
+    # so the aggregate buffer is fixed-width and runs as a hash aggregate
+    rank = F.col("n") * F.lit(1 << 32) - F.col("first_pos").cast("long")
     best = (per_ext.groupBy(*key)
-            .agg(F.max_by("ext", F.struct(F.col("n"), -F.col("first_pos"))).alias("ext"),
+            .agg(F.max_by("ext", rank).alias("ext"),
                  F.max("n").alias("ext_count")))
     if keys is not None:
         best = keys.select(*key).distinct().join(best, key, "left")
@@ -63,13 +67,12 @@ def headers_within(frags: DataFrame, key: list[str], order: list[str],
     A diff stored as ordered fragments (``frag`` text) is cut at n characters
     before its headers are read.  A header counts only when its `` b/`` lies
     inside the first n characters.  Every fragment has at least one character,
-    so only the first n fragments of a key can qualify: a ``row_number <= n``
-    filter (which Spark evaluates as a partial top-k before the shuffle) keeps
-    a key with millions of fragments from landing whole in one task; the
-    running offset is then computed over at most n rows per key.
+    so only the first n fragments of a key can qualify: an exact salted
+    top-n (``caps.top_n_per_key``) keeps a key with millions of fragments
+    from landing whole in one task; the running offset is then computed over
+    at most n rows per key.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
-    head = frags.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    head = top_n_per_key(frags, key, order, n, rank_col="_rn")
     run = Window.partitionBy(*key).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
     with_off = head.withColumn("_start", F.coalesce(F.sum(F.length("frag")).over(run), F.lit(0)))
     b_end = F.col("_start") + F.instr("frag", " b/") + 2

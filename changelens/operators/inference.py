@@ -152,8 +152,8 @@ def batch_infer(requests: DataFrame, fn: Callable[[str], str], parallelism: int
     """Apply ``fn(prompt) -> text`` to every request in Arrow batches.
 
     A failing call becomes a row with ``error_category`` (rate_limited,
-    timeout, model_error; an empty answer is ``unusable``) instead of failing
-    the job.  ``parallelism`` bounds concurrent calls (``coalesce``, no
+    timeout, model_error; an empty answer is ``unusable``; a null prompt is
+    ``no_input`` and is not sent) instead of failing the job.  ``parallelism`` bounds concurrent calls (``coalesce``, no
     shuffle) - the rate limit of the model service.  Spark retries a lost
     task, so ``fn`` should be idempotent per prompt.
     """
@@ -166,6 +166,11 @@ def batch_infer(requests: DataFrame, fn: Callable[[str], str], parallelism: int
         for pdf in batches:
             raws, cats, msgs = [], [], []
             for p in pdf["prompt"].tolist():
+                if p is None:                      # nothing to ask (no input)
+                    raws.append(None)
+                    cats.append("no_input")
+                    msgs.append("no input to analyse")
+                    continue
                 try:
                     r = fn(p)
                     if r is None or not str(r).strip():

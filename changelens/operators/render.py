@@ -53,14 +53,20 @@ def _head_lines(risk: Column, files_changed: Column, summary: Column, key_change
     return F.concat(head, bullets, F.array(F.lit(""), F.lit("### Potential issues")))
 
 
-def render_comments(reviews: DataFrame, key: str = "key") -> DataFrame:
-    """One Markdown comment per review row (issues as an array in the row)."""
+def comment_column() -> Column:
+    """The Markdown comment of a review row (columns risk_level,
+    files_changed, summary, key_changes, issues) as one expression."""
     issues = F.transform("issues", lambda i: issue_line(i["severity"], i["description"], i["confidence"]))
     body = F.when(F.size(F.coalesce("issues", F.array())) > 0, issues).otherwise(F.array(F.lit(NO_ISSUES)))
     lines = F.concat(_head_lines(F.col("risk_level"), F.col("files_changed"), F.col("summary"),
                                  F.col("key_changes")),
                      body, F.array(F.lit(""), F.lit(FOOTER)))
-    return reviews.select(key, F.array_join(lines, "\n").alias("comment"))
+    return F.array_join(lines, "\n")
+
+
+def render_comments(reviews: DataFrame, key: str = "key") -> DataFrame:
+    """One Markdown comment per review row (issues as an array in the row)."""
+    return reviews.select(key, comment_column().alias("comment"))
 
 
 def render_error_comments(errors: DataFrame, key: str = "key", message: str = "error_message") -> DataFrame:

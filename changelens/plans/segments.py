@@ -8,11 +8,12 @@ conversation).  ``documents`` units come from ``common.documents_as_units``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import line_count
 from ..operators import dedup
+from ..operators.caps import running_count
 from .common import documents_as_units, spread, sql_line_count, table
 
 
@@ -42,12 +43,13 @@ def exact_similar_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments: each user turn starts one; sizes aggregated per segment.
 
-    The running count is a window per conversation (linear, spillable);
-    the sizes are a map-side combined aggregate - no text is collected.
+    The running count of user turns is a blocked prefix sum
+    (``caps.running_count``), so a conversation with a third of all turns is
+    not one task; the sizes are a map-side combined aggregate - no text is
+    collected.
     """
     c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    seg = c.withColumn("seg_no", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w))
+    seg = running_count(c, ["conv_id"], "turn", F.col("role") == "user", out="seg_no")
     return seg.groupBy("conv_id", "seg_no").agg(
         F.min("turn").alias("start_turn"), F.count(F.lit(1)).alias("n_turns"),
         F.sum(F.length("text")).cast("long").alias("n_chars"),

@@ -77,25 +77,30 @@ def relevant_events(deliveries: DataFrame, body: str = "body") -> DataFrame:
 def review_batch(events: DataFrame, diffs: DataFrame, fn: Callable[[str], str]) -> DataFrame:
     """One micro-batch: event -> diff -> review request -> model -> checks ->
     comment.  Every event gives one comment row: a review, or an error text
-    (no diff, blank diff, model failure, unusable answer)."""
+    (no diff, blank diff, model failure, unusable answer).
+
+    One linear chain: the model is called once per event with a diff (events
+    without one carry a null prompt and are not sent), and the outcome is
+    chosen per row - no branch re-runs the model stage.
+    """
     from ..functions.text import is_blank
     k = ["owner", "repo", "pr_number"]
     key = F.concat_ws("/", "owner", "repo", F.col("pr_number").cast("string"))
-    joined = events.join(diffs.select(*k, "diff"), k, "left").withColumn("key", key)
-    missing = joined.filter(F.col("diff").isNull() | is_blank("diff")).select(
-        "key", F.lit("the change has no diff to analyse").alias("error_message"))
-    present = joined.filter(F.col("diff").isNotNull() & ~is_blank("diff"))
-    answers = I.batch_infer(I.build_requests(present, "review", key="key"), fn)
-    failed = answers.filter(F.col("error_category").isNotNull()).select("key", "error_message")
-    checked = I.validate_responses(answers.filter(F.col("error_category").isNull()),
-                                   I.REQUIRED_KEYS["review"])
-    rejected = checked.filter(F.col("reject_reason").isNotNull()).select(
-        "key", F.col("reject_reason").alias("error_message"))
-    valid = I.parse_valid(checked, I.REVIEW_SCHEMA)
-    ok = R.render_comments(valid).withColumn("is_error", F.lit(False))
-    errs = R.render_error_comments(missing.unionByName(failed).unionByName(rejected)).withColumn(
-        "is_error", F.lit(True))
-    return ok.unionByName(errs)
+    joined = (events.join(diffs.select(*k, "diff"), k, "left").withColumn("key", key)
+              .withColumn("diff", F.when(~is_blank("diff"), F.col("diff"))))
+    answers = I.batch_infer(I.build_requests(joined, "review", key="key"), fn)
+    checked = I.validate_responses(answers, I.REQUIRED_KEYS["review"])
+    parsed = checked.withColumn("_p", F.when(F.col("reject_reason").isNull(),
+                                             F.from_json("text", I.REVIEW_SCHEMA)))
+    reviews = parsed.select("key", "error_category", "error_message", "reject_reason", "_p.*")
+    error = (F.when(F.col("error_category") == "no_input", F.lit("the change has no diff to analyse"))
+             .when(F.col("error_category").isNotNull(), F.col("error_message"))
+             .when(F.col("reject_reason").isNotNull(), F.col("reject_reason")))
+    body = R.comment_column()
+    return reviews.select(
+        "key",
+        F.when(error.isNull(), body).otherwise(F.concat(F.lit(R.ERROR_PREFIX), error)).alias("comment"),
+        error.isNotNull().alias("is_error"))
 
 
 def review_stream(deliveries: DataFrame, diffs: DataFrame, fn: Callable[[str], str], secret: str,

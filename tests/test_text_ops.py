@@ -117,3 +117,27 @@ def test_attach_language_default(spark):
     got = [(r.language, r.framework) for r in attach_language(df, "ext").collect()]
     assert got[0] == ("Python", "pytest") and got[1] == ("Ruby", "RSpec")
     assert got[2][0] == GENERIC_LANGUAGE and got[3][0] == GENERIC_LANGUAGE
+
+
+def test_top_n_per_key_salted_is_exact(spark):
+    rows = [("hot", i, (i * 7919) % 5003) for i in range(5000)] + [("cold", i, i) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    got = caps.top_n_per_key(df, ["k"], ["v", "i"], 1200, salts=8)
+    hot = sorted((r.v, r.i) for r in got.filter("k = 'hot'").collect())
+    assert hot == sorted((v, i) for _, i, v in rows if _ == "hot")[:1200]
+    assert got.filter("k = 'cold'").count() == 10
+    ranks = sorted(r.rank_in_key for r in got.filter("k = 'hot'").collect())
+    assert ranks == list(range(1, 1201))
+
+
+def test_running_count_blocked(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [("a", t, rnd.random() < 0.3) for t in range(0, 3000, 3)] + [("b", t, True) for t in range(5)]
+    df = spark.createDataFrame(rows, "k string, t int, f boolean")
+    got = {(r.k, r.t): r.running for r in caps.running_count(df, ["k"], "t", "f", block=64).collect()}
+    want, acc = {}, {}
+    for k, t, f in sorted(rows):
+        acc[k] = acc.get(k, 0) + int(f)
+        want[(k, t)] = acc[k]
+    assert got == want
