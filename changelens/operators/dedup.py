@@ -136,6 +136,10 @@ def _ratio_batches(threshold: float):
         for pdf in batches:
             keep, sims = [], []
             for a, b in zip(pdf["a_code"].tolist(), pdf["b_code"].tolist()):
+                if a == b:                       # identical texts: ratio is exactly 1.0
+                    keep.append(1.0 >= threshold)
+                    sims.append(1.0)
+                    continue
                 sm = difflib.SequenceMatcher(None, a, b)
                 # quick bounds first (both are upper bounds of ratio())
                 if sm.real_quick_ratio() < threshold or sm.quick_ratio() < threshold:

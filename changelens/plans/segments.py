@@ -40,6 +40,14 @@ def exact_similar_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.rank_pairs(pairs).select("lang_group", "a", "b", "similarity")
 
 
+def exact_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference measure over every band pair of whole documents (same
+    language, buckets at most one apart), ranked by rounded similarity."""
+    units = spread(dedup.min_size_filter(documents_as_units(table(spark, sf_dir, "documents"))))
+    pairs = dedup.similar_pairs_exact(units, dedup.SIMILARITY_THRESHOLD, dedup.BUCKET_SIZE)
+    return dedup.rank_pairs(pairs).select("lang_group", "a", "b", "similarity")
+
+
 def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments: each user turn starts one; sizes aggregated per segment.
 
@@ -91,6 +99,7 @@ FROM h LEFT JOIN h nx ON nx.lang_group = h.lang_group AND nx.bucket = h.bucket +
 
 QUERIES = {
     "exact_similar_turns": exact_similar_turns,
+    "exact_similar_documents": exact_similar_documents,
     "conversation_segments": conversation_segments,
     "unit_sizes": unit_sizes,
 }
