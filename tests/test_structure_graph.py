@@ -75,3 +75,13 @@ def test_graph_ops(spark):
     d = graph.diagram_text(e, graph.top_modules(graph.module_degree(e), 12)).collect()[0]
     assert d.diagram.startswith("graph TD\n  a[a] --> b[b]")
     assert graph.node_id(F.lit("x/y.z")) is not None
+
+
+def test_duplicate_report_with_empty_repo(spark):
+    from changelens.operators.report import NO_FILES_REASON, duplicate_report
+    files = spark.createDataFrame([("r1", 1), ("r1", 2)], "repo string, ord int")
+    units = spark.createDataFrame([(10, "r1"), (11, "r1")], "unit_id long, repo string")
+    pairs = spark.createDataFrame([(10, 11)], "a_id long, b_id long")
+    repos = spark.createDataFrame([("r1",), ("r2",)], "repo string")
+    got = {r.repo: tuple(r)[1:] for r in duplicate_report(files, units, pairs, repos).collect()}
+    assert got == {"r1": (2, 2, 1, None), "r2": (0, 0, 0, NO_FILES_REASON)}
