@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,9 +66,11 @@ def size_histogram(units: DataFrame, bucket_size: int = BUCKET_SIZE) -> DataFram
     hist = (with_bucket(units, bucket_size)
             .groupBy("lang_group", "bucket")
             .agg(F.count(F.lit(1)).alias("n_units")))
-    nxt = hist.select("lang_group", (F.col("bucket") - 1).alias("bucket"),
-                      F.col("n_units").alias("n_next"))
-    return (hist.join(nxt, ["lang_group", "bucket"], "left")
+    # next bucket's count from the aggregated rows (one row per bucket, so
+    # the window per group is small) - no self-join, the input is read once
+    w = Window.partitionBy("lang_group").orderBy("bucket")
+    nxt = F.lead(F.struct("bucket", "n_units")).over(w)
+    return (hist.withColumn("n_next", F.when(nxt["bucket"] == F.col("bucket") + 1, nxt["n_units"]))
             .select("lang_group", "bucket", "n_units",
                     (F.col("n_units") * (F.col("n_units") - 1) / 2).cast("long")
                     .alias("within_pairs"),
@@ -244,7 +246,8 @@ def _representatives(units: DataFrame, k: int, bucket_size: int) -> DataFrame:
     return agg.filter(F.col("r.n") > 0).select("lang_group", "bucket", "sh", "r.*")
 
 
-def copy_groups(units: DataFrame, k: int = 5, bucket_size: int = BUCKET_SIZE) -> DataFrame:
+def copy_groups(units: DataFrame, k: int = 5, bucket_size: int = BUCKET_SIZE,
+                materialize_keys: bool = True) -> DataFrame:
     """Units grouped by identical shingle set inside (group, bucket).
 
     One row per unit: its representative and the group size.  Exact copies
@@ -256,6 +259,10 @@ def copy_groups(units: DataFrame, k: int = 5, bucket_size: int = BUCKET_SIZE) ->
     keyed = _keyed(units, k, bucket_size).select(
         "unit_id", "scan_ord", "lang_group", "bucket",
         F.size("sh").alias("n"), F.xxhash64("sh").alias("set_key"))
+    if materialize_keys:
+        # two branches (aggregate, join back) read the keys: write the small
+        # keyed table once instead of running the shingle regex twice
+        keyed = materialize(keyed)
     key = ["lang_group", "bucket", "n", "set_key"]
     groups = (keyed.groupBy(*key)
               .agg(F.min_by("unit_id", "scan_ord").alias("rep_id"),
