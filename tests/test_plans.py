@@ -52,9 +52,10 @@ def test_entry(spark):
 
 
 def test_parquet_scan_is_pruned(spark):
-    # columns and filters reach the scan (the flagship reads the same way,
-    # but its plan starts from the checkpointed shingle sets)
-    plan = _plan(E.queries()["copy_groups"](spark, SF))
-    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
+    # columns and filters reach the scan (the flagship and copy groups read
+    # the same way, but their plans start from checkpointed tables)
+    plan = _plan(E.queries()["size_histogram"](spark, SF))
+    assert "ReadSchema: struct<text:string,lang:string>" in plan
+    assert "PushedFilters: [IsNotNull(text)]" in plan
     plan = _plan(E.queries()["fetch_outcomes"](spark, SF))
     assert "ReadSchema: struct<event_type:string,value:double,props:string>" in plan
