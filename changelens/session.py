@@ -75,6 +75,25 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+def scale_conf(shuffle_bytes: int, executors_cores: int,
+               target_partition_bytes: int = 256 << 20) -> dict:
+    """Suggested settings for a cluster run (the platform applies them).
+
+    Shuffle partitions are sized so one partition of the largest shuffle is
+    about ``target_partition_bytes`` (AQE coalesces smaller ones and splits
+    skewed ones); scan splits stay at 128 MiB.  Example: 100 TB of documents
+    whose largest shuffle is ~40 TB -> ~160k partitions.
+    """
+    parts = max(executors_cores * 2, -(-shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        **_BASE_CONF,
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

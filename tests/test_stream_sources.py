@@ -120,3 +120,13 @@ def test_load_files_and_decode(spark):
     df = spark.createDataFrame(rows, "path string, status int, encoding string, content string")
     got = {r.path: r.content for r in decode_contents(df).collect()}
     assert got == {"ok": text, "wrap": text, "bad": "ab"}
+
+
+def test_write_results_is_idempotent(spark):
+    from changelens.sources.sinks import write_results
+    out = tempfile.mkdtemp(prefix="cl-sink-")
+    df = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "part string, key int, v string")
+    write_results(df, out, ["part"])
+    write_results(df.filter("part = 'a'").withColumn("v", F.lit("z")), out, ["part"])
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("part", "key", "v").collect())
+    assert got == [("a", 1, "z"), ("b", 2, "y")]        # partition a replaced, b kept
