@@ -321,8 +321,10 @@ def shingle_similar_pairs(units: DataFrame, k: int = 5, threshold: float = SIMIL
     t = float(threshold)
     reps = _representatives(units, k, bucket_size)
     if materialize_sets:
-        # three branches read the shingle sets (tokens, both verify sides)
-        reps = materialize(reps)
+        # Three branches read the shingle sets (prefix tokens, both verify
+        # sides).  Written once, hash-partitioned by unit id: the two verify
+        # joins then keep this partitioning and only the candidates move.
+        reps = materialize(reps.repartition("unit_id"))
     heavy = _heavy_tokens(reps, heavy_min_df, heavy_max, heavy_fraction)
     # Token order: (heavy?, hash).  Any order shared by all units of a group
     # keeps prefix filtering exact; putting the frequent shingles last keeps
