@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import line_count
 from ..operators import dedup
 from ..operators.caps import running_count
+from ..operators.units import segment_units
 from .common import documents_as_units, spread, sql_line_count, table
 
 
@@ -48,6 +49,32 @@ def exact_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.rank_pairs(pairs).select("lang_group", "a", "b", "similarity")
 
 
+def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as one source file (built inside the row): user and system
+    turns become a Python function whose body is the text, assistant turns a
+    JavaScript function whose body is the text as line comments."""
+    c = table(spark, sf_dir, "conversations")
+    name = F.concat(F.lit("reply_"), F.col("turn").cast("string"))
+    py = F.concat(F.lit("def "), name, F.lit("():\n    "),
+                  F.replace(F.col("text"), F.lit("\n"), F.lit("\n    ")), F.lit("\n"))
+    js = F.concat(F.lit("function "), name, F.lit("() {\n  // "),
+                  F.replace(F.col("text"), F.lit("\n"), F.lit("\n  // ")), F.lit("\n}\n"))
+    is_js = F.col("role") == "assistant"
+    return c.select(
+        F.lit("conversations").alias("repo"),
+        F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"),
+                 F.when(is_js, F.lit(".js")).otherwise(F.lit(".py"))).alias("path"),
+        (F.col("conv_id") * F.lit(1 << 20) + F.col("turn")).alias("ord"),
+        F.when(is_js, js).otherwise(py).alias("content"))
+
+
+def turn_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grammar-free segmentation of the turn files, then the min-size rule."""
+    units = dedup.min_size_filter(segment_units(spread(turn_files(spark, sf_dir))))
+    return units.select("file", "name", "start_line", "line_count", "lang_group", "n_chars",
+                        F.md5("code").alias("code_md5"))
+
+
 def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments: each user turn starts one; sizes aggregated per segment.
 
@@ -102,9 +129,33 @@ QUERIES = {
     "exact_similar_documents": exact_similar_documents,
     "conversation_segments": conversation_segments,
     "unit_sizes": unit_sizes,
+    "turn_functions": turn_functions,
 }
 
+SQL_TURN_FUNCTIONS = r"""
+WITH f AS (
+  SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) ||
+         CASE WHEN role = 'assistant' THEN '.js' ELSE '.py' END AS file,
+         'reply_' || CAST(turn AS VARCHAR) AS name, role,
+         CASE WHEN role = 'assistant'
+              THEN 'function reply_' || CAST(turn AS VARCHAR) || '() {' || chr(10) || '  // ' ||
+                   replace(text, chr(10), chr(10) || '  // ') || chr(10) || '}'
+              ELSE regexp_replace('def reply_' || CAST(turn AS VARCHAR) || '():' || chr(10) || '    ' ||
+                   replace(text, chr(10), chr(10) || '    '), '\s+$', '') END AS code
+  FROM conversations
+),
+u AS (
+  SELECT file, name, 1 AS start_line,
+         CAST(length(code) - length(replace(code, chr(10), '')) + 1 AS INTEGER) AS line_count,
+         CASE WHEN role = 'assistant' THEN 'js_ts' ELSE 'python' END AS lang_group,
+         CAST(length(code) AS INTEGER) AS n_chars, md5(code) AS code_md5
+  FROM f
+)
+SELECT * FROM u WHERE line_count >= 3
+"""
+
 ORACLE = {
+    "turn_functions": SQL_TURN_FUNCTIONS,
     "conversation_segments": SQL_SEGMENTS,
     "unit_sizes": SQL_UNIT_SIZES,
 }
