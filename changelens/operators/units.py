@@ -63,14 +63,14 @@ def file_lines(files: DataFrame) -> DataFrame:
     delta = F.when(F.col("lang_group") == "python",
                    _count(F.col("text"), r"(\[{") - _count(F.col("text"), r")\]}")).otherwise(
         _count(F.col("text"), "{") - _count(F.col("text"), "}"))
-    return (lines.withColumn("line", F.col("i") + 1)
-            .withColumn("off", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
-            .withColumn("blank", F.length(F.regexp_replace("text", r"(?U)\s", "")) == 0)
-            .withColumn("indent", F.length("text") - F.length(F.ltrim(F.regexp_replace("text", "\t", " "))))
-            .withColumn("_delta", delta)
-            .withColumn("d_before", F.coalesce(F.sum("_delta").over(before), F.lit(0)))
-            .withColumn("d_after", F.col("d_before") + F.col("_delta"))
-            .drop("i", "_delta"))
+    step = lines.select("repo", "path", "lang_group", "i", "text", delta.alias("_delta"))
+    d_before = F.coalesce(F.sum("_delta").over(before), F.lit(0))
+    return step.select(
+        "repo", "path", "lang_group", (F.col("i") + 1).alias("line"), "text",
+        F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).alias("off"),
+        (F.length(F.regexp_replace("text", r"(?U)\s", "")) == 0).alias("blank"),
+        (F.length("text") - F.length(F.ltrim(F.regexp_replace("text", "\t", " ")))).alias("indent"),
+        d_before.alias("d_before"), (d_before + F.col("_delta")).alias("d_after"))
 
 
 def _headers(lines: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def segment_units(files: DataFrame) -> DataFrame:
     order_kind = F.when(F.col("lang_group") == "python", -F.col("kind")).otherwise(F.col("kind"))
     w = Window.partitionBy(*key, "level").orderBy("line", order_kind).rowsBetween(1, Window.unboundedFollowing)
     nxt = lambda c: F.first(F.when(F.col("kind") == 1, F.col(c)), ignorenulls=True).over(w)
-    found = (both.withColumn("c_line", nxt("line")).withColumn("c_prev_nb", nxt("prev_nb"))
+    found = (both.withColumns({"c_line": nxt("line"), "c_prev_nb": nxt("prev_nb")})
              .filter(F.col("kind") == 0))
     last_nb = lines.filter(~F.col("blank")).groupBy(*key).agg(F.max("line").alias("last_nb"))
     u = found.join(last_nb, key, "left")
@@ -140,8 +140,7 @@ def segment_units(files: DataFrame) -> DataFrame:
     last_brace = F.length(F.regexp_extract("e_text", r"^(.*\})", 1))
     e_len = F.when((F.col("lang_group") != "python") & (last_brace > 0), last_brace).otherwise(
         F.length(F.regexp_replace("e_text", r"\s+$", "")))
-    u = u.withColumn("start_pos", F.col("off") + F.col("col") + 1).withColumn(
-        "end_pos", F.col("e_off") + e_len)
+    u = u.withColumns({"start_pos": F.col("off") + F.col("col") + 1, "end_pos": F.col("e_off") + e_len})
     src = files.select("repo", "path", "ord", "content")
     u = u.join(heads.select(*key, "line", "name"), [*key, "line"]).join(src, key)
     code = F.expr("substring(content, start_pos, end_pos - start_pos + 1)")

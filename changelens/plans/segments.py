@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import line_count
 from ..operators import dedup
 from ..operators.caps import running_count
+from ..operators import structure
 from ..operators.units import segment_units
 from .common import documents_as_units, spread, sql_line_count, table
 
@@ -75,6 +76,13 @@ def turn_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.md5("code").alias("code_md5"))
 
 
+def turn_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports and defined symbols of the turn files (regex per file row)."""
+    st = structure.file_structures(turn_files(spark, sf_dir))
+    return st.select("file", F.size("imports").alias("n_imports"),
+                     F.array_join("symbols", ",").alias("symbols"))
+
+
 def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments: each user turn starts one; sizes aggregated per segment.
 
@@ -130,6 +138,7 @@ QUERIES = {
     "conversation_segments": conversation_segments,
     "unit_sizes": unit_sizes,
     "turn_functions": turn_functions,
+    "turn_structures": turn_structures,
 }
 
 SQL_TURN_FUNCTIONS = r"""
@@ -154,8 +163,16 @@ u AS (
 SELECT * FROM u WHERE line_count >= 3
 """
 
+SQL_TURN_STRUCTURES = """
+SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) ||
+       CASE WHEN role = 'assistant' THEN '.js' ELSE '.py' END AS file,
+       CAST(0 AS INTEGER) AS n_imports, 'reply_' || CAST(turn AS VARCHAR) AS symbols
+FROM conversations
+"""
+
 ORACLE = {
     "turn_functions": SQL_TURN_FUNCTIONS,
+    "turn_structures": SQL_TURN_STRUCTURES,
     "conversation_segments": SQL_SEGMENTS,
     "unit_sizes": SQL_UNIT_SIZES,
 }
