@@ -211,10 +211,38 @@ def strip_fences(raw) -> Column:
     return F.when(s.startswith("```"), py_strip(removed)).otherwise(s)
 
 
+_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+_JSON_SCALAR = r'^(?:""|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity)$'
+
+
+def json_whole_text(text: Column) -> Column:
+    """True when the first JSON value spans the whole (stripped) text.
+
+    ``try_parse_json`` stops after the first value, so ``{"a": 1} thanks!``
+    would pass; Python's parser rejects trailing data.  String literals are
+    blanked, then one pass over the characters (``aggregate``) finds where
+    the top-level object or array closes; scalars are matched whole.
+    """
+    ns = py_strip(F.regexp_replace(text, _JSON_STRING, '""'))
+    first = F.substring(ns, 1, 1)
+
+    def step(acc, c):
+        d = acc["d"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        i = acc["i"] + 1
+        e = F.when((acc["e"] == 0) & (d == 0), i).otherwise(acc["e"])
+        return F.struct(d.alias("d"), i.alias("i"), e.alias("e"))
+
+    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(0).alias("e"))
+    end = F.aggregate(F.split(ns, ""), start, step)["e"]
+    return (F.when(first.isin("{", "["), end == F.length(ns))
+            .otherwise(F.regexp_like(ns, F.lit(_JSON_SCALAR))))
+
+
 def validate_responses(answers: DataFrame, required: list[str], raw: str = "raw") -> DataFrame:
     """Adds ``text`` (fences stripped), ``reject_reason`` and ``missing_keys``.
 
-    reasons: "no answer" (null text), "not json", "not object" (a JSON array
+    reasons: "no answer" (null text), "not json" (also trailing data after
+    the value, as Python's parser), "not object" (a JSON array
     or scalar - the reference has no branch for it), "missing keys: a, b".
     Parsing is ``try_parse_json`` (Variant); keys by ``json_object_keys``;
     the missing list is ``array_except(required, keys)``, sorted.
@@ -226,11 +254,12 @@ def validate_responses(answers: DataFrame, required: list[str], raw: str = "raw"
     req = F.array(*[F.lit(k) for k in required])
     missing = F.sort_array(F.array_except(req, F.coalesce(keys, F.array().cast("array<string>"))))
     reason = (F.when(F.col(raw).isNull(), F.lit("no answer"))
-              .when(v.isNull(), F.lit("not json"))
+              .when(v.isNull() | ~json_whole_text(F.col("text")), F.lit("not json"))
               .when(~kind.startswith("OBJECT"), F.lit("not object"))
               .when(F.size(missing) > 0, F.concat(F.lit("missing keys: "), F.array_join(missing, ", "))))
+    obj = v.isNotNull() & json_whole_text(F.col("text")) & kind.startswith("OBJECT")
     return (answers.withColumn("text", text)
-            .withColumn("missing_keys", F.when(v.isNotNull() & kind.startswith("OBJECT"), missing))
+            .withColumn("missing_keys", F.when(obj, missing))
             .withColumn("reject_reason", reason))
 
 
