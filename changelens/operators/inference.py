@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import with_computed_once
 from ..functions.text import py_strip
 from .diffs import MAX_DIFF_CHARS, TRUNCATION_SUFFIX
 
@@ -220,21 +221,25 @@ def json_whole_text(text: Column) -> Column:
 
     ``try_parse_json`` stops after the first value, so ``{"a": 1} thanks!``
     would pass; Python's parser rejects trailing data.  String literals are
-    blanked, then one pass over the characters (``aggregate``) finds where
-    the top-level object or array closes; scalars are matched whole.
+    blanked, then one pass over the brackets alone (``aggregate``) finds
+    where the top-level object or array closes; scalars are matched whole.
     """
     ns = py_strip(F.regexp_replace(text, _JSON_STRING, '""'))
     first = F.substring(ns, 1, 1)
+    # only the brackets matter: the value spans the text when the depth first
+    # returns to zero at the last bracket and the text ends with it
+    brackets = F.regexp_replace(ns, r"[^\[\]{}]", "")
 
     def step(acc, c):
-        d = acc["d"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        d = acc["d"] + F.when(c.isin("{", "["), 1).otherwise(-1)
         i = acc["i"] + 1
         e = F.when((acc["e"] == 0) & (d == 0), i).otherwise(acc["e"])
         return F.struct(d.alias("d"), i.alias("i"), e.alias("e"))
 
     start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(0).alias("e"))
-    end = F.aggregate(F.split(ns, ""), start, step)["e"]
-    return (F.when(first.isin("{", "["), end == F.length(ns))
+    closes_at = F.aggregate(F.split(brackets, ""), start, step)["e"]
+    last = F.substring(ns, -1, 1)
+    return (F.when(first.isin("{", "["), (closes_at == F.length(brackets)) & last.isin("}", "]"))
             .otherwise(F.regexp_like(ns, F.lit(_JSON_SCALAR))))
 
 
@@ -247,20 +252,21 @@ def validate_responses(answers: DataFrame, required: list[str], raw: str = "raw"
     Parsing is ``try_parse_json`` (Variant); keys by ``json_object_keys``;
     the missing list is ``array_except(required, keys)``, sorted.
     """
-    text = strip_fences(raw)
-    v = F.try_parse_json(F.col("text"))
+    base = with_computed_once(answers, text=strip_fences(raw))
+    base = with_computed_once(base, _v=F.try_parse_json(F.col("text")),
+                              _whole=json_whole_text(F.col("text")),
+                              _keys=F.json_object_keys(F.col("text")))
+    v = F.col("_v")
     kind = F.schema_of_variant(v)
-    keys = F.json_object_keys(F.col("text"))
     req = F.array(*[F.lit(k) for k in required])
-    missing = F.sort_array(F.array_except(req, F.coalesce(keys, F.array().cast("array<string>"))))
+    missing = F.sort_array(F.array_except(req, F.coalesce("_keys", F.array().cast("array<string>"))))
     reason = (F.when(F.col(raw).isNull(), F.lit("no answer"))
-              .when(v.isNull() | ~json_whole_text(F.col("text")), F.lit("not json"))
+              .when(v.isNull() | ~F.col("_whole"), F.lit("not json"))
               .when(~kind.startswith("OBJECT"), F.lit("not object"))
               .when(F.size(missing) > 0, F.concat(F.lit("missing keys: "), F.array_join(missing, ", "))))
-    obj = v.isNotNull() & json_whole_text(F.col("text")) & kind.startswith("OBJECT")
-    return (answers.withColumn("text", text)
-            .withColumn("missing_keys", F.when(obj, missing))
-            .withColumn("reject_reason", reason))
+    obj = v.isNotNull() & F.col("_whole") & kind.startswith("OBJECT")
+    return (base.withColumns({"missing_keys": F.when(obj, missing), "reject_reason": reason})
+            .drop("_v", "_whole", "_keys"))
 
 
 REVIEW_SCHEMA = ("summary string, risk_level string, key_changes array<string>, files_changed int, "

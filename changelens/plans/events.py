@@ -30,7 +30,7 @@ OWNER, REPO = "acme", "site"
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"))
     action = F.lit(None).cast("string")
     for k, v in EVENT_ACTION.items():
         action = F.when(F.col("event_type") == k, F.lit(v)).otherwise(action)

@@ -64,7 +64,7 @@ def architecture_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wrapped_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"))
     p = F.col("props")
     raw = (F.when(F.col("event_type") == "click", F.concat(F.lit("```json\n"), p, F.lit("\n```")))
            .when(F.col("event_type") == "purchase", F.concat(F.lit("  ```\n"), p, F.lit("\n```  ")))
