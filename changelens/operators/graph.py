@@ -88,3 +88,57 @@ def diagram_text(edges: DataFrame, top: DataFrame) -> DataFrame:
             .select("repo", "n_edges",
                     F.concat(F.lit("graph TD\n"),
                              F.array_join(F.transform("_l", lambda s: s["line"]), "\n")).alias("diagram")))
+
+
+# Fixed candidate suffixes for JS/TS module paths (resolution order).
+JS_SUFFIXES = ["", ".js", ".jsx", ".ts", ".tsx", "/index.js", "/index.jsx", "/index.ts", "/index.tsx"]
+_PY_IMPORT_MODULE = r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"
+_JS_IMPORT_PATH = r"""['"]([^'"]+)['"]"""
+
+
+def _normalize_path(p):
+    """Collapse ``./`` and ``dir/../`` segments (a few passes are enough for
+    real import paths; a path still holding ``..`` resolves to nothing)."""
+    p = F.regexp_replace(p, r"(^|/)\./", "$1")
+    for _ in range(6):
+        p = F.regexp_replace(p, r"(^|/)[^/]+/\.\./", "$1")
+    return p
+
+
+def code_import_edges(structures: DataFrame) -> DataFrame:
+    """Code imports -> (repo, src_file, dst_module, candidates).
+
+    Python: ``import a.b`` / ``from a.b import c`` -> module ``a.b`` with file
+    candidates ``a/b.py`` and ``a/b/__init__.py``.  JS/TS: the quoted path; a
+    relative one (``./``, ``../``) is resolved against the importing file's
+    folder and tried with the usual extensions and ``index`` files; a bare
+    package name stays a module name.
+    """
+    e = structures.select("repo", F.col("file").alias("src_file"), F.explode("imports").alias("imp"))
+    is_py = F.col("src_file").endswith(".py")
+    py_mod = F.coalesce(F.nullif(F.regexp_extract("imp", _PY_IMPORT_MODULE, 1), F.lit("")),
+                        F.nullif(F.regexp_extract("imp", _PY_IMPORT_MODULE, 2), F.lit("")))
+    js_path = F.nullif(F.regexp_extract("imp", _JS_IMPORT_PATH, 1), F.lit(""))
+    module = F.when(is_py, py_mod).otherwise(js_path)
+    py_base = F.replace(py_mod, F.lit("."), F.lit("/"))
+    folder = F.regexp_extract("src_file", r"^(.*/)?[^/]*$", 1)
+    js_rel = js_path.startswith(".")
+    js_base = _normalize_path(F.concat(folder, js_path))
+    cands = (F.when(is_py, F.array(F.concat(py_base, F.lit(".py")), F.concat(py_base, F.lit("/__init__.py"))))
+             .when(js_rel, F.array(*[F.concat(js_base, F.lit(s)) for s in JS_SUFFIXES]))
+             .otherwise(F.array().cast("array<string>")))
+    return (e.select("repo", "src_file", module.alias("dst_module"), cands.alias("candidates"))
+            .filter(F.col("dst_module").isNotNull()).dropDuplicates(["repo", "src_file", "dst_module"]))
+
+
+def resolve_code_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``dst_file`` (first candidate that is a file of the same repo) and
+    ``internal``.  Candidates are exploded and equi-joined on (repo, file);
+    the first hit by candidate order is kept with a ``min_by`` aggregate."""
+    names = files.select("repo", F.col("file").alias("cand")).distinct()
+    hits = (edges.select("repo", "src_file", "dst_module", F.posexplode("candidates").alias("pos", "cand"))
+            .join(names, ["repo", "cand"])
+            .groupBy("repo", "src_file", "dst_module")
+            .agg(F.min_by("cand", "pos").alias("dst_file")))
+    return (edges.drop("candidates").join(hits, ["repo", "src_file", "dst_module"], "left")
+            .withColumn("internal", F.col("dst_file").isNotNull()))

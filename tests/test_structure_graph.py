@@ -85,3 +85,19 @@ def test_duplicate_report_with_empty_repo(spark):
     repos = spark.createDataFrame([("r1",), ("r2",)], "repo string")
     got = {r.repo: tuple(r)[1:] for r in duplicate_report(files, units, pairs, repos).collect()}
     assert got == {"r1": (2, 2, 1, None), "r2": (0, 0, 0, NO_FILES_REASON)}
+
+
+def test_resolve_code_imports(spark):
+    rows = [("r", "pkg/util.py", 1, "def u():\n    pass\n"),
+            ("r", "pkg/sub/__init__.py", 2, "x = 1\n"),
+            ("r", "app/main.py", 3, "import pkg.util\nfrom pkg.sub import x\nimport os\n"),
+            ("r", "web/lib/a.ts", 4, "export function a() {}\n"),
+            ("r", "web/lib/index.js", 5, "x\n"),
+            ("r", "web/app/b.js", 6, "import {a} from '../lib/a';\nimport lib from '../lib';\nimport React from 'react';\n")]
+    files = spark.createDataFrame(rows, "repo string, path string, ord bigint, content string")
+    st = structure.file_structures(files)
+    e = graph.resolve_code_imports(graph.code_import_edges(st), st)
+    got = {(r.src_file, r.dst_module): r.dst_file for r in e.collect()}
+    assert got == {("app/main.py", "pkg.util"): "pkg/util.py", ("app/main.py", "pkg.sub"): "pkg/sub/__init__.py",
+                   ("app/main.py", "os"): None, ("web/app/b.js", "../lib/a"): "web/lib/a.ts",
+                   ("web/app/b.js", "../lib"): "web/lib/index.js", ("web/app/b.js", "react"): None}
