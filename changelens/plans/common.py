@@ -11,9 +11,22 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_READERS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.  Column pruning and filters reach the Parquet scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table.  Column pruning and filters reach the Parquet scan.
+
+    The reader (file listing and footer schema, no data) is kept per session
+    and path, so queries on the same table do not list and read footers again.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), spark.sparkContext.applicationId, path)
+    df = _READERS.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _READERS[key] = df
+    return df
 
 
 def spread(df: DataFrame) -> DataFrame:
