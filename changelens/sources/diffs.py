@@ -17,7 +17,8 @@ def load_diffs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     if fmt == "parquet":
         return spark.read.schema(DIFFS_SCHEMA).parquet(path)
     if fmt == "text":
-        raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+        # wholetext must be the keyword: text() would reset the option to False
+        raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
         p = F.input_file_name()
         pat = r"([^/]+)/([^/]+)/(\d+)\.diff$"
         return raw.select(F.regexp_extract(p, pat, 1).alias("owner"),

@@ -150,3 +150,17 @@ def test_stream_equals_batch_on_event_log(spark):
     batch = sorted(map(tuple, W.review_batch(batch_ev, diffs, lambda p, a=ans: a).collect()))
     assert streamed == batch and len(batch) > 0
     assert any(r[2] for r in batch) and any(not r[2] for r in batch)   # errors (no diff) and reviews
+
+
+def test_load_diffs_text_and_table(spark):
+    from changelens.sources.diffs import load_diffs
+    from changelens.sources.files import from_table
+    root = tempfile.mkdtemp(prefix="cl-diffs-")
+    os.makedirs(os.path.join(root, "o1", "r1"))
+    with open(os.path.join(root, "o1", "r1", "7.diff"), "w") as fh:
+        fh.write("diff --git a/x.py b/x.py\n+1\n")
+    got = [tuple(r) for r in load_diffs(spark, root, fmt="text").collect()]
+    assert got == [("o1", "r1", 7, "diff --git a/x.py b/x.py\n+1\n")]
+    files = spark.createDataFrame([("r", "a.py", 1, "x"), ("r", "b.md", 2, "y"), ("r", "c.tsx", 3, "z")],
+                                  "repo string, path string, ord bigint, content string")
+    assert sorted(r.path for r in from_table(files).collect()) == ["a.py", "c.tsx"]
