@@ -141,3 +141,18 @@ def test_running_count_blocked(spark):
         acc[k] = acc.get(k, 0) + int(f)
         want[(k, t)] = acc[k]
     assert got == want
+
+
+def test_small_helpers(spark):
+    from changelens.operators.languages import languages_dim
+    from changelens.operators.render import ERROR_PREFIX, render_error_comments
+    from changelens.session import scale_conf
+    dim = {r.ext: (r.lang_group, r.language) for r in languages_dim(spark).collect()}
+    assert dim[".py"] == ("python", "Python") and dim[".go"] == (None, "Go") and len(dim) == 10
+    df = spark.createDataFrame([("a", None), ("b", "blank")], "k string, reject_reason string")
+    ok, bad = targets.split_rejects(df)
+    assert [r.k for r in ok.collect()] == ["a"] and [r.k for r in bad.collect()] == ["b"]
+    e = render_error_comments(spark.createDataFrame([("k", "boom")], "key string, error_message string"))
+    assert e.collect()[0].comment == ERROR_PREFIX + "boom"
+    conf = scale_conf(40 * 10 ** 12, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) > 100000
