@@ -10,13 +10,15 @@ copies?":
   Ratcliff-Obershelp) on every pair of a size band.  The measure has no exact
   sub-quadratic filter, so the band join is kept, pruned by the lossless
   length bound in the join condition and by difflib's own quick bounds
-  before the full ratio.  Meant for bounded inputs (one repo, a few thousand
-  units); AQE's skew join splits a hot band across tasks.
+  before the full ratio; identical texts skip the ratio (exactly 1.0).
+  Meant for bounded inputs (one repo, a few thousand units); AQE's skew
+  join splits a hot band across tasks.
 * ``shingle_similar_pairs`` - the scale path: exact Jaccard over k-word
   shingle sets with the same band rule.  Exact copies (same shingle set) are
-  collapsed into copy groups first, candidates come from prefix filtering on
-  the rarest shingles (no cap, no sampling: every pair with Jaccard >= t
-  shares a prefix shingle), and survivors are verified on the full sets.
+  collapsed into copy groups first, candidates come from prefix filtering
+  with frequent shingles ordered last (no cap, no sampling: every pair with
+  Jaccard >= t shares a prefix shingle), and survivors are verified on the
+  full sets.
 """
 
 from __future__ import annotations
