@@ -5,9 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from changelens.operators import dedup
+from changelens.schemas import UNITS
 
-UNIT_COLS = ("unit_id bigint, repo string, file string, name string, start_line int, line_count int, "
-             "lang_group string, code string, n_chars int, scan_ord bigint")
+UNIT_COLS = UNITS
 
 
 def _units(spark, rows):

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from changelens.operators import dedup
+from changelens.schemas import UNITS
 from changelens.plans.common import documents_as_units
 
 SF = "/root/testdata/sf0.001"
-UNIT_COLS = ("unit_id bigint, repo string, file string, name string, start_line int, line_count int, "
-             "lang_group string, code string, n_chars int, scan_ord bigint")
+UNIT_COLS = UNITS
 
 
 def _pairs(df):
