@@ -21,7 +21,9 @@ Rules (approximations of the reference's syntax-tree walk):
   keyword (decorators and ``export`` excluded), later lines keep their
   indentation.
 
-Known deviations: brackets inside strings or comments shift depths; only
+Comment-only lines (``#`` / ``//``) count as blank.  Known deviations:
+brackets inside strings or trailing comments shift depths; multi-line
+strings with lines less indented than the header end a Python block; only
 one header per line is seen; a JS body opening on the line after its
 header (Allman style) ends at the header line.
 """
@@ -60,15 +62,21 @@ def file_lines(files: DataFrame) -> DataFrame:
                      F.posexplode(F.split("content", "\n", -1)).alias("i", "text"))
     w = Window.partitionBy("repo", "path").orderBy("i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    delta = F.when(F.col("lang_group") == "python",
-                   _count(F.col("text"), r"(\[{") - _count(F.col("text"), r")\]}")).otherwise(
+    # comment-only lines count as blank (the syntax tree treats comments as
+    # extras, so they neither end a block nor open or close brackets)
+    comment = F.when(F.col("lang_group") == "python", F.col("text").rlike(r"^[ \t]*#")).otherwise(
+        F.col("text").rlike(r"^[ \t]*//"))
+    delta = F.when(comment, F.lit(0)).when(
+        F.col("lang_group") == "python",
+        _count(F.col("text"), r"(\[{") - _count(F.col("text"), r")\]}")).otherwise(
         _count(F.col("text"), "{") - _count(F.col("text"), "}"))
-    step = lines.select("repo", "path", "lang_group", "i", "text", delta.alias("_delta"))
+    step = lines.select("repo", "path", "lang_group", "i", "text", delta.alias("_delta"),
+                        comment.alias("_comment"))
     d_before = F.coalesce(F.sum("_delta").over(before), F.lit(0))
     return step.select(
         "repo", "path", "lang_group", (F.col("i") + 1).alias("line"), "text",
         F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).alias("off"),
-        (F.length(F.regexp_replace("text", r"(?U)\s", "")) == 0).alias("blank"),
+        ((F.length(F.regexp_replace("text", r"(?U)\s", "")) == 0) | F.col("_comment")).alias("blank"),
         (F.length("text") - F.length(F.ltrim(F.regexp_replace("text", "\t", " ")))).alias("indent"),
         d_before.alias("d_before"), (d_before + F.col("_delta")).alias("d_after"))
 

@@ -57,3 +57,13 @@ def test_segment_units(spark):
     assert got[("b.ts", "<anonymous>")][:2] == (14, 3)
     kept = {r.name for r in dedup.min_size_filter(segment_units(df)).collect()}
     assert "inner" not in kept and "alpha" in kept
+
+
+def test_comments_do_not_end_blocks(spark):
+    py = "def f(a):\n    x = 1\n# note at column 0\n    return x\n    # trailing comment\n\ny = 2\n"
+    js = "function g() {\n  // a } brace in a comment\n  return 1;\n}\n"
+    df = spark.createDataFrame([("r", "c.py", 1, py), ("r", "d.js", 2, js)],
+                               "repo string, path string, ord bigint, content string")
+    got = {r.name: (r.start_line, r.line_count, r.code) for r in segment_units(df).collect()}
+    assert got["f"] == (1, 4, "def f(a):\n    x = 1\n# note at column 0\n    return x")
+    assert got["g"][:2] == (1, 4)
