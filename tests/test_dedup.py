@@ -180,3 +180,27 @@ def test_bitmap_has_no_false_negatives(spark):
     other = spark.range(1000).select((F.col("id") * 7919 + 11).alias("k"))
     hits = other.select(bitmap_contains(bits, F.col("k"), m).alias("c")).filter("c").count()
     assert hits < 50
+
+
+def _pair_at(ratio_wanted):
+    """Two 3-line texts whose difflib ratio is exactly ``ratio_wanted``."""
+    rnd = random.Random(1)
+    base = "abcde\nfghij\nklmn"   # 16 characters: 0.75 = 2 * 12 / 32
+    for _ in range(20000):
+        chars = list(base)
+        for _ in range(rnd.randint(1, 4)):
+            i = rnd.randrange(len(chars))
+            if chars[i] != "\n":
+                chars[i] = rnd.choice("xyz")
+        other = "".join(chars)
+        if difflib.SequenceMatcher(None, base, other).ratio() == ratio_wanted:
+            return base, other
+    raise AssertionError("no pair found")
+
+
+def test_threshold_is_inclusive_and_nested_pairs_count(spark):
+    a, b = _pair_at(0.75)
+    rows = [("a.py", "outer", 1, "python", a), ("a.py", "inner", 2, "python", b)]   # nested pair
+    got = dedup.similar_pairs_exact(_units(spark, rows)).collect()
+    assert [(r.a.name, r.b.name, r.similarity) for r in got] == [("outer", "inner", 0.75)]
+    assert _reference_pairs(rows) == {(("a.py", "outer", 1), ("a.py", "inner", 2), 0.75)}
