@@ -122,3 +122,15 @@ def test_tests_report(spark):
     assert s == {"Python": (2, 1, 2), "Go": (1, 0, 1)}
     c = {(r.language, r.function): r.n for r in R.covered_functions(df).collect()}
     assert c == {("Python", "n/a"): 1, ("Python", "f"): 1, ("Python", "g"): 1, ("Go", "f"): 1}
+
+
+def test_architecture_answers(spark):
+    good = json.dumps({"overview": "o", "components": [{"name": "a.py", "role": "r"}],
+                       "mermaid_diagram": "graph TD\n  a --> b"})
+    missing = json.dumps({"overview": "o", "components": []})
+    df = spark.createDataFrame([("r1", good), ("r2", missing)], "key string, raw string")
+    v = {r.key: r.reject_reason for r in I.validate_responses(df, I.REQUIRED_KEYS["architecture"]).collect()}
+    assert v == {"r1": None, "r2": "missing keys: mermaid_diagram"}
+    parsed = I.parse_valid(I.validate_responses(df, I.REQUIRED_KEYS["architecture"]), I.ARCHITECTURE_SCHEMA)
+    row = parsed.collect()[0]
+    assert row.components[0].name == "a.py" and row.mermaid_diagram.startswith("graph TD")
