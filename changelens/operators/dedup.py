@@ -153,7 +153,7 @@ def _ratio_batches(threshold: float):
                 r = sm.ratio()
                 keep.append(r >= threshold)          # threshold before rounding
                 sims.append(round(r, 2))             # Python rounding (half-even on binary)
-            out = pdf.drop(columns=["a_code", "b_code"])
+            out = pdf[["a_tk", "b_tk"]].copy()
             out["similarity"] = sims
             yield out[pd.Series(keep, index=pdf.index)]
     return run
@@ -170,26 +170,32 @@ def similar_pairs_exact(units: DataFrame, threshold: float = SIMILARITY_THRESHOL
     """Reference-exact near-duplicate pairs (difflib ratio >= threshold).
 
     Text is fetched late: the band join and length bound run on ids and sizes,
-    code is joined to the survivors only, and the ratio runs in Arrow batches
-    (``mapInPandas``).  Output: ``a``/``b`` structs (file, name, line), the
+    code is joined only to the distinct text pairs that survive, and the
+    ratio runs in Arrow batches (``mapInPandas``); identical texts score 1.0
+    without Python.  Output: ``a``/``b`` structs (file, name, line), the
     rounded similarity, and the scan orders used for stable ranking.
     """
     pairs = distinct_pairs(candidate_pairs(units, bucket_size, min_len_ratio=threshold))
-    code = units.select("unit_id", "code")
-    withcode = (pairs
-                .join(code.select(F.col("unit_id").alias("a_unit_id"), F.col("code").alias("a_code")),
-                      "a_unit_id")
-                .join(code.select(F.col("unit_id").alias("b_unit_id"), F.col("code").alias("b_code")),
-                      "b_unit_id"))
-    base = withcode.select("a_unit_id", "b_unit_id", "a_repo", "b_repo", "a_file", "a_name",
-                           "a_start_line", "b_file", "b_name", "b_start_line",
-                           "a_scan_ord", "b_scan_ord", "a_lang_group", "a_code", "b_code")
-    out_schema = T.StructType([f for f in base.schema.fields if f.name not in ("a_code", "b_code")]
-                              + [T.StructField("similarity", T.DoubleType())])
+    # Texts are keyed by SHA-256: a pair of identical texts has ratio 1.0 and
+    # never leaves the JVM, and each distinct ordered text pair is scored once
+    # however many unit pairs share it (a hot group of copies costs no Python).
+    tkey = units.select("unit_id", F.sha2("code", 256).alias("tk"))
+    keyed = (pairs
+             .join(tkey.select(F.col("unit_id").alias("a_unit_id"), F.col("tk").alias("a_tk")), "a_unit_id")
+             .join(tkey.select(F.col("unit_id").alias("b_unit_id"), F.col("tk").alias("b_tk")), "b_unit_id"))
+    texts = units.groupBy(F.sha2("code", 256).alias("tk")).agg(F.min_by("code", "unit_id").alias("code"))
+    text_pairs = (keyed.filter(F.col("a_tk") != F.col("b_tk")).select("a_tk", "b_tk").distinct()
+                  .join(texts.select(F.col("tk").alias("a_tk"), F.col("code").alias("a_code")), "a_tk")
+                  .join(texts.select(F.col("tk").alias("b_tk"), F.col("code").alias("b_code")), "b_tk"))
+    schema = T.StructType([T.StructField("a_tk", T.StringType()), T.StructField("b_tk", T.StringType()),
+                           T.StructField("similarity", T.DoubleType())])
     # The ratio is CPU-bound while the rows are small, so AQE's byte-based
     # coalescing would leave few Python workers: spread by pair explicitly.
-    base = base.repartition(_cpu_partitions(units), "a_unit_id", "b_unit_id")
-    scored = base.mapInPandas(_ratio_batches(float(threshold)), out_schema)
+    text_pairs = text_pairs.repartition(_cpu_partitions(units), "a_tk", "b_tk")
+    scores = text_pairs.mapInPandas(_ratio_batches(float(threshold)), schema)
+    same = keyed.filter(F.col("a_tk") == F.col("b_tk")).withColumn("similarity", F.lit(1.0))
+    diff = keyed.join(scores, ["a_tk", "b_tk"])
+    scored = same.unionByName(diff)
     return scored.select(
         F.col("a_lang_group").alias("lang_group"),
         F.struct(F.col("a_file").alias("file"), F.col("a_name").alias("name"),
