@@ -104,7 +104,7 @@ def review_batch(events: DataFrame, diffs: DataFrame, fn: Callable[[str], str])
 
 
 def review_stream(deliveries: DataFrame, diffs: DataFrame, fn: Callable[[str], str], secret: str,
-                  out_path: str, checkpoint: str, dedupe_within: str | None = None,
+                  out_path: str, checkpoint: str | None = None, dedupe_within: str | None = None,
                   trigger: dict | None = None):
     """Start the streaming review job.
 
@@ -113,8 +113,11 @@ def review_stream(deliveries: DataFrame, diffs: DataFrame, fn: Callable[[str], s
     drops re-sent deliveries with the same id inside a watermark - the
     sender retries and the reference reviews twice.  Output goes to
     ``out_path/batch_id=<n>`` (idempotent on retry); ``checkpoint`` must be
-    on shared storage (see ``session.checkpoint_path``).
+    on shared storage and defaults to ``<spark.checkpoint.dir>/streams/review``.
     """
+    if checkpoint is None:
+        from ..session import checkpoint_path
+        checkpoint = checkpoint_path(deliveries.sparkSession, "streams", "review")
     ev = verify_deliveries(deliveries, secret)
     if dedupe_within:
         ev = ev.withWatermark("ts", dedupe_within).dropDuplicatesWithinWatermark(["delivery_id"])
