@@ -192,7 +192,9 @@ def similar_pairs_exact(units: DataFrame, threshold: float = SIMILARITY_THRESHOL
     # The ratio is CPU-bound while the rows are small, so AQE's byte-based
     # coalescing would leave few Python workers: spread by pair explicitly.
     text_pairs = text_pairs.repartition(_cpu_partitions(units), "a_tk", "b_tk")
-    scores = text_pairs.mapInPandas(_ratio_batches(float(threshold)), schema)
+    # the ratios are the expensive part: written once (small: two keys and a
+    # score per surviving text pair), so no later stage re-runs Python
+    scores = materialize(text_pairs.mapInPandas(_ratio_batches(float(threshold)), schema))
     same = keyed.filter(F.col("a_tk") == F.col("b_tk")).withColumn("similarity", F.lit(1.0))
     diff = keyed.join(scores, ["a_tk", "b_tk"])
     scored = same.unionByName(diff)
