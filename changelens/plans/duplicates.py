@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dedup
+from ..operators import dedup, report
 from .common import documents_as_units, spread, sql_line_count, table
 
 K = 5
@@ -42,12 +42,11 @@ def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     Pairs are counted where either side belongs to the source; no per-source
     array is collected (a hot source would put every pair in one row).
     """
-    from ..operators.report import duplicate_report as op
     docs = table(spark, sf_dir, "documents")
     files = docs.select(F.col("source").alias("repo"), F.col("doc_id").alias("ord"))
     units = _units(spark, sf_dir)
     pairs = dedup.shingle_similar_pairs(units, k=K, threshold=T, bucket_size=B)
-    return op(files, units, pairs)
+    return report.duplicate_report(files, units, pairs)
 
 
 # --------------------------------------------------------------------------
