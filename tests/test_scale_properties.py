@@ -48,3 +48,11 @@ def test_hot_copy_group_is_one_representative(spark):
     # copies of the hot text never appear as pairs among themselves
     assert all(not (r.a_id % 3 == 0 and r.b_id % 3 == 0) for r in pairs)
     assert len(pairs) <= 200 * 199 // 2
+
+
+def test_heavy_list_respects_its_bound(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    base = dedup.min_size_filter(documents_as_units(docs))
+    reps = dedup._representatives(base, 5, 5)
+    keys = dedup._heavy_tokens(reps, min_df=1, max_tokens=37, fraction=1.0)
+    assert len(keys) == 37 and len(set(keys)) == 37
