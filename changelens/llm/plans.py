@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, sharding
+from . import exact_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, url_filter
 from .common import table
 
 
+def op1_pii(spark, sf_dir):
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op2_packing(spark, sf_dir):
+    import public_tokenizers
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op4_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -29,9 +44,14 @@ def op9_quality_rules(spark, sf_dir):
         "doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_sharding, op8_exact_dedup, op9_quality_rules)}
+def op10_quality_model(spark, sf_dir):
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op4_url_filter, op5_mixing, op6_sharding, op8_exact_dedup, op9_quality_rules, op10_quality_model)}
 
 ORACLE = {
+    "op4_url_filter": url_filter.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op8_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
