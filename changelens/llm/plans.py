@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, url_filter
+from . import exact_dedup, jaccard_join, mixing, packing, pii, quality_model, quality_rules, sharding, url_filter
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op2_packing(spark, sf_dir):
                         public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    groups = jaccard_join.linked_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return groups.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op4_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
@@ -48,7 +53,7 @@ def op10_quality_model(spark, sf_dir):
     return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op4_url_filter, op5_mixing, op6_sharding, op8_exact_dedup, op9_quality_rules, op10_quality_model)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_url_filter, op5_mixing, op6_sharding, op8_exact_dedup, op9_quality_rules, op10_quality_model)}
 
 ORACLE = {
     "op4_url_filter": url_filter.ORACLE,
