@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixing, packing, pii, quality_model, quality_rules, sharding, url_filter
+from . import exact_dedup, jaccard_join, mixing, packing, passages, pii, quality_model, quality_rules, sharding, url_filter
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op6_sharding(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_passages(spark, sf_dir):
+    return passages.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"), carry=["doc_id"]).select(
         "doc_id", F.col("_keep_id").alias("keep_id"), F.col("_size").alias("group_size"),
@@ -53,7 +57,8 @@ def op10_quality_model(spark, sf_dir):
     return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_url_filter, op5_mixing, op6_sharding, op8_exact_dedup, op9_quality_rules, op10_quality_model)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_url_filter, op5_mixing, op6_sharding, op7_passages,
+                                op8_exact_dedup, op9_quality_rules, op10_quality_model)}
 
 ORACLE = {
     "op4_url_filter": url_filter.ORACLE,
