@@ -11,13 +11,16 @@ shingle).  The join is exact and gives connected groups, not lists of pairs.
    that a fixed-size count of all documents shows to be frequent come last.
    Tokens of one node only are dropped.
 3. Connecting: nodes with the same first token meet in signature trees (see
-   ``signature_tree``) over whole sets; sets already in one group are not
-   compared again, so a family of near copies costs about one comparison a
-   copy.  Large buckets are cut into blocks of bounded size and the groups'
-   representatives meet again.
-4. Completing: wherever nodes of different groups share any prefix token,
-   signature trees over their bitmaps give every pair that may reach the
-   similarity; each is then checked on the whole sets.
+   ``signature_tree``) over their bitmaps.  A pair that the bitmaps allow is
+   noted and its nodes count as one group from then on, so a family of near
+   copies gives about one pair a copy; the pairs are checked on whole sets.
+   Large buckets are cut into blocks of bounded size, and one node of each
+   group found meets the others again.
+4. Completing: wherever nodes of different (checked) groups share any prefix
+   token, signature trees give every pair that the bitmaps allow, and each is
+   checked on whole sets.
+
+Whole sets are read from the texts again, for the nodes of noted pairs only.
 
 No link between different texts is lost: step 4 looks at every pair that the
 prefixes allow and that step 3 has not already put into one group.
@@ -45,11 +48,11 @@ from .graphs import components
 SKETCH = 1 << 17           # counters of the token count, whatever the corpus size
 SKETCH_BLOCK = 1 << 11
 FREQUENT = 4               # times the mean counter
-TREE_BITS = 16             # bitmap bits per token inside a tree
-NODE_BITS = 2              # bitmap bits per token kept with a node
-MAX_BITS = 1 << 15
-BLOCK_TOKENS = 1_000_000   # tokens of the sets one tree holds
+NODE_BITS = 4              # bitmap bits per token
+MAX_BITS = 1 << 16
+BLOCK_TOKENS = 4_000_000   # tokens of the sets whose bitmaps one tree holds
 BLOCK_NODES = 4096         # bitmaps one tree holds in the completing step
+FILTER_BITS = 1 << 23      # of the filter before texts are read again
 CACHE = 300_000
 
 
@@ -96,18 +99,28 @@ def shingle_sets(texts, k: int) -> list[np.ndarray]:
     return out
 
 
-def _count_tokens(k: int):
+_FIRST_PASS = "doc_id long, n long, key binary, block int, counts binary"
+
+
+def _keys_and_counts(k: int):
+    """Every document's set size and key; then this task's token counts."""
     def run(batches):
         counts = np.zeros(SKETCH, np.int64)
         for b in batches:
-            sets = shingle_sets(b.column(0).to_pylist(), k)
+            sets = shingle_sets(b.column(1).to_pylist(), k)
             if sets:
                 counts += np.bincount(np.concatenate(sets) & np.uint64(SKETCH - 1), minlength=SKETCH)
+            none = pa.nulls(len(sets))
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_key(x) for x in sets], pa.binary()),
+                none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "key", "block", "counts"])
         blocks = counts.reshape(-1, SKETCH_BLOCK)
         used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array([blocks[i].astype(np.int32).tobytes() for i in used], pa.binary())],
-            names=["block", "counts"])
+        none = pa.nulls(len(used))
+        yield pa.RecordBatch.from_arrays([
+            none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(used, pa.int32()),
+            pa.array([blocks[i].astype(np.int32).tobytes() for i in used], pa.binary())],
+            names=["doc_id", "n", "key", "block", "counts"])
     return run
 
 
@@ -122,16 +135,13 @@ def _add_counts(batches):
         names=["block", "counts"])
 
 
-def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
+def frequency_levels(counts: DataFrame) -> np.ndarray:
     """Per counter 0, or the logarithm of how much more than the mean it holds."""
-    schema = "block int, counts binary"
-    sums = (docs.select("text").mapInArrow(_count_tokens(k), schema)
-            .repartition(SKETCH // SKETCH_BLOCK, "block").mapInArrow(_add_counts, schema))
-    counts = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK))
+    sums = counts.repartition(SKETCH // SKETCH_BLOCK, "block").mapInArrow(_add_counts, "block int, counts binary")
+    total = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK))
     for r in sums.collect():          # SKETCH numbers
-        counts[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    counts = counts.ravel()
-    ratio = counts / max(counts.mean(), 1.0)
+        total[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    ratio = total.ravel() / max(total.mean(), 1.0)
     return np.where(ratio >= FREQUENT, np.log2(np.maximum(ratio, 1)), 0).astype(np.uint8)
 
 
@@ -152,7 +162,9 @@ def _node_rows(k: int, percent: int, levels):
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_key(s) for s in sets], pa.binary()),
-                pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "prefix"])
+                pa.array(prefixes, pa.list_(pa.int64())),
+                pa.array([tree.bits_of(s, min(tree.width_for(len(s), NODE_BITS), MAX_BITS)).tobytes() for s in sets],
+                         pa.binary())], names=["doc_id", "n", "key", "prefix", "bits"])
     return run
 
 
@@ -160,16 +172,17 @@ def _key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _set_rows(k: int):
+def _set_rows(k: int, wanted):
+    """(slot, doc_id, text) rows whose slot is wanted -> their sets."""
     def run(batches):
+        bits = wanted.value
         for b in batches:
-            nid, key = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = [(i, s) for i, c, s in zip(nid, key, shingle_sets(b.column(2).to_pylist(), k)) if _key(s) == c]
+            slot = np.asarray(b.column(0))
+            b = b.filter(pa.array((bits[slot >> 3] >> (slot & 7)) & 1 == 1))
+            sets = shingle_sets(b.column(2).to_pylist(), k)
             yield pa.RecordBatch.from_arrays([
-                pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()),
-                pa.array([s.tobytes() for _, s in rows], pa.binary()),
-                pa.array([tree.bits_of(s, min(tree.width_for(len(s), NODE_BITS), MAX_BITS)).tobytes() for _, s in rows],
-                         pa.binary())], names=["nid", "n", "tokens", "bits"])
+                b.column(1), pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["doc_id", "key", "tokens"])
     return run
 
 
@@ -204,62 +217,40 @@ def _links(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _connect(percent: int):
-    """(bucket, block, nid, n, tokens) rows -> links that connect what is similar."""
+def _pairs(percent: int, n_keys: int, connect: bool):
+    """Runs of (keys, nid, group, n, bits) rows -> the pairs that the bitmaps
+    allow; with ``connect`` only as many as connect what they allow."""
     def run(batches):
-        out: list = []
-        for t in runs(batches, 2):
+        out: set = set()
+        for t in runs(batches, n_keys):
             if t.num_rows < 2:
                 continue
             t = t.take(np.lexsort((np.asarray(t["nid"]), np.asarray(t["n"]))))
             nid, sizes = np.asarray(t["nid"]), np.asarray(t["n"])
-            sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["tokens"]]
-            groups = tree.Groups(nid.tolist())
-
-            def check(i, j):
-                inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if tree.reaches(inter, len(sets[i]), len(sets[j]), percent):
-                    groups.join(i, j)
-                    out.append((nid[i], nid[j]))
-
-            if len(sets) == 2:
-                check(0, 1)
-                continue
-            width = min(tree.width_for(int(sizes.mean()) + 1, TREE_BITS), MAX_BITS)
-            tree.similar(sizes, np.stack([tree.bits_of(s, width) for s in sets]), percent, check, groups)
-            if len(out) > 50_000:
-                yield _links(out)
-                out = []
-        yield _links(out)
-    return run
-
-
-def _candidates(percent: int):
-    """(token, block, block2, nid, group, n, bits) rows -> pairs that may be similar."""
-    def run(batches):
-        out: list = []
-        for t in runs(batches, 3):
-            t = t.take(np.lexsort((np.asarray(t["nid"]), np.asarray(t["n"]))))
-            labels = t["group"].to_pylist()
             bits = [np.frombuffer(x.as_py(), np.uint64) for x in t["bits"]]
             words = np.array([len(x) for x in bits])
+            groups = tree.Groups(t["group"].to_pylist())
             # similar sizes have bitmaps of one width or of two neighbouring ones
             for w in np.unique(words).tolist():
                 at = np.flatnonzero((words == w) | (words == 2 * w))
                 if len(at) < 2:
                     continue
-                nid, sizes, wide = np.asarray(t["nid"])[at], np.asarray(t["n"])[at], words[at] > w
+                own = tree.Groups([groups.find(i) for i in at])
+                wide = words[at] > w
 
                 def check(i, j):
                     if not (wide[i] and wide[j]):
-                        out.append((min(nid[i], nid[j]), max(nid[i], nid[j])))
+                        x, y = nid[at[i]], nid[at[j]]
+                        out.add((min(x, y), max(x, y)))
+                        if connect:
+                            own.join(i, j)
+                            groups.join(at[i], at[j])
 
-                tree.similar(sizes, np.stack([tree.fold(bits[i], w) for i in at]), percent, check,
-                             tree.Groups([labels[i] for i in at]))
+                tree.similar(sizes[at], np.stack([tree.fold(bits[i], w) for i in at]), percent, check, own)
             if len(out) > 50_000:
-                yield _links(set(out))
-                out = []
-        yield _links(sorted(set(out)))
+                yield _links(sorted(out))
+                out = set()
+        yield _links(sorted(out))
     return run
 
 
@@ -276,19 +267,51 @@ def _verify(percent: int):
     return run
 
 
-def _connecting(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+class _Nodes:
+    """The nodes of a join, and the texts that their sets are read from."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, k: int, percent: int):
+        self.rows, self.nodes, self.k, self.percent = rows, nodes, k, percent
+
+    def check(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that reach the similarity, on whole sets."""
+        spark = pairs.sparkSession
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+        wanted = save(self.nodes.select("nid", "key", "first").join(ids, "nid", "left_semi"))
+        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+        # A fixed-size bitmap of the wanted ids keeps most other texts from being
+        # moved; which of those it lets pass are wanted, the join decides.
+        at = slot(F.col("first")) + 1          # bit positions count from 1
+        filled = wanted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for r in filled:
+            start = (r["part"] - 1) * 4096
+            bits[start:start + 4096] = np.frombuffer(r["bits"], np.uint8)
+        found = (self.rows.select(slot(F.col("doc_id")).alias("slot"), "doc_id", "text")
+                 .mapInArrow(_set_rows(self.k, spark.sparkContext.broadcast(bits)), "doc_id long, key binary, tokens binary"))
+        sets = save(found.join(wanted.hint("merge"), (found["key"] == wanted["key"]) & found["doc_id"].eqNullSafe(wanted["first"]))
+                    .select("nid", "tokens"))
+        one = sets.select(F.col("nid").alias("a"), F.col("tokens").alias("s"))
+        two = sets.select(F.col("nid").alias("b"), F.col("tokens").alias("t"))
+        return save(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verify(self.percent), _LINKS))
+
+
+def _connecting(shared: DataFrame, nodes: _Nodes) -> DataFrame:
     """Step 3: links among nodes that share their first token."""
-    sizes = sets.select("nid", "n")
-    members = save(shared.groupBy("nid").agg(F.min(F.struct("pos", "token"))["token"].alias("bucket")).join(sizes, "nid"))
+    members = save(shared.groupBy("nid").agg(F.min(F.struct("pos", "token"))["token"].alias("bucket"))
+                   .join(nodes.nodes.select("nid", "n"), "nid"))
     links = None
     while True:
         load = members.groupBy("bucket").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         load = save(load.withColumn("blocks", F.ceil(F.col("load") / BLOCK_TOKENS)))
         rows = (members.select("bucket", "nid").join(load.select("bucket", "blocks"), "bucket")
                 .withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
-                .join(sets.select("nid", "n", "tokens"), "nid").select("bucket", "block", "nid", "n", "tokens"))
-        found = save(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-                     .mapInArrow(_connect(percent), _LINKS))
+                .join(nodes.nodes.select("nid", "n", "bits"), "nid")
+                .select("bucket", "block", "nid", F.col("nid").alias("group"), "n", "bits"))
+        pairs = save(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+                     .mapInArrow(_pairs(nodes.percent, 2, True), _LINKS).distinct())
+        found = nodes.check(pairs)
         links = found if links is None else save(links.union(found))
         if (load.agg(F.max("blocks")).first()[0] or 1) == 1:
             return links
@@ -303,24 +326,20 @@ def _connecting(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         members = left
 
 
-def _completing(shared: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _completing(shared: DataFrame, nodes: _Nodes, groups: DataFrame) -> DataFrame:
     """Step 4: links between groups."""
-    rows = shared.select("token", "nid").join(groups, F.col("nid") == F.col("node"), "left").select(
-        "token", "nid", F.coalesce("component", "nid").alias("group"))
-    rows = save(rows)
+    rows = save(shared.select("token", "nid").join(groups, F.col("nid") == F.col("node"), "left").select(
+        "token", "nid", F.coalesce("component", "nid").alias("group")))
     mixed = rows.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count(F.lit(1)).alias("c")) \
         .filter("x < y").select("token", F.ceil(F.col("c") / BLOCK_NODES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")
     rows = (rows.join(mixed, "token").withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-            .join(sets.select("nid", "n", "bits"), "nid")
+            .join(nodes.nodes.select("nid", "n", "bits"), "nid")
             .select("token", "lo", "hi", "nid", "group", "n", "bits"))
-    pairs = save(rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-                 .mapInArrow(_candidates(percent), _LINKS).distinct())
-    one = sets.select(F.col("nid").alias("a"), F.col("tokens").alias("s"))
-    two = sets.select(F.col("nid").alias("b"), F.col("tokens").alias("t"))
-    return save(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verify(percent), _LINKS))
+    return nodes.check(save(rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+                            .mapInArrow(_pairs(nodes.percent, 3, False), _LINKS).distinct()))
 
 
 def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -329,20 +348,19 @@ def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     (smallest doc_id of its group), first (smallest doc_id with the same set)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    levels = spark.sparkContext.broadcast(frequency_levels(rows, k))
-    every = save(rows.mapInArrow(_node_rows(k, percent, levels), "doc_id long, n long, key binary, prefix array<long>"))
+    table = save(rows.mapInArrow(_keys_and_counts(k), _FIRST_PASS))
+    levels = spark.sparkContext.broadcast(frequency_levels(table.filter("block is not null").select("block", "counts")))
+    every = table.filter("block is null").select("doc_id", "n", "key")
     first = save(every.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first")))
-    nodes = save(every.join(first, (every["key"] == first["key"]) & every["doc_id"].eqNullSafe(first["first"]))
-                 .select(every["key"], "first", "n", "prefix").withColumn("nid", F.monotonically_increasing_id()))
+    made = rows.mapInArrow(_node_rows(k, percent, levels), "doc_id long, n long, key binary, prefix array<long>, bits binary")
+    nodes = save(made.join(first.hint("merge"), (made["key"] == first["key"]) & made["doc_id"].eqNullSafe(first["first"]))
+                 .select(made["key"], "first", "n", "prefix", "bits").withColumn("nid", F.monotonically_increasing_id()))
     tokens = nodes.select("nid", F.posexplode("prefix").alias("pos", "token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    shared = save(tokens.join(common, "token").select("token", "nid", "pos"))
-    wanted = nodes.select("nid", "key", "first").join(shared.select("nid").distinct(), "nid", "left_semi")
-    sets = save(rows.join(wanted.hint("merge"), rows["doc_id"].eqNullSafe(wanted["first"])).select("nid", "key", "text")
-                .mapInArrow(_set_rows(k), "nid long, n long, tokens binary, bits binary"))
-    links = _connecting(shared, sets, percent)
-    groups = save(components(links))
-    links = links.union(_completing(shared, sets, groups, percent))
+    shared = save(tokens.join(common.hint("merge"), "token").select("token", "nid", "pos"))
+    own = _Nodes(rows, nodes, k, percent)
+    links = _connecting(shared, own)
+    links = links.union(_completing(shared, own, save(components(links))))
     final = save(components(links))
     named = nodes.select("nid", "key", "first").join(final, F.col("nid") == F.col("node"), "left").select(
         "key", "first", F.coalesce("component", "nid").alias("group"))
