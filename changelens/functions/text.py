@@ -50,7 +50,8 @@ def word_shingles(c, k: int) -> Column:
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    pattern = "(?=((?:[^ ]+ ){%d}[^ ]+))[^ ]+" % (k - 1)
+    # anchored at word starts and possessive: linear, whatever a word's length
+    pattern = "(?<![^ ])(?=((?:[^ ]++ ){%d}[^ ]++))[^ ]++" % (k - 1)
     return F.regexp_extract_all(normalize_ws(c), F.lit(pattern), 1)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ..functions.columns import bitmap_contains, bitmap_of, with_computed_once
 from ..session import materialize
 from ..functions.text import line_count as _line_count
-from ..functions.text import word_shingles
+from ..functions.text import normalize_ws, word_shingles
 
 # Fixed values taken from the reference's duplicate scan.
 MIN_FUNCTION_LINES = 3
@@ -89,14 +89,18 @@ _SIDE_COLS = ["unit_id", "repo", "file", "name", "start_line", "line_count",
 
 
 def candidate_pairs(units: DataFrame, bucket_size: int = BUCKET_SIZE,
-                    min_len_ratio: float | None = None) -> DataFrame:
+                    min_len_ratio: float | None = None, within_repo: bool = False) -> DataFrame:
     """All unit pairs of one group whose buckets differ by at most one.
 
+    ``within_repo`` pairs units of one repo only (a scan of each repo by
+    itself); otherwise repos are compared with each other too, and equal
+    paths and names in two repos are a pair like any other.
+
     Equi-join on (group, band key): the left side is exploded to its own bucket
     and the next one, so Catalyst gets a hash-partitionable key instead of a
     theta condition.  Orientation follows the reference: ``a`` is the unit
-    with the smaller (bucket, scan_ord).  Pairs inside one file with the same
-    name are dropped.  ``min_len_ratio`` adds the lossless length bound
+    with the smaller (bucket, repo, scan_ord, unit_id).  Pairs inside one file
+    of one repo with the same name are dropped.  ``min_len_ratio`` adds the lossless length bound
     ``2*min(la, lb)/(la + lb) >= t`` to the join condition.
     """
     u = with_bucket(units, bucket_size).select(*_SIDE_COLS)
@@ -104,10 +108,13 @@ def candidate_pairs(units: DataFrame, bucket_size: int = BUCKET_SIZE,
                  F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("band"))
     b = u.select(*[F.col(c).alias(f"b_{c}") for c in _SIDE_COLS])
     cond = [a.a_lang_group == b.b_lang_group, a.band == b.b_bucket]
+    if within_repo:
+        cond.append(a.a_repo.eqNullSafe(b.b_repo))
     pairs = a.join(b, cond).where(
         ((F.col("b_bucket") == F.col("a_bucket") + 1)
-         | (F.col("a_scan_ord") < F.col("b_scan_ord")))
-        & ~((F.col("a_file") == F.col("b_file")) & (F.col("a_name") == F.col("b_name"))))
+         | (F.struct("a_repo", "a_scan_ord", "a_unit_id") < F.struct("b_repo", "b_scan_ord", "b_unit_id")))
+        & ~(F.col("a_repo").eqNullSafe(F.col("b_repo")) & (F.col("a_file") == F.col("b_file"))
+            & (F.col("a_name") == F.col("b_name"))))
     if min_len_ratio is not None:
         la, lb = F.col("a_n_chars"), F.col("b_n_chars")
         pairs = pairs.where(2 * F.least(la, lb) >= (la + lb) * F.lit(float(min_len_ratio)) - _EPS)
@@ -115,15 +122,15 @@ def candidate_pairs(units: DataFrame, bucket_size: int = BUCKET_SIZE,
 
 
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
-    """One row per unordered identity pair (file, name, start_line).
+    """One row per unordered identity pair (repo, file, name, start_line).
 
     Units with equal identity collapse like the reference's ``seen_pairs``:
     the pair generated first (smallest scan orders) is kept.  An aggregate
     (``min`` of a struct led by the scan orders) rather than a window, so a
     hot identity is combined map-side.
     """
-    ida = F.struct(F.col("a_file").alias("f"), F.col("a_name").alias("n"), F.col("a_start_line").alias("l"))
-    idb = F.struct(F.col("b_file").alias("f"), F.col("b_name").alias("n"), F.col("b_start_line").alias("l"))
+    ida = F.struct(F.col("a_repo").alias("r"), F.col("a_file").alias("f"), F.col("a_name").alias("n"), F.col("a_start_line").alias("l"))
+    idb = F.struct(F.col("b_repo").alias("r"), F.col("b_file").alias("f"), F.col("b_name").alias("n"), F.col("b_start_line").alias("l"))
     rest = [c for c in pairs.columns]
     keyed = pairs.withColumn("_k1", F.least(ida, idb)).withColumn("_k2", F.greatest(ida, idb))
     best = (keyed.groupBy("_k1", "_k2")
@@ -166,7 +173,7 @@ def _cpu_partitions(df: DataFrame) -> int:
 
 
 def similar_pairs_exact(units: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
-                        bucket_size: int = BUCKET_SIZE) -> DataFrame:
+                        bucket_size: int = BUCKET_SIZE, within_repo: bool = False) -> DataFrame:
     """Reference-exact near-duplicate pairs (difflib ratio >= threshold).
 
     Text is fetched late: the band join and length bound run on ids and sizes,
@@ -175,7 +182,7 @@ def similar_pairs_exact(units: DataFrame, threshold: float = SIMILARITY_THRESHOL
     without Python.  Output: ``a``/``b`` structs (file, name, line), the
     rounded similarity, and the scan orders used for stable ranking.
     """
-    pairs = distinct_pairs(candidate_pairs(units, bucket_size, min_len_ratio=threshold))
+    pairs = distinct_pairs(candidate_pairs(units, bucket_size, threshold, within_repo))
     # Texts are keyed by SHA-256: a pair of identical texts has ratio 1.0 and
     # never leaves the JVM, and each distinct ordered text pair is scored once
     # however many unit pairs share it (a hot group of copies costs no Python).
@@ -207,9 +214,10 @@ def similar_pairs_exact(units: DataFrame, threshold: float = SIMILARITY_THRESHOL
         "similarity", "a_repo", "b_repo", "a_unit_id", "b_unit_id", "a_scan_ord", "b_scan_ord")
 
 
-def rank_pairs(pairs: DataFrame, score: str = "similarity") -> DataFrame:
+def rank_pairs(pairs: DataFrame, score: str = "similarity",
+               ties: tuple[str, ...] = ("a_scan_ord", "b_scan_ord")) -> DataFrame:
     """Order by score descending; ties by the two scan orders (stable)."""
-    return pairs.orderBy(F.col(score).desc(), F.col("a_scan_ord"), F.col("b_scan_ord"))
+    return pairs.orderBy(F.col(score).desc(), *ties)
 
 
 # ---------------------------------------------------------------------------
@@ -220,22 +228,28 @@ def shingle_sets(units: DataFrame, k: int = 5) -> DataFrame:
     """Adds ``sh`` (sorted distinct xxhash64 of each k-word shingle) and ``n``.
 
     Sorting makes equal sets equal arrays, so identical sets can be grouped
-    on the array itself.
+    on the array itself.  A unit of fewer than k words is one shingle; one
+    without words has none.
     """
-    sh = F.sort_array(F.array_distinct(F.transform(word_shingles("code", k),
-                                                   lambda s: F.xxhash64(s))))
+    grams = word_shingles("code", k)
+    words = normalize_ws("code")
+    grams = F.when(F.size(grams) > 0, grams).when(F.length(words) > 0, F.array(words)).otherwise(grams)
+    sh = F.sort_array(F.array_distinct(F.transform(grams, lambda s: F.xxhash64(s))))
     return with_computed_once(units, sh=sh).withColumn("n", F.size("sh"))
 
 
 def _keyed(units: DataFrame, k: int, bucket_size: int) -> DataFrame:
     # No filter on ``n`` here: Catalyst would push it below the projection and
     # run the shingle regex twice.  Empty sets are dropped after the shuffle.
+    # Scan order restarts in every repo: the order of units is by repo first.
+    place = F.struct("repo", "scan_ord", "unit_id").alias("place")
     return (shingle_sets(with_bucket(units, bucket_size), k)
-            .select("unit_id", "scan_ord", "lang_group", "bucket", "sh"))
+            .select("unit_id", "repo", place, "lang_group", "bucket", "sh"))
 
 
-def _representatives(units: DataFrame, k: int, bucket_size: int) -> DataFrame:
-    """One row per identical shingle set inside (group, bucket).
+def _representatives(units: DataFrame, k: int, bucket_size: int, within_repo: bool = False) -> DataFrame:
+    """One row per identical shingle set inside (group, bucket), and inside the
+    repo when pairs are ``within_repo``.
 
     Grouped on the set itself: the map-side partial aggregate collapses copies
     before the shuffle, so a copy group holding a third of all rows sends one
@@ -247,41 +261,43 @@ def _representatives(units: DataFrame, k: int, bucket_size: int) -> DataFrame:
     # sees the same aggregate and Spark reuses its exchange - the shingle
     # regex runs once per row, not once per branch.
     agg = (_keyed(units, k, bucket_size)
-           .groupBy("lang_group", "bucket", "sh")
-           .agg(F.struct(F.min_by("unit_id", "scan_ord").alias("unit_id"),
-                         F.min("scan_ord").alias("scan_ord"),
+           .withColumn("scope", F.when(F.lit(within_repo), F.col("repo")))
+           .groupBy("lang_group", "scope", "bucket", "sh")
+           .agg(F.struct(F.min("place").alias("place"),
                          F.count(F.lit(1)).alias("n_copies"),
                          F.max(F.size("sh")).alias("n")).alias("r")))
     # a filter on an aggregate output is not pushed under the aggregate
-    return agg.filter(F.col("r.n") > 0).select("lang_group", "bucket", "sh", "r.*")
+    return agg.filter(F.col("r.n") > 0).select("lang_group", "scope", "bucket", "sh", F.col("r.place.unit_id").alias("unit_id"),
+                                               "r.*")
 
 
 def copy_groups(units: DataFrame, k: int = 5, bucket_size: int = BUCKET_SIZE,
-                materialize_keys: bool = True) -> DataFrame:
+                materialize_keys: bool = True, within_repo: bool = False) -> DataFrame:
     """Units grouped by identical shingle set inside (group, bucket).
 
     One row per unit: its representative and the group size.  Exact copies
     are reported here instead of as all-pairs, so a group holding a third of
-    the rows costs one aggregate, not n^2 rows.  Units with fewer than k words
-    (no shingle) are left out.  The join back to the units is on a hashed set
+    the rows costs one aggregate, not n^2 rows.  Units without words are left
+    out.  The join back to the units is on a hashed set
     key; AQE's skew join splits a hot group's partition.
     """
     keyed = _keyed(units, k, bucket_size).select(
-        "unit_id", "scan_ord", "lang_group", "bucket",
+        "unit_id", "repo", "place", "lang_group", F.when(F.lit(within_repo), F.col("repo")).alias("scope"), "bucket",
         F.size("sh").alias("n"), F.xxhash64("sh").alias("set_key"))
     if materialize_keys:
         # two branches (aggregate, join back) read the keys: write the small
         # keyed table once instead of running the shingle regex twice
         keyed = materialize(keyed)
-    key = ["lang_group", "bucket", "n", "set_key"]
+    key = ["lang_group", "scope", "bucket", "n", "set_key"]
     groups = (keyed.groupBy(*key)
-              .agg(F.min_by("unit_id", "scan_ord").alias("rep_id"),
+              .agg(F.min("place")["unit_id"].alias("rep_id"),
                    F.count(F.lit(1)).alias("n_copies"),
                    F.max("n").alias("_n"))
               .filter(F.col("_n") > 0)       # aggregate output: not pushed down
               .drop("_n"))
-    return (keyed.select("unit_id", *key).join(groups, key)
-            .select("unit_id", "lang_group", "bucket", "rep_id", "n_copies"))
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"g.{c}")) for c in key]
+    return (keyed.alias("k").join(groups.alias("g"), same)
+            .select("unit_id", "k.repo", "k.lang_group", "k.bucket", "rep_id", "n_copies"))
 
 
 def prefix_length(n_col, threshold: float):
@@ -312,8 +328,9 @@ def _heavy_tokens(reps: DataFrame, min_df: int, max_tokens: int, fraction: float
 def shingle_similar_pairs(units: DataFrame, k: int = 5, threshold: float = SIMILARITY_THRESHOLD,
                           bucket_size: int = BUCKET_SIZE, materialize_sets: bool = True,
                           heavy_min_df: int = 16, heavy_max: int = 10000,
-                          heavy_fraction: float = 0.25) -> DataFrame:
-    """Pairs of representatives with shingle Jaccard >= threshold, same band.
+                          heavy_fraction: float = 0.25, within_repo: bool = False) -> DataFrame:
+    """Pairs of representatives with shingle Jaccard >= threshold, same band;
+    of one repo only with ``within_repo``, else of all repos.
 
     Steps (all native; three shuffles on growing data):
       1. shingle sets per unit inside the row (regex, no explode);
@@ -329,7 +346,7 @@ def shingle_similar_pairs(units: DataFrame, k: int = 5, threshold: float = SIMIL
     integers so both engines agree without rounding.
     """
     t = float(threshold)
-    reps = _representatives(units, k, bucket_size)
+    reps = _representatives(units, k, bucket_size, within_repo)
     if materialize_sets:
         # Three branches read the shingle sets (prefix tokens, both verify
         # sides).  Written once, hash-partitioned by unit id: the two verify
@@ -346,19 +363,20 @@ def shingle_similar_pairs(units: DataFrame, k: int = 5, threshold: float = SIMIL
         is_heavy = lambda t: F.lit(False)
     ordered = F.sort_array(F.transform("sh", lambda t: F.struct(is_heavy(t).alias("h"), t.alias("t"))))
     plen = prefix_length(F.col("n"), t)
-    prefix = reps.select("unit_id", "scan_ord", "lang_group", "bucket", "n",
+    prefix = reps.select("unit_id", "place", "lang_group", "scope", "bucket", "n",
                          F.explode(F.slice(ordered, 1, plen)).alias("_e")).select(
-        "unit_id", "scan_ord", "lang_group", "bucket", "n", F.col("_e.t").alias("tok"))
+        "unit_id", "place", "lang_group", F.coalesce("scope", F.lit("")).alias("scope"), "bucket", "n",
+        F.col("_e.t").alias("tok"))
     # Both sides are the same prefix table joined on (group, shingle), so its
     # exchange is computed once and reused; the band rule is a join filter
     # (posting lists of prefix shingles are short by construction).
-    a = prefix.select(F.col("unit_id").alias("a_id"), F.col("scan_ord").alias("a_ord"),
-                      "lang_group", "tok", F.col("bucket").alias("a_bucket"), F.col("n").alias("a_n"))
-    b = prefix.select(F.col("unit_id").alias("b_id"), F.col("scan_ord").alias("b_ord"),
-                      "lang_group", "tok", F.col("bucket").alias("b_bucket"), F.col("n").alias("b_n"))
+    a = prefix.select(F.col("unit_id").alias("a_id"), F.col("place").alias("a_ord"),
+                      "lang_group", "scope", "tok", F.col("bucket").alias("a_bucket"), F.col("n").alias("a_n"))
+    b = prefix.select(F.col("unit_id").alias("b_id"), F.col("place").alias("b_ord"),
+                      "lang_group", "scope", "tok", F.col("bucket").alias("b_bucket"), F.col("n").alias("b_n"))
     same = (F.col("b_bucket") == F.col("a_bucket")) & (F.col("a_ord") < F.col("b_ord"))
     nxt = F.col("b_bucket") == F.col("a_bucket") + 1
-    cand = (a.join(b, ["lang_group", "tok"])
+    cand = (a.join(b, ["lang_group", "scope", "tok"])
             .where((same | nxt)
                    & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(t) - F.lit(_EPS)))
             .select("lang_group", "a_id", "b_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import with_computed_once
 from ..functions.text import truncate_text
 from .caps import top_n_per_key
 from .languages import GENERIC_FRAMEWORK, GENERIC_LANGUAGE, attach_language
@@ -35,23 +36,20 @@ def explode_diff_files(diffs: DataFrame, key: list[str], col: str = "diff") -> D
 
 
 def primary_language(files: DataFrame, key: list[str], keys: DataFrame | None = None,
-                     order: str = "pos") -> DataFrame:
+                     order: str | list[str] = "pos") -> DataFrame:
     """Most frequent extension per key; ties go to the extension seen first.
 
     ``files``: key columns, ``order`` (position of the header), ``ext``.
     Two aggregates (both combined map-side, so a hot key is no problem): count
-    and first position per (key, ext), then ``max_by`` per key on
-    (count, -first position).  An unknown winner gets the generic language
+    and first position per (key, ext), then ``min_by`` per key on
+    (-count, first position).  ``order`` may be several columns.  An unknown winner gets the generic language
     even when a known extension comes second; ``keys`` (optional) adds the
     keys without any header, also generic.
     """
-    per_ext = (files.groupBy(*key, "ext")
-               .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_pos")))
-    # ordering packed in one long (count high, earlier position wins ties)
-    # so the aggregate buffer is fixed-width and runs as a hash aggregate
-    rank = F.col("n") * F.lit(1 << 32) - F.col("first_pos").cast("long")
+    place = F.struct(*([order] if isinstance(order, str) else order))
+    per_ext = files.groupBy(*key, "ext").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first_pos"))
     best = (per_ext.groupBy(*key)
-            .agg(F.max_by("ext", rank).alias("ext"),
+            .agg(F.min_by("ext", F.struct((-F.col("n")).alias("n"), "first_pos")).alias("ext"),
                  F.max("n").alias("ext_count")))
     if keys is not None:
         best = keys.select(*key).distinct().join(best, key, "left")
@@ -60,8 +58,20 @@ def primary_language(files: DataFrame, key: list[str], keys: DataFrame | None =
                       "language", "framework")
 
 
-def headers_within(frags: DataFrame, key: list[str], order: list[str],
-                   n: int = MAX_DIFF_CHARS) -> DataFrame:
+def with_primary_language(diffs: DataFrame, text=None) -> DataFrame:
+    """Adds ext, ext_count, language and framework of each row's own diff, inside
+    the row: the most frequent extension of its headers, the first one on ties."""
+    text = F.col("diff") if text is None else text
+    found = with_computed_once(diffs, _exts=F.regexp_extract_all(text, F.lit(DIFF_HEADER), 1))
+    exts = F.col("_exts")
+    counted = F.transform(F.array_distinct(exts), lambda e: F.struct(
+        F.size(F.filter(exts, lambda x: x == e)).alias("n"), (-F.array_position(exts, e)).alias("at"), e.alias("ext")))
+    found = with_computed_once(found, _best=F.array_max(counted))
+    out = attach_language(found.withColumn("ext", F.col("_best.ext")), "ext")
+    return out.withColumn("ext_count", F.coalesce("_best.n", F.lit(0)).cast("long")).drop("_exts", "_best")
+
+
+def headers_within(frags: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
     """Fragments of a diff (one header each) that survive truncation at n.
 
     A diff stored as ordered fragments (``frag`` text) is cut at n characters
@@ -82,4 +92,4 @@ def headers_within(frags: DataFrame, key: list[str], order: list[str],
 
 __all__ = ["MAX_DIFF_CHARS", "TRUNCATION_SUFFIX", "DIFF_HEADER", "GENERIC_LANGUAGE",
            "GENERIC_FRAMEWORK", "truncate_diff", "explode_diff_files", "primary_language",
-           "headers_within"]
+           "headers_within", "with_primary_language"]

@@ -43,16 +43,14 @@ def module_degree(edges: DataFrame) -> DataFrame:
 
     ``edges`` is distinct (``import_edges``), so plain counts are distinct
     counts and combine map-side: a module imported by a third of all files
-    costs one partial count per map task.
+    costs one partial count per map task.  Each edge gives both its ends, so
+    one aggregate does.
     """
-    out_d = edges.groupBy("repo", F.col("src_file").alias("module")).agg(
-        F.count(F.lit(1)).alias("out_degree"))
-    in_d = edges.groupBy("repo", F.col("dst_module").alias("module")).agg(
-        F.count(F.lit(1)).alias("in_degree"))
-    return (out_d.join(in_d, ["repo", "module"], "full")
-            .select("repo", "module",
-                    F.coalesce("in_degree", F.lit(0)).alias("in_degree"),
-                    F.coalesce("out_degree", F.lit(0)).alias("out_degree")))
+    ends = F.inline(F.array(
+        F.struct(F.col("src_file").alias("module"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+        F.struct(F.col("dst_module").alias("module"), F.lit(1).alias("i"), F.lit(0).alias("o"))))
+    return edges.select("repo", ends).groupBy("repo", "module").agg(
+        F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
 def top_modules(degree: DataFrame, k: int = TOP_MODULES) -> DataFrame:
@@ -66,8 +64,9 @@ def top_modules(degree: DataFrame, k: int = TOP_MODULES) -> DataFrame:
 
 
 def node_id(c):
-    """Diagram node id: characters other than letters, digits and _ -> _."""
-    return F.regexp_replace(c, "[^A-Za-z0-9_]", "_")
+    """Diagram node id: characters other than letters, digits and _ -> _, and
+    six digits of the name's MD5, so that different names keep different ids."""
+    return F.concat(F.regexp_replace(c, "[^A-Za-z0-9_]", "_"), F.lit("_"), F.substring(F.md5(c), 1, 6))
 
 
 def diagram_text(edges: DataFrame, top: DataFrame) -> DataFrame:
@@ -97,12 +96,17 @@ _JS_IMPORT_PATH = r"""['"]([^'"]+)['"]"""
 
 
 def _normalize_path(p):
-    """Collapse ``./`` and ``dir/../`` segments (a few passes are enough for
-    real import paths; a path still holding ``..`` resolves to nothing)."""
-    p = F.regexp_replace(p, r"(^|/)\./", "$1")
-    for _ in range(6):
-        p = F.regexp_replace(p, r"(^|/)[^/]+/\.\./", "$1")
-    return p
+    """Drop ``.`` segments and resolve ``..`` ones, as many as there are; a path
+    that climbs above the root keeps its ``..`` and resolves to nothing."""
+    def step(done, part):
+        climbs = (part == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+        return (F.when(part == ".", done)
+                .when(climbs, F.slice(done, F.lit(1), F.size(done) - 1))
+                .otherwise(F.concat(done, F.array(part))))
+
+    return F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"),
+                                    lambda done, part: F.when(F.size(done) == 0, F.when(part == ".", done).otherwise(
+                                        F.array(part))).otherwise(step(done, part))), "/")
 
 
 def code_import_edges(structures: DataFrame) -> DataFrame:

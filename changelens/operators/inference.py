@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import with_computed_once
 from ..functions.text import py_strip
-from .diffs import MAX_DIFF_CHARS, TRUNCATION_SUFFIX
+from .diffs import TRUNCATION_SUFFIX
 
 # The keys each answer kind must carry.
 REQUIRED_KEYS = {
@@ -23,65 +23,54 @@ REQUIRED_KEYS = {
     "architecture": ["overview", "components", "mermaid_diagram"],
 }
 
-# Prompt templates (own wording).  Placeholders are replaced literally, so a
-# ``%`` or ``{`` inside code needs no escaping.
-REVIEW_TEMPLATE = """Review the code change below as an experienced engineer.
-
-Change:
-
-<<DIFF>>
-
-Answer with a single JSON object and nothing else (no code fences):
-{
-  "summary": "two or three sentences on what the change does",
-  "risk_level": "low" | "medium" | "high",
-  "key_changes": ["short item", "..."],
-  "files_changed": <integer count of touched files>,
-  "issues": [
-    {"severity": "low" | "medium" | "high",
-     "description": "one concrete bug or risk, one sentence",
-     "confidence": "low" | "medium" | "high"}
-  ]
+# The types of those keys' values (a null value passes).
+KEY_TYPES = {
+    "review": {"summary": "string", "risk_level": "string", "key_changes": "array", "files_changed": "integer",
+               "issues": "array"},
+    "tests": {"language": "string", "test_code": "string", "functions_covered": "array", "notes": "string"},
+    "architecture": {"overview": "string", "components": "array", "mermaid_diagram": "string"},
 }
 
-List only functional bugs, edge cases and risks, not style. With none, use "issues": [].
+# Prompts: the input first, then the answer's fields one by one.  Placeholders
+# are replaced literally, so a ``%`` or ``{`` inside code needs no escaping.
+REVIEW_TEMPLATE = """[DIFF]
+<<DIFF>>
+[END OF DIFF]
+
+Task: review this diff for defects that change behaviour. Style remarks are not wanted.
+Output: one bare JSON object (no markdown). Its fields:
+  issues         array, empty if there is no defect; every element has the strings
+                 severity (low | medium | high), confidence (low | medium | high), description
+  risk_level     low | medium | high, for the diff as a whole
+  files_changed  integer
+  key_changes    array of strings, a phrase each
+  summary        string, at most three sentences
 """
 
-TESTS_TEMPLATE = """Write unit tests for the code change below.
-
-Change:
-
+TESTS_TEMPLATE = """[DIFF]
 <<DIFF>>
-
-The code is in <<LANGUAGE>>; use <<FRAMEWORK>>. Cover the main behaviour of each added or
-changed function and at least one edge case per function.
-
-Answer with a single JSON object and nothing else (no code fences):
-{
-  "language": "<<LANGUAGE>>",
-  "test_code": "complete test code as one string with real newlines",
-  "functions_covered": ["name", "..."],
-  "notes": "one or two sentences on assumptions to double-check"
-}
-
-If the change has nothing testable (configuration, docs, styles), return "test_code": "" and say why in
-"notes". Do not invent functions that are not in the change.
+[END OF DIFF]
+
+Task: unit tests in <<LANGUAGE>> with <<FRAMEWORK>>.
+Scope: functions that the diff adds or edits, each with a normal and a boundary case; nothing else.
+Output: one bare JSON object (no markdown). Its fields:
+  test_code          string, the whole test file; an empty string if no function is touched
+  functions_covered  array of function names
+  language           "<<LANGUAGE>>"
+  notes              string: what the tests take for granted, or why there are none
 """
 
-ARCHITECTURE_TEMPLATE = """Describe the architecture of a repository from the extracted facts below:
-the imports of each file and the functions and classes it defines. Use only these facts.
-
+ARCHITECTURE_TEMPLATE = """[FACTS]
 <<STRUCTURE>>
-
-Answer with a single JSON object and nothing else (no code fences):
-{
-  "overview": "three to five sentences on how the code is organised",
-  "components": [{"name": "file or module", "role": "one sentence"}],
-  "mermaid_diagram": "a graph TD flowchart of the main files and their imports"
-}
-
-Base the diagram only on the imports listed, keep it to the 6-12 most important files, and use
-node ids without spaces or special characters with labels in square brackets.
+[END OF FACTS]
+
+The facts list every file's imports and definitions. Task: an overview of how the files work together,
+from these facts alone.
+Output: one bare JSON object (no markdown). Its fields:
+  mermaid_diagram  string, a "graph TD" chart: 6-12 nodes, the files with most import links; an edge is an
+                   import from the facts; ids are letters and digits, file names go in [brackets]
+  components       array of objects with the strings name and role
+  overview         string, one paragraph
 """
 
 
@@ -102,17 +91,19 @@ def _fill(template: str, values: dict[str, Column]) -> Column:
 
 def build_requests(df: DataFrame, kind: str, key: str = "key", diff: str = "diff",
                    language: str = "language", framework: str = "framework",
-                   structure: str = "structure_text") -> DataFrame:
+                   structure: str = "structure_text", max_chars: int | None = None) -> DataFrame:
     """One prompt per row: (key, kind, prompt, truncated).
 
-    review / tests: the diff is cut at 15000 characters first (flag kept);
-    tests also needs language and framework (``primary_language``);
-    architecture takes the repo's structure text.
+    review / tests: the whole diff goes in, unless ``max_chars`` cuts it
+    (``MAX_DIFF_CHARS`` is the usual cut; the flag says whether it did); tests
+    also needs language and framework (``primary_language``); architecture
+    takes the repo's structure text.
     """
     if kind in ("review", "tests"):
         d = F.col(diff)
-        truncated = F.length(d) > MAX_DIFF_CHARS
-        cut = F.when(truncated, F.concat(F.substring(d, 1, MAX_DIFF_CHARS), F.lit(TRUNCATION_SUFFIX))).otherwise(d)
+        truncated = F.length(d) > max_chars if max_chars else F.lit(False)
+        cut = F.when(truncated, F.concat(F.substring(d, 1, max_chars), F.lit(TRUNCATION_SUFFIX))).otherwise(d) \
+            if max_chars else d
         if kind == "review":
             prompt = _fill(REVIEW_TEMPLATE, {"DIFF": cut})
         else:
@@ -185,7 +176,7 @@ def batch_infer(requests: DataFrame, fn: Callable[[str], str], parallelism: int
                 except Exception as e:  # noqa: BLE001 - every failure becomes a row
                     raws.append(None)
                     cats.append(_categorize(e))
-                    msgs.append(str(e)[:500])
+                    msgs.append(str(e))
             yield pd.DataFrame({"key": pdf["key"], "kind": pdf["kind"], "raw": raws,
                                 "error_category": cats, "error_message": msgs})
 
@@ -212,7 +203,8 @@ def strip_fences(raw) -> Column:
     return F.when(s.startswith("```"), py_strip(removed)).otherwise(s)
 
 
-_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+# possessive: Java then loops instead of recursing once per character
+_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _JSON_SCALAR = r'^(?:""|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity)$'
 
 
@@ -243,12 +235,17 @@ def json_whole_text(text: Column) -> Column:
             .otherwise(F.regexp_like(ns, F.lit(_JSON_SCALAR))))
 
 
-def validate_responses(answers: DataFrame, required: list[str], raw: str = "raw") -> DataFrame:
+_VARIANT_TYPES = {"string": ("STRING",), "integer": ("BIGINT", "INT", "SMALLINT", "TINYINT"), "array": ("ARRAY",)}
+
+
+def validate_responses(answers: DataFrame, required: list[str], raw: str = "raw",
+                       types: dict[str, str] | None = None) -> DataFrame:
     """Adds ``text`` (fences stripped), ``reject_reason`` and ``missing_keys``.
 
-    reasons: "no answer" (null text), "not json" (also trailing data after
+    Reasons: "no answer" (null text), "not json" (also trailing data after
     the value, as Python's parser), "not object" (a JSON array
-    or scalar - the reference has no branch for it), "missing keys: a, b".
+    or scalar - the reference has no branch for it), "missing keys: a, b",
+    and with ``types`` (see ``KEY_TYPES``) "wrong types: a, b".
     Parsing is ``try_parse_json`` (Variant); keys by ``json_object_keys``;
     the missing list is ``array_except(required, keys)``, sorted.
     """
@@ -264,11 +261,22 @@ def validate_responses(answers: DataFrame, required: list[str], raw: str = "raw"
               .when(v.isNull() | ~F.col("_whole"), F.lit("not json"))
               .when(~kind.startswith("OBJECT"), F.lit("not object"))
               .when(F.size(missing) > 0, F.concat(F.lit("missing keys: "), F.array_join(missing, ", "))))
+    if types:
+        wrong = F.array_compact(F.array(*[F.when(_wrong_type(v, k, t), F.lit(k)) for k, t in sorted(types.items())]))
+        reason = reason.when(F.size(wrong) > 0, F.concat(F.lit("wrong types: "), F.array_join(wrong, ", ")))
     obj = v.isNotNull() & F.col("_whole") & kind.startswith("OBJECT")
     return (base.withColumns({"missing_keys": F.when(obj, missing), "reject_reason": reason})
             .drop("_v", "_whole", "_keys"))
 
 
+def _wrong_type(v: Column, key: str, wanted: str) -> Column:
+    found = F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
+    fits = found == "VOID"
+    for name in _VARIANT_TYPES[wanted]:
+        fits = fits | (found.startswith(name) if wanted == "array" else found == name)
+    return F.coalesce(~fits, F.lit(False))
+
+
 REVIEW_SCHEMA = ("summary string, risk_level string, key_changes array<string>, files_changed int, "
                  "issues array<struct<severity:string,description:string,confidence:string>>")
 TESTS_SCHEMA = "language string, test_code string, functions_covered array<string>, notes string"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Category names and the HTTP status the service answers with.
 CATEGORIES = ["timeout", "connection", "not_found", "rate_limited", "forbidden",
               "unauthorized", "http_error", "empty", "ok"]
-DEFAULT_ERROR_STATUS = {"fetch": 400, "architecture": 400, "review": 502, "tests": 502}
+DEFAULT_ERROR_STATUS = {"fetch": 400, "duplicates": 400, "architecture": 400, "review": 502, "tests": 502}
 
 
 def fetch_category(status="http_status", remaining="rate_remaining", error="error",

@@ -24,6 +24,8 @@ def risk_mark(risk: Column) -> Column:
 
 
 def issue_line(sev: Column, desc: Column, conf: Column) -> Column:
+    """One issue's line; a null part reads ``None``, so no issue is lost."""
+    sev, desc, conf = (F.coalesce(x, F.lit("None")) for x in (sev, desc, conf))
     return F.concat(F.lit("- **["), F.upper(sev), F.lit("]** "), desc,
                     F.lit(" _(confidence: "), conf, F.lit(")_"))
 
@@ -49,7 +51,7 @@ def _head_lines(risk: Column, files_changed: Column, summary: Column, key_change
                    F.concat(F.lit("**Files changed:** "), F.coalesce(files_changed.cast("string"), F.lit("None"))),
                    F.lit(""), F.coalesce(summary, F.lit("None")), F.lit(""), F.lit("### Key changes"))
     bullets = F.transform(F.coalesce(key_changes, F.array().cast("array<string>")),
-                          lambda c: F.concat(F.lit("- "), c))
+                          lambda c: F.concat(F.lit("- "), F.coalesce(c, F.lit("None"))))
     return F.concat(head, bullets, F.array(F.lit(""), F.lit("### Potential issues")))
 
 

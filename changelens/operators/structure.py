@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from .languages import path_extension, scan_group
 
 # Python: ``import a`` / ``from a import (b,\n c)`` at any depth.
-PY_IMPORT = (r"(?m)^[ \t]*(?:import[ \t]+[^\n]*"
-             r"|from[ \t]+[^\s]+[ \t]+import[ \t]*(?:\([^)]*\)[^\n]*|[^\n]*))")
+# Statements may follow a semicolon; comments after them are left out.
+PY_IMPORT = (r"(?m)(?:^|;)[ \t]*(import[ \t]+[^\n;#]*"
+             r"|from[ \t]+[^\s]+[ \t]+import[ \t]*(?:\([^)]*\)|[^\n;#(]*))")
 # JS/TS: ``import x from 'm';``, ``import {a,\n b} from "m"``, ``import 'm'``.
 JS_IMPORT = r"(?m)^[ \t]*import\b[^;'\"]*?['\"][^'\"\n]*['\"];?"
 # Defined names: Python functions and classes at every depth (methods and
@@ -33,7 +34,7 @@ def _clean_import(x: Column) -> Column:
 
 def extract_imports(content: Column, group: Column) -> Column:
     """Import statements of one file, in file order, one line each."""
-    py = F.regexp_extract_all(content, F.lit(PY_IMPORT), 0)
+    py = F.regexp_extract_all(content, F.lit(PY_IMPORT), 1)
     js = F.regexp_extract_all(content, F.lit(JS_IMPORT), 0)
     arr = F.when(group == "python", py).when(group == "js_ts", js).otherwise(F.array().cast("array<string>"))
     return F.transform(arr, _clean_import)
@@ -78,18 +79,23 @@ def structure_block(file: Column, imports: Column, symbols: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("FILE: "), file), imp, sym, F.lit(""))
 
 
-def structure_text(structures: DataFrame, order: str = "ord") -> DataFrame:
-    """One text per repo: the file blocks in listing order, joined by newline.
+# Listing positions that one text covers.
+FILES_PER_TEXT = 100
 
-    The blocks are collected per repo, so the caller bounds the number of
-    files per repo first (the architecture scan keeps 20, ``cap_per_repo``);
-    ``structure_blocks`` gives the unbounded per-file form.
+
+def structure_text(structures: DataFrame, order: str = "ord", files_per_text: int = FILES_PER_TEXT) -> DataFrame:
+    """Texts of a repo's file blocks in listing order, joined by newline.
+
+    A repo of any size is covered: part n holds the files at the listing
+    positions from n * ``files_per_text`` on, so a row never collects more
+    than that many blocks.  ``structure_blocks`` gives the per-file form.
     """
     blocks = structure_blocks(structures, order)
-    return (blocks.groupBy("repo")
+    part = F.floor(F.col(order) / files_per_text).cast("long").alias("part")
+    return (blocks.groupBy("repo", part)
             .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("block").alias("b"))))
                  .alias("_bs"), F.count(F.lit(1)).alias("n_files"))
-            .select("repo", "n_files",
+            .select("repo", "part", "n_files",
                     F.array_join(F.transform("_bs", lambda s: s["b"]), "\n").alias("structure_text")))
 
 

@@ -37,7 +37,7 @@ def parse_targets(df: DataFrame, url_col: str = "url", kind: str = "pr",
         repo = F.regexp_extract(s, pat, 2)
         num = F.regexp_extract(s, pat, 3)
         ok = F.regexp_like(s, F.lit(pat))
-        number = F.when(ok, num.cast("long"))
+        number = F.when(ok, num.try_cast("long"))       # too long a number: null
         reason = "not a pull request URL"
     elif kind == "repo":
         pat = rf"^https://{host}/([^/]+)/([^/]+)"

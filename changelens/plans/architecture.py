@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import caps, graph, structure
+from ..operators import graph, structure
 from .common import spread, table
 
 HOST = r"^https?://([^/?#]+)"
@@ -72,15 +72,9 @@ def diagram_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.diagram_text(e, top)
 
 
-def architecture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The architecture scan's listing: first 25 per repo, then first 20."""
-    s = page_structures(spark, sf_dir)
-    return caps.cap_per_repo(caps.cap_per_repo(s, caps.MAX_FILES).drop("rank_in_repo"),
-                             caps.MAX_FILES_FOR_ARCHITECTURE).drop("rank_in_repo")
-
-
 def structure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.structure_text(architecture_files(spark, sf_dir))
+    """All pages of every host, in texts of bounded size."""
+    return structure.structure_text(page_structures(spark, sf_dir))
 
 
 # --------------------------------------------------------------------------
@@ -146,8 +140,9 @@ SELECT repo, module, in_degree, out_degree, CAST(rank AS INTEGER) AS rank FROM t
 SQL_DIAGRAM = "WITH " + SQL_EDGES + r""",
 sel AS (
   SELECT e.repo, e.src_file, e.dst_module,
-         '  ' || regexp_replace(e.src_file, '[^A-Za-z0-9_]', '_', 'g') || '[' || e.src_file || '] --> ' ||
-         regexp_replace(e.dst_module, '[^A-Za-z0-9_]', '_', 'g') || '[' || e.dst_module || ']' AS line
+         '  ' || regexp_replace(e.src_file, '[^A-Za-z0-9_]', '_', 'g') || '_' || substr(md5(e.src_file), 1, 6) ||
+         '[' || e.src_file || '] --> ' || regexp_replace(e.dst_module, '[^A-Za-z0-9_]', '_', 'g') || '_' ||
+         substr(md5(e.dst_module), 1, 6) || '[' || e.dst_module || ']' AS line
   FROM e
   WHERE EXISTS (SELECT 1 FROM top t WHERE t.repo = e.repo AND t.module = e.src_file)
     AND EXISTS (SELECT 1 FROM top t WHERE t.repo = e.repo AND t.module = e.dst_module)
@@ -158,20 +153,18 @@ FROM sel GROUP BY repo
 """
 
 SQL_STRUCTURE_TEXT = "WITH " + SQL_STRUCT + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ord) AS rk FROM s),
-c AS (SELECT * FROM r WHERE rk <= 20),
 b AS (
-  SELECT repo, ord,
+  SELECT repo, ord, CAST(ord // 100 AS BIGINT) AS part,
          concat_ws(chr(10), 'FILE: ' || file,
                    CASE WHEN len(imports) > 0 THEN '  imports:' || chr(10) ||
                         array_to_string(list_transform(imports, lambda x: '    ' || x), chr(10)) END,
                    CASE WHEN len(symbols) > 0 THEN '  defines: ' || array_to_string(symbols, ', ') END,
                    '') AS block
-  FROM c
+  FROM s
 )
-SELECT repo, CAST(count(*) AS BIGINT) AS n_files,
+SELECT repo, part, CAST(count(*) AS BIGINT) AS n_files,
        string_agg(block, chr(10) ORDER BY ord) AS structure_text
-FROM b GROUP BY repo
+FROM b GROUP BY repo, part
 """
 
 QUERIES = {

@@ -11,22 +11,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-_READERS: dict = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.  Column pruning and filters reach the Parquet scan.
-
-    The reader (file listing and footer schema, no data) is kept per session
-    and path, so queries on the same table do not list and read footers again.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    df = _READERS.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _READERS[key] = df
-    return df
+    """One driver table.  Column pruning and filters reach the Parquet scan."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -35,7 +22,8 @@ def spread(df: DataFrame) -> DataFrame:
     Heavy per-row text work (regex shingling, hashing) runs in the scan
     stage.  A large input already arrives in thousands of splits and is left
     alone; a small single-row-group file would otherwise run on one thread.
-    Planning only, no job is run for the check.
+    For plain scans only: there the check is planning, while a plan with an
+    exchange would run a job for it.
     """
     sc = df.sparkSession.sparkContext
     target = sc.defaultParallelism

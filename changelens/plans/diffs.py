@@ -48,20 +48,21 @@ def blank_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.sum(F.when(is_blank("text"), 1).otherwise(0)).cast("long").alias("n_blank")))
 
 
-def _kept_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = D.headers_within(event_fragments(spark, sf_dir), ["user_id"], ["ts", "event_id"])
-    return D.explode_diff_files(kept.withColumnRenamed("frag", "diff"), ["user_id", "frag_no"])
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headers of all fragments of every change."""
+    frags = event_fragments(spark, sf_dir).withColumnRenamed("frag", "diff")
+    return D.explode_diff_files(frags, ["user_id", "ts", "event_id"])
 
 
 def diff_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _kept_headers(spark, sf_dir)
+    files = _headers(spark, sf_dir)
     return files.groupBy("ext").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def diff_primary_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _kept_headers(spark, sf_dir)
+    files = _headers(spark, sf_dir)
     keys = table(spark, sf_dir, "events").select("user_id")
-    return D.primary_language(files, ["user_id"], keys=keys, order="frag_no")
+    return D.primary_language(files, ["user_id"], keys=keys, order=["ts", "event_id"])
 
 
 # --------------------------------------------------------------------------
@@ -104,15 +105,11 @@ f AS (
   WHERE ext IS NOT NULL
 ),
 o AS (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frag_no,
-         coalesce(sum(length(frag)) OVER (PARTITION BY user_id ORDER BY ts, event_id
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_off
-  FROM f
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frag_no FROM f
 ),
 k AS (
   SELECT user_id, frag_no, regexp_extract(frag, '^diff --git a/.+?(\\.\\w+) b/', 1) AS ext
   FROM o
-  WHERE instr(frag, ' b/') > 0 AND start_off + instr(frag, ' b/') + 2 <= {D.MAX_DIFF_CHARS}
 ),
 h AS (SELECT * FROM k WHERE ext <> '')"""
 

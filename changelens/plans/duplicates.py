@@ -14,22 +14,21 @@ B = dedup.BUCKET_SIZE
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = dedup.min_size_filter(documents_as_units(table(spark, sf_dir, "documents")),
-                                  dedup.MIN_FUNCTION_LINES)
-    return spread(units)
+    return spread(table(spark, sf_dir, "documents")).transform(documents_as_units)
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: documents of one language and neighbouring size buckets whose
     5-word shingle sets have Jaccard >= 0.75 (exact copies collapsed)."""
     pairs = dedup.shingle_similar_pairs(_units(spark, sf_dir), k=K, threshold=T, bucket_size=B)
-    return pairs.withColumnRenamed("lang_group", "lang")
+    pairs = pairs.withColumn("similarity", F.col("inter") / F.col("union_size"))
+    return dedup.rank_pairs(pairs, ties=("a_id", "b_id")).withColumnRenamed("lang_group", "lang").drop("similarity")
 
 
 def copy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each unit with its identical-set representative and group size."""
     return dedup.copy_groups(_units(spark, sf_dir), k=K, bucket_size=B).withColumnRenamed(
-        "lang_group", "lang")
+        "lang_group", "lang").drop("repo")
 
 
 def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +45,27 @@ def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.select(F.col("source").alias("repo"), F.col("doc_id").alias("ord"))
     units = _units(spark, sf_dir)
     pairs = dedup.shingle_similar_pairs(units, k=K, threshold=T, bucket_size=B)
-    return report.duplicate_report(files, units, pairs)
+    return report.duplicate_report(files, units, pairs, copies=dedup.copy_groups(units, k=K, bucket_size=B))
+
+
+def _repo_units(units: DataFrame) -> DataFrame:
+    """The documents as files of their source, with file names and listing
+    orders that repeat from source to source."""
+    return units.withColumn("file", (F.col("unit_id") % 50).cast("string")).withColumn("scan_ord", F.col("unit_id") % 50)
+
+
+def repo_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate pairs per source and in all, each source scanned by itself
+    and all together, by arithmetic on copies."""
+    units = _repo_units(_units(spark, sf_dir))
+    out = None
+    for name, within in (("within", True), ("across", False)):
+        pairs = dedup.shingle_similar_pairs(units, k=K, threshold=T, bucket_size=B, within_repo=within)
+        copies = dedup.copy_groups(units, k=K, bucket_size=B, within_repo=within)
+        rep = report.duplicate_report(units, units, pairs, copies=copies).select(
+            F.lit(name).alias("mode"), "repo", "duplicate_pairs")
+        out = rep if out is None else out.unionByName(rep)
+    return out
 
 
 # --------------------------------------------------------------------------
@@ -60,17 +79,17 @@ u AS (
   SELECT doc_id, lang, source, CAST({_LC} AS INTEGER) AS line_count,
          string_split(trim(regexp_replace(text, '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')), ' ') AS toks
   FROM documents
-  WHERE {_LC} >= {dedup.MIN_FUNCTION_LINES}
 ),
 s AS (
   SELECT doc_id, lang, source, line_count, line_count // {B} AS bucket,
-         list_sort(list_distinct(list_transform(range(1, len(toks) - {K - 2}),
-                   lambda i: array_to_string(toks[i:i + {K - 1}], ' ')))) AS sh
+         CASE WHEN len(toks) < {K} THEN list_filter([array_to_string(toks, ' ')], lambda x: x <> '')
+              ELSE list_sort(list_distinct(list_transform(range(1, len(toks) - {K - 2}),
+                   lambda i: array_to_string(toks[i:i + {K - 1}], ' ')))) END AS sh
   FROM u
 ),
 s2 AS (SELECT *, len(sh) AS n FROM s WHERE len(sh) > 0),
 g AS (
-  SELECT lang, bucket, sh, min(doc_id) AS rep, count(*) AS n_copies
+  SELECT lang, bucket, sh, first(doc_id ORDER BY source, doc_id) AS rep, min(source) AS rep_src, count(*) AS n_copies
   FROM s2 GROUP BY lang, bucket, sh
 )"""
 
@@ -83,7 +102,7 @@ p AS (
          CAST(len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh)) AS BIGINT) AS union_size
   FROM g a JOIN g b
     ON a.lang = b.lang
-   AND ((b.bucket = a.bucket AND b.rep > a.rep) OR b.bucket = a.bucket + 1)
+   AND ((b.bucket = a.bucket AND row(b.rep_src, b.rep) > row(a.rep_src, a.rep)) OR b.bucket = a.bucket + 1)
 )
 SELECT lang, a_id, b_id, a_copies, b_copies, inter, union_size
 FROM p WHERE inter >= union_size * {T}
@@ -99,7 +118,7 @@ FROM s2 JOIN g ON s2.lang = g.lang AND s2.bucket = g.bucket AND s2.sh = g.sh
 SQL_SIZE_HISTOGRAM = f"""
 WITH h AS (
   SELECT lang, CAST({_LC} // {B} AS INTEGER) AS bucket, count(*) AS n_units
-  FROM documents WHERE {_LC} >= {dedup.MIN_FUNCTION_LINES}
+  FROM documents
   GROUP BY 1, 2
 )
 SELECT h.lang, h.bucket, CAST(h.n_units AS BIGINT) AS n_units,
@@ -108,39 +127,45 @@ SELECT h.lang, h.bucket, CAST(h.n_units AS BIGINT) AS n_units,
 FROM h LEFT JOIN h nx ON nx.lang = h.lang AND nx.bucket = h.bucket + 1
 """
 
-SQL_DUPLICATE_REPORT = f"""
-WITH {SQL_UNITS},
-p AS (
-  SELECT a.rep AS a_id, b.rep AS b_id,
-         len(list_intersect(a.sh, b.sh)) AS inter,
-         len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh)) AS union_size
-  FROM g a JOIN g b
+# All pairs of documents, copies and all: nothing is collapsed.  Only pairs that
+# share a shingle can be similar.
+SQL_PAIRS = f"""{SQL_UNITS},
+sized AS (SELECT doc_id, lang, source, bucket, sh, len(sh) AS n FROM s2),
+pp AS (
+  SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.source AS a_repo, b.source AS b_repo
+  FROM sized a JOIN sized b
     ON a.lang = b.lang
-   AND ((b.bucket = a.bucket AND b.rep > a.rep) OR b.bucket = a.bucket + 1)
-),
-pp AS (SELECT a_id, b_id FROM p WHERE inter >= union_size * {T}),
-src AS (SELECT doc_id, source FROM documents),
-involved AS (
-  SELECT DISTINCT s.source AS repo, pp.a_id, pp.b_id
-  FROM pp JOIN src s ON s.doc_id = pp.a_id
-  UNION
-  SELECT DISTINCT s.source AS repo, pp.a_id, pp.b_id
-  FROM pp JOIN src s ON s.doc_id = pp.b_id
-),
+   AND ((b.bucket = a.bucket AND b.doc_id > a.doc_id) OR b.bucket = a.bucket + 1)
+   AND least(a.n, b.n) >= {T} * greatest(a.n, b.n)
+  WHERE len(list_intersect(a.sh, b.sh)) >= {T} * (a.n + b.n - len(list_intersect(a.sh, b.sh)))
+)"""
+
+SQL_DUPLICATE_REPORT = f"""
+WITH {SQL_PAIRS},
 f AS (SELECT source AS repo, count(*) AS files_scanned FROM documents GROUP BY 1),
 fu AS (SELECT source AS repo, count(*) AS functions_analyzed FROM u GROUP BY 1),
-fp AS (SELECT repo, count(*) AS duplicate_pairs FROM involved GROUP BY 1)
+fp AS (SELECT f.repo, count(*) AS duplicate_pairs FROM f JOIN pp ON f.repo = a_repo OR f.repo = b_repo GROUP BY 1)
 SELECT f.repo, CAST(f.files_scanned AS BIGINT) AS files_scanned,
        CAST(coalesce(fu.functions_analyzed, 0) AS BIGINT) AS functions_analyzed,
        CAST(coalesce(fp.duplicate_pairs, 0) AS BIGINT) AS duplicate_pairs
 FROM f LEFT JOIN fu ON fu.repo = f.repo LEFT JOIN fp ON fp.repo = f.repo
 """
 
+SQL_REPO_DUPLICATES = f"""
+WITH {SQL_PAIRS},
+m AS (SELECT source AS repo, unnest(['within', 'across']) AS mode FROM documents GROUP BY 1),
+c AS (SELECT m.mode, m.repo, count(*) AS n FROM m JOIN pp
+      ON (m.repo = a_repo OR m.repo = b_repo) AND (m.mode = 'across' OR a_repo = b_repo) GROUP BY 1, 2)
+SELECT m.mode, m.repo, CAST(coalesce(c.n, 0) AS BIGINT) AS duplicate_pairs
+FROM m LEFT JOIN c ON c.mode = m.mode AND c.repo = m.repo
+"""
+
 QUERIES = {
     "near_duplicates": near_duplicates,
     "copy_groups": copy_groups,
     "size_histogram": size_histogram,
     "duplicate_report": duplicate_report,
+    "repo_duplicates": repo_duplicates,
 }
 
 ORACLE = {
@@ -148,4 +173,5 @@ ORACLE = {
     "copy_groups": SQL_COPY_GROUPS,
     "size_histogram": SQL_SIZE_HISTOGRAM,
     "duplicate_report": SQL_DUPLICATE_REPORT,
+    "repo_duplicates": SQL_REPO_DUPLICATES,
 }

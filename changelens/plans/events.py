@@ -20,7 +20,9 @@ from ..operators.languages import attach_language, known_suffix
 from ..sources.files import decode_contents
 from ..streaming import webhooks as W
 from .common import spread, table
-from .reviews import stub_model
+from ..operators import inference as I
+from ..operators import render as R
+from .reviews import _lit, _tmpl, sql_stub_comment, stub_model
 
 # Fixed test bindings.
 TEST_SECRET = "changelens-test-secret"
@@ -67,7 +69,7 @@ def diffs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's per-batch job on the whole delivery log (its batch twin)."""
     ev = review_events(spark, sf_dir)
-    return W.review_batch(spread(ev), diffs_table(spark, sf_dir), stub_model)
+    return W.review_batch(ev, diffs_table(spark, sf_dir), stub_model)
 
 
 def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +145,18 @@ WHERE valid AND event_type = 'pull_request'
   AND json_extract_string(body, '$.action') IN ('opened', 'reopened', 'synchronize')
 """
 
+SQL_REVIEW_BATCH = f"""
+WITH {SQL_DELIVERIES},
+e AS (SELECT CAST(json_extract(body, '$.pull_request.number') AS INTEGER) AS n FROM v
+      WHERE valid AND event_type = 'pull_request'
+        AND json_extract_string(body, '$.action') IN ('opened', 'reopened', 'synchronize')),
+r AS (SELECT '{OWNER}/{REPO}/' || e.n AS key, d.text,
+             {_tmpl(I.REVIEW_TEMPLATE, {"DIFF": "d.text"})} AS prompt
+      FROM e LEFT JOIN documents d ON d.doc_id = e.n)
+SELECT key, CASE WHEN text IS NULL THEN {_lit(R.ERROR_PREFIX + "the change has no diff to analyse")}
+            ELSE {sql_stub_comment("prompt")} END AS comment, text IS NULL AS is_error FROM r
+"""
+
 SQL_DIFF_TOTALS = r"""
 SELECT source AS owner, CAST(count(*) AS BIGINT) AS n_diffs, CAST(sum(length(text)) AS BIGINT) AS total_chars,
        CAST(sum(CASE WHEN length(regexp_replace(text, '\s', '', 'g')) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_blank
@@ -187,6 +201,7 @@ QUERIES = {
 ORACLE = {
     "signed_deliveries": SQL_SIGNED,
     "review_events": SQL_REVIEW_EVENTS,
+    "review_batch": SQL_REVIEW_BATCH,
     "diff_totals": SQL_DIFF_TOTALS,
     "decoded_payloads": SQL_DECODED,
     "page_files": _sql_page_files(),

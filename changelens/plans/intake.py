@@ -64,9 +64,12 @@ def capped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyzed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = caps.cap_per_repo(caps.cap_per_repo(_listing(spark, sf_dir), caps.MAX_FILES)
-                               .drop("rank_in_repo"), caps.MAX_FILES_FOR_ARCHITECTURE)
-    content = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("file"))
+    """Every listed file of every repo; those with a label are the analysed ones."""
+    listed = _listing(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    content = (table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"))
+               .join(labels, "doc_id", "left_semi")
+               .select("repo", F.col("doc_id").cast("string").alias("file")))
     return _analyzed_counts(listed, content)
 
 
@@ -123,11 +126,8 @@ SELECT repo, ord, CAST(rank_in_repo AS INTEGER) AS rank_in_repo,
 FROM r WHERE rank_in_repo <= {caps.MAX_FILES}
 """
 
-SQL_ANALYZED = f"""
-WITH r AS (SELECT source AS repo, CAST(doc_id AS VARCHAR) AS file,
-                  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk
-           FROM documents),
-l AS (SELECT * FROM r WHERE rk <= {caps.MAX_FILES_FOR_ARCHITECTURE}),
+SQL_ANALYZED = """
+WITH l AS (SELECT source AS repo, CAST(doc_id AS VARCHAR) AS file FROM documents),
 c AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS file FROM labels)
 SELECT l.repo, CAST(count(DISTINCT l.file) AS BIGINT) AS files_scanned,
        CAST(count(DISTINCT c.file) AS BIGINT) AS files_analyzed

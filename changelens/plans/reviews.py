@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diffs as D
 from ..operators import inference as I
+from ..operators.languages import TEST_LANGUAGES
 from ..operators import render as R
 from ..functions.text import is_blank
 from .architecture import structure_text
@@ -24,6 +25,7 @@ from .common import spread, table
 
 # Fixed test bindings.
 PRIORITY_RISK = {"1-URGENT": "high", "2-HIGH": "medium", "3-MEDIUM": "low"}
+HEADER_EXTS = [".py", ".js", ".ts", ".md"]
 FLAG_SEVERITY = {"R": "high", "A": "medium", "N": "low"}
 STATUS_CONFIDENCE = {"O": "high", "F": "low"}
 # ASCII word boundary written out: Java's \b treats accented letters as word
@@ -49,17 +51,20 @@ def review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def test_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tests prompts: primary language read from the (truncated) diff headers."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("diff"))
-    cut = D.truncate_diff(docs, "diff")
-    files = D.explode_diff_files(cut, ["key"])
-    lang = D.primary_language(files, ["key"], keys=docs)
-    req = I.build_requests(docs.join(lang, "key", "left"), "tests")
-    return _summ(req)
+    """Tests prompts in the primary language of each document's diff: one to four
+    file headers (ties and unknown extensions among them), then the text."""
+    path = lambda i: F.concat(F.lit("f"), i.cast("string"), F.get(
+        F.array(*[F.lit(e) for e in HEADER_EXTS]), ((F.col("doc_id") + i * i) % len(HEADER_EXTS)).cast("int")))
+    headers = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int")), lambda i: F.concat(
+        F.lit("diff --git a/"), path(i), F.lit(" b/"), path(i)))
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("key"),
+        F.concat(F.array_join(headers, "\n"), F.lit("\n"), F.col("text")).alias("diff"))
+    return _summ(I.build_requests(D.with_primary_language(docs), "tests"))
 
 
 def architecture_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = structure_text(spark, sf_dir).withColumnRenamed("repo", "key")
+    st = structure_text(spark, sf_dir).withColumn("key", F.concat_ws("#", "repo", F.col("part").cast("string")))
     return _summ(I.build_requests(st, "architecture", key="key"))
 
 
@@ -82,6 +87,25 @@ def response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.get_json_object("text", "$.k").cast("int")).alias("k"))
 
 
+def answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests answers that carry whole documents as test code (quotes, line ends
+    and all escaped), some with a key missing, a value of the wrong type or
+    words after the object; what is accepted is parsed back."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    names = F.when(i % 5 == 1, F.to_json(F.struct(F.lit("none").alias("x")))).otherwise(
+        F.to_json(F.struct(F.array(F.lit("f")).alias("x"))))
+    code = F.to_json(F.struct(F.col("text").alias("x")))
+    inner = lambda c: F.expr(f"substring({c}, 6, length({c}) - 6)")
+    d = d.select(i.alias("key"), names.alias("_n"), code.alias("_c"))
+    raw = F.concat(F.lit('{"language": "Python", "functions_covered": '), inner("_n"), F.lit(', "test_code": '), inner("_c"),
+                   F.when(F.col("key") % 7 == 2, F.lit("}")).otherwise(F.lit(', "notes": null}')),
+                   F.when(F.col("key") % 11 == 3, F.lit(" done")).otherwise(F.lit("")))
+    v = I.validate_responses(d.select("key", raw.alias("raw")), I.REQUIRED_KEYS["tests"], types=I.KEY_TYPES["tests"])
+    ok = F.when(F.col("reject_reason").isNull(), F.from_json("text", I.TESTS_SCHEMA)["test_code"])
+    return v.select("key", "reject_reason", F.length(ok).alias("n_chars"), F.md5(ok).alias("code_md5"))
+
+
 def _review_heads(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select(
@@ -107,9 +131,10 @@ def _findings(spark, sf_dir):
 def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues per (severity, confidence); reviews with none under nulls."""
     heads = _review_heads(spark, sf_dir).select("key")
-    f = _findings(spark, sf_dir)
-    outer = heads.join(f, "key", "left").select("key", "severity", "confidence")
-    return R.finding_counts(outer)
+    # an order has at most a handful of lines, as a review has of issues
+    issues = _findings(spark, sf_dir).groupBy("key").agg(F.collect_list(
+        F.struct("severity", "description", "confidence")).alias("issues"))
+    return R.finding_counts(R.explode_findings(heads.join(issues, "key", "left")))
 
 
 def comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +174,8 @@ def stub_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"),
                                                             F.col("text").alias("diff"))
     answers = I.batch_infer(I.build_requests(docs, "review"), stub_model)
-    valid = I.parse_valid(I.validate_responses(answers, I.REQUIRED_KEYS["review"]), I.REVIEW_SCHEMA)
+    valid = I.parse_valid(I.validate_responses(answers, I.REQUIRED_KEYS["review"], types=I.KEY_TYPES["review"]),
+                          I.REVIEW_SCHEMA)
     return R.render_comments(valid)
 
 
@@ -176,22 +202,57 @@ def _tmpl(template: str, values: dict[str, str]) -> str:
     return " || ".join(out)
 
 
-_CUT = (f"CASE WHEN length(text) > {D.MAX_DIFF_CHARS} THEN substr(text, 1, {D.MAX_DIFF_CHARS}) || "
-        f"{_lit(D.TRUNCATION_SUFFIX)} ELSE text END")
+def _ext_case(part: int, default: str) -> str:
+    whens = " ".join(f"WHEN '{e}' THEN {_lit(TEST_LANGUAGES[e][part])}" for e in HEADER_EXTS if e in TEST_LANGUAGES)
+    return f"CASE ext {whens} ELSE {_lit(default)} END"
+
+
+def sql_stub_comment(prompt: str) -> str:
+    """The comment that the stub model's answer to ``prompt`` gives, in SQL."""
+    n = f"length({prompt})"
+    risk = f"['low', 'medium', 'high', 'unknown'][CAST({n} % 4 + 1 AS INTEGER)]"
+    marks = [R.RISK_MARKS["low"], R.RISK_MARKS["medium"], R.RISK_MARKS["high"], R.UNKNOWN_RISK_MARK]
+    mark = f"{marks}[CAST({n} % 4 + 1 AS INTEGER)]"
+    issue = (f"'- **[' || ['LOW', 'MEDIUM', 'HIGH'][CAST(({n} + i) % 3 + 1 AS INTEGER)] || ']** check item ' || i || "
+             "' _(confidence: medium)_'")
+    return (f"concat_ws(chr(10), {_lit(R.TITLE)}, '', '**Risk level:** ' || {mark} || ' ' || {risk} || '  ', "
+            f"'**Files changed:** ' || CAST({n} % 7 AS VARCHAR), '', 'A change of ' || {n} || ' characters.', '', "
+            f"'### Key changes', '- size ' || {n}, '', '### Potential issues', "
+            f"CASE WHEN {n} % 3 = 0 THEN {_lit(R.NO_ISSUES)} ELSE array_to_string(list_transform(range(0, {n} % 3), "
+            f"lambda i: {issue}), chr(10)) END, '', {_lit(R.FOOTER)})")
+
+
+SQL_STUB_REVIEWS = f"""
+WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS key, {_tmpl(I.REVIEW_TEMPLATE, {"DIFF": "text"})} AS prompt FROM documents)
+SELECT key, {sql_stub_comment("prompt")} AS comment FROM r
+"""
+
+SQL_ANSWER_TEXTS = """
+WITH a AS (SELECT doc_id AS key, text, CASE
+    WHEN doc_id % 11 = 3 THEN 'not json'
+    WHEN doc_id % 7 = 2 THEN 'missing keys: notes'
+    WHEN doc_id % 5 = 1 THEN 'wrong types: functions_covered' END AS reject_reason FROM documents)
+SELECT key, reject_reason, CASE WHEN reject_reason IS NULL THEN CAST(length(text) AS INTEGER) END AS n_chars,
+       CASE WHEN reject_reason IS NULL THEN md5(text) END AS code_md5 FROM a
+"""
 
 SQL_REVIEW_REQUESTS = f"""
-WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS key, 'review' AS kind, length(text) > {D.MAX_DIFF_CHARS} AS truncated,
-                  {_tmpl(I.REVIEW_TEMPLATE, {"DIFF": _CUT})} AS prompt FROM documents)
+WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS key, 'review' AS kind, false AS truncated,
+                  {_tmpl(I.REVIEW_TEMPLATE, {"DIFF": "text"})} AS prompt FROM documents)
 SELECT key, kind, truncated, CAST(length(prompt) AS INTEGER) AS prompt_chars, md5(prompt) AS prompt_md5 FROM r
 """
 
 SQL_TEST_REQUESTS = f"""
-WITH c AS (SELECT doc_id, text, {_CUT} AS cut FROM documents),
-h AS (SELECT doc_id, unnest(regexp_extract_all(cut, '(?m)^diff --git a/.+?(\\.\\w+) b/', 1)) AS ext FROM c),
-r AS (SELECT CAST(doc_id AS VARCHAR) AS key, 'tests' AS kind, length(text) > {D.MAX_DIFF_CHARS} AS truncated,
-             {_tmpl(I.TESTS_TEMPLATE, {"DIFF": _CUT, "LANGUAGE": _lit(D.GENERIC_LANGUAGE),
-                                        "FRAMEWORK": _lit(D.GENERIC_FRAMEWORK)})} AS prompt
-      FROM c WHERE doc_id NOT IN (SELECT doc_id FROM h))
+WITH h AS (SELECT doc_id, text, unnest(range(0, doc_id % 4 + 1)) AS i FROM documents),
+x AS (SELECT *, {HEADER_EXTS}[CAST((doc_id + i * i) % 4 + 1 AS INTEGER)] AS ext FROM h),
+d AS (SELECT doc_id, string_agg('diff --git a/f' || i || ext || ' b/f' || i || ext, chr(10) ORDER BY i)
+             || chr(10) || any_value(text) AS diff FROM x GROUP BY doc_id),
+n AS (SELECT doc_id, ext, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(i)) AS rk
+      FROM x GROUP BY doc_id, ext),
+r AS (SELECT CAST(d.doc_id AS VARCHAR) AS key, 'tests' AS kind, false AS truncated,
+             {_tmpl(I.TESTS_TEMPLATE, {"DIFF": "diff", "LANGUAGE": _ext_case(0, D.GENERIC_LANGUAGE),
+                                        "FRAMEWORK": _ext_case(1, D.GENERIC_FRAMEWORK)})} AS prompt
+      FROM d JOIN n ON n.doc_id = d.doc_id AND n.rk = 1)
 SELECT key, kind, truncated, CAST(length(prompt) AS INTEGER) AS prompt_chars, md5(prompt) AS prompt_md5 FROM r
 """
 
@@ -200,7 +261,7 @@ def _sql_architecture():
     from .architecture import SQL_STRUCTURE_TEXT
     return f"""
 WITH st AS ({SQL_STRUCTURE_TEXT}),
-r AS (SELECT repo AS key, 'architecture' AS kind, false AS truncated,
+r AS (SELECT repo || '#' || CAST(part AS VARCHAR) AS key, 'architecture' AS kind, false AS truncated,
              {_tmpl(I.ARCHITECTURE_TEMPLATE, {"STRUCTURE": "structure_text"})} AS prompt FROM st)
 SELECT key, kind, truncated, CAST(length(prompt) AS INTEGER) AS prompt_chars, md5(prompt) AS prompt_md5 FROM r
 """
@@ -329,6 +390,7 @@ QUERIES = {
     "tests_summary": tests_summary,
     "covered_functions": covered_functions,
     "stub_reviews": stub_reviews,
+    "answer_texts": answer_texts,
 }
 
 ORACLE = {
@@ -340,4 +402,6 @@ ORACLE = {
     "comment_lines": SQL_COMMENT_LINES,
     "tests_summary": SQL_TESTS_SUMMARY,
     "covered_functions": SQL_COVERED,
+    "stub_reviews": SQL_STUB_REVIEWS,
+    "answer_texts": SQL_ANSWER_TEXTS,
 }

@@ -1,4 +1,4 @@
-"""Registered queries: unit segmentation and the exact (difflib) similarity.
+"""Registered queries: unit segmentation.
 
 Bindings: ``conversations`` - a unit is one turn (file = conversation,
 name = role, start line = turn, group = role), and a segment is a user turn
@@ -34,22 +34,6 @@ def turn_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("conv_id") * F.lit(1 << 20) + F.col("turn")).alias("scan_ord"))
 
 
-def exact_similar_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference measure (difflib ratio >= 0.75) over every band pair of turns,
-    ranked by rounded similarity."""
-    units = spread(dedup.min_size_filter(turn_units(spark, sf_dir)))
-    pairs = dedup.similar_pairs_exact(units, dedup.SIMILARITY_THRESHOLD, dedup.BUCKET_SIZE)
-    return dedup.rank_pairs(pairs).select("lang_group", "a", "b", "similarity")
-
-
-def exact_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference measure over every band pair of whole documents (same
-    language, buckets at most one apart), ranked by rounded similarity."""
-    units = spread(dedup.min_size_filter(documents_as_units(table(spark, sf_dir, "documents"))))
-    pairs = dedup.similar_pairs_exact(units, dedup.SIMILARITY_THRESHOLD, dedup.BUCKET_SIZE)
-    return dedup.rank_pairs(pairs).select("lang_group", "a", "b", "similarity")
-
-
 def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as one source file (built inside the row): user and system
     turns become a Python function whose body is the text, assistant turns a
@@ -103,7 +87,7 @@ def unit_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of two sources in one table (documents and turns), then the
     blocking-key histogram per group."""
     units = documents_as_units(table(spark, sf_dir, "documents")).unionByName(turn_units(spark, sf_dir))
-    return dedup.size_histogram(dedup.min_size_filter(units), dedup.BUCKET_SIZE)
+    return dedup.size_histogram(units, dedup.BUCKET_SIZE)
 
 
 _LCT = sql_line_count("text")
@@ -125,7 +109,7 @@ WITH u AS (
   UNION ALL
   SELECT role AS lang_group, {_LCT} AS lc FROM conversations
 ),
-h AS (SELECT lang_group, CAST(lc // 5 AS INTEGER) AS bucket, count(*) AS n_units FROM u WHERE lc >= 3 GROUP BY 1, 2)
+h AS (SELECT lang_group, CAST(lc // 5 AS INTEGER) AS bucket, count(*) AS n_units FROM u GROUP BY 1, 2)
 SELECT h.lang_group, h.bucket, CAST(h.n_units AS BIGINT) AS n_units,
        CAST(h.n_units * (h.n_units - 1) // 2 AS BIGINT) AS within_pairs,
        CAST(h.n_units * coalesce(nx.n_units, 0) AS BIGINT) AS next_pairs
@@ -133,8 +117,6 @@ FROM h LEFT JOIN h nx ON nx.lang_group = h.lang_group AND nx.bucket = h.bucket +
 """
 
 QUERIES = {
-    "exact_similar_turns": exact_similar_turns,
-    "exact_similar_documents": exact_similar_documents,
     "conversation_segments": conversation_segments,
     "unit_sizes": unit_sizes,
     "turn_functions": turn_functions,

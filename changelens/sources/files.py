@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.languages import SCAN_GROUPS, known_suffix
@@ -19,12 +19,12 @@ def utf8_drop_invalid(b: Column) -> Column:
 
 
 def load_files(spark: SparkSession, root: str, exts: list[str] | None = None) -> DataFrame:
-    """All source files under ``root/<repo>/...`` as (repo, path, content).
+    """All source files under ``root/<repo>/...`` as (repo, path, ord, content).
 
     The extension test runs at listing time (``pathGlobFilter``), before any
-    content is read.  The listing order of the code host is path order, so
-    ``cap_per_repo(files, k, order="path")`` reproduces its caps.  Each file
-    is one row.
+    content is read.  ``ord`` numbers a repo's files in path order, the code
+    host's listing order; it is counted on the paths alone and joined to the
+    contents by path.  Each file is one row.
     """
     import os
     import re
@@ -36,22 +36,27 @@ def load_files(spark: SparkSession, root: str, exts: list[str] | None = None) ->
            .load(root))
     local = root.split(":", 1)[1] if re.match(r"^[a-z][a-z0-9+.-]*:", root) else os.path.abspath(root)
     pat = r"^.*?" + re.escape(local.strip("/")) + r"/([^/]+)/(.*)$"
-    out = raw.select(F.regexp_extract("path", pat, 1).alias("repo"),
-                     F.regexp_extract("path", pat, 2).alias("path"),
-                     utf8_drop_invalid(F.col("content")).alias("content"))
-    return out.filter(known_suffix("path").isNotNull())
+    named = raw.select("path", F.regexp_extract("path", pat, 1).alias("repo"),
+                       F.regexp_extract("path", pat, 2).alias("file")).filter(known_suffix("file").isNotNull())
+    listed = named.withColumn("ord", F.row_number().over(Window.partitionBy("repo").orderBy("file")).cast("long"))
+    return (raw.select("path", utf8_drop_invalid(F.col("content")).alias("content")).join(listed, "path")
+            .select("repo", F.col("file").alias("path"), "ord", "content"))
 
 
 def from_table(df: DataFrame) -> DataFrame:
     """A landed files table (repo, path, ord, content) filtered to scanned
-    extensions (pushed to the Parquet scan as a filter on ``path``)."""
-    return df.filter(known_suffix("path").isNotNull()).select("repo", "path", "ord", "content")
+    extensions (``EndsWith`` filters, which the Parquet scan takes)."""
+    wanted = F.lit(False)
+    for ext in SCAN_GROUPS:
+        wanted = wanted | F.col("path").endswith(ext)
+    return df.filter(wanted).select("repo", "path", "ord", "content")
 
 
 def decode_contents(payloads: DataFrame) -> DataFrame:
     """Fetched payloads -> text.  Non-200, non-base64 or empty content gives
     no row; line-wrapped base64 is accepted; invalid UTF-8 bytes are dropped."""
     ok = payloads.filter((F.col("status") == 200) & (F.col("encoding") == "base64"))
-    text = utf8_drop_invalid(F.unbase64(F.col("content")))
+    # wrapped lines are fine; what is no base64 gives no row
+    text = utf8_drop_invalid(F.try_to_binary(F.regexp_replace("content", r"\s", ""), F.lit("base64")))
     cols = [c for c in payloads.columns if c not in ("status", "encoding", "content")]
     return ok.select(*cols, text.alias("content")).filter(F.length("content") > 0)

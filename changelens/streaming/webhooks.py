@@ -89,7 +89,7 @@ def review_batch(events: DataFrame, diffs: DataFrame, fn: Callable[[str], str])
     joined = (events.join(diffs.select(*k, "diff"), k, "left").withColumn("key", key)
               .withColumn("diff", F.when(~is_blank("diff"), F.col("diff"))))
     answers = I.batch_infer(I.build_requests(joined, "review", key="key"), fn)
-    checked = I.validate_responses(answers, I.REQUIRED_KEYS["review"])
+    checked = I.validate_responses(answers, I.REQUIRED_KEYS["review"], types=I.KEY_TYPES["review"])
     parsed = checked.withColumn("_p", F.when(F.col("reject_reason").isNull(),
                                              F.from_json("text", I.REVIEW_SCHEMA)))
     reviews = parsed.select("key", "error_category", "error_message", "reject_reason", "_p.*")
@@ -104,7 +104,7 @@ def review_batch(events: DataFrame, diffs: DataFrame, fn: Callable[[str], str])
 
 
 def review_stream(deliveries: DataFrame, diffs: DataFrame, fn: Callable[[str], str], secret: str,
-                  out_path: str, checkpoint: str | None = None, dedupe_within: str | None = None,
+                  out_path: str, checkpoint: str, dedupe_within: str | None = None,
                   trigger: dict | None = None):
     """Start the streaming review job.
 
@@ -112,12 +112,11 @@ def review_stream(deliveries: DataFrame, diffs: DataFrame, fn: Callable[[str], s
     static table joined per micro-batch.  ``dedupe_within`` (e.g. "1 hour")
     drops re-sent deliveries with the same id inside a watermark - the
     sender retries and the reference reviews twice.  Output goes to
-    ``out_path/batch_id=<n>`` (idempotent on retry); ``checkpoint`` must be
-    on shared storage and defaults to ``<spark.checkpoint.dir>/streams/review``.
+    ``out_path/batch_id=<n>`` (idempotent on retry); ``checkpoint`` is the
+    query's own folder on shared storage; two streams never share one.
     """
-    if checkpoint is None:
-        from ..session import checkpoint_path
-        checkpoint = checkpoint_path(deliveries.sparkSession, "streams", "review")
+    if not checkpoint:
+        raise ValueError("a review stream needs a checkpoint folder of its own")
     ev = verify_deliveries(deliveries, secret)
     if dedupe_within:
         ev = ev.withWatermark("ts", dedupe_within).dropDuplicatesWithinWatermark(["delivery_id"])

@@ -110,7 +110,9 @@ def test_batch_infer_failures_become_rows(spark):
 def test_build_requests(spark):
     df = spark.createDataFrame([("k", "x" * 15001, "Go", "testing")],
                                "key string, diff string, language string, framework string")
-    r = I.build_requests(df, "tests").collect()[0]
+    whole = I.build_requests(df, "tests").collect()[0]
+    assert not whole.truncated and "x" * 15001 in whole.prompt
+    r = I.build_requests(df, "tests", max_chars=15000).collect()[0]
     assert r.truncated and "Go" in r.prompt and "... (diff truncated for length)" in r.prompt
     assert "<<" not in r.prompt
 
@@ -134,3 +136,23 @@ def test_architecture_answers(spark):
     parsed = I.parse_valid(I.validate_responses(df, I.REQUIRED_KEYS["architecture"]), I.ARCHITECTURE_SCHEMA)
     row = parsed.collect()[0]
     assert row.components[0].name == "a.py" and row.mermaid_diagram.startswith("graph TD")
+
+
+def test_long_answers_with_escapes(spark):
+    """Strings of a megabyte and of many escapes are checked without recursion."""
+    import json
+    rows = [("big", json.dumps({"k": "x" * 1_000_000})), ("esc", json.dumps({"k": '"\\\n' * 200_000})),
+            ("tail", json.dumps({"k": '"' * 5000}) + " x")]
+    df = spark.createDataFrame(rows, "key string, raw string")
+    got = {r.key: r.reject_reason for r in I.validate_responses(df, ["k"]).collect()}
+    assert got == {"big": None, "esc": None, "tail": "not json"}
+
+
+def test_type_drift_is_rejected(spark):
+    rows = [("none", '{"summary": "s", "risk_level": "low", "key_changes": [], "files_changed": 1, "issues": "none"}'),
+            ("text", '{"summary": "s", "risk_level": "low", "key_changes": [], "files_changed": "3", "issues": []}'),
+            ("null", '{"summary": null, "risk_level": "low", "key_changes": [], "files_changed": null, "issues": []}')]
+    df = spark.createDataFrame(rows, "key string, raw string")
+    v = I.validate_responses(df, I.REQUIRED_KEYS["review"], types=I.KEY_TYPES["review"])
+    assert {r.key: r.reject_reason for r in v.collect()} == {
+        "none": "wrong types: issues", "text": "wrong types: files_changed", "null": None}

@@ -13,7 +13,7 @@ from changelens.plans.common import TABLES  # noqa: E402
 from oracle_check import rows_of_duck, rows_of_spark  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-PYTHON_STAGES = {"exact_similar_turns", "exact_similar_documents", "stub_reviews", "review_batch"}
+PYTHON_STAGES = {"stub_reviews", "review_batch"}
 
 
 def _plan(df):

@@ -73,7 +73,7 @@ def test_graph_ops(spark):
     top = graph.top_modules(graph.module_degree(e), 2)
     assert sorted(r.module for r in top.collect()) == ["a", "b"] or sorted(r.module for r in top.collect()) == ["b", "c"]
     d = graph.diagram_text(e, graph.top_modules(graph.module_degree(e), 12)).collect()[0]
-    assert d.diagram.startswith("graph TD\n  a[a] --> b[b]")
+    assert d.diagram.startswith("graph TD\n  a_0cc175[a] --> b_92eb5f[b]")
     assert graph.node_id(F.lit("x/y.z")) is not None
 
 

@@ -48,7 +48,7 @@ def test_headers_within_truncation(spark):
     frag = "diff --git a/f.py b/f.py\n" + "+" * 9000 + "\n"
     rows = [("u", i, frag if i < 2 else frag.replace(".py", ".js")) for i in range(4)]
     df = spark.createDataFrame(rows, "key string, pos int, frag string")
-    kept = diffs.headers_within(df, ["key"], ["pos"])
+    kept = diffs.headers_within(df, ["key"], ["pos"], 15000)
     # only headers whose " b/" lies in the first 15000 characters count
     assert sorted(r.frag_no for r in kept.collect()) == [1, 2]
 
