@@ -2,13 +2,14 @@
 
 Finding candidates.  Every window of MIN bytes chooses its leftmost least-hash
 gram of GRAM bytes, so equal windows choose equal grams at equal places: these
-anchors are all that has to be compared.  An anchor's context holds every
-window that may have chosen it.  Anchors that occur once in the corpus drop
-out; occurrences with one and the same context are repeated as a whole, and
-one of them stands for all.
+anchors are all that has to be compared.  An anchor's context holds the windows
+that chose it.  Anchors that occur once in the corpus drop out; occurrences
+with one and the same context are repeated as a whole, and one of them stands
+for all.
 
 Comparing.  The distinct contexts of an anchor meet in one task, many anchors
-to a batch of bounded size.  A batch's suffixes are sorted, and threshold-
+to a batch of bounded size, each cut to what it may share with another one.  A
+batch's suffixes are sorted, and threshold-
 bounded interval expansion works on its Burrows-Wheeler transform: intervals
 of common prefixes are extended backward by one byte, breadth first, which
 gives the borders between suffixes in the order of their common prefix length,
@@ -38,8 +39,8 @@ from .common import save
 from .jaccard_join import runs
 
 MIN = 400
-GRAM = 200
-SIDE = MIN - GRAM             # bytes of context before an anchor; MIN bytes from it on
+GRAM = 100
+STEP = 25                     # bytes by which shared sides of contexts are measured
 SLICE = 1 << 20               # bytes of a text worked on at once
 BATCH = 1_000_000             # bytes of contexts in one transform
 BLOCK = 1024                  # contexts of one anchor that meet in one batch
@@ -91,13 +92,13 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:n - w + 1], before[w - 1:n])
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, context hash, position) of a text's anchors."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, context hash, position, sides) of a text's anchors; sides are
+    the context's bytes before the position * 1024 + its bytes from there on."""
     n = len(data)
     power, inverse = _tables()
     place = _U((1 << 24) - 1)
     found: list[tuple] = []
-    last = -1
     for start in range(0, max(n - MIN + 1, 0), SLICE):
         lo, hi = max(0, start - MIN), min(n, start + SLICE + 2 * MIN)
         b = data[lo:hi]
@@ -107,17 +108,18 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first, end = start - lo, stop - lo + MIN - GRAM
         grams = _mix((sums[first + GRAM:end + GRAM] - sums[first:end]) * inverse[first:end])
         ranked = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
-        at = np.unique(_least(ranked, MIN - GRAM + 1) & place).astype(np.int64)
-        pos = at + start
-        new = pos > last                                # chosen by the slice before
-        at, pos = at[new], pos[new]
-        last = int(pos[-1]) if len(pos) else last
-        left, right = np.minimum(pos, SIDE), np.minimum(n - pos, MIN)
-        l, r = pos - left - lo, pos + right - lo
-        context = _mix((sums[r] - sums[l]) * inverse[l]) + _mix((left * 1024 + right).astype(np.uint64))
-        found.append((grams[at], context, pos))
+        chosen = (_least(ranked, MIN - GRAM + 1) & place).astype(np.int64)
+        # neighbouring windows with one choice: the first and the last of them
+        begin = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+        end_ = np.r_[begin[1:], len(chosen)] - 1
+        at = chosen[begin]
+        left, right = at - begin, end_ + MIN - at
+        l, r = begin + first, end_ + MIN + first
+        sides = left * 1024 + right
+        context = _mix((sums[r] - sums[l]) * inverse[l]) + _mix(sides.astype(np.uint64))
+        found.append((grams[at], context, at + start, sides))
     if not found:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -143,12 +145,12 @@ def _anchor_rows(batches):
             digests.append(_digest(data) if sizes[-1] else 0)
         if not found:
             continue
-        gram, context, pos = (np.concatenate(x) for x in zip(*found))
+        gram, context, pos, sides = (np.concatenate(x) for x in zip(*found))
         of = np.repeat(np.arange(len(sizes)), sizes)
         yield pa.RecordBatch.from_arrays([
             pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), ids.take(pa.array(of)),
-            pa.array(np.array(digests, np.int64)[of]), pa.array(pos)],
-            names=["gram", "context", "doc_id", "digest", "pos"])
+            pa.array(np.array(digests, np.int64)[of]), pa.array(pos), pa.array(sides)],
+            names=["gram", "context", "doc_id", "digest", "pos", "sides"])
 
 
 def _contexts(batches):
@@ -161,9 +163,9 @@ def _contexts(batches):
             # a place in the corpus, as one number
             base = _digest(f"{doc_id} {digest}".encode())
             for p in places:
-                left = min(p["pos"], SIDE)
+                left, right = divmod(p["sides"], 1024)
                 start = p["pos"] - left
-                part = text[start:p["pos"] + MIN]
+                part = text[start:p["pos"] + right]
                 for lo, hi in _block_pairs(p["context"], p["blocks"]):
                     rows.append((p["gram"], lo, hi, p["context"], left, base + start, part))
             if len(rows) > 4000:
@@ -190,16 +192,23 @@ def suffix_ranks(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     or more (equal ones share the rank of the first).  Symbol 0 closes a part of
     the text; no two of these are equal."""
     n, step = len(symbols), FIRST
-    padded = np.zeros(n + step, np.uint64)
-    padded[:n] = symbols
-    alive = np.ones(n, bool)                # no end among the symbols so far
-    key = np.zeros(n, np.uint64)
-    for k in range(step):
-        s = padded[k:n + k]
-        key = (key << _U(9)) | np.where(alive, s, _U(0))
-        alive &= s != 0
+    one = np.zeros(n + step, np.uint64)
+    one[:n] = symbols
+    two = (one[:-1] << _U(9)) | one[1:]
+    four = (two[:-2] << _U(18)) | two[2:]
+    key = (four[:n] << _U(27)) | (two[4:n + 4] << _U(9)) | one[6:n + 6]
+    # what follows an end among these symbols does not count
+    ends = np.flatnonzero(symbols == 0)
+    near = (ends[:, None] - np.arange(step)).ravel()
+    cut = np.tile(9 * (step - 1 - np.arange(step)), len(ends)).astype(np.uint64)
+    start = np.r_[0, ends[:-1] + 1]
+    own = near >= np.repeat(start, step)
+    near, cut = near[own], cut[own]
+    key[near] = (key[near] >> cut) << cut
+    closed = np.zeros(n, bool)
+    closed[near] = True
     order = np.argsort(key, kind="stable")
-    sorted_key, closed = key[order], ~alive[order]
+    sorted_key, closed = key[order], closed[order]
     border = np.r_[True, (sorted_key[1:] != sorted_key[:-1]) | closed[1:] | closed[:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(border, np.arange(n), 0))
@@ -211,7 +220,7 @@ def suffix_ranks(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
             break
         old = rank[active]
         pair = old * n + rank[active + step]
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         active, old, pair = active[order], old[order], pair[order]
         at = np.arange(len(active))
         block = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], at, 0))
@@ -252,8 +261,8 @@ def borders(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, start: int
             break
         to = image[row]
         symbol = before[row].astype(np.int64)
-        # rows of one interval and symbol go to one interval, in order
-        group = np.argsort(of * 512 + symbol, kind="stable")
+        # rows of one interval and symbol go to one interval
+        group = np.argsort(to, kind="stable")
         key = (of * 512 + symbol)[group]
         to = to[group]
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -290,6 +299,34 @@ def repeated_starts(parts: list[bytes], places: np.ndarray, least: int = MIN) ->
     return np.split(offset[rows], cut)
 
 
+def _shared_sides(sides: list[bytes], tail: bool) -> list[int]:
+    """Per string a length that no ending (``tail``) or beginning it shares with
+    another one exceeds."""
+    best, alive, size = [0] * len(sides), list(range(len(sides))), STEP
+    while alive:
+        same: dict[bytes, list[int]] = {}
+        for i in alive:
+            if len(sides[i]) >= size:
+                same.setdefault(sides[i][-size:] if tail else sides[i][:size], []).append(i)
+        alive = [i for group in same.values() if len(group) > 1 for i in group]
+        for i in alive:
+            best[i] = size
+        size += STEP
+    return [min(b + STEP - 1, len(s)) for b, s in zip(best, sides)]
+
+
+def narrowed(rows: list[tuple]) -> list[tuple]:
+    """(context, left, place, bytes) rows of one anchor, cut to the windows that
+    another row may share; rows without such a window are left out."""
+    before = _shared_sides([b[:left] for _, left, _, b in rows], True)
+    after = _shared_sides([b[left + GRAM:] for _, left, _, b in rows], False)
+    out = []
+    for (context, left, place, b), x, y in zip(rows, before, after):
+        if x + GRAM + y >= MIN:
+            out.append((context, x, place + left - x, b[left - x:left + GRAM + y]))
+    return out if len(out) > 1 else []
+
+
 def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Union of [s, s + length) over sorted starts."""
     if not len(starts):
@@ -302,23 +339,23 @@ _RANGES = "gram long, context long, start long, stop long"
 
 
 def _compare(batches):
-    held: list = []
+    held: list[tuple] = []
     size = 0
 
     def flush():
         rows: list[tuple] = []
-        t = pa.concat_tables(held)
-        parts = [x.as_py() for x in t["bytes"]]
-        grams, contexts, left = (np.asarray(t[c]).tolist() for c in ("gram", "context", "left"))
-        for i, starts in enumerate(repeated_starts(parts, np.asarray(t["place"]))):
-            rows += [(grams[i], contexts[i], s - left[i], e - left[i]) for s, e in covered(starts, MIN)]
+        for (gram, context, left, _, _), starts in zip(
+                held, repeated_starts([r[4] for r in held], np.array([r[3] for r in held], np.int64))):
+            rows += [(gram, context, s - left, e - left) for s, e in covered(starts, MIN)]
         return _batch(rows, ["gram", "context", "start", "stop"], [pa.int64()] * 4)
 
     for t in runs(batches, 3):
         if t.num_rows < 2:
             continue
-        held.append(t)
-        size += sum(len(x) for x in t["bytes"].to_pylist())
+        gram = t["gram"][0].as_py()
+        for context, left, place, b in narrowed(list(zip(*[t[c].to_pylist() for c in ("context", "left", "place", "bytes")]))):
+            held.append((gram, context, left, place, b))
+            size += len(b)
         if size >= BATCH:
             yield flush()
             held, size = [], 0
@@ -361,21 +398,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # anchors that occur at least twice
     grams = (rows.select("bytes").mapInArrow(_gram_rows, "gram long").groupBy("gram")
              .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
-    met = save(rows.mapInArrow(_anchor_rows, "gram long, context long, doc_id long, digest long, pos long")
-               .join(save(grams).hint("merge"), "gram"))
-    contexts = save(met.groupBy("gram", "context").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "digest", "pos")).alias("at")))
-    several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(
-        "gram", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    places = (contexts.join(several, "gram").groupBy("at.doc_id", "at.digest")
-              .agg(F.collect_list(F.struct("gram", "context", F.col("at.pos").alias("pos"), "blocks")).alias("places")))
-    # the texts that take part, once each: first of their copies
-    takes_part = met.select("doc_id", "digest").distinct()
+    met = (rows.mapInArrow(_anchor_rows, "gram long, context long, doc_id long, digest long, pos long, sides long")
+           .join(save(grams).hint("merge"), "gram"))
+    # of equal texts the first takes part
     others = (every.join(firsts.filter("copies > 1"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("first")))
               .select(F.col("doc_id").alias("_other"), F.col("digest").alias("_of")))
-    takes_part = takes_part.join(
-        others, F.col("doc_id").eqNullSafe(F.col("_other")) & (F.col("digest") == F.col("_of")), "left_anti")
-    ids = takes_part.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    met = save(met.join(others.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_other")) & (F.col("digest") == F.col("_of")),
+                        "left_anti"))
+    contexts = save(met.groupBy("gram", "context").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "digest", "pos", "sides")).alias("at")))
+    # anchors with several contexts, not all of them repeated as a whole
+    several = (contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"))
+               .filter("c > 1 and least = 1").select("gram", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+    places = (contexts.join(several, "gram").groupBy("at.doc_id", "at.digest")
+              .agg(F.collect_list(F.struct("gram", "context", F.col("at.pos").alias("pos"), F.col("at.sides").alias("sides"),
+                                           "blocks")).alias("places")))
+    ids = met.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     texts = save(rows.join(ids.hint("merge"), rows["doc_id"].eqNullSafe(ids["_id"]))
                  .mapInArrow(_same_text, "doc_id long, digest long, bytes binary"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
@@ -383,14 +421,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     compared = (parts.mapInArrow(_contexts, "gram long, lo int, hi int, context long, left long, place long, bytes binary")
                 .repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi")
                 .mapInArrow(_compare, _RANGES))
-    pos = F.col("at.pos")
-    left, right = F.least(pos, F.lit(SIDE)), F.lit(MIN)
-    # one and the same context at several places: all of it, up to the text's end
-    whole = contexts.filter("n > 1").select("gram", "context", (-left).alias("start"), right.alias("stop"))
-    ranges = save(compared.union(whole))
-    spans = (met.join(ranges, ["gram", "context"])
-             .groupBy("doc_id", "digest").agg(F.collect_set(F.struct(
-                 (F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("stop")).alias("stop"))).alias("spans")))
+    # one and the same context at several places: all of it
+    left = F.floor(F.col("at.sides") / 1024)
+    whole = contexts.filter("n > 1").select("gram", "context", (-left).alias("start"), (F.col("at.sides") % 1024).alias("stop"))
+    ranges = save(compared.union(whole).groupBy("gram", "context").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
+    moved = F.transform("ranges", lambda r: F.struct((F.col("pos") + r["start"]).alias("start"),
+                                                     (F.col("pos") + r["stop"]).alias("stop")))
+    spans = (met.join(ranges, ["gram", "context"]).select("doc_id", "digest", moved.alias("moved"))
+             .groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("moved")).alias("spans")))
     left_over = save(texts.join(spans, same(texts, spans)).select(
         F.unhex(F.md5("bytes")).alias("key"), "bytes", "spans").mapInArrow(
         _remove, "key binary, removed long, n_spans long, kept_sha string").dropDuplicates(["key"]))
