@@ -258,6 +258,9 @@ def listed(spans: Column) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
-    kinds = [F.size(F.filter(base, lambda s, k=i: s["kind"] == k)).cast("long").alias(f"n_{name}")
-             for i, name in enumerate(KINDS)]
+
+    def of_kind(i):
+        return F.size(F.filter(base, lambda s: s["kind"] == i)).cast("long")
+
+    kinds = [of_kind(i).alias(f"n_{name}") for i, name in enumerate(KINDS)]
     return found.select("doc_id", *kinds, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
