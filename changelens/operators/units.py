@@ -8,6 +8,11 @@ header x line join.  The function text is cut from the file content with
 ``substring``.  All work for one file stays in one partition (a file is one
 cell already); nothing is collected.
 
+Strings, template literals and comments are blanked first (same length, so
+every offset holds): a comment becomes blanks, a string ``[sss]``, which counts
+as an open bracket where it spans lines.  Line ends inside a parameter list are
+masked too, so a header is one logical line however it is wrapped.
+
 Rules (approximations of the reference's syntax-tree walk):
 
 * Python: ``def`` / ``async def`` at any depth.  The block ends before the
@@ -15,17 +20,16 @@ Rules (approximations of the reference's syntax-tree walk):
   brackets; the unit ends at the last non-blank line before it.
 * JS / TS: ``function`` declarations, class methods and arrow functions
   (named after the variable they are assigned to, else ``<anonymous>``).
-  The unit ends on the first line where the brace depth falls back to the
-  depth before the header line; the text ends at that line's last ``}``.
+  The unit ends on the first line where the bracket depth falls back to the
+  depth before the header line; the text ends at that line's last ``}``, or
+  at its first ``)`` when the body is in parentheses (JSX).
 * Nested functions give a unit each.  Unit text starts at the header
   keyword (decorators and ``export`` excluded), later lines keep their
   indentation.
 
-Comment-only lines (``#`` / ``//``) count as blank.  Known deviations:
-brackets inside strings or trailing comments shift depths; multi-line
-strings with lines less indented than the header end a Python block; only
-one header per line is seen; a JS body opening on the line after its
-header (Allman style) ends at the header line.
+Comment-only lines count as blank.  Known deviations: only one header per line
+is seen; quotes inside JS regular expressions open strings; a JS body opening
+on the line after its header (Allman style) ends at the header line.
 """
 
 from __future__ import annotations
@@ -37,46 +41,70 @@ from .languages import path_extension, scan_group
 
 PY_DEF = r"^([ \t]*)((?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*))"
 JS_FUNC = (r"^([ \t]*(?:export[ \t]+(?:default[ \t]+)?)?)"
-           r"((?:async[ \t]+)?function[ \t]*\*?[ \t]*([A-Za-z_$][\w$]*)[ \t]*\()")
+           r"((?:async[ \t]+)?function[ \t]*\*?[ \t]*([A-Za-z_$][\w$]*)[ \t]*(?:<[^()]*>)?[ \t]*\()")
+# Parentheses with one level inside, and a generic parameter list.
+_ARGS = r"\((?:[^()]|\([^()]*\))*+\)"
+_GENERIC = r"(?:<[^()]*>)?"
 JS_ARROW_VAR = (r"^([ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+([A-Za-z_$][\w$]*)[^=]*=[ \t]*)"
-                r"((?:async[ \t]*)?(?:\([^()]*\)|[A-Za-z_$][\w$]*)[ \t]*(?::[^=]+)?=>)")
+                rf"((?:async[ \t]*)?{_GENERIC}(?:{_ARGS}|[A-Za-z_$][\w$]*)[ \t]*(?::[^=]+)?=>)")
 JS_METHOD = (r"^([ \t]*)((?:(?:static|async|get|set|public|private|protected|readonly|override)[ \t]+)*"
              r"(?!(?:if|for|while|switch|catch|function|return|with|else)\b)([A-Za-z_$][\w$]*)"
-             r"[ \t]*\([^()]*\)[ \t]*(?::[^{;]*)?\{)")
+             rf"[ \t]*{_GENERIC}[ \t]*{_ARGS}[ \t]*(?::[^{{;]*)?\{{)")
 JS_ARROW_ANON = r"^(.*?)((?:async[ \t]*)?(?:\([^()]*\)|[A-Za-z_$][\w$]*)[ \t]*=>)"
 
+_LINE_STRING = r"""'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+\""""
+PY_PARTS = (r'(?s)\"\"\".*?\"\"\"|' + r"\'\'\'.*?\'\'\'|" + _LINE_STRING + r"""|#[^\n]*+|[^"'#]++|["']""")
+JS_PARTS = (r"(?s)`[^`\\]*+(?:\\.[^`\\]*+)*+`|" + _LINE_STRING + r"""|//[^\n]*+|/\*.*?\*/|[^"'`/]++|["'`/]""")
+PARENS = r"\([^()]*+\)|[^()]++|[()]"
+_MASKED = "\x01"      # a line end inside parentheses
+
+
+def blank_parts(content, is_py):
+    """``content`` with strings and comments blanked, length kept."""
+    def blank(part):
+        inside = F.regexp_replace(F.substring(part, F.lit(2), F.length(part) - 2), "[^\n]", "s")
+        comment = F.when(is_py, part.startswith("#")).otherwise(part.startswith("//") | part.startswith("/*"))
+        string = (F.length(part) > 1) & part.rlike("^[\"'`]")
+        return (F.when(comment, F.regexp_replace(part, "[^\n]", " "))
+                .when(string, F.concat(F.lit("["), inside, F.lit("]"))).otherwise(part))
+
+    parts = F.when(is_py, F.regexp_extract_all(content, F.lit(PY_PARTS), 0)).otherwise(
+        F.regexp_extract_all(content, F.lit(JS_PARTS), 0))
+    return F.array_join(F.transform(parts, blank), "")
+
+
+def mask_parameters(blanked):
+    """Line ends inside innermost parentheses masked, length kept."""
+    return F.array_join(F.transform(F.regexp_extract_all(blanked, F.lit(PARENS), 0), lambda x: F.when(
+        x.startswith("(") & (F.length(x) > 1), F.replace(x, F.lit("\n"), F.lit(_MASKED))).otherwise(x)), "")
+
 
 def _count(s, chars: str):
     return F.length(s) - F.length(F.regexp_replace(s, "[" + chars + "]", ""))
 
 
 def file_lines(files: DataFrame) -> DataFrame:
-    """(repo, path, lang_group, line, text, off, blank, indent, d_before, d_after)
+    """(repo, path, lang_group, line, last, text, off, blank, indent, d_before, d_after)
 
-    ``off`` is the 0-based character offset of the line in the file; depth
-    columns are bracket depth (Python: ([{, JS: {) before / after the line.
+    Logical lines of the blanked file: ``line`` and ``last`` are the first and
+    last line of the file they span, ``off`` the 0-based character offset;
+    depth columns are the depth of ([{ before / after the line.
     """
     f = files.withColumn("lang_group", scan_group(path_extension("path"))).filter(
         F.col("lang_group").isNotNull() & F.col("content").isNotNull())
-    lines = f.select("repo", "path", "lang_group",
-                     F.posexplode(F.split("content", "\n", -1)).alias("i", "text"))
+    clean = mask_parameters(blank_parts(F.col("content"), F.col("lang_group") == "python"))
+    lines = f.select("repo", "path", "lang_group", F.posexplode(F.split(clean, "\n", -1)).alias("i", "text"))
     w = Window.partitionBy("repo", "path").orderBy("i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    # comment-only lines count as blank (the syntax tree treats comments as
-    # extras, so they neither end a block nor open or close brackets)
-    comment = F.when(F.col("lang_group") == "python", F.col("text").rlike(r"^[ \t]*#")).otherwise(
-        F.col("text").rlike(r"^[ \t]*//"))
-    delta = F.when(comment, F.lit(0)).when(
-        F.col("lang_group") == "python",
-        _count(F.col("text"), r"(\[{") - _count(F.col("text"), r")\]}")).otherwise(
-        _count(F.col("text"), "{") - _count(F.col("text"), "}"))
-    step = lines.select("repo", "path", "lang_group", "i", "text", delta.alias("_delta"),
-                        comment.alias("_comment"))
+    delta = _count(F.col("text"), r"(\[{") - _count(F.col("text"), r")\]}")
+    masked = _count(F.col("text"), _MASKED)
+    step = lines.select("repo", "path", "lang_group", "i", "text", delta.alias("_delta"), masked.alias("_masked"))
+    line = F.col("i") + 1 + F.coalesce(F.sum("_masked").over(before), F.lit(0))
     d_before = F.coalesce(F.sum("_delta").over(before), F.lit(0))
     return step.select(
-        "repo", "path", "lang_group", (F.col("i") + 1).alias("line"), "text",
+        "repo", "path", "lang_group", line.alias("line"), (line + F.col("_masked")).alias("last"), "text",
         F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).alias("off"),
-        ((F.length(F.regexp_replace("text", r"(?U)\s", "")) == 0) | F.col("_comment")).alias("blank"),
+        (F.length(F.regexp_replace("text", r"(?U)\s", "")) == 0).alias("blank"),
         (F.length("text") - F.length(F.ltrim(F.regexp_replace("text", "\t", " ")))).alias("indent"),
         d_before.alias("d_before"), (d_before + F.col("_delta")).alias("d_after"))
 
@@ -100,9 +128,10 @@ def _headers(lines: DataFrame) -> DataFrame:
            .when(me != "", F.length(F.regexp_extract(t, JS_METHOD, 1)))
            .otherwise(F.length(F.regexp_extract(t, JS_ARROW_ANON, 1))))
     level = F.when(is_py, F.col("indent")).otherwise(F.col("d_before"))
+    in_parens = ~is_py & t.rlike(r"=>[ \t]*\(")        # a body in parentheses
     return (lines.withColumn("name", name).filter(F.col("name").isNotNull())
-            .select("repo", "path", "lang_group", "line", "name", "off", col.alias("col"),
-                    level.alias("level"), "d_after"))
+            .select("repo", "path", "lang_group", "line", "last", "name", "off", col.alias("col"),
+                    level.alias("level"), "d_after", in_parens.alias("in_parens")))
 
 
 def segment_units(files: DataFrame) -> DataFrame:
@@ -121,31 +150,34 @@ def segment_units(files: DataFrame) -> DataFrame:
     closer_ok = F.when(is_py, ~F.col("blank") & (F.col("d_before") == 0) & (F.col("indent") <= F.col("level"))
                        ).otherwise(F.col("d_after") <= F.col("level"))
     w_prev = Window.partitionBy(*key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lines2 = lines.withColumn("prev_nb", F.max(F.when(~F.col("blank"), F.col("line"))).over(w_prev))
+    lines2 = lines.withColumn("prev_nb", F.max(F.when(~F.col("blank"), F.col("last"))).over(w_prev))
     closers = (lines2.join(levels, key).filter(closer_ok)
-               .select(*key, "lang_group", "level", "line", F.lit(1).alias("kind"), "prev_nb"))
-    hrows = heads.select(*key, "lang_group", "level", "line", F.lit(0).alias("kind"),
-                         F.lit(None).cast("long").alias("prev_nb"), "off", "col")
+               .select(*key, "lang_group", "level", "line", "last", F.lit(1).alias("kind"), "prev_nb"))
+    hrows = heads.select(*key, "lang_group", "level", "line", "last", F.lit(0).alias("kind"),
+                         F.lit(None).cast("long").alias("prev_nb"), "off", "col", "in_parens")
     both = hrows.unionByName(closers, allowMissingColumns=True)
     # Python: the header's own line closes earlier blocks of its level, not
     # itself (closer row sorts first); JS: a header line may close itself.
     order_kind = F.when(F.col("lang_group") == "python", -F.col("kind")).otherwise(F.col("kind"))
     w = Window.partitionBy(*key, "level").orderBy("line", order_kind).rowsBetween(1, Window.unboundedFollowing)
     nxt = lambda c: F.first(F.when(F.col("kind") == 1, F.col(c)), ignorenulls=True).over(w)
-    found = (both.withColumns({"c_line": nxt("line"), "c_prev_nb": nxt("prev_nb")})
+    found = (both.withColumns({"c_line": nxt("last"), "c_prev_nb": nxt("prev_nb")})
              .filter(F.col("kind") == 0))
-    last_nb = lines.filter(~F.col("blank")).groupBy(*key).agg(F.max("line").alias("last_nb"))
+    last_nb = lines.filter(~F.col("blank")).groupBy(*key).agg(F.max("last").alias("last_nb"))
     u = found.join(last_nb, key, "left")
     py_end_line = F.coalesce(F.col("c_prev_nb"), F.col("last_nb"))
     end_line = F.when(F.col("lang_group") == "python", py_end_line).otherwise(
         F.coalesce(F.col("c_line"), F.col("last_nb")))
-    u = u.withColumn("end_line", F.greatest(end_line, F.col("line")))
+    u = u.withColumn("end_line", F.greatest(end_line, F.col("last")))
     # end offsets: Python - end of the end line (trailing blanks trimmed);
     # JS - the last "}" of the end line (whole line when none).
-    ends = lines.select(*key, F.col("line").alias("end_line"), F.col("off").alias("e_off"),
+    ends = lines.select(*key, F.col("last").alias("end_line"), F.col("off").alias("e_off"),
                         F.col("text").alias("e_text"))
     u = u.join(ends, [*key, "end_line"], "left")
-    last_brace = F.length(F.regexp_extract("e_text", r"^(.*\})", 1))
+    last_brace = F.length(F.when(F.col("in_parens"), F.coalesce(
+        F.nullif(F.regexp_extract("e_text", r"^(.*?=>[ \t]*\([^()]*\))", 1), F.lit("")),
+        F.regexp_extract("e_text", r"^([^)]*\))", 1))).otherwise(
+        F.regexp_extract("e_text", r"^(.*\})", 1)))
     e_len = F.when((F.col("lang_group") != "python") & (last_brace > 0), last_brace).otherwise(
         F.length(F.regexp_replace("e_text", r"\s+$", "")))
     u = u.withColumns({"start_pos": F.col("off") + F.col("col") + 1, "end_pos": F.col("e_off") + e_len})

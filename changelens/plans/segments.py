@@ -67,6 +67,44 @@ def turn_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.array_join("symbols", ",").alias("symbols"))
 
 
+# Source files made of a turn's number and its number of body lines: wrapped
+# parameter lists, brackets in strings, comments and templates, nested
+# functions, generics, a JSX body and every form of import.
+PY_FILE = ('import os  # {{\nimport sys; import re\nfrom pkg import (a,\n  b)\n\nclass K@T@:\n', 'def run_@T@(\n        self,\n'
+           '        x="(",\n    ):\n', '        y = "{" # (\n', '        def inner(z):\n            return z\n        return inner',
+           '\n\n# end )\nv = 1\n')
+TSX_FILE = ('import x from "y";\n', 'function pick_@T@<T>(\n  a: T,\n  b = "{",\n) {\n', '  const t = `(${a} {`;\n',
+            '  return t;\n}', '\nconst Card_@T@ = (p) => (\n  <div>{p.x}</div>\n);\n')
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    t = F.col("turn").cast("string")
+
+    def made(parts, indent):
+        head, opening, body, rest, tail = (F.replace(F.lit(p), F.lit("@T@"), t) for p in parts)
+        return F.concat(head, F.lit(indent), opening, F.repeat(body, (F.col("turn") % 3 + 1).cast("int")), rest, tail)
+
+    is_py = F.col("role") != "assistant"
+    return c.select(
+        F.lit("code").alias("repo"),
+        F.concat(F.col("conv_id").cast("string"), F.lit("/"), t, F.when(is_py, F.lit(".py")).otherwise(F.lit(".tsx"))).alias("path"),
+        (F.col("conv_id") * F.lit(1 << 20) + F.col("turn")).alias("ord"),
+        F.when(is_py, made(PY_FILE, "    ")).otherwise(made(TSX_FILE, "")).alias("content"))
+
+
+def code_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All functions, nested ones too, of the files made from turns."""
+    return segment_units(code_files(spark, sf_dir)).select(
+        "file", "name", "start_line", "line_count", "lang_group", F.md5("code").alias("code_md5"))
+
+
+def code_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports and symbols of the files made from turns."""
+    st = structure.file_structures(code_files(spark, sf_dir))
+    return st.select("file", F.array_join("imports", "|").alias("imports"), F.array_join("symbols", ",").alias("symbols"))
+
+
 def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments: each user turn starts one; sizes aggregated per segment.
 
@@ -121,6 +159,8 @@ QUERIES = {
     "unit_sizes": unit_sizes,
     "turn_functions": turn_functions,
     "turn_structures": turn_structures,
+    "code_functions": code_functions,
+    "code_structures": code_structures,
 }
 
 SQL_TURN_FUNCTIONS = r"""
@@ -152,7 +192,45 @@ SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) ||
 FROM conversations
 """
 
+
+
+def _sql(text: str) -> str:
+    lines = "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return f"replace({lines}, '@T@', CAST(turn AS VARCHAR))"
+
+
+_N = "(turn % 3 + 1)"
+_PY_CODE = f"{_sql(PY_FILE[1])} || repeat({_sql(PY_FILE[2])}, CAST({_N} AS INTEGER)) || {_sql(PY_FILE[3])}"
+_TSX_CODE = f"{_sql(TSX_FILE[1])} || repeat({_sql(TSX_FILE[2])}, CAST({_N} AS INTEGER)) || {_sql(TSX_FILE[3])}"
+_FILE = "CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR)"
+
+SQL_CODE_FUNCTIONS = f"""
+WITH u AS (
+  SELECT {_FILE} || '.py' AS file, 'run_' || turn AS name, 7 AS start_line, 7 + {_N} AS line_count, 'python' AS lang_group,
+         {_PY_CODE} AS code FROM conversations WHERE role <> 'assistant'
+  UNION ALL
+  SELECT {_FILE} || '.py', 'inner', 11 + {_N}, 2, 'python', 'def inner(z):' || chr(10) || '            return z'
+  FROM conversations WHERE role <> 'assistant'
+  UNION ALL
+  SELECT {_FILE} || '.tsx', 'pick_' || turn, 2, 6 + {_N}, 'js_ts', {_TSX_CODE} FROM conversations WHERE role = 'assistant'
+  UNION ALL
+  SELECT {_FILE} || '.tsx', 'Card_' || turn, 8 + {_N}, 3, 'js_ts',
+         '(p) => (' || chr(10) || '  <div>{{p.x}}</div>' || chr(10) || ')' FROM conversations WHERE role = 'assistant')
+SELECT file, name, CAST(start_line AS INTEGER) AS start_line, CAST(line_count AS INTEGER) AS line_count, lang_group,
+       md5(code) AS code_md5 FROM u
+"""
+
+SQL_CODE_STRUCTURES = f"""
+SELECT {_FILE} || CASE WHEN role = 'assistant' THEN '.tsx' ELSE '.py' END AS file,
+       CASE WHEN role = 'assistant' THEN 'import x from "y";'
+            ELSE 'import os|import sys|import re|from pkg import (a,   b)' END AS imports,
+       CASE WHEN role = 'assistant' THEN 'pick_' || turn ELSE 'K' || turn || ',run_' || turn || ',inner' END AS symbols
+FROM conversations
+"""
+
 ORACLE = {
+    "code_functions": SQL_CODE_FUNCTIONS,
+    "code_structures": SQL_CODE_STRUCTURES,
     "turn_functions": SQL_TURN_FUNCTIONS,
     "turn_structures": SQL_TURN_STRUCTURES,
     "conversation_segments": SQL_SEGMENTS,

@@ -67,3 +67,58 @@ def test_comments_do_not_end_blocks(spark):
     got = {r.name: (r.start_line, r.line_count, r.code) for r in segment_units(df).collect()}
     assert got["f"] == (1, 4, "def f(a):\n    x = 1\n# note at column 0\n    return x")
     assert got["g"][:2] == (1, 4)
+
+HARD_PY = '''def f(s):
+    a = s.split("(")
+    return a
+
+def g(
+    a,
+b="}",
+):
+    """Text
+at column 0 ( [ {
+    """
+    return a  # note (
+
+x = 1
+'''
+
+HARD_TS = '''const s = "{";
+function pick<T>(a: T, b = "(") {
+  const t = `x {
+${a} (`;
+  return t;
+}
+const Card = (p) => (
+  <div>
+    {p.x} don't
+  </div>
+);
+function many(
+  a,
+  b,
+) {
+  return a; // }
+}
+class C {
+  get<T>(
+    k: string,
+  ): T {
+    return this.m[k];
+  }
+  /* { */
+}
+'''
+
+
+def test_strings_generics_jsx_and_wrapped_parameters(spark):
+    df = spark.createDataFrame([("r", "a.py", 1, HARD_PY), ("r", "b.tsx", 2, HARD_TS)],
+                               "repo string, path string, ord bigint, content string")
+    rows = segment_units(df).collect()
+    got = {(r.file, r.name): (r.start_line, r.line_count) for r in rows}
+    assert got == {("a.py", "f"): (1, 3), ("a.py", "g"): (5, 8), ("b.tsx", "pick"): (2, 5), ("b.tsx", "Card"): (7, 5),
+                   ("b.tsx", "many"): (12, 6), ("b.tsx", "get"): (19, 5)}
+    code = {r.name: r.code for r in rows}
+    assert code["g"].endswith("    return a") and code["Card"].endswith("</div>\n)")
+    assert code["get"].startswith("get<T>(") and code["get"].endswith("  }")
