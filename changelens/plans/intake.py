@@ -44,6 +44,28 @@ def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "owner", "repo", "reject_reason")
 
 
+def pr_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change URLs made of page ids: with a further path, blanks around, another
+    scheme, no change, and a number too long to be one."""
+    i = F.col("page_id").cast("string")
+    url = (F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("https://github.com/o"), i, F.lit("/r/pull/"), i, F.lit("/files")))
+           .when(F.col("page_id") % 5 == 1, F.concat(F.lit("http://github.com/o/r/pull/"), i))
+           .when(F.col("page_id") % 5 == 2, F.concat(F.lit(" \n https://github.com/o/r"), i, F.lit("/pull/"), i, F.lit("  ")))
+           .when(F.col("page_id") % 5 == 3, F.concat(F.lit("https://github.com/o/r"), i))
+           .otherwise(F.concat(F.lit("https://github.com/o/r/pull/9999999999999999999999"), i)))
+    pages = table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+    return targets.parse_targets(pages, "url", kind="pr").select("page_id", "owner", "repo", "pr_number", "reject_reason")
+
+
+def stage_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the later stages, which answer with other statuses."""
+    out = None
+    for stage in ("duplicates", "architecture", "review", "tests"):
+        one = outcomes.outcome_counts(fetch_log(spark, sf_dir), stage).select(F.lit(stage).alias("stage"), "category", "status", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.outcome_counts(fetch_log(spark, sf_dir), "fetch")
 
@@ -107,6 +129,22 @@ SELECT category,
 FROM c GROUP BY 1, 2
 """
 
+SQL_STAGE_OUTCOMES = f"""
+WITH {SQL_FETCH_LOG},
+s AS (SELECT unnest(['duplicates', 'architecture', 'review', 'tests']) AS stage, unnest([400, 400, 502, 502]) AS failed)
+SELECT stage, category, CASE WHEN category = 'ok' THEN 200 WHEN category = 'rate_limited' THEN 429 ELSE failed END AS status,
+       CAST(count(*) AS BIGINT) AS n
+FROM c CROSS JOIN s GROUP BY 1, 2, 3
+"""
+
+SQL_PR_TARGETS = """
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'o' || page_id WHEN 2 THEN 'o' WHEN 4 THEN 'o' END AS owner,
+       CASE page_id % 5 WHEN 0 THEN 'r' WHEN 2 THEN 'r' || page_id WHEN 4 THEN 'r' END AS repo,
+       CASE WHEN page_id % 5 IN (0, 2) THEN page_id END AS pr_number,
+       CASE WHEN page_id % 5 IN (1, 3) THEN 'not a pull request URL' END AS reject_reason
+FROM pages
+"""
+
 SQL_PAGE_TARGETS = r"""
 WITH s AS (SELECT page_id, url, regexp_replace(url, '^\s+|\s+$', '', 'g') AS u FROM pages),
 m AS (SELECT *, regexp_matches(u, '^https://[A-Za-z0-9.-]+\.example\.(?:com|net|org)/([^/]+)/([^/]+)') AS ok FROM s)
@@ -136,6 +174,8 @@ FROM l LEFT JOIN c ON c.file = l.file GROUP BY l.repo
 
 QUERIES = {
     "page_targets": page_targets,
+    "pr_targets": pr_targets,
+    "stage_outcomes": stage_outcomes,
     "fetch_outcomes": fetch_outcomes,
     "capped_files": capped_files,
     "analyzed_counts": analyzed_counts,
@@ -143,6 +183,8 @@ QUERIES = {
 
 ORACLE = {
     "page_targets": SQL_PAGE_TARGETS,
+    "pr_targets": SQL_PR_TARGETS,
+    "stage_outcomes": SQL_STAGE_OUTCOMES,
     "fetch_outcomes": SQL_FETCH_OUTCOMES,
     "capped_files": SQL_CAPPED,
     "analyzed_counts": SQL_ANALYZED,

@@ -54,8 +54,8 @@ def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grammar-free segmentation of the turn files, then the min-size rule."""
-    units = dedup.min_size_filter(segment_units(spread(turn_files(spark, sf_dir))))
+    """Grammar-free segmentation of the turn files."""
+    units = segment_units(spread(turn_files(spark, sf_dir)))
     return units.select("file", "name", "start_line", "line_count", "lang_group", "n_chars",
                         F.md5("code").alias("code_md5"))
 
@@ -99,6 +99,12 @@ def code_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file", "name", "start_line", "line_count", "lang_group", F.md5("code").alias("code_md5"))
 
 
+def sized_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions that a duplicate scan looks at: three lines or more."""
+    units = dedup.min_size_filter(segment_units(code_files(spark, sf_dir)))
+    return units.select("file", "name", "start_line", "line_count")
+
+
 def code_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports and symbols of the files made from turns."""
     st = structure.file_structures(code_files(spark, sf_dir))
@@ -160,6 +166,7 @@ QUERIES = {
     "turn_functions": turn_functions,
     "turn_structures": turn_structures,
     "code_functions": code_functions,
+    "sized_functions": sized_functions,
     "code_structures": code_structures,
 }
 
@@ -182,7 +189,7 @@ u AS (
          CAST(length(code) AS INTEGER) AS n_chars, md5(code) AS code_md5
   FROM f
 )
-SELECT * FROM u WHERE line_count >= 3
+SELECT * FROM u
 """
 
 SQL_TURN_STRUCTURES = """
@@ -220,6 +227,8 @@ SELECT file, name, CAST(start_line AS INTEGER) AS start_line, CAST(line_count AS
        md5(code) AS code_md5 FROM u
 """
 
+SQL_SIZED_FUNCTIONS = f"SELECT file, name, start_line, line_count FROM ({SQL_CODE_FUNCTIONS}) WHERE line_count >= 3"
+
 SQL_CODE_STRUCTURES = f"""
 SELECT {_FILE} || CASE WHEN role = 'assistant' THEN '.tsx' ELSE '.py' END AS file,
        CASE WHEN role = 'assistant' THEN 'import x from "y";'
@@ -231,6 +240,7 @@ FROM conversations
 ORACLE = {
     "code_functions": SQL_CODE_FUNCTIONS,
     "code_structures": SQL_CODE_STRUCTURES,
+    "sized_functions": SQL_SIZED_FUNCTIONS,
     "turn_functions": SQL_TURN_FUNCTIONS,
     "turn_structures": SQL_TURN_STRUCTURES,
     "conversation_segments": SQL_SEGMENTS,
