@@ -130,14 +130,17 @@ FROM h LEFT JOIN h nx ON nx.lang = h.lang AND nx.bucket = h.bucket + 1
 # All pairs of documents, copies and all: nothing is collapsed.  Only pairs that
 # share a shingle can be similar.
 SQL_PAIRS = f"""{SQL_UNITS},
-sized AS (SELECT doc_id, lang, source, bucket, sh, len(sh) AS n FROM s2),
-pp AS (
-  SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.source AS a_repo, b.source AS b_repo
+sized AS MATERIALIZED (
+  SELECT doc_id, lang, source, bucket, list_transform(sh, lambda x: hash(x)) AS sh, len(sh) AS n FROM s2),
+p AS (
+  SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.source AS a_repo, b.source AS b_repo, a.n AS a_n, b.n AS b_n,
+         len(list_intersect(a.sh, b.sh)) AS inter
   FROM sized a JOIN sized b
     ON a.lang = b.lang
    AND ((b.bucket = a.bucket AND b.doc_id > a.doc_id) OR b.bucket = a.bucket + 1)
    AND least(a.n, b.n) >= {T} * greatest(a.n, b.n)
-  WHERE len(list_intersect(a.sh, b.sh)) >= {T} * (a.n + b.n - len(list_intersect(a.sh, b.sh)))
+),
+pp AS (SELECT a_id, b_id, a_repo, b_repo FROM p WHERE inter >= {T} * (a_n + b_n - inter)
 )"""
 
 SQL_DUPLICATE_REPORT = f"""
