@@ -35,7 +35,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     conf = dict(_BASE_CONF)
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor
-        conf["spark.driver.memory"] = os.environ.get("CHANGELENS_DRIVER_MEMORY", "16g")
+        conf["spark.driver.memory"] = os.environ.get("CHANGELENS_DRIVER_MEMORY", "8g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
