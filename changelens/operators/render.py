@@ -44,6 +44,8 @@ def finding_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Fixed values that must equal the reference's: the comment's headings, their
+# order and the shape of its lines.
 def _head_lines(risk: Column, files_changed: Column, summary: Column, key_changes: Column) -> Column:
     head = F.array(F.lit(TITLE), F.lit(""),
                    F.concat(F.lit("**Risk level:** "), risk_mark(risk), F.lit(" "),

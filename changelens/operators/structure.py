@@ -62,7 +62,8 @@ def file_structures(files: DataFrame) -> DataFrame:
 
 
 def structure_block(file: Column, imports: Column, symbols: Column) -> Column:
-    """The per-file text block of the architecture summary:
+    """The per-file text block of the architecture summary (fixed values: its
+    layout must equal the reference's):
 
         FILE: <file>
           imports:
