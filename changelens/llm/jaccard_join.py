@@ -9,7 +9,7 @@ shingle).  The join is exact and gives connected groups, not lists of pairs.
 2. A set that reaches the similarity with another one shares one of its first
    n - ceil(percent n / 100) + 1 tokens, in any order common to all.  Tokens
    that a fixed-size count of all documents shows to be frequent come last.
-   Tokens of one node only are dropped.
+   Tokens at which no two nodes can be similar are dropped.
 3. Connecting: nodes with the same first token meet in signature trees (see
    ``signature_tree``) over their bitmaps.  A pair that the bitmaps allow is
    noted and its nodes count as one group from then on, so a family of near
@@ -48,7 +48,8 @@ from .graphs import components
 SKETCH = 1 << 17           # counters of the token count, whatever the corpus size
 SKETCH_BLOCK = 1 << 11
 FREQUENT = 4               # times the mean counter
-NODE_BITS = 4              # bitmap bits per token
+NODE_BITS = 4              # bitmap bits per token, connecting step
+SMALL_BITS = 1             # the same, completing step: sent once per shared token
 MAX_BITS = 1 << 16
 BLOCK_TOKENS = 4_000_000   # tokens of the sets whose bitmaps one tree holds
 BLOCK_NODES = 4096         # bitmaps one tree holds in the completing step
@@ -163,11 +164,16 @@ def _node_rows(k: int, percent: int, levels):
                 b.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_key(s) for s in sets], pa.binary()),
                 pa.array(prefixes, pa.list_(pa.int64())),
-                pa.array([tree.bits_of(s, min(tree.width_for(len(s), NODE_BITS), MAX_BITS)).tobytes() for s in sets],
-                         pa.binary())], names=["doc_id", "n", "key", "prefix", "bits"])
+                pa.array([_bits(s, NODE_BITS) for s in sets], pa.binary()),
+                pa.array([_bits(s, SMALL_BITS) for s in sets], pa.binary())],
+                names=["doc_id", "n", "key", "prefix", "bits", "small"])
     return run
 
 
+def _bits(s: np.ndarray, per_token: int) -> bytes:
+    return tree.bits_of(s, min(tree.width_for(max(len(s), 1), per_token), MAX_BITS)).tobytes()
+
+
 def _key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -297,10 +303,21 @@ class _Nodes:
         return save(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verify(self.percent), _LINKS))
 
 
+def _worth(rows: DataFrame, percent: int) -> DataFrame:
+    """The tokens at which a pair of groups may be similar, with ``least``: rows of
+    smaller n need not be looked at.  The first token that a similar pair shares
+    is one of the smaller set's first n + 1 - 2 percent n / (100 + percent)."""
+    first = F.col("pos") < F.col("n") + 1 - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
+    return (rows.groupBy("token").agg(
+        F.min("group").alias("x"), F.max("group").alias("y"), F.count(F.lit(1)).alias("c"),
+        F.min(F.when(first, F.col("n"))).alias("least"))
+        .filter("x < y and least is not null").select("token", "c", "least"))
+
+
 def _connecting(shared: DataFrame, nodes: _Nodes) -> DataFrame:
     """Step 3: links among nodes that share their first token."""
-    members = save(shared.groupBy("nid").agg(F.min(F.struct("pos", "token"))["token"].alias("bucket"))
-                   .join(nodes.nodes.select("nid", "n"), "nid"))
+    members = save(shared.groupBy("nid").agg(F.min(F.struct("pos", "token"))["token"].alias("bucket"),
+                                             F.first("n").alias("n")))
     links = None
     while True:
         load = members.groupBy("bucket").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -328,15 +345,14 @@ def _connecting(shared: DataFrame, nodes: _Nodes) -> DataFrame:
 
 def _completing(shared: DataFrame, nodes: _Nodes, groups: DataFrame) -> DataFrame:
     """Step 4: links between groups."""
-    rows = save(shared.select("token", "nid").join(groups, F.col("nid") == F.col("node"), "left").select(
-        "token", "nid", F.coalesce("component", "nid").alias("group")))
-    mixed = rows.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count(F.lit(1)).alias("c")) \
-        .filter("x < y").select("token", F.ceil(F.col("c") / BLOCK_NODES).cast("int").alias("blocks"))
+    rows = save(shared.join(groups, F.col("nid") == F.col("node"), "left").select(
+        "token", "nid", "n", "pos", F.coalesce("component", "nid").alias("group")))
+    mixed = _worth(rows, nodes.percent).select("token", "least", F.ceil(F.col("c") / BLOCK_NODES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")
-    rows = (rows.join(mixed, "token").withColumn("own", own)
+    rows = (rows.join(mixed, "token").filter("n >= least").drop("n", "pos").withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-            .join(nodes.nodes.select("nid", "n", "bits"), "nid")
+            .join(nodes.nodes.select("nid", "n", F.col("small").alias("bits")), "nid")
             .select("token", "lo", "hi", "nid", "group", "n", "bits"))
     return nodes.check(save(rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
                             .mapInArrow(_pairs(nodes.percent, 3, False), _LINKS).distinct()))
@@ -352,12 +368,12 @@ def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     levels = spark.sparkContext.broadcast(frequency_levels(table.filter("block is not null").select("block", "counts")))
     every = table.filter("block is null").select("doc_id", "n", "key")
     first = save(every.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first")))
-    made = rows.mapInArrow(_node_rows(k, percent, levels), "doc_id long, n long, key binary, prefix array<long>, bits binary")
+    made = rows.mapInArrow(_node_rows(k, percent, levels), "doc_id long, n long, key binary, prefix array<long>, bits binary, small binary")
     nodes = save(made.join(first.hint("merge"), (made["key"] == first["key"]) & made["doc_id"].eqNullSafe(first["first"]))
-                 .select(made["key"], "first", "n", "prefix", "bits").withColumn("nid", F.monotonically_increasing_id()))
-    tokens = nodes.select("nid", F.posexplode("prefix").alias("pos", "token"))
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    shared = save(tokens.join(common.hint("merge"), "token").select("token", "nid", "pos"))
+                 .select(made["key"], "first", "n", "prefix", "bits", "small").withColumn("nid", F.monotonically_increasing_id()))
+    tokens = nodes.select("nid", "n", F.posexplode("prefix").alias("pos", "token"))
+    common = _worth(tokens.withColumn("group", F.col("nid")), percent)
+    shared = save(tokens.join(common.hint("merge"), "token").filter("n >= least").select("token", "nid", "n", "pos"))
     own = _Nodes(rows, nodes, k, percent)
     links = _connecting(shared, own)
     links = links.union(_completing(shared, own, save(components(links))))
