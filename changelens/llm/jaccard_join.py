@@ -223,39 +223,97 @@ def _links(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+LEAF_ROWS = 24             # rows that are one leaf: compared without a tree
+
+
+def _row_runs(batches, n_keys: int):
+    """Lists of (nid, group, n, bits) rows that agree in the first ``n_keys``
+    columns (batches come sorted by them); their size is bounded by blocks."""
+    held, held_key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [np.asarray(b.column(i)) for i in range(n_keys)]
+        change = np.zeros(b.num_rows - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        starts = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+        rows = list(zip(*[b.column(n_keys + i).to_pylist() for i in range(4)]))
+        for s, e in zip(starts[:-1], starts[1:]):
+            key = tuple(c[s] for c in cols)
+            if held and key != held_key:
+                yield held
+                held = []
+            held_key = key
+            held += rows[s:e]
+    if held:
+        yield held
+
+
+def _leaf_pairs(rows: list[tuple], percent: int, connect: bool, note) -> None:
+    """The pairs of a few rows (in order of size) that the bitmaps allow."""
+    group = [r[1] for r in rows]
+    bits = [int.from_bytes(r[3], "little") for r in rows]
+    width = [8 * len(r[3]) for r in rows]
+    for i, (x, _, n, _) in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            y, _, m, _ = rows[j]
+            if 100 * n < percent * m:
+                break
+            if group[i] == group[j]:
+                continue
+            a, c = bits[i], bits[j]
+            for w in range(width[j].bit_length() - 1, width[i].bit_length() - 1, -1):
+                c = (c >> (1 << (w - 1))) | (c & ((1 << (1 << (w - 1))) - 1))
+            shared = (a & c).bit_count() + min(n - a.bit_count(), m - c.bit_count())
+            shared = min(shared, n)
+            if 100 * shared >= percent * (n + m - shared):
+                note(x, y)
+                if connect:
+                    old, new = group[j], group[i]
+                    group = [new if g == old else g for g in group]
+
+
+def _tree_pairs(rows: list[tuple], percent: int, connect: bool, note) -> None:
+    """The same of many rows, by signature trees."""
+    nid, sizes = [r[0] for r in rows], np.array([r[2] for r in rows], np.int64)
+    bits = [np.frombuffer(r[3], np.uint64) for r in rows]
+    words = np.array([len(x) for x in bits])
+    groups = tree.Groups([r[1] for r in rows])
+    # similar sizes have bitmaps of one width or of two neighbouring ones
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero((words == w) | (words == 2 * w)).tolist()
+        if len(at) < 2:
+            continue
+        own = tree.Groups([groups.find(i) for i in at])
+
+        def check(i, j):
+            if not (words[at[i]] > w and words[at[j]] > w):
+                note(nid[at[i]], nid[at[j]])
+                if connect:
+                    own.join(i, j)
+                    groups.join(at[i], at[j])
+
+        tree.similar(sizes[at], np.stack([tree.fold(bits[i], w) for i in at]), percent, check, own)
+
+
 def _pairs(percent: int, n_keys: int, connect: bool):
     """Runs of (keys, nid, group, n, bits) rows -> the pairs that the bitmaps
     allow; with ``connect`` only as many as connect what they allow."""
     def run(batches):
         out: set = set()
-        for t in runs(batches, n_keys):
-            if t.num_rows < 2:
+
+        def note(x, y):
+            out.add((min(x, y), max(x, y)))
+
+        for rows in _row_runs(batches, n_keys):
+            if len(rows) < 2:
                 continue
-            t = t.take(np.lexsort((np.asarray(t["nid"]), np.asarray(t["n"]))))
-            nid, sizes = np.asarray(t["nid"]), np.asarray(t["n"])
-            bits = [np.frombuffer(x.as_py(), np.uint64) for x in t["bits"]]
-            words = np.array([len(x) for x in bits])
-            groups = tree.Groups(t["group"].to_pylist())
-            # similar sizes have bitmaps of one width or of two neighbouring ones
-            for w in np.unique(words).tolist():
-                at = np.flatnonzero((words == w) | (words == 2 * w))
-                if len(at) < 2:
-                    continue
-                own = tree.Groups([groups.find(i) for i in at])
-                wide = words[at] > w
-
-                def check(i, j):
-                    if not (wide[i] and wide[j]):
-                        x, y = nid[at[i]], nid[at[j]]
-                        out.add((min(x, y), max(x, y)))
-                        if connect:
-                            own.join(i, j)
-                            groups.join(at[i], at[j])
-
-                tree.similar(sizes[at], np.stack([tree.fold(bits[i], w) for i in at]), percent, check, own)
+            rows.sort(key=lambda r: (r[2], r[0]))
+            (_leaf_pairs if len(rows) <= LEAF_ROWS else _tree_pairs)(rows, percent, connect, note)
             if len(out) > 50_000:
                 yield _links(sorted(out))
-                out = set()
+                out.clear()
         yield _links(sorted(out))
     return run
 
