@@ -223,7 +223,7 @@ def _links(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-LEAF_ROWS = 24             # rows that are one leaf: compared without a tree
+LEAF_ROWS = 512            # rows that are one leaf: compared without a tree
 
 
 def _row_runs(batches, n_keys: int):
