@@ -91,7 +91,8 @@ def diagram_text(edges: DataFrame, top: DataFrame) -> DataFrame:
 
 # Fixed candidate suffixes for JS/TS module paths (resolution order).
 JS_SUFFIXES = ["", ".js", ".jsx", ".ts", ".tsx", "/index.js", "/index.jsx", "/index.ts", "/index.tsx"]
-_PY_IMPORT_MODULE = r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"
+_PY_FROM = r"(?s)^\s*from\s+(\.*)([^\s.]\S*|)\s+import\b(.*)$"
+_PY_IMPORT = r"(?s)^\s*import\s+(.*)$"
 _JS_IMPORT_PATH = r"""['"]([^'"]+)['"]"""
 
 
@@ -109,40 +110,92 @@ def _normalize_path(p):
                                         F.array(part))).otherwise(step(done, part))), "/")
 
 
-def code_import_edges(structures: DataFrame) -> DataFrame:
-    """Code imports -> (repo, src_file, dst_module, candidates).
+def _py_imported(stmt):
+    """(dots, module, name) of everything a Python import statement names; name
+    is empty where a module as a whole is imported (``import a``, ``*``)."""
+    def first_words(c):
+        words = F.transform(F.split(F.regexp_replace(c, r"[()\\]", " "), ","),
+                            lambda x: F.regexp_extract(x, r"^\s*(\S+)", 1))
+        return F.filter(words, lambda x: x != "")
+
+    dots, module = F.regexp_extract(stmt, _PY_FROM, 1), F.regexp_extract(stmt, _PY_FROM, 2)
+    plain = F.transform(first_words(F.regexp_extract(stmt, _PY_IMPORT, 1)), lambda m: F.struct(
+        F.lit("").alias("dots"), m.alias("module"), F.lit("").alias("name")))
+    named = F.transform(first_words(F.regexp_extract(stmt, _PY_FROM, 3)), lambda n: F.struct(
+        dots.alias("dots"), module.alias("module"), F.when(n == "*", F.lit("")).otherwise(n).alias("name")))
+    return F.when(F.concat(dots, module) != "", named).otherwise(plain)
+
+
+def _py_candidates(src_file, dots, module, name):
+    """(module, file) in resolution order; none when the dots climb above the root."""
+    above = F.split(src_file, "/")
+    depth = F.size(above) - F.length(dots)          # folders that are left
+    folder = F.when(dots == "", F.array().cast("array<string>")).when(
+        depth >= 0, F.slice(above, F.lit(1), F.greatest(depth, F.lit(0))))
+    base = F.concat(folder, F.when(module == "", F.array().cast("array<string>")).otherwise(F.split(module, r"\.")))
+    written = F.concat(dots, module)
+    sub = F.concat(written, F.when(module == "", F.lit("")).otherwise(F.lit(".")), name)
+
+    def one(mod, parts, ending=""):
+        return F.struct(mod.alias("module"), F.concat(F.array_join(parts, "/"), F.lit(ending)).alias("file"))
 
-    Python: ``import a.b`` / ``from a.b import c`` -> module ``a.b`` with file
-    candidates ``a/b.py`` and ``a/b/__init__.py``.  JS/TS: the quoted path; a
-    relative one (``./``, ``../``) is resolved against the importing file's
-    folder and tried with the usual extensions and ``index`` files; a bare
-    package name stays a module name.
+    named, init = F.concat(base, F.array(name)), F.array(F.lit("__init__.py"))
+    none = F.array().cast("array<struct<module:string,file:string>>")
+    cands = F.concat(
+        F.when(name == "", none).otherwise(F.array(one(sub, named, ".py"), one(sub, F.concat(named, init)))),
+        F.when(module == "", none).otherwise(F.array(one(written, base, ".py"))), F.array(one(written, F.concat(base, init))))
+    return F.when(base.isNotNull(), cands).otherwise(none)
+
+
+def _js_candidates(src_file, path):
+    base = _normalize_path(F.concat(F.regexp_extract(src_file, r"^(.*/)?[^/]*$", 1), path))
+    return F.when(path.startswith("."), F.array(*[
+        F.struct(path.alias("module"), F.concat(base, F.lit(s)).alias("file")) for s in JS_SUFFIXES])).otherwise(
+        F.array().cast("array<struct<module:string,file:string>>"))
+
+
+def code_import_edges(structures: DataFrame) -> DataFrame:
+    """Code imports -> (repo, src_file, dst_module, name, candidates), candidates
+    being (module, file) in resolution order.
+
+    Python: every module of ``import a.b, c`` and every name of ``from a.b
+    import c, d``.  ``a.b`` has the files ``a/b.py`` and ``a/b/__init__.py``; a
+    name of it is tried first as a module of its own (``a/b/c.py``,
+    ``a/b/c/__init__.py``, as module ``a.b.c``).  Leading dots start at the
+    importing file's folder, one more dot a folder higher; above the root
+    nothing is found.  JS/TS: the quoted path; a relative one (``./``, ``../``)
+    is resolved against the importing file's folder and tried with the usual
+    extensions and ``index`` files; a bare package name stays a module name.
+
+    ``statements`` (imports without comments, see ``structure``) is read where
+    ``structures`` has it, else ``imports``.
     """
-    e = structures.select("repo", F.col("file").alias("src_file"), F.explode("imports").alias("imp"))
-    is_py = F.col("src_file").endswith(".py")
-    py_mod = F.coalesce(F.nullif(F.regexp_extract("imp", _PY_IMPORT_MODULE, 1), F.lit("")),
-                        F.nullif(F.regexp_extract("imp", _PY_IMPORT_MODULE, 2), F.lit("")))
-    js_path = F.nullif(F.regexp_extract("imp", _JS_IMPORT_PATH, 1), F.lit(""))
-    module = F.when(is_py, py_mod).otherwise(js_path)
-    py_base = F.replace(py_mod, F.lit("."), F.lit("/"))
-    folder = F.regexp_extract("src_file", r"^(.*/)?[^/]*$", 1)
-    js_rel = js_path.startswith(".")
-    js_base = _normalize_path(F.concat(folder, js_path))
-    cands = (F.when(is_py, F.array(F.concat(py_base, F.lit(".py")), F.concat(py_base, F.lit("/__init__.py"))))
-             .when(js_rel, F.array(*[F.concat(js_base, F.lit(s)) for s in JS_SUFFIXES]))
-             .otherwise(F.array().cast("array<string>")))
-    return (e.select("repo", "src_file", module.alias("dst_module"), cands.alias("candidates"))
-            .filter(F.col("dst_module").isNotNull()).dropDuplicates(["repo", "src_file", "dst_module"]))
+    text = "statements" if "statements" in structures.columns else "imports"
+    e = structures.select("repo", F.col("file").alias("src_file"), F.explode(text).alias("imp"))
+    path = F.regexp_extract("imp", _JS_IMPORT_PATH, 1)
+    quoted = F.array(F.struct(F.lit("").alias("dots"), path.alias("module"), F.lit("").alias("name")))
+    is_py, src = F.col("src_file").endswith(".py"), F.col("src_file")
+    e = e.select("repo", "src_file", F.explode(F.when(is_py, _py_imported(F.col("imp"))).otherwise(quoted)).alias("i"))
+    e = e.select("repo", "src_file", F.concat("i.dots", "i.module").alias("dst_module"), F.col("i.name").alias("name"),
+                 F.when(is_py, _py_candidates(src, F.col("i.dots"), F.col("i.module"), F.col("i.name")))
+                 .otherwise(_js_candidates(src, F.col("i.module"))).alias("candidates"))
+    return e.filter(F.col("dst_module") != "").dropDuplicates(["repo", "src_file", "dst_module", "name"])
 
 
 def resolve_code_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds ``dst_file`` (first candidate that is a file of the same repo) and
-    ``internal``.  Candidates are exploded and equi-joined on (repo, file);
-    the first hit by candidate order is kept with a ``min_by`` aggregate."""
-    names = files.select("repo", F.col("file").alias("cand")).distinct()
-    hits = (edges.select("repo", "src_file", "dst_module", F.posexplode("candidates").alias("pos", "cand"))
-            .join(names, ["repo", "cand"])
-            .groupBy("repo", "src_file", "dst_module")
-            .agg(F.min_by("cand", "pos").alias("dst_file")))
-    return (edges.drop("candidates").join(hits, ["repo", "src_file", "dst_module"], "left")
-            .withColumn("internal", F.col("dst_file").isNotNull()))
+    """(repo, src_file, dst_module, dst_file, internal): ``dst_file`` is the first
+    candidate that is a file of the same repo, ``dst_module`` its module (an
+    imported name that is no file counts for the module it comes from).
+    Candidates are exploded and joined on (repo, file), a unique right side; the
+    first hit by candidate order is kept with a ``min_by`` aggregate.  An edge
+    without candidates keeps its row by a name that no file can have."""
+    names = files.select("repo", F.col("file").alias("cand"), F.lit(True).alias("hit")).distinct()
+    none = F.array(F.struct(F.col("dst_module").alias("module"), F.concat(F.lit("\0"), "src_file").alias("file")))
+    key = ["repo", "src_file", "dst_module", "name"]
+    tried = (edges.select(*key, F.posexplode(F.when(F.size("candidates") > 0, F.col("candidates")).otherwise(none))
+                          .alias("pos", "c"))
+             .select(*key, "pos", F.col("c.module").alias("module"), F.col("c.file").alias("cand")))
+    best = (tried.join(names, ["repo", "cand"], "left").groupBy(*key)
+            .agg(F.min_by(F.when(F.col("hit"), F.struct("module", "cand")), F.when(F.col("hit"), F.col("pos"))).alias("best")))
+    return best.select("repo", "src_file", F.coalesce("best.module", "dst_module").alias("dst_module"),
+                       F.col("best.cand").alias("dst_file"), F.col("best").isNotNull().alias("internal")).distinct()

@@ -55,7 +55,7 @@ def architecture_facts(files: DataFrame, max_files: int | None = None,
     told = caps.cap_per_repo(st, max_files).drop("rank_in_repo") if max_files else st
     text = structure.structure_text(told)
     edges = graph.resolve_code_imports(graph.code_import_edges(st), st)
-    internal = edges.filter("internal").select("repo", "src_file", F.col("dst_file").alias("dst_module"))
+    internal = edges.filter("internal").select("repo", "src_file", F.col("dst_file").alias("dst_module")).distinct()
     degrees = graph.module_degree(internal)
     diagram = graph.diagram_text(internal, graph.top_modules(degrees, top_k))
     requests = inference.build_requests(

@@ -3,8 +3,7 @@
 The reference walks a syntax tree; here each file is one row and the facts
 are read with regular expressions inside the row (no explode, no shuffle).
 Deviations from a real grammar: imports inside strings or comments are
-counted, Python backslash continuations are not joined, and JS ``require``
-calls are not imports (the reference only takes import statements either).
+counted, and JS ``require`` calls are not imports (the reference only takes import statements either).
 """
 
 from __future__ import annotations
@@ -15,9 +14,11 @@ from pyspark.sql import functions as F
 from .languages import path_extension, scan_group
 
 # Python: ``import a`` / ``from a import (b,\n c)`` at any depth.
-# Statements may follow a semicolon; comments after them are left out.
-PY_IMPORT = (r"(?m)(?:^|;)[ \t]*(import[ \t]+[^\n;#]*"
-             r"|from[ \t]+[^\s]+[ \t]+import[ \t]*(?:\([^)]*\)|[^\n;#(]*))")
+# Statements may follow a semicolon and go on after a backslash; comments after
+# them are left out, those inside brackets belong to them.
+PY_IMPORT = (r"(?m)(?:^|;)[ \t]*(import[ \t]+[^\n;#\\]*+(?:\\\n[^\n;#\\]*+)*+"
+             r"|from[ \t]+[^\s]+[ \t]+import[ \t]*"
+             r"(?:\([^)#]*+(?:#[^\n]*+[^)#]*+)*+\)|[^\n;#(\\]*+(?:\\\n[^\n;#(\\]*+)*+))")
 # JS/TS: ``import x from 'm';``, ``import {a,\n b} from "m"``, ``import 'm'``.
 JS_IMPORT = r"(?m)^[ \t]*import\b[^;'\"]*?['\"][^'\"\n]*['\"];?"
 # Defined names: Python functions and classes at every depth (methods and
@@ -32,12 +33,22 @@ def _clean_import(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, "\n", " "), r"(?U)^\s+|\s+$", "")
 
 
-def extract_imports(content: Column, group: Column) -> Column:
-    """Import statements of one file, in file order, one line each."""
+def _import_statements(content: Column, group: Column) -> Column:
     py = F.regexp_extract_all(content, F.lit(PY_IMPORT), 1)
     js = F.regexp_extract_all(content, F.lit(JS_IMPORT), 0)
-    arr = F.when(group == "python", py).when(group == "js_ts", js).otherwise(F.array().cast("array<string>"))
-    return F.transform(arr, _clean_import)
+    return F.when(group == "python", py).when(group == "js_ts", js).otherwise(F.array().cast("array<string>"))
+
+
+def extract_imports(content: Column, group: Column) -> Column:
+    """Import statements of one file, in file order, one line each."""
+    return F.transform(_import_statements(content, group), _clean_import)
+
+
+def bare_imports(content: Column, group: Column) -> Column:
+    """The same without Python comments, which end where their line does and
+    cannot be told from names once a statement is one line."""
+    return F.transform(_import_statements(content, group), lambda x: _clean_import(
+        F.when(group == "python", F.regexp_replace(x, "#[^\n]*", "")).otherwise(x)))
 
 
 def extract_symbols(content: Column, group: Column) -> Column:
@@ -49,7 +60,8 @@ def extract_symbols(content: Column, group: Column) -> Column:
 
 
 def file_structures(files: DataFrame) -> DataFrame:
-    """files(repo, path, ord, content) -> (repo, file, ord, imports, symbols).
+    """files(repo, path, ord, content) -> (repo, file, ord, imports, symbols,
+    statements); statements are the imports without comments.
 
     Only files with content get a row (as in the reference); a file with no
     import or symbol gets empty arrays.
@@ -58,7 +70,8 @@ def file_structures(files: DataFrame) -> DataFrame:
     return (files.filter(F.col("content").isNotNull() & (F.length("content") > 0))
             .select("repo", F.col("path").alias("file"), "ord",
                     extract_imports(F.col("content"), grp).alias("imports"),
-                    extract_symbols(F.col("content"), grp).alias("symbols")))
+                    extract_symbols(F.col("content"), grp).alias("symbols"),
+                    bare_imports(F.col("content"), grp).alias("statements")))
 
 
 def structure_block(file: Column, imports: Column, symbols: Column) -> Column:

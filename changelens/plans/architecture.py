@@ -2,7 +2,8 @@
 
 Binding: each page is a file of its host's repo (repo = host, file = URL
 path); its ``href`` targets are its imports and its ``<h1>`` texts the
-symbols it defines.
+symbols it defines.  For code, a page is a Python file of its host's repo
+(``code_files``) that imports what the page links to.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import with_computed_once
 from ..operators import graph, structure
 from .common import spread, table
 
 HOST = r"^https?://([^/?#]+)"
 PATH = r"^https?://[^/?#]+([^?#]*)"
+FOLDER = r"^https?://[^/?#]+/([A-Za-z0-9_]+)"
 HREF = r'href="([^"]*)"'
 H1 = r"<h1>(.*?)</h1>"
 
@@ -40,6 +43,34 @@ def structures_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join("symbols", "\n").alias("symbols_text"))
 
 
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as a Python file: the folder is the first part of the URL path,
+    the module is named after the first letter of the first link (a package when
+    the path ends with a slash), and the links are imported in every form of the
+    statement, with whole links in its comments."""
+    pages = spread(table(spark, sf_dir, "pages"))
+    links = F.transform(F.regexp_extract_all("html", F.lit(HREF), 1), lambda x: F.regexp_replace(x, r"[\r\n]", " "))
+    p = with_computed_once(pages.select("page_id", "url", "html"), links=links, repo=F.regexp_extract("url", HOST, 1),
+                           d=F.regexp_extract("url", FOLDER, 1), package=F.regexp_extract("url", PATH, 1).endswith("/"))
+    raw = [F.coalesce(F.get("links", F.lit(i)), F.lit("none")) for i in range(6)]
+    n = [F.concat(F.lit("m"), F.regexp_replace(F.substring(x, 2, 1), "[^A-Za-z0-9]", "_")) for x in raw]
+    d = F.col("d")
+    content = F.concat(
+        F.lit("import os, "), d, F.lit("."), n[1], F.lit(" as x; import sys\n"),
+        F.lit("from "), d, F.lit(" import ("), n[2], F.lit(",  # "), raw[2], F.lit(", (see)\n    "), n[3], F.lit(" as y,\n)\n"),
+        F.lit("from . import "), n[4], F.lit("  # "), raw[4], F.lit("\nfrom ."), n[5], F.lit(" import run, \\\n    "), n[1],
+        F.lit("\nfrom .."), d, F.lit(" import "), n[2], F.lit("\nfrom "), d, F.lit("."), n[3], F.lit(" import *\n"))
+    path = F.concat(d, F.lit("/"), n[0], F.when(F.col("package"), F.lit("/__init__.py")).otherwise(F.lit(".py")))
+    return with_computed_once(p.select("repo", F.col("page_id").alias("ord"), "d", "package", "links"),
+                              path=path, content=content).select("repo", "path", "ord", "content")
+
+
+def code_import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import edges of the code files, each resolved to a file of its repo."""
+    st = structure.file_structures(code_files(spark, sf_dir))
+    return graph.resolve_code_imports(graph.code_import_edges(st), st)
+
+
 def _edges(spark, sf_dir):
     s = page_structures(spark, sf_dir)
     return s, graph.resolve_imports(graph.import_edges(s), s)
@@ -125,6 +156,53 @@ SQL_IMPORT_EDGES = "WITH " + SQL_EDGES + """
 SELECT repo, src_file, dst_module, internal FROM e
 """
 
+SQL_CODE_IMPORT_EDGES = r"""
+WITH l AS (
+  SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS repo,
+         regexp_extract(url, '^https?://[^/?#]+/([A-Za-z0-9_]+)', 1) AS d,
+         regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) LIKE '%/' AS package,
+         list_transform(range(1, 7), lambda i: 'm' || regexp_replace(
+             substr(coalesce(regexp_extract_all(html, 'href="([^"]*)"', 1)[i], 'none'), 2, 1), '[^A-Za-z0-9]', '_', 'g')) AS n
+  FROM pages
+),
+f AS (
+  SELECT DISTINCT repo, d, n, package, d || '/' || n[1] || CASE WHEN package THEN '/__init__.py' ELSE '.py' END AS src_file,
+         CASE WHEN package THEN d || '/' || n[1] ELSE d END AS here,
+         CASE WHEN package THEN d || '/' || d ELSE d END AS above
+  FROM l
+),
+u AS (
+  SELECT repo, src_file, unnest([
+    {'m': 'os', 'p': 'os', 'n': ''}, {'m': 'sys', 'p': 'sys', 'n': ''},
+    {'m': d || '.' || n[2], 'p': d || '/' || n[2], 'n': ''},
+    {'m': d, 'p': d, 'n': n[3]}, {'m': d, 'p': d, 'n': n[4]},
+    {'m': '.', 'p': here, 'n': n[5]},
+    {'m': '.' || n[6], 'p': here || '/' || n[6], 'n': 'run'},
+    {'m': '.' || n[6], 'p': here || '/' || n[6], 'n': n[2]},
+    {'m': '..' || d, 'p': above, 'n': n[3]},
+    {'m': d || '.' || n[4], 'p': d || '/' || n[4], 'n': ''}]) AS x
+  FROM f
+),
+i AS (SELECT DISTINCT repo, src_file, x.m AS m, x.p AS p, x.n AS n FROM u),
+t AS (
+  SELECT repo, src_file, m, p, n, CASE WHEN m = '.' THEN '.' || n ELSE m || '.' || n END AS own,
+         unnest([1, 2, 3, 4]) AS k FROM i
+),
+c AS (
+  SELECT repo, src_file, m, n, k, CASE WHEN k <= 2 THEN own ELSE m END AS dst_module,
+         CASE k WHEN 1 THEN p || '/' || n || '.py' WHEN 2 THEN p || '/' || n || '/__init__.py'
+                WHEN 3 THEN p || '.py' ELSE p || '/__init__.py' END AS dst_file
+  FROM t WHERE (k > 2 OR n <> '') AND (k <> 3 OR m <> '.')
+),
+hit AS (
+  SELECT c.repo, c.src_file, c.m, c.n, arg_min(c.dst_module, k) AS dst_module, arg_min(c.dst_file, k) AS dst_file
+  FROM c JOIN (SELECT DISTINCT repo, src_file AS dst_file FROM f) USING (repo, dst_file) GROUP BY 1, 2, 3, 4
+)
+SELECT DISTINCT i.repo, i.src_file, coalesce(hit.dst_module, i.m) AS dst_module, hit.dst_file,
+       hit.dst_file IS NOT NULL AS internal
+FROM i LEFT JOIN hit ON hit.repo = i.repo AND hit.src_file = i.src_file AND hit.m = i.m AND hit.n = i.n
+"""
+
 SQL_EXTERNAL = "WITH " + SQL_EDGES + """
 SELECT repo, CAST(count(*) AS BIGINT) AS n_external FROM e WHERE NOT internal GROUP BY repo
 """
@@ -170,6 +248,7 @@ FROM b GROUP BY repo, part
 QUERIES = {
     "page_structures": structures_summary,
     "import_edges": import_edges,
+    "code_import_edges": code_import_edges,
     "external_import_counts": external_import_counts,
     "module_degrees": module_degrees,
     "top_modules": top_modules,
@@ -180,6 +259,7 @@ QUERIES = {
 ORACLE = {
     "page_structures": SQL_STRUCTURES,
     "import_edges": SQL_IMPORT_EDGES,
+    "code_import_edges": SQL_CODE_IMPORT_EDGES,
     "external_import_counts": SQL_EXTERNAL,
     "module_degrees": SQL_DEGREES,
     "top_modules": SQL_TOP,

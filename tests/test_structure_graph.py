@@ -101,3 +101,22 @@ def test_resolve_code_imports(spark):
     assert got == {("app/main.py", "pkg.util"): "pkg/util.py", ("app/main.py", "pkg.sub"): "pkg/sub/__init__.py",
                    ("app/main.py", "os"): None, ("web/app/b.js", "../lib/a"): "web/lib/a.ts",
                    ("web/app/b.js", "../lib"): "web/lib/index.js", ("web/app/b.js", "react"): None}
+
+
+def test_resolve_every_python_import_form(spark):
+    main = ("import os, pkg.b as x, pkg.sub\nfrom . import near\nfrom .near import c, \\\n    deep\n"
+            "from pkg import (b,  # (one, two)\n    d, nowhere)\nfrom ..pkg import d\nfrom ....far import z\n"
+            "from pkg.sub import *; import pkg.d\n")
+    rows = [("r", "app/main.py", 1, main), ("r", "pkg/__init__.py", 2, "x = 1\n"), ("r", "pkg/b.py", 3, "from . import d\n"),
+            ("r", "pkg/d.py", 4, "x = 1\n"), ("r", "pkg/sub/__init__.py", 5, "from . import one, two\nfrom .. import b\n"),
+            ("r", "pkg/sub/two.py", 6, "x = 1\n"), ("r", "app/near.py", 7, "x = 1\n"), ("r", "far.py", 8, "from . import top\n"),
+            ("r", "top.py", 9, "import near\n"), ("q", "near.py", 1, "x = 1\n")]
+    st = structure.file_structures(spark.createDataFrame(rows, "repo string, path string, ord bigint, content string"))
+    got = sorted((r.src_file, r.dst_module, r.dst_file or "") for r in graph.resolve_code_imports(
+        graph.code_import_edges(st), st).collect())
+    assert got == sorted([
+        ("app/main.py", "os", ""), ("app/main.py", "pkg.b", "pkg/b.py"), ("app/main.py", "pkg.sub", "pkg/sub/__init__.py"),
+        ("app/main.py", ".near", "app/near.py"), ("app/main.py", "pkg.d", "pkg/d.py"), ("app/main.py", "pkg", "pkg/__init__.py"),
+        ("app/main.py", "..pkg.d", "pkg/d.py"), ("app/main.py", "....far", ""), ("pkg/b.py", ".d", "pkg/d.py"),
+        ("pkg/sub/__init__.py", ".", "pkg/sub/__init__.py"), ("pkg/sub/__init__.py", ".two", "pkg/sub/two.py"),
+        ("pkg/sub/__init__.py", "..b", "pkg/b.py"), ("far.py", ".top", "top.py"), ("top.py", "near", "")])
