@@ -3,7 +3,8 @@
 Bindings: ``documents`` are diffs (key = doc_id); the architecture prompt
 uses the page structure text per host; ``events.props`` are model answers
 wrapped per event type (plain, fenced with tag, fenced without tag, a JSON
-array, an object missing the required key); ``orders`` are reviews
+array, an object missing the required key); ``answer_findings`` makes review answers of
+documents; ``orders`` are reviews
 (priority -> risk) and ``lineitem`` rows their issues (return flag ->
 severity, line status -> confidence); ``conversations`` are test answers
 (role = language, blank text = empty test code, capitalised words =
@@ -131,10 +132,24 @@ def _findings(spark, sf_dir):
 def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues per (severity, confidence); reviews with none under nulls."""
     heads = _review_heads(spark, sf_dir).select("key")
-    # an order has at most a handful of lines, as a review has of issues
-    issues = _findings(spark, sf_dir).groupBy("key").agg(F.collect_list(
-        F.struct("severity", "description", "confidence")).alias("issues"))
-    return R.finding_counts(R.explode_findings(heads.join(issues, "key", "left")))
+    findings = _findings(spark, sf_dir).select("key", "severity", "confidence")
+    return R.finding_counts(heads.join(findings, "key", "left"))
+
+
+def answer_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of parsed review answers, whose issues are an array in the row:
+    one for each line of a document, none where it has one line."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.split("text", "\n").alias("lines"))
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), n % len(values))
+    issues = F.transform("lines", lambda x: F.struct(
+        pick(["low", "medium", "high"], F.length(x)).alias("severity"), x.alias("description"),
+        pick(["low", "high"], F.length(x)).alias("confidence")))
+    raw = F.to_json(F.struct(F.lit("s").alias("summary"), F.lit("low").alias("risk_level"), F.array(F.lit("c")).alias("key_changes"),
+                             F.lit(1).alias("files_changed"),
+                             F.when(F.size("lines") > 1, issues).otherwise(F.slice(issues, 1, 0)).alias("issues")))
+    valid = I.parse_valid(I.validate_responses(d.select("key", raw.alias("raw")), I.REQUIRED_KEYS["review"],
+                                               types=I.KEY_TYPES["review"]), I.REVIEW_SCHEMA)
+    return R.explode_findings(valid).select("key", "pos", "severity", "confidence", F.md5("description").alias("description_md5"))
 
 
 def comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,6 +347,14 @@ FROM heads h LEFT JOIN f ON f.key = h.key GROUP BY 1, 2
 
 _RM = " ".join(f"WHEN risk_level = '{k}' THEN '{v}'" for k, v in R.RISK_MARKS.items())
 
+SQL_ANSWER_FINDINGS = """
+WITH l AS (SELECT doc_id AS key, string_split(text, chr(10)) AS lines FROM documents),
+i AS (SELECT key, unnest(range(0, len(lines))) AS p, unnest(lines) AS line FROM l WHERE len(lines) > 1)
+SELECT key, CAST(p AS INTEGER) AS pos, ['low', 'medium', 'high'][CAST(length(line) % 3 + 1 AS INTEGER)] AS severity,
+       ['low', 'high'][CAST(length(line) % 2 + 1 AS INTEGER)] AS confidence, md5(line) AS description_md5 FROM i
+UNION ALL SELECT key, NULL, NULL, NULL, NULL FROM l WHERE len(lines) = 1
+"""
+
 SQL_COMMENT_LINES = f"""
 WITH {SQL_HEADS},
 hl AS (
@@ -386,6 +409,7 @@ QUERIES = {
     "architecture_requests": architecture_requests,
     "response_checks": response_checks,
     "finding_counts": finding_counts,
+    "answer_findings": answer_findings,
     "comment_lines": comment_lines,
     "tests_summary": tests_summary,
     "covered_functions": covered_functions,
@@ -399,6 +423,7 @@ ORACLE = {
     "architecture_requests": _sql_architecture(),
     "response_checks": SQL_RESPONSE_CHECKS,
     "finding_counts": SQL_FINDING_COUNTS,
+    "answer_findings": SQL_ANSWER_FINDINGS,
     "comment_lines": SQL_COMMENT_LINES,
     "tests_summary": SQL_TESTS_SUMMARY,
     "covered_functions": SQL_COVERED,

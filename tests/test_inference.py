@@ -156,3 +156,9 @@ def test_type_drift_is_rejected(spark):
     v = I.validate_responses(df, I.REQUIRED_KEYS["review"], types=I.KEY_TYPES["review"])
     assert {r.key: r.reject_reason for r in v.collect()} == {
         "none": "wrong types: issues", "text": "wrong types: files_changed", "null": None}
+
+
+def test_finding_counts_collect_nothing_per_key(spark):
+    from changelens.plans import reviews
+    plan = reviews.finding_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Generate" not in plan
