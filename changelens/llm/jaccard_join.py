@@ -416,12 +416,10 @@ def _completing(shared: DataFrame, nodes: _Nodes, groups: DataFrame) -> DataFram
                             .mapInArrow(_pairs(nodes.percent, 3, False), _LINKS).distinct()))
 
 
-def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n (set size), key (of its set), component
-    (smallest doc_id of its group), first (smallest doc_id with the same set)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _linked(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, text) rows: doc_id, n, key of each, and one row for each key of
+    a set with tokens: key, group (its group's own number), component, first."""
+    spark = rows.sparkSession
     table = save(rows.mapInArrow(_keys_and_counts(k), _FIRST_PASS))
     levels = spark.sparkContext.broadcast(frequency_levels(table.filter("block is not null").select("block", "counts")))
     every = table.filter("block is null").select("doc_id", "n", "key")
@@ -439,8 +437,18 @@ def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     named = nodes.select("nid", "key", "first").join(final, F.col("nid") == F.col("node"), "left").select(
         "key", "first", F.coalesce("component", "nid").alias("group"))
     least = named.groupBy("group").agg(F.min("first").alias("component"))
-    named = named.join(least, "group").groupBy("key").agg(F.min("component").alias("component"), F.min("first").alias("first"))
-    out = every.select("doc_id", "n", "key").join(named, "key", "left")
+    named = named.join(least, "group").groupBy("key").agg(
+        F.min("group").alias("group"), F.min("component").alias("component"), F.min("first").alias("first"))
+    return every.select("doc_id", "n", "key"), named
+
+
+def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n (set size), key (of its set), component
+    (smallest doc_id of its group), first (smallest doc_id with the same set)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    every, named = _linked(rows, k, percent)
+    out = every.join(named, "key", "left")
     return out.select("doc_id", "n", "key", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"),
                       F.col("first"))
 
@@ -455,15 +463,17 @@ def _with_key(k: int, text_at: int, name: str):
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents of a group but the one of the smallest id.
-
-    Rows that agree in id and shingle set stay or go together.
-    """
-    groups = linked_groups(docs, k, percent)
-    key, gid, gkey = fresh(docs, "shingle_key", "gone_id", "gone_key")
-    gone = groups.filter((F.col("n") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component"))).select(
-        F.col("doc_id").alias(gid), F.col("key").alias(gkey)).distinct()
+    """``docs`` with one row of each group: of the smallest id, null ids last; of
+    equal ids any one.  Rows without shingles all stay."""
+    key, number = fresh(docs, "shingle_key", "row_number")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{key}` binary"
-    rows = docs.mapInArrow(_with_key(k, docs.columns.index("text"), key), schema)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(gid)) & (F.col(key) == F.col(gkey))
-    return rows.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the numbers are written beside the documents, so they are the same at each read
+    rows = save(docs.mapInArrow(_with_key(k, docs.columns.index("text"), key), schema)
+                .withColumn(number, F.monotonically_increasing_id()))
+    _, named = _linked(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent)
+    members = save(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("key"), F.col(number).alias("number"))
+                   .join(named.select("key", "group"), "key").select("group", "doc_id", "number"))
+    kept = members.groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("number")))["number"].alias("number"))
+    gone = members.select("number").join(kept.select("number"), "number", "left_anti").withColumnRenamed("number", number)
+    return rows.join(gone, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -96,6 +96,17 @@ def test_keep_one_keeps_columns(spark):
     assert jaccard_join.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_counts_rows(spark):
+    word = lambda n, c: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(None, word(40, "a")), (None, word(41, "a")), (None, word(40, "a")),        # a group of null ids only
+            (None, word(30, "b")),                                                       # another one
+            (5, word(40, "c")), (5, word(41, "c")), (5, word(40, "c")), (9, word(40, "c")), (None, word(40, "c")),
+            (5, word(30, "d")), (4, ""), (4, ""), (None, None)]
+    out = jaccard_join.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter((r.doc_id, (r.text or "")[:1]) for r in out) == Counter(
+        [(None, "a"), (None, "b"), (5, "c"), (5, "d"), (4, ""), (4, ""), (None, "")])
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(90, 95)], "a long, b long"))
     got = {r.node: r.component for r in components(edges).collect()}
