@@ -14,14 +14,14 @@ from . import caps, dedup, diffs, graph, inference, report, structure
 from .units import segment_units
 
 
-def duplicate_scan(files: DataFrame, method: str = "exact", max_files: int | None = None,
+def duplicate_scan(files: DataFrame, method: str = "shingle", max_files: int | None = None,
                    threshold: float = dedup.SIMILARITY_THRESHOLD, k: int = 5,
                    within_repo: bool = True) -> dict[str, DataFrame]:
     """files(repo, path, ord, content) -> {"units", "pairs", "report"}.
 
-    ``method='exact'``: difflib ratio over band pairs, ranked by similarity
-    (the reference's measure, for bounded inputs).  ``method='shingle'``:
-    exact k-shingle Jaccard with copy groups (the scale path).  ``max_files``
+    ``method='shingle'`` (default): exact k-shingle Jaccard with copy groups
+    (the scale path).  ``method='exact'``: difflib ratio over all pairs of a
+    band, ranked by similarity (the reference's measure, for bounded inputs).  ``max_files``
     applies the reference's per-repo listing cap (off by default).  A scan looks
     at each repo by itself; ``within_repo=False`` compares repos too.  With
     shingles, ``pairs`` are of representatives and ``copies`` has their copies.

@@ -21,6 +21,10 @@ def test_duplicate_scan_exact_and_shingle(spark):
     assert sh["pairs"].count() == 1
 
 
+def test_duplicate_scan_takes_shingles_by_default(spark):
+    assert "copies" in scans.duplicate_scan(_files(spark))
+
+
 def test_architecture_facts(spark):
     out = scans.architecture_facts(_files(spark))
     edges = {(r.src_file, r.dst_module): r.dst_file for r in out["edges"].collect()}
