@@ -257,7 +257,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = known.count()
     if n > max_train:           # a bounded sample, by id hash
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
-    sample = pooled.join(known, "doc_id").select("doc_id", "vector", "y").collect()
+    # one row of each id, however often it repeats
+    sample = pooled.join(known, "doc_id").groupBy("doc_id").agg(F.min("vector").alias("vector"), F.min("y").alias("y")).collect()
     sample.sort(key=lambda r: (r["doc_id"], r["vector"]))
     net = train(np.array([r["vector"] for r in sample], np.float64).reshape(-1, 2 * DIM),
                 np.array([r["y"] for r in sample], np.float64))

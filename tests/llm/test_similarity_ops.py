@@ -192,6 +192,17 @@ def test_quality_model_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.quality for r in held]) > 0.95
 
 
+def test_quality_model_trains_on_one_row_an_id(spark, monkeypatch):
+    sizes, train = [], quality_model.train
+    monkeypatch.setattr(quality_model, "train", lambda x, y: sizes.append((len(x), len(y))) or train(x, y))
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(40)] + [(1, f"other {i}") for i in range(60)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    known = labels.filter(quality_model.fold(F.col("doc_id")) != 0).count()
+    assert quality_model.score(docs, labels).count() == 100
+    assert sizes == [(known, known)]
+    assert labels.filter("doc_id = 1").filter(quality_model.fold(F.col("doc_id")) != 0).count() == 1
+
+
 def test_quality_model_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], DOCS)
     out = quality_model.score(docs, spark.createDataFrame([], "doc_id bigint, quality int")).collect()
