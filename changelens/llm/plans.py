@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixing, packing, passages, pii, quality_model, quality_rules, sharding, spelling, url_filter
+from . import exact_dedup, jaccard_join, merkle, mixing, packing, passages, pii, quality_model, quality_rules, sharding, spelling, url_filter
 from .common import table
 
 
@@ -57,15 +57,23 @@ def op10_quality_model(spark, sf_dir):
     return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0
+    return merkle.manifest(docs, tampered, altered={"text": lowered}).withColumnRenamed("id", "doc_id")
+
+
 def op13_spelling(spark, sf_dir):
     words = spelling.count_words(table(spark, sf_dir, "documents"), typo_every=97)
     return spelling.group_variants(words)
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_url_filter, op5_mixing, op6_sharding, op7_passages,
-                                op8_exact_dedup, op9_quality_rules, op10_quality_model, op13_spelling)}
+                                op8_exact_dedup, op9_quality_rules, op10_quality_model, op11_merkle, op13_spelling)}
 
 ORACLE = {
+    "op11_merkle": merkle.ORACLE,
     "op13_spelling": spelling.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
     "op5_mixing": mixing.ORACLE,

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import crc32_sql, save
 
 RUN = "[A-Za-zÀ-ÿ]+"          # fixed value
 HELD = 200_000          # counted words a worker holds before it passes them on
@@ -183,15 +183,6 @@ def group_variants(words: DataFrame, ratio: float = 2, largest_join: int = LARGE
 
 
 
-def crc32_sql(text: str) -> str:
-    """CRC-32 of a DuckDB string expression, bit by bit."""
-    bits = "[-1, -1, -1, -1, -1, -1, -1, -1]"
-    steps = (f"flatten([[4294967295]] || list_transform(range(1, strlen({text}) + 1), "
-             f"lambda i: [('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT] || {bits}))")
-    step = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
-    return f"xor(list_reduce({steps}, lambda c, x: {step}), 4294967295)"
-
-
 # DuckDB's levenshtein counts bytes: letters beyond ASCII become other ASCII ones.
 _BEYOND = "".join(map(chr, range(0xC0, 0x100)))
 _ONE_BYTE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~"
