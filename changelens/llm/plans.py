@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, merkle, mixing, packing, passages, pii, quality_model, quality_rules, sharding, spelling, url_filter
+from . import best_fit, exact_dedup, jaccard_join, merkle, mixing, packing, passages, pii, quality_model, quality_rules, sharding, spelling, url_filter
 from .common import table
 
 
@@ -64,13 +64,18 @@ def op11_merkle(spark, sf_dir):
     return merkle.manifest(docs, tampered, altered={"text": lowered}).withColumnRenamed("id", "doc_id")
 
 
+def op12_best_fit(spark, sf_dir):
+    import public_tokenizers
+    return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_spelling(spark, sf_dir):
     words = spelling.count_words(table(spark, sf_dir, "documents"), typo_every=97)
     return spelling.group_variants(words)
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_url_filter, op5_mixing, op6_sharding, op7_passages,
-                                op8_exact_dedup, op9_quality_rules, op10_quality_model, op11_merkle, op13_spelling)}
+                                op8_exact_dedup, op9_quality_rules, op10_quality_model, op11_merkle, op12_best_fit, op13_spelling)}
 
 ORACLE = {
     "op11_merkle": merkle.ORACLE,
