@@ -25,6 +25,7 @@ null; other columns are not read.
 
 from __future__ import annotations
 
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -44,40 +45,43 @@ ROUNDS = 4
 OPEN = 1 / 64          # share of a sequence that, left free, keeps a bin open for the next round
 TRIES = 128
 PATIENCE = 16
-HELD = 400_000         # words kept with their ids, per worker
+HELD = 600_000         # words kept with their ids, per worker
 LONGEST_HELD = 64
 _END = np.asarray([END_ID], dtype="<u4").tobytes()
 
 
-class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space, through a cache.
+class WordEncoder(dict):
+    """Ids of whole texts by a tokenizer that drops white space, through a cache of words.
 
     Its pre-tokenizer splits at white space and looks at nothing beyond it, so
     the ids of a text are those of its parts between blanks and line ends.
+    Marks after a letter are a token sequence of their own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = lru_cache(maxsize=10_000)(self.ids)
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+    def ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(string.punctuation)
+        if stem != word and stem and stem[-1].isalpha() and not any(s in word for s in self.special):
+            ids = self[stem] + self.marks(word[len(stem):])
+        else:
+            ids = self.ids(word)
+        if len(word) <= LONGEST_HELD:
+            if len(self) >= HELD:
+                self.clear()
+            self[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        fresh = dict(zip(new, self._ids(new)))
-        out = b"".join([self.known[w] if w in self.known else fresh[w] for w in words])
-        if len(self.known) + len(fresh) > HELD:
-            self.known = {"": b""}
-        self.known |= {w: i for w, i in fresh.items() if len(w) <= LONGEST_HELD}
-        return out
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
