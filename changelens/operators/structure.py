@@ -2,8 +2,10 @@
 
 The reference walks a syntax tree; here each file is one row and the facts
 are read with regular expressions inside the row (no explode, no shuffle).
-Deviations from a real grammar: imports inside strings or comments are
-counted, and JS ``require`` calls are not imports (the reference only takes import statements either).
+They read code only: ``masking.guarded`` marks line ends and semicolons inside
+strings and comments, so no statement begins there.  JS ``require`` and
+``import(...)`` calls are no import statements, generator functions and function
+expressions no symbols, as in the reference.
 """
 
 from __future__ import annotations
@@ -11,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import with_computed_once
 from .languages import path_extension, scan_group
+from .masking import guarded, unguarded
 
 # Python: ``import a`` / ``from a import (b,\n c)`` at any depth.
 # Statements may follow a semicolon and go on after a backslash; comments after
@@ -20,27 +24,27 @@ PY_IMPORT = (r"(?m)(?:^|;)[ \t]*(import[ \t]+[^\n;#\\]*+(?:\\\n[^\n;#\\]*+)*+"
              r"|from[ \t]+[^\s]+[ \t]+import[ \t]*"
              r"(?:\([^)#]*+(?:#[^\n]*+[^)#]*+)*+\)|[^\n;#(\\]*+(?:\\\n[^\n;#(\\]*+)*+))")
 # JS/TS: ``import x from 'm';``, ``import {a,\n b} from "m"``, ``import 'm'``.
-JS_IMPORT = r"(?m)^[ \t]*import\b[^;'\"]*?['\"][^'\"\n]*['\"];?"
+JS_IMPORT = r"(?m)(?:^|(?<=;))[ \t]*(import\b(?!\s*[(.])[^;'\"]*?['\"][^'\"\n]*['\"];?)"
 # Defined names: Python functions and classes at every depth (methods and
 # nested functions included); JS/TS function and class declarations.
 PY_SYMBOL = r"(?m)^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+([A-Za-z_]\w*)"
-JS_SYMBOL = (r"(?m)^[ \t]*(?:export[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?"
-             r"(?:function\*?|class)[ \t]+([A-Za-z_$][\w$]*)")
+JS_SYMBOL = (r"(?m)(?:^|[;{}])[ \t]*(?:export[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?"
+             r"(?:function|class)[ \t]+([A-Za-z_$][\w$]*)")
 
 
 def _clean_import(x: Column) -> Column:
     # newlines -> blanks, then Python-like strip
-    return F.regexp_replace(F.regexp_replace(x, "\n", " "), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(unguarded(x), "\n", " "), r"(?U)^\s+|\s+$", "")
 
 
 def _import_statements(content: Column, group: Column) -> Column:
     py = F.regexp_extract_all(content, F.lit(PY_IMPORT), 1)
-    js = F.regexp_extract_all(content, F.lit(JS_IMPORT), 0)
+    js = F.regexp_extract_all(content, F.lit(JS_IMPORT), 1)
     return F.when(group == "python", py).when(group == "js_ts", js).otherwise(F.array().cast("array<string>"))
 
 
 def extract_imports(content: Column, group: Column) -> Column:
-    """Import statements of one file, in file order, one line each."""
+    """Import statements of one file's guarded content, in file order, one line each."""
     return F.transform(_import_statements(content, group), _clean_import)
 
 
@@ -52,7 +56,7 @@ def bare_imports(content: Column, group: Column) -> Column:
 
 
 def extract_symbols(content: Column, group: Column) -> Column:
-    """Function and class names of one file, in file order."""
+    """Function and class names of one file's guarded content, in file order."""
     py = F.regexp_extract_all(content, F.lit(PY_SYMBOL), 1)
     js = F.regexp_extract_all(content, F.lit(JS_SYMBOL), 1)
     return F.when(group == "python", py).when(group == "js_ts", js).otherwise(
@@ -66,12 +70,13 @@ def file_structures(files: DataFrame) -> DataFrame:
     Only files with content get a row (as in the reference); a file with no
     import or symbol gets empty arrays.
     """
-    grp = scan_group(path_extension("path"))
-    return (files.filter(F.col("content").isNotNull() & (F.length("content") > 0))
-            .select("repo", F.col("path").alias("file"), "ord",
-                    extract_imports(F.col("content"), grp).alias("imports"),
-                    extract_symbols(F.col("content"), grp).alias("symbols"),
-                    bare_imports(F.col("content"), grp).alias("statements")))
+    f = with_computed_once(
+        files.filter(F.col("content").isNotNull() & (F.length("content") > 0))
+        .select("repo", F.col("path").alias("file"), "ord", scan_group(path_extension("path")).alias("_group"), "content"),
+        _code=F.when(F.col("_group").isNotNull(), guarded(F.col("content"), F.col("_group") == "python")))
+    code, grp = F.col("_code"), F.col("_group")
+    return f.select("repo", "file", "ord", extract_imports(code, grp).alias("imports"), extract_symbols(code, grp).alias("symbols"),
+                    bare_imports(code, grp).alias("statements"))
 
 
 def structure_block(file: Column, imports: Column, symbols: Column) -> Column:

@@ -1,137 +1,168 @@
 """Segmentation of source files into function units, without a grammar.
 
-A file is exploded into lines; per-file windows give each line its indent,
-bracket depth and character offset; function headers are found by regular
-expressions; the end of each function is the first later line that closes
-its block, found with one window per (file, nesting level) instead of a
-header x line join.  The function text is cut from the file content with
-``substring``.  All work for one file stays in one partition (a file is one
-cell already); nothing is collected.
-
-Strings, template literals and comments are blanked first (same length, so
-every offset holds): a comment becomes blanks, a string ``[sss]``, which counts
-as an open bracket where it spans lines.  Line ends inside a parameter list are
-masked too, so a header is one logical line however it is wrapped.
+Everything happens inside the file's row: strings and comments are blanked
+(``masking``) and the rest is cut into steps by native regular expressions; a
+small walk over the steps' numbers with a stack of open blocks, linear in a
+file's size, gives every function's start and end offset (Pandas UDF; Spark's
+``aggregate`` took quadratic time on long files); the text is cut from the
+content with ``substring``.  One scan, no exchange, nothing collected.
 
 Rules (approximations of the reference's syntax-tree walk):
 
-* Python: ``def`` / ``async def`` at any depth.  The block ends before the
-  next non-blank line with indent <= the header's that is not inside open
-  brackets; the unit ends at the last non-blank line before it.
-* JS / TS: ``function`` declarations, class methods and arrow functions
-  (named after the variable they are assigned to, else ``<anonymous>``).
-  The unit ends on the first line where the bracket depth falls back to the
-  depth before the header line; the text ends at that line's last ``}``, or
-  at its first ``)`` when the body is in parentheses (JSX).
+* Python, a step is a line: ``def`` / ``async def`` at any depth.  A block ends
+  at its last non-blank line before the next logical line with indent <= the
+  header's; lines inside brackets, strings or after a backslash go on.
+* JS / TS, a step is a header, a bracket, a separator or what lies between:
+  ``function`` declarations, methods and arrow functions (named after the
+  variable they are assigned to, else ``<anonymous>``), several on a line too.
+  A body in braces, on the header's line or the next, ends at its closing
+  brace; another arrow body ends before the ``,``, ``;``, closing bracket or
+  line end that follows it at its own depth, and a line that cannot end there
+  goes on.
+* Function expressions and generator functions are none of the reference's
+  kinds and give no unit.
 * Nested functions give a unit each.  Unit text starts at the header
   keyword (decorators and ``export`` excluded), later lines keep their
   indentation.
 
-Comment-only lines count as blank.  Known deviations: only one header per line
-is seen; quotes inside JS regular expressions open strings; a JS body opening
-on the line after its header (Allman style) ends at the header line.
+Comment-only lines count as blank.  Known deviations: functions inside a
+parameter list or a template literal are not seen; parameter lists nest three
+brackets deep at most; a TypeScript function type counts as an arrow function
+where it does not follow ``type X =``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.columns import with_computed_once
 from .languages import path_extension, scan_group
-
-PY_DEF = r"^([ \t]*)((?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*))"
-JS_FUNC = (r"^([ \t]*(?:export[ \t]+(?:default[ \t]+)?)?)"
-           r"((?:async[ \t]+)?function[ \t]*\*?[ \t]*([A-Za-z_$][\w$]*)[ \t]*(?:<[^()]*>)?[ \t]*\()")
-# Parentheses with one level inside, and a generic parameter list.
-_ARGS = r"\((?:[^()]|\([^()]*\))*+\)"
-_GENERIC = r"(?:<[^()]*>)?"
-JS_ARROW_VAR = (r"^([ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+([A-Za-z_$][\w$]*)[^=]*=[ \t]*)"
-                rf"((?:async[ \t]*)?{_GENERIC}(?:{_ARGS}|[A-Za-z_$][\w$]*)[ \t]*(?::[^=]+)?=>)")
-JS_METHOD = (r"^([ \t]*)((?:(?:static|async|get|set|public|private|protected|readonly|override)[ \t]+)*"
-             r"(?!(?:if|for|while|switch|catch|function|return|with|else)\b)([A-Za-z_$][\w$]*)"
-             rf"[ \t]*{_GENERIC}[ \t]*{_ARGS}[ \t]*(?::[^{{;]*)?\{{)")
-JS_ARROW_ANON = r"^(.*?)((?:async[ \t]*)?(?:\([^()]*\)|[A-Za-z_$][\w$]*)[ \t]*=>)"
-
-_LINE_STRING = r"""'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+\""""
-PY_PARTS = (r'(?s)\"\"\".*?\"\"\"|' + r"\'\'\'.*?\'\'\'|" + _LINE_STRING + r"""|#[^\n]*+|[^"'#]++|["']""")
-JS_PARTS = (r"(?s)`[^`\\]*+(?:\\.[^`\\]*+)*+`|" + _LINE_STRING + r"""|//[^\n]*+|/\*.*?\*/|[^"'`/]++|["'`/]""")
-PARENS = r"\([^()]*+\)|[^()]++|[()]"
-_MASKED = "\x01"      # a line end inside parentheses
-
-
-def blank_parts(content, is_py):
-    """``content`` with strings and comments blanked, length kept."""
-    def blank(part):
-        inside = F.regexp_replace(F.substring(part, F.lit(2), F.length(part) - 2), "[^\n]", "s")
-        comment = F.when(is_py, part.startswith("#")).otherwise(part.startswith("//") | part.startswith("/*"))
-        string = (F.length(part) > 1) & part.rlike("^[\"'`]")
-        return (F.when(comment, F.regexp_replace(part, "[^\n]", " "))
-                .when(string, F.concat(F.lit("["), inside, F.lit("]"))).otherwise(part))
-
-    parts = F.when(is_py, F.regexp_extract_all(content, F.lit(PY_PARTS), 0)).otherwise(
-        F.regexp_extract_all(content, F.lit(JS_PARTS), 0))
-    return F.array_join(F.transform(parts, blank), "")
-
-
-def mask_parameters(blanked):
-    """Line ends inside innermost parentheses masked, length kept."""
-    return F.array_join(F.transform(F.regexp_extract_all(blanked, F.lit(PARENS), 0), lambda x: F.when(
-        x.startswith("(") & (F.length(x) > 1), F.replace(x, F.lit("\n"), F.lit(_MASKED))).otherwise(x)), "")
-
-
-def _count(s, chars: str):
-    return F.length(s) - F.length(F.regexp_replace(s, "[" + chars + "]", ""))
-
-
-def file_lines(files: DataFrame) -> DataFrame:
-    """(repo, path, lang_group, line, last, text, off, blank, indent, d_before, d_after)
-
-    Logical lines of the blanked file: ``line`` and ``last`` are the first and
-    last line of the file they span, ``off`` the 0-based character offset;
-    depth columns are the depth of ([{ before / after the line.
-    """
-    f = files.withColumn("lang_group", scan_group(path_extension("path"))).filter(
-        F.col("lang_group").isNotNull() & F.col("content").isNotNull())
-    clean = mask_parameters(blank_parts(F.col("content"), F.col("lang_group") == "python"))
-    lines = f.select("repo", "path", "lang_group", F.posexplode(F.split(clean, "\n", -1)).alias("i", "text"))
-    w = Window.partitionBy("repo", "path").orderBy("i")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    delta = _count(F.col("text"), r"(\[{") - _count(F.col("text"), r")\]}")
-    masked = _count(F.col("text"), _MASKED)
-    step = lines.select("repo", "path", "lang_group", "i", "text", delta.alias("_delta"), masked.alias("_masked"))
-    line = F.col("i") + 1 + F.coalesce(F.sum("_masked").over(before), F.lit(0))
-    d_before = F.coalesce(F.sum("_delta").over(before), F.lit(0))
-    return step.select(
-        "repo", "path", "lang_group", line.alias("line"), (line + F.col("_masked")).alias("last"), "text",
-        F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).alias("off"),
-        (F.length(F.regexp_replace("text", r"(?U)\s", "")) == 0).alias("blank"),
-        (F.length("text") - F.length(F.ltrim(F.regexp_replace("text", "\t", " ")))).alias("indent"),
-        d_before.alias("d_before"), (d_before + F.col("_delta")).alias("d_after"))
-
-
-def _headers(lines: DataFrame) -> DataFrame:
-    t = F.col("text")
-    py = F.regexp_extract(t, PY_DEF, 3)
-    fn = F.regexp_extract(t, JS_FUNC, 3)
-    av = F.regexp_extract(t, JS_ARROW_VAR, 2)
-    me = F.regexp_extract(t, JS_METHOD, 3)
-    an = F.regexp_like(t, F.lit(JS_ARROW_ANON))
-    is_py = F.col("lang_group") == "python"
-    name = (F.when(is_py & (py != ""), py)
-            .when(~is_py & (fn != ""), fn)
-            .when(~is_py & (av != ""), av)
-            .when(~is_py & (me != ""), me)
-            .when(~is_py & an, F.lit("<anonymous>")))
-    col = (F.when(is_py, F.length(F.regexp_extract(t, PY_DEF, 1)))
-           .when(fn != "", F.length(F.regexp_extract(t, JS_FUNC, 1)))
-           .when(av != "", F.length(F.regexp_extract(t, JS_ARROW_VAR, 1)))
-           .when(me != "", F.length(F.regexp_extract(t, JS_METHOD, 1)))
-           .otherwise(F.length(F.regexp_extract(t, JS_ARROW_ANON, 1))))
-    level = F.when(is_py, F.col("indent")).otherwise(F.col("d_before"))
-    in_parens = ~is_py & t.rlike(r"=>[ \t]*\(")        # a body in parentheses
-    return (lines.withColumn("name", name).filter(F.col("name").isNotNull())
-            .select("repo", "path", "lang_group", "line", "last", "name", "off", col.alias("col"),
-                    level.alias("level"), "d_after", in_parens.alias("in_parens")))
+from .masking import blanked
+
+PY_DEF = r"^([ \t]*)(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)"
+
+_ID = r"[A-Za-z_$][\w$]*+"
+# Parentheses with two levels inside, and a generic parameter list.
+_ARGS = r"\([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+\)"
+_GENERIC = r"(?:<[^<>(){};]*+(?:<[^<>(){};]*+>[^<>(){};]*+)*+>)?+"
+_RETURNS = r"(?:\s*+:\s*+(?:\{[^{}]*+\}|[^;{}()=,]++)(?:\[\s*+\])*+)?"
+_AT_STATEMENT = r"(?<=(?:\A|[;{}\n]|\bexport|\bdefault)[ \t\r]{0,100})"
+_AT_MEMBER = r"(?<=[;{},\n][ \t\r]{0,100}\*?[ \t]{0,10})"
+JS_FUNCTION = rf"{_AT_STATEMENT}(?:async\s++)?function\s++{_ID}\s*+{_GENERIC}\s*+{_ARGS}{_RETURNS}\s*+\{{"
+_ASSIGNED = rf"(?:const|let|var)\s++{_ID}(?:\s*+:[^=;\n]*+(?:=>[^=;\n]*+)*+)?\s*+=\s*+"
+JS_ARROW = rf"(?:{_ASSIGNED})?(?:async\b\s*+)?(?:{_GENERIC}{_ARGS}{_RETURNS}|{_ID})\s*+=>\s*+\{{?"
+_NO_METHOD = r"(?!(?:if|for|while|switch|catch|function|return|with|else|do|try|new|typeof|await)\b)"
+_MODIFIERS = r"(?:(?:static|async|get|set|public|private|protected|readonly|override)\s++)*+(?:\*\s*+)?"
+JS_METHOD = (rf"{_MODIFIERS}{_NO_METHOD}#?{_ID}\??\s*+{_GENERIC}\s*+{_ARGS}{_RETURNS}\s*+\{{")
+_HEADER = rf"{JS_FUNCTION}|{JS_ARROW}|{_AT_MEMBER}{JS_METHOD}"
+# A line end that can end an expression: nothing before or after it asks for more.
+_LINE_END = r"(?<![-+*/%&|=?:<>.][ \t\r]{0,100})\n(?!\s*+[.?:&|+*/%=<>-])"
+JS_TOKEN = (rf"{_HEADER}|[(){{}}\[\];,]|{_LINE_END}|type\s++{_ID}\s*+{_GENERIC}\s*+=[^;\n]*+"
+            rf"|(?:(?!{_HEADER}|{_LINE_END})(?:{_ID}|\n|[^A-Za-z_$(){{}}\[\];,\n]++)){{1,100}}+")
+_STEPS = ("n", "visible", "lines", "delta", "kind", "name", "col", "col_lines")
+_HEAD, _END, _BRACE = 1, 2, 3      # kinds of JS steps: header, end of an expression, closing brace
+_UNITS = T.StructType([T.StructField("name", T.ArrayType(T.StringType()))]
+                      + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("start", "line", "end")])
+
+
+def _count(s: Column, char: str) -> Column:
+    return F.length(s) - F.length(F.replace(s, F.lit(char), F.lit("")))
+
+
+def _step(**fields) -> Column:
+    """One step: its length, that up to its last visible character, its line
+    ends, change of bracket depth, kind, function name, and where in it the
+    function starts (characters and lines)."""
+    return F.struct(*[(fields[k] if k == "name" else fields[k].cast("int")).alias(k) for k in _STEPS])
+
+
+def _py_steps(text: Column) -> Column:
+    """A step per line; ``col`` is its indent, ``kind`` whether a backslash joins the next one."""
+    def line(x):
+        bare = F.rtrim(F.translate(x, "\t\r\f", "   "))
+        return _step(
+            n=F.length(x) + 1, visible=F.length(bare), lines=F.lit(1),
+            delta=F.length(F.translate(x, ")]}", "")) - F.length(F.translate(x, "([{", "")),
+            kind=bare.endswith("\\"), name=F.regexp_extract(x, PY_DEF, 2),
+            col=F.length(bare) - F.length(F.ltrim(bare)), col_lines=F.lit(0))
+
+    return F.transform(F.split(text, "\n", -1), line)
+
+
+def _js_steps(text: Column) -> Column:
+    """A step per header, bracket, separator or what lies between."""
+    def token(x):
+        first = F.substring(x, 1, 1)
+        arrow = x.contains("=>") & x.rlike(r"(?s)^[A-Za-z_$(<].*=>\s*+\{?$")
+        head = (F.length(x) > 1) & (x.endswith("{") | arrow)
+        before = F.when(arrow & x.rlike(r"^(?:const|let|var)\b"), F.regexp_extract(x, rf"^({_ASSIGNED})", 1)).otherwise("")
+        name = (F.when(arrow, F.coalesce(F.nullif(F.regexp_extract(before, rf"^\w+\s+({_ID})", 1), F.lit("")), F.lit("<anonymous>")))
+                .when(x.rlike(r"^(?:async\s+)?function\b"), F.regexp_extract(x, rf"function\s+({_ID})", 1))
+                .otherwise(F.regexp_extract(x, rf"^{_MODIFIERS}(#?{_ID})", 1)))
+        opens = F.when(head, x.endswith("{")).otherwise(first.isin("(", "[", "{"))
+        return _step(
+            n=F.length(x), visible=F.length(F.rtrim(x, F.lit(" \t\r\n\f"))), lines=_count(x, "\n"),
+            delta=F.when(opens, 1).when(~head & first.isin(")", "]", "}"), -1).otherwise(0),
+            kind=F.when(head, _HEAD).when(first == "}", _BRACE).when(first.isin(")", "]", ";", ",") | (x == "\n"), _END).otherwise(0),
+            name=F.when(head, name), col=F.when(head, F.length(before)).otherwise(0),
+            col_lines=F.when(head, _count(before, "\n")).otherwise(0))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(JS_TOKEN), 0), token)
+
+
+def walk_python(steps) -> list[tuple[str, int, int, int]]:
+    """(name, start, line, end) of the functions, from the steps of a file."""
+    pos = sig = depth = 0
+    line, joined, blocks, done = 1, False, [], []
+    for n, visible, lines, delta, joins, name, indent, _ in steps:
+        if visible and not depth and not joined:
+            while blocks and blocks[-1][3] >= indent:
+                done.append((*blocks.pop()[:3], sig))
+            if name:
+                blocks.append((name, pos + indent, line, indent))
+        if visible:
+            sig = pos + visible
+        pos, line, depth, joined = pos + n, line + lines, max(0, depth + delta), joins
+    return done + [(*b[:3], sig) for b in blocks]
+
+
+def walk_js(steps) -> list[tuple[str, int, int, int]]:
+    """(name, start, line, end) of the functions, from the steps of a file."""
+    pos = sig = depth = 0
+    line, blocks, done = 1, [], []
+    for n, visible, lines, delta, kind, name, col, col_lines in steps:
+        if kind == _HEAD:
+            blocks.append((name, pos + col, line + col_lines, depth, delta == 0))
+        elif kind:
+            # an expression body ends before what closes it, a braced one after its brace
+            while blocks:
+                _, _, _, level, expression = blocks[-1]
+                if expression and level >= depth:
+                    done.append((*blocks.pop()[:3], sig))
+                elif not expression and kind == _BRACE and level >= depth + delta:
+                    done.append((*blocks.pop()[:3], pos + 1))
+                else:
+                    break
+        if visible:
+            sig = pos + visible
+        pos, line, depth = pos + n, line + lines, depth + delta
+    return done + [(*b[:3], sig) for b in blocks]
+
+
+@F.pandas_udf(_UNITS)
+def _walk(is_py: pd.Series, *steps: pd.Series) -> pd.DataFrame:
+    found = [list(zip(*sorted((walk_python if py else walk_js)(zip(*columns)), key=lambda u: u[1]))) or [[]] * 4
+             for py, *columns in zip(is_py, *steps)]
+    return pd.DataFrame(found, columns=["name", "start", "line", "end"])
+
+
+def file_steps(content: Column, is_py: Column) -> Column:
+    """The steps of a file, as an array of structs."""
+    clean = blanked(content, is_py)
+    return F.when(is_py, _py_steps(clean)).otherwise(_js_steps(clean))
 
 
 def segment_units(files: DataFrame) -> DataFrame:
@@ -140,54 +171,14 @@ def segment_units(files: DataFrame) -> DataFrame:
 
     ``scan_ord`` = ord * 2^32 + start offset: listing order, then position.
     """
-    lines = file_lines(files)
-    heads = _headers(lines)
-    key = ["repo", "path"]
-    levels = heads.select(*key, "level").distinct()
+    f = files.withColumn("lang_group", scan_group(path_extension("path"))).filter(
+        F.col("lang_group").isNotNull() & F.col("content").isNotNull())
     is_py = F.col("lang_group") == "python"
-    # closers of level v: Python - non-blank, outside brackets, indent <= v;
-    # JS - brace depth after the line <= v.
-    closer_ok = F.when(is_py, ~F.col("blank") & (F.col("d_before") == 0) & (F.col("indent") <= F.col("level"))
-                       ).otherwise(F.col("d_after") <= F.col("level"))
-    w_prev = Window.partitionBy(*key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lines2 = lines.withColumn("prev_nb", F.max(F.when(~F.col("blank"), F.col("last"))).over(w_prev))
-    closers = (lines2.join(levels, key).filter(closer_ok)
-               .select(*key, "lang_group", "level", "line", "last", F.lit(1).alias("kind"), "prev_nb"))
-    hrows = heads.select(*key, "lang_group", "level", "line", "last", F.lit(0).alias("kind"),
-                         F.lit(None).cast("long").alias("prev_nb"), "off", "col", "in_parens")
-    both = hrows.unionByName(closers, allowMissingColumns=True)
-    # Python: the header's own line closes earlier blocks of its level, not
-    # itself (closer row sorts first); JS: a header line may close itself.
-    order_kind = F.when(F.col("lang_group") == "python", -F.col("kind")).otherwise(F.col("kind"))
-    w = Window.partitionBy(*key, "level").orderBy("line", order_kind).rowsBetween(1, Window.unboundedFollowing)
-    nxt = lambda c: F.first(F.when(F.col("kind") == 1, F.col(c)), ignorenulls=True).over(w)
-    found = (both.withColumns({"c_line": nxt("last"), "c_prev_nb": nxt("prev_nb")})
-             .filter(F.col("kind") == 0))
-    last_nb = lines.filter(~F.col("blank")).groupBy(*key).agg(F.max("last").alias("last_nb"))
-    u = found.join(last_nb, key, "left")
-    py_end_line = F.coalesce(F.col("c_prev_nb"), F.col("last_nb"))
-    end_line = F.when(F.col("lang_group") == "python", py_end_line).otherwise(
-        F.coalesce(F.col("c_line"), F.col("last_nb")))
-    u = u.withColumn("end_line", F.greatest(end_line, F.col("last")))
-    # end offsets: Python - end of the end line (trailing blanks trimmed);
-    # JS - the last "}" of the end line (whole line when none).
-    ends = lines.select(*key, F.col("last").alias("end_line"), F.col("off").alias("e_off"),
-                        F.col("text").alias("e_text"))
-    u = u.join(ends, [*key, "end_line"], "left")
-    last_brace = F.length(F.when(F.col("in_parens"), F.coalesce(
-        F.nullif(F.regexp_extract("e_text", r"^(.*?=>[ \t]*\([^()]*\))", 1), F.lit("")),
-        F.regexp_extract("e_text", r"^([^)]*\))", 1))).otherwise(
-        F.regexp_extract("e_text", r"^(.*\})", 1)))
-    e_len = F.when((F.col("lang_group") != "python") & (last_brace > 0), last_brace).otherwise(
-        F.length(F.regexp_replace("e_text", r"\s+$", "")))
-    u = u.withColumns({"start_pos": F.col("off") + F.col("col") + 1, "end_pos": F.col("e_off") + e_len})
-    src = files.select("repo", "path", "ord", "content")
-    u = u.join(heads.select(*key, "line", "name"), [*key, "line"]).join(src, key)
-    code = F.expr("substring(content, start_pos, end_pos - start_pos + 1)")
+    f = with_computed_once(f.select("repo", "path", "ord", "content", "lang_group"), _steps=file_steps(F.col("content"), is_py))
+    f = f.select("repo", "path", "ord", "content", "lang_group", _walk(is_py, *[F.col("_steps")[c] for c in _STEPS]).alias("u"))
+    f = f.select("*", F.explode(F.arrays_zip("u.name", "u.start", "u.line", "u.end")).alias("one")).drop("u")
+    u = f.withColumnRenamed("one", "u").select("*", F.expr("substring(content, u.start + 1, u.end - u.start)").alias("code"))
     return u.select(
-        F.xxhash64("repo", "path", "line", "col").alias("unit_id"),
-        "repo", F.col("path").alias("file"), "name", F.col("line").cast("int").alias("start_line"),
-        (F.col("end_line") - F.col("line") + 1).cast("int").alias("line_count"),
-        "lang_group", code.alias("code"),
-        F.length(code).alias("n_chars"),
-        (F.col("ord") * F.lit(4294967296) + F.col("start_pos")).alias("scan_ord"))
+        F.xxhash64("repo", "path", "u.line", "u.start").alias("unit_id"), "repo", F.col("path").alias("file"), F.col("u.name").alias("name"),
+        F.col("u.line").alias("start_line"), (_count(F.col("code"), "\n") + 1).cast("int").alias("line_count"), "lang_group", "code",
+        F.length("code").alias("n_chars"), (F.col("ord") * F.lit(4294967296) + F.col("u.start") + 1).alias("scan_ord"))
