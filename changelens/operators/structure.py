@@ -20,15 +20,15 @@ from .masking import guarded, unguarded
 # Python: ``import a`` / ``from a import (b,\n c)`` at any depth.
 # Statements may follow a semicolon and go on after a backslash; comments after
 # them are left out, those inside brackets belong to them.
-PY_IMPORT = (r"(?m)(?:^|;)[ \t]*(import[ \t]+[^\n;#\\]*+(?:\\\n[^\n;#\\]*+)*+"
+PY_IMPORT = (r"(?dm)(?:^|;)[ \t]*(import[ \t]+[^\n;#\\]*+(?:\\\n[^\n;#\\]*+)*+"
              r"|from[ \t]+[^\s]+[ \t]+import[ \t]*"
              r"(?:\([^)#]*+(?:#[^\n]*+[^)#]*+)*+\)|[^\n;#(\\]*+(?:\\\n[^\n;#(\\]*+)*+))")
 # JS/TS: ``import x from 'm';``, ``import {a,\n b} from "m"``, ``import 'm'``.
-JS_IMPORT = r"(?m)(?:^|(?<=;))[ \t]*(import\b(?!\s*[(.])[^;'\"]*?['\"][^'\"\n]*['\"];?)"
+JS_IMPORT = r"(?dm)(?:^|(?<=;))[ \t]*(import\b(?!\s*[(.])[^;'\"]*?['\"][^'\"\n]*['\"];?)"
 # Defined names: Python functions and classes at every depth (methods and
 # nested functions included); JS/TS function and class declarations.
-PY_SYMBOL = r"(?m)^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+([A-Za-z_]\w*)"
-JS_SYMBOL = (r"(?m)(?:^|[;{}])[ \t]*(?:export[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?"
+PY_SYMBOL = r"(?dm)^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+([A-Za-z_]\w*)"
+JS_SYMBOL = (r"(?dm)(?:^|[;{}])[ \t]*(?:export[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?"
              r"(?:function|class)[ \t]+([A-Za-z_$][\w$]*)")
 
 

@@ -19,6 +19,8 @@ from .common import table
 
 PAGE_HOST = r"[A-Za-z0-9.-]+\.example\.(?:com|net|org)"
 
+PAGE_PARTS = r"^(https?)://([^/?#]+)/([^/?#]+)/(\d+)"
+
 # events -> fetch log binding (fixed test binding)
 EVENT_STATUS = {"view": 200, "click": 404, "purchase": 403, "signup": 401, "error": 500}
 
@@ -45,15 +47,10 @@ def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pr_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change URLs made of page ids: with a further path, blanks around, another
-    scheme, no change, and a number too long to be one."""
-    i = F.col("page_id").cast("string")
-    url = (F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("https://github.com/o"), i, F.lit("/r/pull/"), i, F.lit("/files")))
-           .when(F.col("page_id") % 5 == 1, F.concat(F.lit("http://github.com/o/r/pull/"), i))
-           .when(F.col("page_id") % 5 == 2, F.concat(F.lit(" \n https://github.com/o/r"), i, F.lit("/pull/"), i, F.lit("  ")))
-           .when(F.col("page_id") % 5 == 3, F.concat(F.lit("https://github.com/o/r"), i))
-           .otherwise(F.concat(F.lit("https://github.com/o/r/pull/9999999999999999999999"), i)))
-    pages = table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+    """Change URLs made of the pages' own: host, language and number become
+    owner, repo and change; scheme, what follows and what fits no change stay."""
+    changed = F.regexp_replace("url", PAGE_PARTS, "$1://github.com/$2/$3/pull/$4")
+    pages = table(spark, sf_dir, "pages").select("page_id", changed.alias("url"))
     return targets.parse_targets(pages, "url", kind="pr").select("page_id", "owner", "repo", "pr_number", "reject_reason")
 
 
@@ -137,12 +134,14 @@ SELECT stage, category, CASE WHEN category = 'ok' THEN 200 WHEN category = 'rate
 FROM c CROSS JOIN s GROUP BY 1, 2, 3
 """
 
-SQL_PR_TARGETS = """
-SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'o' || page_id WHEN 2 THEN 'o' WHEN 4 THEN 'o' END AS owner,
-       CASE page_id % 5 WHEN 0 THEN 'r' WHEN 2 THEN 'r' || page_id WHEN 4 THEN 'r' END AS repo,
-       CASE WHEN page_id % 5 IN (0, 2) THEN page_id END AS pr_number,
-       CASE WHEN page_id % 5 IN (1, 3) THEN 'not a pull request URL' END AS reject_reason
-FROM pages
+_PR = r"'^https://([^/?#]+)/([^/?#]+)/([0-9]+)'"
+
+SQL_PR_TARGETS = rf"""
+WITH m AS (SELECT page_id, regexp_replace(url, '^\s+|\s+$', '', 'g') AS u, coalesce(regexp_matches(url, {_PR}), false) AS ok FROM pages)
+SELECT page_id, CASE WHEN ok THEN regexp_extract(u, {_PR}, 1) END AS owner, CASE WHEN ok THEN regexp_extract(u, {_PR}, 2) END AS repo,
+       CASE WHEN ok THEN TRY_CAST(regexp_extract(u, {_PR}, 3) AS BIGINT) END AS pr_number,
+       CASE WHEN NOT ok THEN 'not a pull request URL' END AS reject_reason
+FROM m
 """
 
 SQL_PAGE_TARGETS = r"""

@@ -60,54 +60,65 @@ def turn_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.md5("code").alias("code_md5"))
 
 
-def turn_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imports and defined symbols of the turn files (regex per file row)."""
-    st = structure.file_structures(turn_files(spark, sf_dir))
-    return st.select("file", F.size("imports").alias("n_imports"),
-                     F.array_join("symbols", ",").alias("symbols"))
-
-
-# Source files made of a turn's number and its number of body lines: wrapped
-# parameter lists, brackets in strings, comments and templates, nested
-# functions, generics, a JSX body and every form of import.
-PY_FILE = ('import os  # {{\nimport sys; import re\nfrom pkg import (a,\n  b)\n\nclass K@T@:\n', 'def run_@T@(\n        self,\n'
-           '        x="(",\n    ):\n', '        y = "{" # (\n', '        def inner(z):\n            return z\n        return inner',
-           '\n\n# end )\nv = 1\n')
-TSX_FILE = ('import x from "y";\n', 'function pick_@T@<T>(\n  a: T,\n  b = "{",\n) {\n', '  const t = `(${a} {`;\n',
-            '  return t;\n}', '\nconst Card_@T@ = (p) => (\n  <div>{p.x}</div>\n);\n')
-
-
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_files(rows, key, text: str, is_js, prefix: str = ""):
+    """Source files (repo, path, ord, content) that hold a whole text each:
+    once as a docstring or block comment, and line by line in the comments of an
+    import, and in a default value, a comment and a returned string of a function.
+    Python functions have wrapped parameters, JS ones their brace on the next line."""
+    line_no = lambda i: (i + 1).cast("string")
+    lines = F.split(text, "\n", -1)
+    quoted = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    ticked = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("`"), F.lit("\\`"))
+    word = lambda x: F.regexp_extract(x, "^([a-z]*)", 1)
+    py = F.concat(
+        F.lit('"""\n'), quoted(F.col(text)), F.lit('\n"""\n'),
+        F.array_join(F.transform(lines, lambda x, i: F.concat(
+            F.lit("from pkg.m"), word(x), F.lit(" import (a_"), line_no(i), F.lit(",  # "), x, F.lit("\n    b)\n"))), ""),
+        F.array_join(F.transform(lines, lambda x, i: F.concat(
+            F.lit("def line_"), line_no(i), F.lit('(\n        a="'), quoted(x), F.lit('",\n):\n    # '), x, F.lit("\n    return a\n\n\n"))), ""))
+    js = F.concat(
+        F.lit("/*\n"), F.replace(F.col(text), F.lit("*/"), F.lit("* /")), F.lit("\n*/\n"),
+        F.array_join(F.transform(lines, lambda x, i: F.concat(
+            F.lit("import { a_"), line_no(i), F.lit(' } from "./m'), word(x), F.lit('"; // '), x, F.lit("\n"))), ""),
+        F.array_join(F.transform(lines, lambda x, i: F.concat(
+            F.lit("function line_"), line_no(i), F.lit('(a = "'), quoted(x), F.lit('")\n{\n  // '), x, F.lit("\n  return `"), ticked(x),
+            F.lit("`;\n}\n"))), ""))
+    path = F.concat(F.lit(prefix), key.cast("string"), F.when(is_js, F.lit(".tsx")).otherwise(F.lit(".py")))
+    return rows.select(F.lit("code").alias("repo"), path.alias("path"), F.xxhash64(path).alias("ord"), F.when(is_js, js).otherwise(py).alias("content"))
+
+
+def turn_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    t = F.col("turn").cast("string")
+    key = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    return code_files(spread(c), key, "text", F.col("role") == "assistant")
 
-    def made(parts, indent):
-        head, opening, body, rest, tail = (F.replace(F.lit(p), F.lit("@T@"), t) for p in parts)
-        return F.concat(head, F.lit(indent), opening, F.repeat(body, (F.col("turn") % 3 + 1).cast("int")), rest, tail)
 
-    is_py = F.col("role") != "assistant"
-    return c.select(
-        F.lit("code").alias("repo"),
-        F.concat(F.col("conv_id").cast("string"), F.lit("/"), t, F.when(is_py, F.lit(".py")).otherwise(F.lit(".tsx"))).alias("path"),
-        (F.col("conv_id") * F.lit(1 << 20) + F.col("turn")).alias("ord"),
-        F.when(is_py, made(PY_FILE, "    ")).otherwise(made(TSX_FILE, "")).alias("content"))
+def document_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    return code_files(spread(d), F.col("doc_id"), "text", F.col("doc_id") % 2 == 1)
 
 
 def code_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All functions, nested ones too, of the files made from turns."""
-    return segment_units(code_files(spark, sf_dir)).select(
+    """All functions of the source files that hold the turns."""
+    return segment_units(turn_code(spark, sf_dir)).select(
         "file", "name", "start_line", "line_count", "lang_group", F.md5("code").alias("code_md5"))
 
 
 def sized_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The functions that a duplicate scan looks at: three lines or more."""
-    units = dedup.min_size_filter(segment_units(code_files(spark, sf_dir)))
+    units = dedup.min_size_filter(segment_units(turn_files(spark, sf_dir)))
     return units.select("file", "name", "start_line", "line_count")
 
 
+def turn_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many imports and which symbols the source files that hold the turns have."""
+    st = structure.file_structures(turn_code(spark, sf_dir))
+    return st.select("file", F.size("imports").alias("n_imports"), F.array_join("symbols", ",").alias("symbols"))
+
+
 def code_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imports and symbols of the files made from turns."""
-    st = structure.file_structures(code_files(spark, sf_dir))
+    """Imports and symbols of the source files that hold the documents."""
+    st = structure.file_structures(document_code(spark, sf_dir))
     return st.select("file", F.array_join("imports", "|").alias("imports"), F.array_join("symbols", ",").alias("symbols"))
 
 
@@ -192,49 +203,46 @@ u AS (
 SELECT * FROM u
 """
 
-SQL_TURN_STRUCTURES = """
-SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) ||
-       CASE WHEN role = 'assistant' THEN '.js' ELSE '.py' END AS file,
-       CAST(0 AS INTEGER) AS n_imports, 'reply_' || CAST(turn AS VARCHAR) AS symbols
-FROM conversations
-"""
-
+_NL = "chr(10)"
+_TURN_FILE = "CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR)"
+_QUOTED = """replace(replace(x, '\\', '\\\\'), '"', '\\"')"""
+_TICKED = "replace(replace(x, '\\', '\\\\'), '`', '\\`')"
 
 
-def _sql(text: str) -> str:
-    lines = "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    return f"replace({lines}, '@T@', CAST(turn AS VARCHAR))"
+def _sql_lines(table: str, file: str, is_js: str) -> str:
+    """One row per line of a text: file, is_js, k (lines of the text), i (from 1), x (the line)."""
+    return f"""l0 AS (SELECT {file} AS f, {is_js} AS is_js, string_split(text, {_NL}) AS ls FROM {table} WHERE text IS NOT NULL),
+l AS (SELECT f || CASE WHEN is_js THEN '.tsx' ELSE '.py' END AS file, is_js, len(ls) AS k, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM l0)"""
 
 
-_N = "(turn % 3 + 1)"
-_PY_CODE = f"{_sql(PY_FILE[1])} || repeat({_sql(PY_FILE[2])}, CAST({_N} AS INTEGER)) || {_sql(PY_FILE[3])}"
-_TSX_CODE = f"{_sql(TSX_FILE[1])} || repeat({_sql(TSX_FILE[2])}, CAST({_N} AS INTEGER)) || {_sql(TSX_FILE[3])}"
-_FILE = "CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR)"
+_TURNS = _sql_lines("conversations", _TURN_FILE, "role = 'assistant'")
+_DOCUMENTS = _sql_lines("documents", "CAST(doc_id AS VARCHAR)", "doc_id % 2 = 1")
 
 SQL_CODE_FUNCTIONS = f"""
-WITH u AS (
-  SELECT {_FILE} || '.py' AS file, 'run_' || turn AS name, 7 AS start_line, 7 + {_N} AS line_count, 'python' AS lang_group,
-         {_PY_CODE} AS code FROM conversations WHERE role <> 'assistant'
-  UNION ALL
-  SELECT {_FILE} || '.py', 'inner', 11 + {_N}, 2, 'python', 'def inner(z):' || chr(10) || '            return z'
-  FROM conversations WHERE role <> 'assistant'
-  UNION ALL
-  SELECT {_FILE} || '.tsx', 'pick_' || turn, 2, 6 + {_N}, 'js_ts', {_TSX_CODE} FROM conversations WHERE role = 'assistant'
-  UNION ALL
-  SELECT {_FILE} || '.tsx', 'Card_' || turn, 8 + {_N}, 3, 'js_ts',
-         '(p) => (' || chr(10) || '  <div>{{p.x}}</div>' || chr(10) || ')' FROM conversations WHERE role = 'assistant')
-SELECT file, name, CAST(start_line AS INTEGER) AS start_line, CAST(line_count AS INTEGER) AS line_count, lang_group,
-       md5(code) AS code_md5 FROM u
+WITH {_TURNS}
+SELECT file, 'line_' || i AS name, CAST(CASE WHEN is_js THEN 2 * k + 3 + 5 * (i - 1) ELSE 3 * k + 3 + 7 * (i - 1) END AS INTEGER) AS start_line,
+       CAST(5 AS INTEGER) AS line_count, CASE WHEN is_js THEN 'js_ts' ELSE 'python' END AS lang_group,
+       md5(CASE WHEN is_js
+           THEN 'function line_' || i || '(a = "' || {_QUOTED} || '")' || {_NL} || '{{' || {_NL} || '  // ' || x || {_NL} || '  return `' ||
+                {_TICKED} || '`;' || {_NL} || '}}'
+           ELSE 'def line_' || i || '(' || {_NL} || '        a="' || {_QUOTED} || '",' || {_NL} || '):' || {_NL} || '    # ' || x || {_NL} ||
+                '    return a' END) AS code_md5
+FROM l
 """
 
-SQL_SIZED_FUNCTIONS = f"SELECT file, name, start_line, line_count FROM ({SQL_CODE_FUNCTIONS}) WHERE line_count >= 3"
+SQL_SIZED_FUNCTIONS = f"SELECT file, name, start_line, line_count FROM ({SQL_TURN_FUNCTIONS}) WHERE line_count >= 3"
+
+SQL_TURN_STRUCTURES = f"""
+WITH {_TURNS}
+SELECT file, CAST(count(*) AS INTEGER) AS n_imports, string_agg('line_' || i, ',' ORDER BY i) AS symbols FROM l GROUP BY file
+"""
 
+_WORD = "regexp_extract(x, '^([a-z]*)', 1)"
 SQL_CODE_STRUCTURES = f"""
-SELECT {_FILE} || CASE WHEN role = 'assistant' THEN '.tsx' ELSE '.py' END AS file,
-       CASE WHEN role = 'assistant' THEN 'import x from "y";'
-            ELSE 'import os|import sys|import re|from pkg import (a,   b)' END AS imports,
-       CASE WHEN role = 'assistant' THEN 'pick_' || turn ELSE 'K' || turn || ',run_' || turn || ',inner' END AS symbols
-FROM conversations
+WITH {_DOCUMENTS},
+s AS (SELECT *, CASE WHEN is_js THEN 'import {{ a_' || i || ' }} from "./m' || {_WORD} || '";'
+                     ELSE 'from pkg.m' || {_WORD} || ' import (a_' || i || ',  # ' || x || '     b)' END AS stmt FROM l)
+SELECT file, string_agg(stmt, '|' ORDER BY i) AS imports, string_agg('line_' || i, ',' ORDER BY i) AS symbols FROM s GROUP BY file
 """
 
 ORACLE = {
