@@ -47,6 +47,7 @@ TRIES = 128
 PATIENCE = 16
 HELD = 600_000         # words kept with their ids, per worker
 LONGEST_HELD = 64
+LATIN = 0x250           # letters below need no composing
 _END = np.asarray([END_ID], dtype="<u4").tobytes()
 
 
@@ -55,13 +56,19 @@ class WordEncoder(dict):
 
     Its pre-tokenizer splits at white space and looks at nothing beyond it, so
     the ids of a text are those of its parts between blanks and line ends.
-    Marks after a letter are a token sequence of their own.
+    Marks after a letter are a token sequence of their own.  A word of Latin
+    letters is one token sequence that normalizing only lower-cases, so the
+    tokenizer's model takes it at once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(LATIN) if chr(c).isalpha()}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = lru_cache(maxsize=10_000)(self.ids)
 
@@ -72,8 +79,10 @@ class WordEncoder(dict):
         stem = word.rstrip(string.punctuation)
         if stem != word and stem and stem[-1].isalpha() and not any(s in word for s in self.special):
             ids = self[stem] + self.marks(word[len(stem):])
+        elif (low := word.lower()).isalpha() and max(word) < chr(LATIN) and len(low) == len(word):
+            ids = np.asarray([t.id for t in self.model.tokenize(low.translate(self.letters))], dtype="<u4").tobytes()
         else:
-            ids = self.ids(word)
+            ids = self.ids(word) if word else b""
         if len(word) <= LONGEST_HELD:
             if len(self) >= HELD:
                 self.clear()
