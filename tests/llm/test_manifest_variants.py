@@ -151,7 +151,7 @@ def test_best_fit_covers_every_id(spark, group):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.sampled_from(list("aZé '\n\t ́​1.!<|")), max_size=12), max_size=6))
+@given(st.lists(st.text(st.sampled_from(list("aZéÉßſİªŉ '\n\t ́​1.!<|")), max_size=12), max_size=6))
 def test_word_encoder_equals_the_tokenizer(words):
     text = " ".join(words)
     encoder = best_fit.WordEncoder(WORD_BPE)
