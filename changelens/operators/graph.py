@@ -199,3 +199,59 @@ def resolve_code_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
             .agg(F.min_by(F.when(F.col("hit"), F.struct("module", "cand")), F.when(F.col("hit"), F.col("pos"))).alias("best")))
     return best.select("repo", "src_file", F.coalesce("best.module", "dst_module").alias("dst_module"),
                        F.col("best.cand").alias("dst_file"), F.col("best").isNotNull().alias("internal")).distinct()
+
+
+def path_suffixes(files: DataFrame) -> DataFrame:
+    """(repo, suffix, n, file): every proper suffix of two or more parts of a Python
+    file's path, how many files of the repo end with it, and one of them.
+
+    An inverted index with one row per suffix: a name that very many files end
+    with is a counter combined map-side, never a list.
+    """
+    parts = F.split("file", "/")
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    ends = files.select("repo", "file").filter(F.col("file").endswith(".py")).distinct().filter(F.size(parts) > 2)
+    return (ends.select("repo", "file", F.explode(tails).alias("suffix"))
+            .groupBy("repo", "suffix").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file")))
+
+
+def resolve_rooted_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, src_file, dst_module, dst_file, internal, ambiguous) of code import
+    edges where modules may lie under source roots (``src/``, ``lib/python/``).
+
+    An absolute Python import is tried at the repo's root, then under each
+    folder above the importing file, outermost first.  What is found nowhere
+    there is looked up by path suffix: the first candidate that any file of the
+    repo ends with is taken when it is the only one, and reported as ambiguous, without
+    a file, when there are several.  A module of one part without a package
+    (``util.py``) is never looked up that way, since it would take names of the
+    standard library for files.  Other imports resolve as in ``resolve_code_imports``.
+
+    Both look-ups are left joins with a unique right side, which adaptive
+    execution can split at a module that very many files import.
+    """
+    key = ["repo", "src_file", "dst_module", "name"]
+    absolute = F.col("src_file").endswith(".py") & ~F.col("dst_module").startswith(".")
+    folders = F.slice(F.split("src_file", "/"), F.lit(1), F.size(F.split("src_file", "/")) - 1)
+
+    def under(depth):
+        return F.transform("candidates", lambda c: F.struct(
+            c["module"].alias("module"), F.array_join(F.concat(F.slice(folders, F.lit(1), depth), F.array(c["file"])), "/").alias("file"),
+            (depth == 0).alias("at_root")))
+
+    tried = edges.select(*key, absolute.alias("absolute"), F.posexplode_outer(F.flatten(F.transform(
+        F.sequence(F.lit(0), F.when(absolute, F.size(folders)).otherwise(0)), under))).alias("pos", "c"))
+    tried = tried.select(*key, "pos", F.col("c.module").alias("module"), F.col("c.file").alias("cand"),
+                         (F.col("absolute") & F.col("c.at_root")).alias("anywhere"))
+    names = files.select("repo", F.col("file").alias("cand"), F.lit(True).alias("hit")).distinct()
+    index = path_suffixes(files).select("repo", F.col("suffix").alias("cand"), F.col("n").alias("n_files"), F.col("file").alias("elsewhere"))
+    found = tried.join(names, ["repo", "cand"], "left").join(index, ["repo", "cand"], "left")
+    late = F.col("anywhere") & F.col("n_files").isNotNull()
+    best = found.groupBy(*key).agg(
+        F.min_by(F.when(F.col("hit"), F.struct("module", "cand")), F.when(F.col("hit"), F.col("pos"))).alias("best"),
+        F.min_by(F.when(late, F.struct("module", "n_files", "elsewhere")), F.when(late, F.col("pos"))).alias("late"))
+    single = F.when(F.col("late.n_files") == 1, F.col("late.elsewhere"))
+    dst_file = F.coalesce("best.cand", single)
+    return best.select("repo", "src_file", F.coalesce("best.module", "late.module", "dst_module").alias("dst_module"), dst_file.alias("dst_file"),
+                       dst_file.isNotNull().alias("internal"),
+                       (F.col("best").isNull() & F.coalesce(F.col("late.n_files") > 1, F.lit(False))).alias("ambiguous")).distinct()

@@ -71,6 +71,17 @@ def code_import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve_code_imports(graph.code_import_edges(st), st)
 
 
+def rooted_import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where the files lie under source roots: how a page's URL ends
+    decides whether its file is under ``src``, ``lib/py`` or the repo's root."""
+    files = code_files(spark, sf_dir)
+    ending = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.when(F.col("url").endswith("top"), "src/")
+                                                  .when(F.col("url").endswith("html"), "lib/py/").otherwise("").alias("root"))
+    rooted = files.join(ending, "ord").select("repo", F.concat("root", "path").alias("path"), "ord", "content")
+    st = structure.file_structures(rooted)
+    return graph.resolve_rooted_imports(graph.code_import_edges(st), st)
+
+
 def _edges(spark, sf_dir):
     s = page_structures(spark, sf_dir)
     return s, graph.resolve_imports(graph.import_edges(s), s)
@@ -203,6 +214,73 @@ SELECT DISTINCT i.repo, i.src_file, coalesce(hit.dst_module, i.m) AS dst_module,
 FROM i LEFT JOIN hit ON hit.repo = i.repo AND hit.src_file = i.src_file AND hit.m = i.m AND hit.n = i.n
 """
 
+SQL_ROOTED_IMPORT_EDGES = r"""
+WITH l AS (
+  SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS repo,
+         regexp_extract(url, '^https?://[^/?#]+/([A-Za-z0-9_]+)', 1) AS d,
+         regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) LIKE '%/' AS package,
+         CASE WHEN url LIKE '%top' THEN 'src/' WHEN url LIKE '%html' THEN 'lib/py/' ELSE '' END AS root,
+         list_transform(range(1, 7), lambda i: 'm' || regexp_replace(
+             substr(coalesce(regexp_extract_all(html, 'href="([^"]*)"', 1)[i], 'none'), 2, 1), '[^A-Za-z0-9]', '_', 'g')) AS n
+  FROM pages
+),
+f AS (
+  SELECT DISTINCT repo, d, n, package, root || d || '/' || n[1] || CASE WHEN package THEN '/__init__.py' ELSE '.py' END AS src_file,
+         root || CASE WHEN package THEN d || '/' || n[1] ELSE d END AS here,
+         root || CASE WHEN package THEN d || '/' || d ELSE d END AS above
+  FROM l
+),
+u AS (
+  SELECT repo, src_file, unnest([
+    {'m': 'os', 'p': 'os', 'n': ''}, {'m': 'sys', 'p': 'sys', 'n': ''},
+    {'m': d || '.' || n[2], 'p': d || '/' || n[2], 'n': ''},
+    {'m': d, 'p': d, 'n': n[3]}, {'m': d, 'p': d, 'n': n[4]},
+    {'m': '.', 'p': here, 'n': n[5]},
+    {'m': '.' || n[6], 'p': here || '/' || n[6], 'n': 'run'},
+    {'m': '.' || n[6], 'p': here || '/' || n[6], 'n': n[2]},
+    {'m': '..' || d, 'p': above, 'n': n[3]},
+    {'m': d || '.' || n[4], 'p': d || '/' || n[4], 'n': ''}]) AS x
+  FROM f
+),
+i AS (SELECT DISTINCT repo, src_file, x.m AS m, x.p AS p, x.n AS n FROM u),
+t AS (
+  SELECT repo, src_file, m, p, n, CASE WHEN m = '.' THEN '.' || n ELSE m || '.' || n END AS own,
+         unnest([1, 2, 3, 4]) AS k FROM i
+),
+c AS (
+  SELECT repo, src_file, m, n, k, CASE WHEN k <= 2 THEN own ELSE m END AS dst_module,
+         CASE k WHEN 1 THEN p || '/' || n || '.py' WHEN 2 THEN p || '/' || n || '/__init__.py'
+                WHEN 3 THEN p || '.py' ELSE p || '/__init__.py' END AS cand
+  FROM t WHERE (k > 2 OR n <> '') AND (k <> 3 OR m <> '.')
+),
+up AS (
+  SELECT *, string_split(src_file, '/')[1:-2] AS folders FROM c
+),
+tried AS (
+  SELECT repo, src_file, m, n, dst_module, k, cand, unnest(range(0, CASE WHEN m LIKE '.%' THEN 1 ELSE len(folders) + 1 END)) AS j, folders FROM up
+),
+hit AS (
+  SELECT repo, src_file, m, n, arg_min(dst_module, j * 10 + k) AS dst_module, arg_min(path, j * 10 + k) AS dst_file
+  FROM (SELECT *, array_to_string(list_concat(folders[1:j], [cand]), '/') AS path FROM tried) x
+  JOIN (SELECT DISTINCT repo, src_file AS path FROM f) USING (repo, path) GROUP BY 1, 2, 3, 4
+),
+ends AS (
+  SELECT c.repo, c.src_file, c.m, c.n, c.k, any_value(c.dst_module) AS dst_module, count(*) AS files, min(g.file) AS file
+  FROM c JOIN (SELECT DISTINCT repo, src_file AS file FROM f) g
+    ON c.repo = g.repo AND ends_with(g.file, '/' || c.cand) AND contains(c.cand, '/')
+  WHERE c.m NOT LIKE '.%' GROUP BY 1, 2, 3, 4, 5
+),
+late AS (
+  SELECT repo, src_file, m, n, arg_min(dst_module, k) AS dst_module, arg_min(files, k) AS files, arg_min(file, k) AS file FROM ends GROUP BY 1, 2, 3, 4
+)
+SELECT DISTINCT i.repo, i.src_file, coalesce(hit.dst_module, late.dst_module, i.m) AS dst_module,
+       coalesce(hit.dst_file, CASE WHEN late.files = 1 THEN late.file END) AS dst_file,
+       coalesce(hit.dst_file, CASE WHEN late.files = 1 THEN late.file END) IS NOT NULL AS internal,
+       hit.dst_file IS NULL AND coalesce(late.files > 1, false) AS ambiguous
+FROM i LEFT JOIN hit USING (repo, src_file, m, n) LEFT JOIN late USING (repo, src_file, m, n)
+"""
+
+
 SQL_EXTERNAL = "WITH " + SQL_EDGES + """
 SELECT repo, CAST(count(*) AS BIGINT) AS n_external FROM e WHERE NOT internal GROUP BY repo
 """
@@ -249,6 +327,7 @@ QUERIES = {
     "page_structures": structures_summary,
     "import_edges": import_edges,
     "code_import_edges": code_import_edges,
+    "rooted_import_edges": rooted_import_edges,
     "external_import_counts": external_import_counts,
     "module_degrees": module_degrees,
     "top_modules": top_modules,
@@ -260,6 +339,7 @@ ORACLE = {
     "page_structures": SQL_STRUCTURES,
     "import_edges": SQL_IMPORT_EDGES,
     "code_import_edges": SQL_CODE_IMPORT_EDGES,
+    "rooted_import_edges": SQL_ROOTED_IMPORT_EDGES,
     "external_import_counts": SQL_EXTERNAL,
     "module_degrees": SQL_DEGREES,
     "top_modules": SQL_TOP,

@@ -120,3 +120,19 @@ def test_resolve_every_python_import_form(spark):
         ("app/main.py", "..pkg.d", "pkg/d.py"), ("app/main.py", "....far", ""), ("pkg/b.py", ".d", "pkg/d.py"),
         ("pkg/sub/__init__.py", ".", "pkg/sub/__init__.py"), ("pkg/sub/__init__.py", ".two", "pkg/sub/two.py"),
         ("pkg/sub/__init__.py", "..b", "pkg/b.py"), ("far.py", ".top", "top.py"), ("top.py", "near", "")])
+
+
+def test_modules_under_source_roots(spark):
+    rows = [("r", "src/pkg/__init__.py", 1, "x = 1\n"), ("r", "src/pkg/b.py", 2, "import pkg.c, json\n"), ("r", "src/pkg/c.py", 3, "from pkg import b\n"),
+            ("r", "tests/test_b.py", 4, "import pkg.b\nfrom pkg import c, nothing\nimport tools.run\nimport util\n"),
+            ("r", "a/tools/run.py", 5, "import util\n"), ("r", "b/tools/run.py", 6, "from . import run\n"), ("r", "b/util.py", 7, "x = 1\n"),
+            ("r", "b/tools/json.py", 8, "import tools.run\n"), ("q", "pkg/b.py", 1, "import tools.run\n")]
+    st = structure.file_structures(spark.createDataFrame(rows, "repo string, path string, ord bigint, content string"))
+    got = {(r.repo, r.src_file, r.dst_module): "?" if r.ambiguous else r.dst_file for r in graph.resolve_rooted_imports(
+        graph.code_import_edges(st), st).collect()}
+    assert got == {
+        ("r", "src/pkg/b.py", "pkg.c"): "src/pkg/c.py", ("r", "src/pkg/b.py", "json"): None, ("r", "src/pkg/c.py", "pkg.b"): "src/pkg/b.py",
+        ("r", "tests/test_b.py", "pkg.b"): "src/pkg/b.py", ("r", "tests/test_b.py", "pkg.c"): "src/pkg/c.py",
+        ("r", "tests/test_b.py", "pkg"): "src/pkg/__init__.py", ("r", "tests/test_b.py", "tools.run"): "?", ("r", "tests/test_b.py", "util"): None,
+        ("r", "a/tools/run.py", "util"): None, ("r", "b/tools/run.py", ".run"): "b/tools/run.py", ("r", "b/tools/json.py", "tools.run"): "b/tools/run.py",
+        ("q", "pkg/b.py", "tools.run"): None}
