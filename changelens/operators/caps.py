@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Fixed values that must equal the reference's.
 MAX_FILES = 25
 MAX_FILES_FOR_ARCHITECTURE = 20
@@ -67,3 +69,27 @@ def running_count(df: DataFrame, key: list[str], pos: str, flag, out: str = "run
     return (d.join(off, [*key, "_blk"])
             .withColumn(out, F.col("_off") + F.sum("_f").over(wi))
             .drop("_blk", "_f", "_off"))
+
+
+def number_in_order(df: DataFrame, key: list[str], order: list[str], out: str = "ord") -> DataFrame:
+    """``df`` with ``out``, the number from 1 of each row within its ``key`` by ``order``.
+
+    No key's rows go to one task: rows are range-partitioned by (key, order),
+    numbered inside their partition as they stand, and each partition's first
+    number per key comes from counts (one row per key and partition).  The
+    partitioned rows are written once to the checkpoint folder, so the ranges
+    cannot differ between the two uses.
+    """
+    row = (1 << 33) - 1          # monotonically_increasing_id: partition * 2^33 + row
+    placed = materialize(df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+                         .withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.select("*", F.shiftright("_id", 33).alias("_part")).withColumn("_id", F.col("_id").bitwiseAND(row))
+    counts = placed.groupBy(*key, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_key_{c}") for c in key], F.col("_part").alias("_p"),
+                           (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_start"))
+    same = F.col("_part") == F.col("_p")
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    return (placed.join(starts, same).withColumn(out, F.col("_id") + F.col("_start"))
+            .drop("_id", "_part", "_p", "_start", *[f"_key_{c}" for c in key]))

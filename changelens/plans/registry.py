@@ -12,6 +12,7 @@ _MODULES = [
     "reviews",
     "events",
     "segments",
+    "streams",
 ]
 
 

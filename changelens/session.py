@@ -135,3 +135,9 @@ def checkpoint_path(spark: SparkSession, *parts: str) -> str:
     """A sub-folder of the shared checkpoint folder (stream checkpoints, sinks)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, *parts])
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever storage the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

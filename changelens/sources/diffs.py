@@ -26,3 +26,9 @@ def load_diffs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
                           F.regexp_extract(p, pat, 3).cast("int").alias("pr_number"),
                           F.col("value").alias("diff"))
     raise ValueError(fmt)
+
+
+def write_diffs(diffs: DataFrame, path: str) -> None:
+    """Land diffs as Parquet in one folder per owner and repo, the layout in which
+    a reader of few repositories reads their folders only."""
+    diffs.select("owner", "repo", "pr_number", "diff").write.mode("overwrite").partitionBy("owner", "repo").parquet(path)

@@ -103,13 +103,50 @@ def review_batch(events: DataFrame, diffs: DataFrame, fn: Callable[[str], str])
         error.isNotNull().alias("is_error"))
 
 
+# Repositories that one micro-batch prunes the diffs table by.
+MOST_REPOS = 100_000
+
+
+def prune_diffs(diffs: DataFrame, events: DataFrame, most: int = MOST_REPOS) -> DataFrame:
+    """The diffs of the repositories that ``events`` name.
+
+    A semi-join with the events' distinct (owner, repo), broadcast since their
+    number is checked against ``most``: where the table is partitioned by these
+    columns (``write_diffs``) only those folders are read (dynamic partition
+    pruning).  Events of more repositories read the table as it is.
+    """
+    named = (F.length("owner") > 0) & (F.length("repo") > 0)
+    repos = events.select("owner", "repo").filter(named).distinct()
+    if repos.limit(most + 1).count() > most:
+        return diffs
+    return diffs.join(F.broadcast(repos), ["owner", "repo"], "left_semi")
+
+
+def without_resent(deliveries: DataFrame, within: str) -> DataFrame:
+    """Deliveries (delivery_id, ts) without those sent again: of rows of one id
+    that lie at most ``within`` apart the first to arrive stays.
+
+    Ids are kept in the state store until the watermark has passed their time
+    by ``within``, so the state is that of the last hours, not of the
+    stream; rows older than the watermark are late and dropped.
+    """
+    return deliveries.withWatermark("ts", within).dropDuplicatesWithinWatermark(["delivery_id"])
+
+
+def land_stream(stream: DataFrame, out_path: str, checkpoint: str, trigger: dict | None = None):
+    """Start writing a stream's rows to ``out_path/batch_id=<n>`` (idempotent on retry)."""
+    return (stream.writeStream.foreachBatch(batch_writer(out_path)).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 def review_stream(deliveries: DataFrame, diffs: DataFrame, fn: Callable[[str], str], secret: str,
                   out_path: str, checkpoint: str, dedupe_within: str | None = None,
                   trigger: dict | None = None):
     """Start the streaming review job.
 
     ``deliveries`` is a streaming DataFrame (``read_deliveries``); ``diffs`` a
-    static table joined per micro-batch.  ``dedupe_within`` (e.g. "1 hour")
+    static table joined per micro-batch, of which only the repositories that
+    the batch names are read (``prune_diffs``).  ``dedupe_within`` (e.g. "1 hour")
     drops re-sent deliveries with the same id inside a watermark - the
     sender retries and the reference reviews twice.  Output goes to
     ``out_path/batch_id=<n>`` (idempotent on retry); ``checkpoint`` is the
@@ -119,12 +156,16 @@ def review_stream(deliveries: DataFrame, diffs: DataFrame, fn: Callable[[str], s
         raise ValueError("a review stream needs a checkpoint folder of its own")
     ev = verify_deliveries(deliveries, secret)
     if dedupe_within:
-        ev = ev.withWatermark("ts", dedupe_within).dropDuplicatesWithinWatermark(["delivery_id"])
+        ev = without_resent(ev, dedupe_within)
     rel = relevant_events(ev)
     write = batch_writer(out_path)
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        write(review_batch(df, diffs, fn), batch_id)
+        df.persist()      # read for its repositories, then for its reviews
+        try:
+            write(review_batch(df, prune_diffs(diffs, df), fn), batch_id)
+        finally:
+            df.unpersist()
 
     w = rel.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
