@@ -15,6 +15,7 @@ from oracle_check import rows_of_duck, rows_of_spark  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 PYTHON_STAGES = {"stub_reviews", "review_batch"}
+SEGMENTED = {"turn_functions", "code_functions", "sized_functions"}     # the walk over a file's steps
 
 
 def _plan(df):
@@ -25,7 +26,10 @@ def _plan(df):
 def test_plan_shape(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    assert "BatchEvalPython" not in plan
+    assert ("ArrowEvalPython" in plan) == (name in SEGMENTED)
+    if name in SEGMENTED:           # one scan, spread over the cores where it is small
+        assert plan.count("Exchange") <= 1 and "Window" not in plan and "Join" not in plan
     if name not in PYTHON_STAGES:   # the exact ratio may sit behind its checkpoint
         assert "MapInPandas" not in plan
 
