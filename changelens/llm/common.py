@@ -21,12 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Folders of the tables saved and not discarded yet, in order.
+_SAVED: list[str] = []
+
+
 def save(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder, read it back.
 
     Cuts the lineage: after a lost executor a task re-reads files instead of
     recomputing its inputs, and columns not needed later are not read.  The
-    folder is the one ``spark.checkpoint.dir`` names; ``drop_saved`` empties it.
+    folder is the one ``spark.checkpoint.dir`` names; ``discard`` deletes a
+    table once nothing reads it any more.
     """
     spark = df.sparkSession
     path = checkpoint_path(spark, "llm-tables", spark.sparkContext.applicationId, uuid.uuid4().hex)
@@ -34,15 +39,42 @@ def save(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    _SAVED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(spark: SparkSession) -> None:
-    """Delete the tables this application saved (call after results are stored)."""
-    path = checkpoint_path(spark, "llm-tables", spark.sparkContext.applicationId)
+def roots(df: DataFrame) -> list[str]:
+    """The folders that the scans of ``df`` read."""
+    out = []
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            out += [paths.apply(k).toString() for k in range(paths.size())]
+    return out
+
+
+def saved_since(start: int) -> list[str]:
+    """Folders saved since ``len(saved_since(0))`` was ``start``."""
+    return _SAVED[start:]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that ``save`` wrote."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for path in paths:
+        if path in _SAVED:
+            _SAVED.remove(path)
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete saved tables; only when no frame still to be computed reads them."""
+    names = {p.rsplit("/", 1)[-1] for t in tables for p in roots(t)}
+    for t in tables[:1]:
+        delete(t.sparkSession, [p for p in _SAVED if p.rsplit("/", 1)[-1] in names])
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save
+from .common import discard, save
 
 FIRST = 64        # code points in the first digit
 GROWTH = 8        # each digit is this many times longer than the one before
@@ -70,8 +70,10 @@ def mark_copies(docs: DataFrame, carry: list[str] | None = None, id_col: str = "
     # The first digit holds FIRST code points, so at least FIRST bytes are used up;
     # a text of fewer bytes has all its code points in the digit.
     offset, width = FIRST, FIRST * GROWTH
+    used = [groups]
     while True:
-        ended.append(live.filter(F.col("_len") <= offset).select("_rid", "_id", "_gid"))
+        # a round's texts go once those that are left are stored; what ended keeps its ids
+        ended.append(save(live.filter(F.col("_len") <= offset).select("_rid", "_id", "_gid")))
         if longest <= offset:
             break
         live = live.filter(F.col("_len") > offset)
@@ -80,7 +82,10 @@ def mark_copies(docs: DataFrame, carry: list[str] | None = None, id_col: str = "
                       .select("_gid", "_digit", F.monotonically_increasing_id().alias("_new")))
         live = save(live.join(groups, ["_gid", "_digit"])
                     .select("_rid", "_id", "_len", F.col("_new").alias("_gid"), "_norm"))
+        discard(*used)
+        used = [groups, live]
         offset, width = offset + width, width * GROWTH
+    discard(*used)
     # a group number holds within its round only
     parts = [e.withColumn("_gid", F.struct(F.lit(i).alias("round"), "_gid")) for i, e in enumerate(ended)]
     same = parts[0]

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import signature_tree as tree
-from .common import fresh, save
+from .common import discard, fresh, save
 from .graphs import components
 
 SKETCH = 1 << 17           # counters of the token count, whatever the corpus size
@@ -358,7 +358,9 @@ class _Nodes:
                     .select("nid", "tokens"))
         one = sets.select(F.col("nid").alias("a"), F.col("tokens").alias("s"))
         two = sets.select(F.col("nid").alias("b"), F.col("tokens").alias("t"))
-        return save(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verify(self.percent), _LINKS))
+        found = save(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verify(self.percent), _LINKS))
+        discard(wanted, sets)
+        return found
 
 
 def _worth(rows: DataFrame, percent: int) -> DataFrame:
@@ -387,6 +389,7 @@ def _connecting(shared: DataFrame, nodes: _Nodes) -> DataFrame:
         pairs = save(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
                      .mapInArrow(_pairs(nodes.percent, 2, True), _LINKS).distinct())
         found = nodes.check(pairs)
+        discard(pairs)
         links = found if links is None else save(links.union(found))
         if (load.agg(F.max("blocks")).first()[0] or 1) == 1:
             return links
@@ -403,8 +406,9 @@ def _connecting(shared: DataFrame, nodes: _Nodes) -> DataFrame:
 
 def _completing(shared: DataFrame, nodes: _Nodes, groups: DataFrame) -> DataFrame:
     """Step 4: links between groups."""
-    rows = save(shared.join(groups, F.col("nid") == F.col("node"), "left").select(
+    placed = save(shared.join(groups, F.col("nid") == F.col("node"), "left").select(
         "token", "nid", "n", "pos", F.coalesce("component", "nid").alias("group")))
+    rows = placed
     mixed = _worth(rows, nodes.percent).select("token", "least", F.ceil(F.col("c") / BLOCK_NODES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")
     rows = (rows.join(mixed, "token").filter("n >= least").drop("n", "pos").withColumn("own", own)
@@ -412,8 +416,11 @@ def _completing(shared: DataFrame, nodes: _Nodes, groups: DataFrame) -> DataFram
             .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
             .join(nodes.nodes.select("nid", "n", F.col("small").alias("bits")), "nid")
             .select("token", "lo", "hi", "nid", "group", "n", "bits"))
-    return nodes.check(save(rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-                            .mapInArrow(_pairs(nodes.percent, 3, False), _LINKS).distinct()))
+    pairs = save(rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+                 .mapInArrow(_pairs(nodes.percent, 3, False), _LINKS).distinct())
+    found = nodes.check(pairs)
+    discard(pairs, placed)
+    return found
 
 
 def _linked(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -432,7 +439,8 @@ def _linked(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     shared = save(tokens.join(common.hint("merge"), "token").filter("n >= least").select("token", "nid", "n", "pos"))
     own = _Nodes(rows, nodes, k, percent)
     links = _connecting(shared, own)
-    links = links.union(_completing(shared, own, save(components(links))))
+    links = save(links.union(_completing(shared, own, save(components(links)))))
+    discard(shared)
     final = save(components(links))
     named = nodes.select("nid", "key", "first").join(final, F.col("nid") == F.col("node"), "left").select(
         "key", "first", F.coalesce("component", "nid").alias("group"))
