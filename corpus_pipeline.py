@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from changelens.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules
-from changelens.llm.common import save
+from changelens.llm.common import delete, roots, save, saved_since
 from changelens.session import ship_package
 
 # Near copies: five words, similarity of 80 % or more.
@@ -54,8 +54,28 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("quality rules", rules_stage), ("exact dedup", exact_stage), ("near copies", near_stage),
-          ("mixing", mix_stage), ("packing", pack_stage)]
+# (stage number, folders) that the last stage left behind.
+_left: list = [-1, []]
+
+
+def _stage(number: int, work):
+    """A stage that first deletes the tables its predecessor saved on the way: the
+    predecessor's output is stored by then, unless ``docs`` still reads them."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {p.rsplit("/", 1)[-1] for p in roots(docs)}
+        if _left[0] == number - 1 and not any(p.rsplit("/", 1)[-1] in read for p in _left[1]):
+            delete(spark, _left[1])
+        start = len(saved_since(0))
+        out = work(spark, docs, sf_dir)
+        _left[:] = [number, saved_since(start)]
+        return out
+
+    run.__name__, run.__doc__ = work.__name__, work.__doc__
+    return run
+
+
+STAGES = [(name, _stage(i, work)) for i, (name, work) in enumerate([
+    ("quality rules", rules_stage), ("exact dedup", exact_stage), ("near copies", near_stage), ("mixing", mix_stage), ("packing", pack_stage)])]
 
 # Expectation-maximisation and tokenizing are not SQL.
 ORACLE_SQL = None
