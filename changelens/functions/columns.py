@@ -38,3 +38,21 @@ def bitmap_contains(bitmap: bytes, key: Column, m_bits: int) -> Column:
     byte = F.substring(F.lit(bitmap), (p / 8).cast("int") + 1, F.lit(1))
     val = F.conv(F.hex(byte), 16, 10).cast("int")
     return F.call_function("shiftright", val, (p % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def rounded_ratio(part: Column, whole: Column, places: int = 2) -> Column:
+    """``round(part / whole, places)`` of Python, for whole numbers 0 <= part <= whole.
+
+    Python rounds the exact value of the binary quotient, to even where it lies
+    half-way.  Away from half-way whole-number arithmetic decides; the half-way
+    quotients are (2q + 1) / (2 * 10^places), whose rounded values form a table
+    built with Python's own ``round``.
+    """
+    unit = 10 ** places
+    twice = part.cast("long") * F.lit(2 * unit)
+    whole = whole.cast("long")
+    down = F.call_function("div", part.cast("long") * F.lit(unit), whole)
+    halves = F.array(*[F.lit(round((2 * q + 1) / (2 * unit), places)) for q in range(unit)])
+    is_half = twice == whole * (2 * down + 1)
+    up = (twice > whole * (2 * down + 1)).cast("long")
+    return F.when(is_half, F.element_at(halves, (down + 1).cast("int"))).otherwise((down + up) / F.lit(float(unit)))

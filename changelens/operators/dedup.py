@@ -25,14 +25,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import bitmap_contains, bitmap_of, with_computed_once
+from ..functions.columns import bitmap_contains, bitmap_of, rounded_ratio, with_computed_once
 from ..session import materialize
 from ..functions.text import line_count as _line_count
 from ..functions.text import normalize_ws, word_shingles
+from .caps import number_in_order
+from .components import connected
 
 # Fixed values taken from the reference's duplicate scan.
 MIN_FUNCTION_LINES = 3
@@ -238,7 +240,15 @@ def shingle_sets(units: DataFrame, k: int = 5) -> DataFrame:
     return with_computed_once(units, sh=sh).withColumn("n", F.size("sh"))
 
 
+def shingled(units: DataFrame, k: int = 5, bucket_size: int = BUCKET_SIZE) -> DataFrame:
+    """The units' keys and shingle sets, written once to the checkpoint folder, for
+    several calls of ``shingle_similar_pairs``, ``copy_groups`` and ``near_families``."""
+    return materialize(_keyed(units, k, bucket_size))
+
+
 def _keyed(units: DataFrame, k: int, bucket_size: int) -> DataFrame:
+    if "place" in units.columns and "sh" in units.columns:      # of ``shingled``
+        return units
     # No filter on ``n`` here: Catalyst would push it below the projection and
     # run the shingle regex twice.  Empty sets are dropped after the shuffle.
     # Scan order restarts in every repo: the order of units is by repo first.
@@ -345,42 +355,72 @@ def shingle_similar_pairs(units: DataFrame, k: int = 5, threshold: float = SIMIL
     with ``a`` the smaller (bucket, scan_ord).  ``inter``/``union_size`` are
     integers so both engines agree without rounding.
     """
-    t = float(threshold)
     reps = _representatives(units, k, bucket_size, within_repo)
     if materialize_sets:
         # Three branches read the shingle sets (prefix tokens, both verify
         # sides).  Written once, hash-partitioned by unit id: the two verify
         # joins then keep this partitioning and only the candidates move.
         reps = materialize(reps.repartition("unit_id"))
+    prefix = _prefixes(reps, threshold, heavy_min_df, heavy_max, heavy_fraction)
+    a, b = _sides(prefix)
+    cand = _candidates(a.join(b, ["lang_group", "scope", "tok", "meet"]).where(_in_order()), threshold)
+    return _verified(cand, reps, threshold)
+
+
+def _prefixes(reps: DataFrame, threshold: float, heavy_min_df: int = 16, heavy_max: int = 10000,
+              heavy_fraction: float = 0.25) -> DataFrame:
+    """One row per representative and shingle of its prefix, with the shingle's
+    position in the set's order.
+
+    Order: (heavy?, hash).  Any order shared by all units of a group keeps
+    prefix filtering exact; putting the frequent shingles last keeps the
+    posting lists short.  The prefix is chosen inside the row.
+    """
     heavy = _heavy_tokens(reps, heavy_min_df, heavy_max, heavy_fraction)
-    # Token order: (heavy?, hash).  Any order shared by all units of a group
-    # keeps prefix filtering exact; putting the frequent shingles last keeps
-    # the prefix posting lists short.  The prefix is chosen inside the row.
     if heavy:
         bits = bitmap_of(heavy, _HEAVY_BITS)
         is_heavy = lambda t: bitmap_contains(bits, F.xxhash64(F.col("lang_group"), t), _HEAVY_BITS)
     else:
         is_heavy = lambda t: F.lit(False)
     ordered = F.sort_array(F.transform("sh", lambda t: F.struct(is_heavy(t).alias("h"), t.alias("t"))))
-    plen = prefix_length(F.col("n"), t)
-    prefix = reps.select("unit_id", "place", "lang_group", "scope", "bucket", "n",
-                         F.explode(F.slice(ordered, 1, plen)).alias("_e")).select(
-        "unit_id", "place", "lang_group", F.coalesce("scope", F.lit("")).alias("scope"), "bucket", "n",
-        F.col("_e.t").alias("tok"))
-    # Both sides are the same prefix table joined on (group, shingle), so its
-    # exchange is computed once and reused; the band rule is a join filter
-    # (posting lists of prefix shingles are short by construction).
-    a = prefix.select(F.col("unit_id").alias("a_id"), F.col("place").alias("a_ord"),
-                      "lang_group", "scope", "tok", F.col("bucket").alias("a_bucket"), F.col("n").alias("a_n"))
-    b = prefix.select(F.col("unit_id").alias("b_id"), F.col("place").alias("b_ord"),
-                      "lang_group", "scope", "tok", F.col("bucket").alias("b_bucket"), F.col("n").alias("b_n"))
-    same = (F.col("b_bucket") == F.col("a_bucket")) & (F.col("a_ord") < F.col("b_ord"))
-    nxt = F.col("b_bucket") == F.col("a_bucket") + 1
-    cand = (a.join(b, ["lang_group", "scope", "tok"])
-            .where((same | nxt)
-                   & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(t) - F.lit(_EPS)))
-            .select("lang_group", "a_id", "b_id")
-            .distinct())
+    first = F.slice(ordered, 1, prefix_length(F.col("n"), float(threshold)))
+    return reps.select("unit_id", "place", "lang_group", "scope", "bucket", "n", F.posexplode(first).alias("pos", "_e")).select(
+        "unit_id", "place", "lang_group", F.coalesce("scope", F.lit("")).alias("scope"), "bucket", "n", "pos", F.col("_e.t").alias("tok"))
+
+
+def _sides(prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the prefix join: the band is part of the key, so a bucket
+    meets itself and the next one only."""
+    def named(side, meet):
+        return prefix.select(F.col("unit_id").alias(f"{side}_id"), F.col("place").alias(f"{side}_ord"), "lang_group", "scope", "tok",
+                             F.col("bucket").alias(f"{side}_bucket"), F.col("n").alias(f"{side}_n"), F.col("pos").alias(f"{side}_pos"),
+                             meet.alias("meet"))
+
+    return named("a", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1))), named("b", F.col("bucket"))
+
+
+def _in_order() -> Column:
+    return (F.col("a_bucket") < F.col("b_bucket")) | (F.col("a_ord") < F.col("b_ord"))
+
+
+def _candidates(met: DataFrame, threshold: float) -> DataFrame:
+    """Of rows that met at a shared shingle, the pairs that may be similar.
+
+    Sizes must be near enough, and so must the positions: in one common order,
+    what two sets share is at most the smaller number of shingles before the
+    shared one, itself, and the smaller number after it.
+    """
+    t = float(threshold)
+    sizes = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(t) - F.lit(_EPS)
+    most = (F.least("a_pos", "b_pos") + 1
+            + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1)
+    reach = most * F.lit(1 + t) >= (F.col("a_n") + F.col("b_n")) * F.lit(t) - F.lit(_EPS)
+    return met.where(sizes & reach).select("lang_group", "a_id", "b_id").distinct()
+
+
+def _verified(cand: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Candidates that reach the threshold on the full sets, with their counts."""
+    t = float(threshold)
     side = reps.select("unit_id", "sh", "n", "n_copies")
     pa = side.select(F.col("unit_id").alias("a_id"), F.col("sh").alias("a_sh"),
                      F.col("n").alias("a_n"), F.col("n_copies").alias("a_copies"))
@@ -393,6 +433,70 @@ def shingle_similar_pairs(units: DataFrame, k: int = 5, threshold: float = SIMIL
             .select("lang_group", "a_id", "b_id", "a_copies", "b_copies", "inter", "union_size"))
 
 
+# Rounds of pivots before what is left of the lists is compared between groups.
+PIVOT_ROUNDS = 2
+
+
+def near_families(units: DataFrame, k: int = 5, threshold: float = SIMILARITY_THRESHOLD,
+                  bucket_size: int = BUCKET_SIZE, within_repo: bool = False, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+    """(unit_id, repo, lang_group, rep_id, family_id, family_size): units connected by
+    chains of similar pairs, the same pairs that ``shingle_similar_pairs`` gives.
+
+    A family of m near copies costs a few rows a unit instead of m * (m - 1) / 2
+    pairs: in every posting list (shingle, size bucket) all are compared with
+    one pivot, the first in scan order, and those found similar form a group.
+    What the pivot does not take meets the next pivot, ``rounds`` times.  Only
+    then are members of a list compared pair by pair, and only those that are
+    still in different groups, so no link between groups is lost.  ``family_id`` is the
+    smallest representative of the family; units without words are left out.
+    """
+    keyed = units if "sh" in units.columns else shingled(units, k, bucket_size)
+    reps = materialize(_representatives(keyed, k, bucket_size, within_repo).repartition("unit_id"))
+    prefix = materialize(_prefixes(reps, threshold))
+    a, b = _sides(prefix)
+    lists = ["lang_group", "scope", "tok", "meet"]
+    # the left side holds every member of a list: a unit stands in those of its bucket and the next
+    open_ = a.select(*lists, F.struct(*[F.col(f"a_{c}").alias(c) for c in ("bucket", "ord", "id", "n", "pos")]).alias("u"))
+    links = None
+    groups = reps.select(F.col("unit_id").alias("node"), F.col("unit_id").alias("family"))
+    for _ in range(rounds):
+        pivots = open_.groupBy(*lists).agg(F.min("u").alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+        met = open_.join(pivots, lists).filter(F.col("u.id") != F.col("p.id"))
+        met = met.select("lang_group", *[F.col(f"p.{c}").alias(f"a_{c}") for c in ("id", "n", "pos")], *[F.col(f"u.{c}").alias(f"b_{c}") for c in ("id", "n", "pos")])
+        found = _verified(_candidates(met, threshold), reps, threshold).select("a_id", "b_id")
+        links = materialize(found if links is None else links.unionByName(found))
+        stars = connected(links)
+        groups = materialize(reps.select("unit_id").join(stars, F.col("unit_id") == F.col("node"), "left")
+                             .select(F.col("unit_id").alias("node"), F.coalesce("family", "unit_id").alias("family")))
+        # lists whose members are all in one group are done; so are the pivot and its group
+        grouped = open_.join(groups, F.col("u.id") == F.col("node")).drop("node")
+        pivot_group = pivots.join(groups, F.col("p.id") == F.col("node")).select(*lists, F.col("family").alias("_done"))
+        left = materialize(grouped.join(pivot_group, lists).filter("family <> _done").select(*lists, "u"))
+        if left.isEmpty():
+            break
+        open_ = left
+    in_list = a.join(groups.toDF("a_id", "a_family"), "a_id")
+    mixed = (in_list.groupBy(*lists).agg(F.min("a_family").alias("x"), F.max("a_family").alias("y")).filter("x <> y").select(*lists))
+    ga = in_list.join(mixed, lists, "left_semi")
+    gb = b.join(mixed, lists, "left_semi").join(groups.toDF("b_id", "b_family"), "b_id")
+    met = ga.join(gb, lists).where(_in_order() & (F.col("a_family") != F.col("b_family")))
+    rest = _verified(_candidates(met, threshold), reps, threshold).select("a_id", "b_id")
+    links = materialize(links.unionByName(rest))
+    copies = copy_groups(keyed, k, bucket_size, materialize_keys=False, within_repo=within_repo)
+    named = copies.join(connected(links).withColumnRenamed("node", "rep_id"), "rep_id", "left").withColumn("family_id", F.coalesce("family", "rep_id"))
+    sizes = named.groupBy("family_id").agg(F.count(F.lit(1)).alias("family_size"))
+    return named.join(sizes, "family_id").select("unit_id", "repo", "lang_group", "rep_id", "family_id", "family_size")
+
+
+def rank_in_repo(pairs: DataFrame, ties: tuple[str, ...] = ("a_id", "b_id")) -> DataFrame:
+    """Pairs (repo, inter, union_size) with ``similarity``, rounded to two places as
+    Python does, and ``rank``, from 1, within the repo's list: highest rounded
+    similarity first, then ``ties``.  Numbered by ranges, so a repo with very
+    many pairs is not one task."""
+    scored = pairs.withColumn("similarity", rounded_ratio(F.col("inter"), F.col("union_size")))
+    return number_in_order(scored.withColumn("_down", -F.col("similarity")), ["repo"], ["_down", *ties], out="rank").drop("_down")
+
+
 def prefix_len_py(n: int, threshold: float) -> int:
     """Python twin of ``prefix_length`` (tests)."""
     return n - math.ceil(n * threshold - _EPS) + 1

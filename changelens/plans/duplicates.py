@@ -31,6 +31,20 @@ def copy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang_group", "lang").drop("repo")
 
 
+def near_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's family: those that chains of the flagship's pairs and copies connect."""
+    return dedup.near_families(_units(spark, sf_dir), k=K, threshold=T, bucket_size=B).withColumnRenamed("lang_group", "lang")
+
+
+def ranked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's list of near-duplicate pairs as the reference orders it: by
+    similarity at two places, highest first, with its rank in the list."""
+    units = _units(spark, sf_dir)
+    pairs = dedup.shingle_similar_pairs(units, k=K, threshold=T, bucket_size=B, within_repo=True)
+    owned = pairs.join(units.select(F.col("unit_id").alias("a_id"), "repo"), "a_id")
+    return dedup.rank_in_repo(owned).select("repo", "rank", "a_id", "b_id", "similarity")
+
+
 def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.size_histogram(_units(spark, sf_dir), B).withColumnRenamed("lang_group", "lang")
 
@@ -44,8 +58,10 @@ def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = docs.select(F.col("source").alias("repo"), F.col("doc_id").alias("ord"))
     units = _units(spark, sf_dir)
-    pairs = dedup.shingle_similar_pairs(units, k=K, threshold=T, bucket_size=B)
-    return report.duplicate_report(files, units, pairs, copies=dedup.copy_groups(units, k=K, bucket_size=B))
+    keyed = dedup.shingled(units, K, B)
+    pairs = dedup.shingle_similar_pairs(keyed, k=K, threshold=T, bucket_size=B)
+    copies = dedup.copy_groups(keyed, k=K, bucket_size=B, materialize_keys=False)
+    return report.duplicate_report(files, units, pairs, copies=copies)
 
 
 def _repo_units(units: DataFrame) -> DataFrame:
@@ -58,10 +74,11 @@ def repo_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate pairs per source and in all, each source scanned by itself
     and all together, by arithmetic on copies."""
     units = _repo_units(_units(spark, sf_dir))
+    keyed = dedup.shingled(units, K, B)
     out = None
     for name, within in (("within", True), ("across", False)):
-        pairs = dedup.shingle_similar_pairs(units, k=K, threshold=T, bucket_size=B, within_repo=within)
-        copies = dedup.copy_groups(units, k=K, bucket_size=B, within_repo=within)
+        pairs = dedup.shingle_similar_pairs(keyed, k=K, threshold=T, bucket_size=B, within_repo=within)
+        copies = dedup.copy_groups(keyed, k=K, bucket_size=B, materialize_keys=False, within_repo=within)
         rep = report.duplicate_report(units, units, pairs, copies=copies).select(
             F.lit(name).alias("mode"), "repo", "duplicate_pairs")
         out = rep if out is None else out.unionByName(rep)
@@ -115,6 +132,36 @@ SELECT s2.doc_id AS unit_id, s2.lang, CAST(s2.bucket AS INTEGER) AS bucket,
 FROM s2 JOIN g ON s2.lang = g.lang AND s2.bucket = g.bucket AND s2.sh = g.sh
 """
 
+SQL_NEAR_FAMILIES = f"""
+WITH RECURSIVE {SQL_UNITS},
+gh AS MATERIALIZED (SELECT lang, bucket, rep, list_transform(sh, lambda x: hash(x)) AS sh, len(sh) AS n FROM g),
+o AS MATERIALIZED (
+  SELECT a.rep AS x, b.rep AS y FROM gh a JOIN gh b
+    ON a.lang = b.lang AND b.bucket IN (a.bucket, a.bucket + 1) AND (b.bucket > a.bucket OR b.rep > a.rep)
+   AND least(a.n, b.n) >= {T} * greatest(a.n, b.n)
+  WHERE len(list_intersect(a.sh, b.sh)) * {1 + T} >= {T} * (a.n + b.n)
+),
+p AS MATERIALIZED (SELECT x, y FROM o UNION ALL SELECT y, x FROM o),
+reach AS (SELECT rep AS x, rep AS y FROM g UNION SELECT r.x, p.y FROM reach r JOIN p ON r.y = p.x),
+fam AS (SELECT x AS rep, min(y) AS family_id FROM reach GROUP BY x),
+m AS (SELECT s2.doc_id AS unit_id, s2.source AS repo, s2.lang, g.rep AS rep_id, fam.family_id
+      FROM s2 JOIN g ON s2.lang = g.lang AND s2.bucket = g.bucket AND s2.sh = g.sh JOIN fam ON fam.rep = g.rep)
+SELECT *, CAST(count(*) OVER (PARTITION BY family_id) AS BIGINT) AS family_size FROM m
+"""
+
+SQL_RANKED_PAIRS = f"""
+WITH {SQL_UNITS},
+r AS (SELECT lang, bucket, source AS repo, min(doc_id) AS rep, list_transform(any_value(sh), lambda x: hash(x)) AS sh, len(any_value(sh)) AS n
+      FROM s2 GROUP BY lang, bucket, source, s2.sh),
+p AS (
+  SELECT a.repo, a.rep AS a_id, b.rep AS b_id, len(list_intersect(a.sh, b.sh)) AS i, a.n + b.n AS both_n
+  FROM r a JOIN r b ON a.lang = b.lang AND a.repo = b.repo AND least(a.n, b.n) >= {T} * greatest(a.n, b.n)
+   AND ((b.bucket = a.bucket AND b.rep > a.rep) OR b.bucket = a.bucket + 1)
+),
+x AS (SELECT repo, a_id, b_id, CAST(printf('%.2f', i / (both_n - i)) AS DOUBLE) AS similarity FROM p WHERE i >= {T} * (both_n - i))
+SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY similarity DESC, a_id, b_id) AS rank, a_id, b_id, similarity FROM x
+"""
+
 SQL_SIZE_HISTOGRAM = f"""
 WITH h AS (
   SELECT lang, CAST({_LC} // {B} AS INTEGER) AS bucket, count(*) AS n_units
@@ -165,6 +212,8 @@ FROM m LEFT JOIN c ON c.mode = m.mode AND c.repo = m.repo
 
 QUERIES = {
     "near_duplicates": near_duplicates,
+    "near_families": near_families,
+    "ranked_pairs": ranked_pairs,
     "copy_groups": copy_groups,
     "size_histogram": size_histogram,
     "duplicate_report": duplicate_report,
@@ -173,6 +222,8 @@ QUERIES = {
 
 ORACLE = {
     "near_duplicates": SQL_NEAR_DUPLICATES,
+    "near_families": SQL_NEAR_FAMILIES,
+    "ranked_pairs": SQL_RANKED_PAIRS,
     "copy_groups": SQL_COPY_GROUPS,
     "size_histogram": SQL_SIZE_HISTOGRAM,
     "duplicate_report": SQL_DUPLICATE_REPORT,
