@@ -50,6 +50,7 @@ SKETCH_BLOCK = 1 << 11
 FREQUENT = 4               # times the mean counter
 NODE_BITS = 4              # bitmap bits per token, connecting step
 SMALL_BITS = 1             # the same, completing step: sent once per shared token
+SMALL_WIDTH = 512          # bitmaps of the completing step have NODE_BITS a token up to this width
 MAX_BITS = 1 << 16
 BLOCK_TOKENS = 4_000_000   # tokens of the sets whose bitmaps one tree holds
 BLOCK_NODES = 4096         # bitmaps one tree holds in the completing step
@@ -165,7 +166,7 @@ def _node_rows(k: int, percent: int, levels):
                 pa.array([_key(s) for s in sets], pa.binary()),
                 pa.array(prefixes, pa.list_(pa.int64())),
                 pa.array([_bits(s, NODE_BITS) for s in sets], pa.binary()),
-                pa.array([_bits(s, SMALL_BITS) for s in sets], pa.binary())],
+                pa.array([_small_bits(s) for s in sets], pa.binary())],
                 names=["doc_id", "n", "key", "prefix", "bits", "small"])
     return run
 
@@ -174,6 +175,14 @@ def _bits(s: np.ndarray, per_token: int) -> bytes:
     return tree.bits_of(s, min(tree.width_for(max(len(s), 1), per_token), MAX_BITS)).tobytes()
 
 
+def _small_bits(s: np.ndarray) -> bytes:
+    """Fine for small sets, whose bitmaps would else let too many pairs pass; coarse
+    for large ones.  Widths of similar sets are equal or neighbours, as in ``_bits``."""
+    n = max(len(s), 1)
+    width = max(tree.width_for(n, SMALL_BITS), min(tree.width_for(n, NODE_BITS), SMALL_WIDTH))
+    return tree.bits_of(s, min(width, MAX_BITS)).tobytes()
+
+
 def _key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
