@@ -34,7 +34,7 @@ from .reviews import _lit, _tmpl, sql_stub_comment, stub_model
 # Fixed test bindings.
 HALF, EARLY = "2024-01-16", "2024-01-14"
 WITHIN = "1 hour"
-FILES_PER_BATCH = 8
+FILES_PER_BATCH = 256
 KEY_FOLDERS = 32
 
 
