@@ -17,8 +17,9 @@ shingle).  The join is exact and gives connected groups, not lists of pairs.
    Large buckets are cut into blocks of bounded size, and one node of each
    group found meets the others again.
 4. Completing: wherever nodes of different (checked) groups share any prefix
-   token, signature trees give every pair that the bitmaps allow, and each is
-   checked on whole sets.
+   token, signature trees give pairs that the bitmaps and the token's places
+   allow, again only as many as connect them, checked on whole sets.  Tokens
+   with a pair that fails are looked at once more, then with every such pair.
 
 Whole sets are read from the texts again, for the nodes of noted pairs only.
 
@@ -232,11 +233,8 @@ def _links(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-LEAF_ROWS = 512            # rows that are one leaf: compared without a tree
-
-
 def _row_runs(batches, n_keys: int):
-    """Lists of (nid, group, n, bits) rows that agree in the first ``n_keys``
+    """Lists of (nid, group, n, left, bits) rows that agree in the first ``n_keys``
     columns (batches come sorted by them); their size is bounded by blocks."""
     held, held_key = [], None
     for b in batches:
@@ -247,83 +245,66 @@ def _row_runs(batches, n_keys: int):
         for c in cols:
             change |= c[1:] != c[:-1]
         starts = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
-        rows = list(zip(*[b.column(n_keys + i).to_pylist() for i in range(4)]))
+        rows = list(zip(*[b.column(n_keys + i).to_pylist() for i in range(5)]))
         for s, e in zip(starts[:-1], starts[1:]):
             key = tuple(c[s] for c in cols)
             if held and key != held_key:
-                yield held
+                yield int(held_key[0]), held
                 held = []
             held_key = key
             held += rows[s:e]
     if held:
-        yield held
-
-
-def _leaf_pairs(rows: list[tuple], percent: int, connect: bool, note) -> None:
-    """The pairs of a few rows (in order of size) that the bitmaps allow."""
-    group = [r[1] for r in rows]
-    bits = [int.from_bytes(r[3], "little") for r in rows]
-    width = [8 * len(r[3]) for r in rows]
-    for i, (x, _, n, _) in enumerate(rows):
-        for j in range(i + 1, len(rows)):
-            y, _, m, _ = rows[j]
-            if 100 * n < percent * m:
-                break
-            if group[i] == group[j]:
-                continue
-            a, c = bits[i], bits[j]
-            for w in range(width[j].bit_length() - 1, width[i].bit_length() - 1, -1):
-                c = (c >> (1 << (w - 1))) | (c & ((1 << (1 << (w - 1))) - 1))
-            shared = (a & c).bit_count() + min(n - a.bit_count(), m - c.bit_count())
-            shared = min(shared, n)
-            if 100 * shared >= percent * (n + m - shared):
-                note(x, y)
-                if connect:
-                    old, new = group[j], group[i]
-                    group = [new if g == old else g for g in group]
+        yield int(held_key[0]), held
 
 
 def _tree_pairs(rows: list[tuple], percent: int, connect: bool, note) -> None:
-    """The same of many rows, by signature trees."""
-    nid, sizes = [r[0] for r in rows], np.array([r[2] for r in rows], np.int64)
-    bits = [np.frombuffer(r[3], np.uint64) for r in rows]
+    """The pairs of rows (in order of size) that the bitmaps and ``left`` allow."""
+    nid = [r[0] for r in rows]
+    sizes, left = (np.array([r[i] for r in rows], np.int64) for i in (2, 3))
+    bits = [np.frombuffer(r[4], np.uint64) for r in rows]
     words = np.array([len(x) for x in bits])
     groups = tree.Groups([r[1] for r in rows])
-    # similar sizes have bitmaps of one width or of two neighbouring ones
-    for w in np.unique(words).tolist():
-        at = np.flatnonzero((words == w) | (words == 2 * w)).tolist()
+    # sizes of similar sets are at most 100 / percent times each other, and so are widths
+    steps = (-(-100 // percent) - 1).bit_length()
+    widths = sorted(set(words.tolist()))
+    for w in widths:
+        at = list(range(len(rows))) if len(widths) == 1 else np.flatnonzero((words >= w) & (words <= w << steps)).tolist()
         if len(at) < 2:
             continue
         own = tree.Groups([groups.find(i) for i in at])
 
         def check(i, j):
-            if not (words[at[i]] > w and words[at[j]] > w):
-                note(nid[at[i]], nid[at[j]])
+            x, y = at[i], at[j]
+            if words[x] == w or words[y] == w:
+                note(nid[x], nid[y])
                 if connect:
                     own.join(i, j)
-                    groups.join(at[i], at[j])
+                    groups.join(x, y)
 
-        tree.similar(sizes[at], np.stack([tree.fold(bits[i], w) for i in at]), percent, check, own)
+        tree.similar(sizes[at], left[at], np.stack([tree.fold(bits[i], w) for i in at]), percent, check, own)
 
 
-def _pairs(percent: int, n_keys: int, connect: bool):
-    """Runs of (keys, nid, group, n, bits) rows -> the pairs that the bitmaps
-    allow; with ``connect`` only as many as connect what they allow."""
-    def run(batches):
-        out: set = set()
+_PAIRS = "token long, a long, b long"
+
 
-        def note(x, y):
-            out.add((min(x, y), max(x, y)))
+def _pairs(percent: int, n_keys: int, connect: bool):
+    """Runs of (keys, nid, group, n, left, bits) rows, the first key a token -> the
+    pairs that may be similar; with ``connect`` only as many as connect them."""
+    def flush(out):
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(3)],
+                                          names=["token", "a", "b"])
 
-        for rows in _row_runs(batches, n_keys):
+    def run(batches):
+        out: list = []
+        for token, rows in _row_runs(batches, n_keys):
             if len(rows) < 2:
                 continue
             rows.sort(key=lambda r: (r[2], r[0]))
-            (_leaf_pairs if len(rows) <= LEAF_ROWS else _tree_pairs)(rows, percent, connect, note)
+            _tree_pairs(rows, percent, connect, lambda x, y: out.append((token, min(x, y), max(x, y))))
             if len(out) > 50_000:
-                yield _links(sorted(out))
+                yield flush(out)
                 out.clear()
-        yield _links(sorted(out))
+        yield flush(out)
     return run
 
 
@@ -394,9 +375,9 @@ def _connecting(shared: DataFrame, nodes: _Nodes) -> DataFrame:
         rows = (members.select("bucket", "nid").join(load.select("bucket", "blocks"), "bucket")
                 .withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
                 .join(nodes.nodes.select("nid", "n", "bits"), "nid")
-                .select("bucket", "block", "nid", F.col("nid").alias("group"), "n", "bits"))
+                .select("bucket", "block", "nid", F.col("nid").alias("group"), "n", F.col("n").alias("left"), "bits"))
         pairs = save(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-                     .mapInArrow(_pairs(nodes.percent, 2, True), _LINKS).distinct())
+                     .mapInArrow(_pairs(nodes.percent, 2, True), _PAIRS).select("a", "b").distinct())
         found = nodes.check(pairs)
         discard(pairs)
         links = found if links is None else save(links.union(found))
@@ -413,23 +394,42 @@ def _connecting(shared: DataFrame, nodes: _Nodes) -> DataFrame:
         members = left
 
 
-def _completing(shared: DataFrame, nodes: _Nodes, groups: DataFrame) -> DataFrame:
-    """Step 4: links between groups."""
-    placed = save(shared.join(groups, F.col("nid") == F.col("node"), "left").select(
-        "token", "nid", "n", "pos", F.coalesce("component", "nid").alias("group")))
-    rows = placed
-    mixed = _worth(rows, nodes.percent).select("token", "least", F.ceil(F.col("c") / BLOCK_NODES).cast("int").alias("blocks"))
+def _candidates(placed: DataFrame, nodes: _Nodes, connect: bool) -> DataFrame:
+    """token, a, b: pairs of different groups that share a prefix token and may be
+    similar.  Up to their first shared token two sets share nothing, so what they
+    share is bounded by what follows it in both."""
+    mixed = _worth(placed, nodes.percent).select("token", "least", F.ceil(F.col("c") / BLOCK_NODES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")
-    rows = (rows.join(mixed, "token").filter("n >= least").drop("n", "pos").withColumn("own", own)
+    rows = (placed.join(mixed, "token").filter("n >= least").withColumn("left", F.col("n") - F.col("pos"))
+            .drop("n", "pos").withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
             .join(nodes.nodes.select("nid", "n", F.col("small").alias("bits")), "nid")
-            .select("token", "lo", "hi", "nid", "group", "n", "bits"))
-    pairs = save(rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-                 .mapInArrow(_pairs(nodes.percent, 3, False), _LINKS).distinct())
-    found = nodes.check(pairs)
-    discard(pairs, placed)
-    return found
+            .select("token", "lo", "hi", "nid", "group", "n", "left", "bits"))
+    return (rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+            .mapInArrow(_pairs(nodes.percent, 3, connect), _PAIRS))
+
+
+def _completing(shared: DataFrame, nodes: _Nodes, links: DataFrame) -> DataFrame:
+    """Step 4: ``links`` and those between their groups."""
+    def placed(rows):
+        return save(rows.join(components(links), F.col("nid") == F.col("node"), "left").select(
+            "token", "nid", "n", "pos", F.coalesce("component", "nid").alias("group")))
+
+    rows = placed(shared)
+    pairs = save(_candidates(rows, nodes, True))
+    found = nodes.check(pairs.select("a", "b").distinct())
+    links = save(links.union(found))
+    # Where every noted pair holds, the pairs left out lie within one group.  The
+    # other tokens are looked at again, all pairs of what are still different groups.
+    doubtful = save(pairs.join(found, ["a", "b"], "left_anti").select("token").distinct())
+    discard(pairs, rows)
+    if not doubtful.isEmpty():
+        rows = placed(shared.join(doubtful, "token", "left_semi"))
+        pairs = save(_candidates(rows, nodes, False).select("a", "b").distinct())
+        links = save(links.union(nodes.check(pairs)))
+        discard(pairs, rows)
+    return links
 
 
 def _linked(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -448,7 +448,7 @@ def _linked(rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     shared = save(tokens.join(common.hint("merge"), "token").filter("n >= least").select("token", "nid", "n", "pos"))
     own = _Nodes(rows, nodes, k, percent)
     links = _connecting(shared, own)
-    links = save(links.union(_completing(shared, own, save(components(links)))))
+    links = _completing(shared, own, links)
     discard(shared)
     final = save(components(links))
     named = nodes.select("nid", "key", "first").join(final, F.col("nid") == F.col("node"), "left").select(
@@ -463,6 +463,8 @@ def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
                   text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n (set size), key (of its set), component
     (smallest doc_id of its group), first (smallest doc_id with the same set)."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every, named = _linked(rows, k, percent)
     out = every.join(named, "key", "left")

@@ -1,8 +1,8 @@
 """Signature trees over token sets: the in-memory part of the similarity join.
 
-A tree's leaves are sets in order of size; every node holds the OR of the
-token bitmaps below it, the range of sizes and the smallest number of tokens
-that can share a bit.  A dual traversal visits pairs of nodes and drops a pair
+A tree's leaves are runs of sets in order of size; every node holds the OR of the
+token bitmaps below it, the range of sizes and the largest number of tokens
+that share a bit with others of their set.  A dual traversal visits pairs of nodes and drops a pair
 when no two sets below can reach the similarity: the sizes are too far apart,
 or the bits that both nodes have, and so the tokens that any two sets can
 share, are too few.
@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 
 FANOUT = 4
+LEAF = 32                  # rows of a leaf, compared at once
 
 
 def reaches(inter: int, a: int, b: int, percent: int) -> bool:
@@ -58,42 +59,49 @@ class Groups:
 
 
 class Tree:
-    """Rows (in order of size) with bitmaps and sizes; ``levels[0]`` are the rows."""
+    """Rows (in order of size) with bitmaps, sizes and what they can still share;
+    ``levels[0]`` are leaves of up to ``LEAF`` rows."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
+    def __init__(self, sizes: np.ndarray, left: np.ndarray, bits: np.ndarray):
         # tokens that share a bit with another token of their set
         slack = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        self.levels = [(bits, sizes, sizes, slack)]
+        self.rows = (bits, sizes, sizes, slack, left)
+        self.levels = [_above(self.rows, LEAF)]
         while len(self.levels[-1][0]) > 1:
-            b, lo, hi, s = self.levels[-1]
-            at = np.arange(0, len(b), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at),
-                                np.maximum.reduceat(hi, at), np.maximum.reduceat(s, at)))
+            self.levels.append(_above(self.levels[-1], FANOUT))
 
     def children(self, level: int, node: int) -> range:
         return range(node * FANOUT, min((node + 1) * FANOUT, len(self.levels[level - 1][0])))
 
-    def may_reach(self, level: int, x: int, ys: list[int], percent: int) -> list[int]:
-        """Of nodes ``ys``, those that may hold a set similar to one below ``x``."""
-        b, lo, hi, s = self.levels[level]
-        ys = np.asarray(ys)
-        shared = np.bitwise_count(b[ys] & b[x]).sum(axis=1).astype(np.int64) + np.minimum(s[ys], s[x])
-        shared = np.minimum(shared, np.minimum(hi[ys], hi[x]))
-        least = np.maximum(lo[ys], lo[x])            # of the larger set: at least this size
-        union = np.maximum(lo[ys] + lo[x] - shared, least)
-        return ys[100 * shared >= percent * union].tolist()
 
+def _above(nodes: tuple, width: int) -> tuple:
+    b, lo, hi, s, left = nodes
+    at = np.arange(0, len(b), width)
+    return (np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at),
+            np.maximum.reduceat(s, at), np.maximum.reduceat(left, at))
 
-def similar(sizes: np.ndarray, bits: np.ndarray, percent: int, check, groups: Groups) -> None:
-    """Dual traversal.  ``check(i, j)`` is called for the pairs of rows that are
-    not pruned and not in one group yet; it may join their groups."""
+
+def may_reach(nodes: tuple, xs: slice, ys, percent: int) -> np.ndarray:
+    """Whether nodes (or rows) ``xs`` and ``ys`` may hold similar sets, as a matrix."""
+    b, lo, hi, s, left = nodes
+    shared = np.bitwise_count(b[xs, None] & b[ys]).sum(axis=2, dtype=np.int64) + np.minimum(s[xs, None], s[ys])
+    for bound in (hi, left):
+        shared = np.minimum(shared, np.minimum(bound[xs, None], bound[ys]))
+    least = np.maximum(lo[xs, None], lo[ys])         # of the larger set: at least this size
+    return 100 * shared >= percent * np.maximum(lo[xs, None] + lo[ys] - shared, least)
+
+
+def similar(sizes: np.ndarray, left: np.ndarray, bits: np.ndarray, percent: int, check, groups: Groups) -> None:
+    """Dual traversal.  ``left`` bounds what a row can share with any other.
+    ``check(i, j)`` is called for the pairs of rows that are not pruned and not in
+    one group yet; it may join their groups."""
     n = len(sizes)
-    tree = Tree(sizes, bits)
+    tree = Tree(sizes, left, bits)
     find = groups.find
 
-    def rows(level: int, node: int) -> range:
-        width = FANOUT ** level
-        return range(node * width, min((node + 1) * width, n))
+    def rows(level: int, node: int) -> slice:
+        width = LEAF * FANOUT ** level
+        return slice(node * width, min((node + 1) * width, n))
 
     whole: dict = {}
 
@@ -102,28 +110,40 @@ def similar(sizes: np.ndarray, bits: np.ndarray, percent: int, check, groups: Gr
         known = whole.get((level, node))
         if known is None:
             r = rows(level, node)
-            first = find(r[0])
-            if any(find(i) != first for i in r[1:]):
+            first = find(r.start)
+            if any(find(i) != first for i in range(r.start + 1, r.stop)):
                 return None
-            known = whole[(level, node)] = r[0]
+            known = whole[(level, node)] = r.start
         return find(known)
 
+    def leaves(x: int, y: int) -> None:
+        xs, ys = rows(0, x), rows(0, y)
+        allowed = may_reach(tree.rows, xs, ys, percent)
+        if x == y:
+            allowed = np.triu(allowed, 1)
+        i, j = np.nonzero(allowed)
+        for i, j in zip((i + xs.start).tolist(), (j + ys.start).tolist()):
+            if find(i) != find(j):
+                check(i, j)
+
     def cross(level: int, x: int, ys: list[int]) -> None:
         """All rows below x against all rows below the nodes ys."""
         own = one_group(level, x)
         ys = [y for y in ys if own is None or one_group(level, y) != own]
         if ys:
-            ys = tree.may_reach(level, x, ys, percent)
+            ys = np.array(ys)[may_reach(tree.levels[level], slice(x, x + 1), ys, percent)[0]].tolist()
         for y in ys:
             if level == 0:
-                if find(x) != find(y):
-                    check(x, y)
+                leaves(x, y)
             else:
                 for c in tree.children(level, x):
                     cross(level - 1, c, list(tree.children(level, y)))
 
     def inside(level: int, x: int) -> None:
-        if level == 0 or one_group(level, x) is not None:
+        if level == 0:
+            leaves(x, x)
+            return
+        if one_group(level, x) is not None:
             return
         kids = list(tree.children(level, x))
         for c in kids:

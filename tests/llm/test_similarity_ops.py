@@ -86,6 +86,39 @@ def test_groups_in_small_blocks(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n, str(r.component)) for r in got) == brute_groups(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent, leaf", [(30, 32), (30, 1), (50, 32), (85, 32), (85, 1)])
+def test_signature_trees_lose_no_pair(monkeypatch, percent, leaf):
+    """A bucket of 700 nodes, families of which hold neighbouring bitmap widths."""
+    monkeypatch.setattr(jaccard_join.tree, "LEAF", leaf)
+    rng = np.random.default_rng(percent)
+    token = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    sets = []
+    for _ in range(100):
+        whole = token(int(rng.integers(4, 90)))
+        sets += [np.unique(np.r_[whole[:int(rng.integers(1, len(whole) + 1))], token(int(rng.integers(0, 9)))]) for _ in range(7)]
+    rows = sorted(((i, i, len(s), len(s), jaccard_join._small_bits(s)) for i, s in enumerate(sets)), key=lambda r: (r[2], r[0]))
+    every, few = set(), set()
+    jaccard_join._tree_pairs(rows, percent, False, lambda x, y: every.add((min(x, y), max(x, y))))
+    jaccard_join._tree_pairs(rows, percent, True, lambda x, y: few.add((min(x, y), max(x, y))))
+    own = [set(s.tolist()) for s in sets]
+    similar = {(i, j) for i in range(700) for j in range(i + 1, 700)
+               if 100 * len(own[i] & own[j]) >= percent * len(own[i] | own[j])}
+    assert similar and similar <= every
+    groups = jaccard_join.tree.Groups(range(700))
+    for i, j in few:
+        assert groups.find(i) != groups.find(j)
+        groups.join(i, j)
+    assert all(groups.find(i) == groups.find(j) for i, j in every)
+
+
+def test_groups_of_a_low_percent(spark):
+    rows = near_rows(3)
+    got = jaccard_join.linked_groups(spark.createDataFrame(rows, DOCS), 2, 30).collect()
+    assert sorted((str(r.doc_id), r.n, str(r.component)) for r in got) == brute_groups(rows, 2, 30)
+    with pytest.raises(ValueError):
+        jaccard_join.linked_groups(spark.createDataFrame(rows, DOCS), 2, 0)
+
+
 def test_keep_one_keeps_columns(spark):
     rows = near_rows()
     df = spark.createDataFrame(rows, DOCS).withColumns({"key": F.lit(1), "component": F.lit("x"), "_gone_id": F.lit(2)})
