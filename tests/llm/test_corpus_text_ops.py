@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,49 @@ def test_pii_method_adds_spelled_addresses_and_leaves_clean_text(spark):
     assert pii.digest(pii.find(spark.createDataFrame([], DOCS))).count() == 0
 
 
+SECRET = "".join(hashlib.md5(b"%d" % i).hexdigest()[:10] for i in range(4))
+
+
+def test_pii_finds_what_no_base_pattern_names(spark):
+    rows = [(i, f'set token = "{hashlib.sha1(b"%d" % i).hexdigest()}" here') for i in range(30)]
+    rows += [(100 + i, "pay to IBAN DE89 3704 0044 0532 0130 00 today") for i in range(5)]
+    rows += [(200 + i, "server 2606:4700:4700::1111 answers") for i in range(5)]
+    rows += [(300 + i, f"at 12:30:{10 + i} the commit-message-of-2024 and Supercalifragilistic2") for i in range(30)]
+    rows += [(None, rows[0][1]), (0, rows[0][1])]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"found": F.lit("clash"), "spans": F.lit(1), "code": F.lit("x")})
+    got = pii.digest(pii.find(df)).collect()
+    spans = {r.doc_id: r.spans for r in got}
+    assert all(spans[i] == "secret:13:53" for i in [*range(30), None]) and len(got) == len(rows)
+    assert all(spans[i] == "iban:12:39" for i in range(100, 105)) and all(spans[i] == "ip:7:27" for i in range(200, 205))
+    assert all(r.spans == "" and r.n_spans == 0 for r in got if r.doc_id and r.doc_id >= 300)
+    assert {r.base_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_pii_estimation_demotes_a_bad_labeler():
+    # labelers 0, 1, 2 and 4 agree; labeler 3 says the opposite
+    post = pii.em({"11101": 500, "00010": 500, "22212": 1, "22122": 1})
+    assert post["11101"] > 0.95 and post["00010"] < 0.05
+    assert post["22212"] < post["22122"] - 0.2
+    even = pii.em({"22212": 1, "22122": 1})
+    assert abs(even["22212"] - even["22122"]) < 0.01
+
+
+def test_pii_gazetteers_are_a_parameter():
+    gaz = pii.GAZETTEERS._replace(secret_starts=("zz-",), tlds=frozenset(["zz"]))
+    assert pii.votes("zz-12ab34cd56ef78gh", 4, 0, 19, False, gaz)[2] == "1"
+    assert pii.votes("zz-12ab34cd56ef78gh", 4, 0, 19, False)[2] == "2"
+    assert pii.votes("a@b.zz", 0, 0, 6, True, gaz)[2] == "1"
+
+
+def test_pii_text_of_very_many_candidates():
+    """Spans stay disjoint from those before; overlap is found by binary search."""
+    text = f"no 1234567890123 {SECRET} 1.2.3.4 " * 3000
+    found = pii.candidates(text)
+    assert Counter(k for k, *_ in found) == {1: 3000, 2: 3000, 4: 3000}
+    spans = sorted((s, e) for _, s, e, *_ in found)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 URLS = {
     "https://m.Example.ORG/es/1?x": ("m.example.org", "/es/1", "example.org/es/", "block"),
     "http://example.org/en/15": ("example.org", "/en/15", "example.org/en/1", "block"),
