@@ -1,11 +1,13 @@
 """Mixing, sharding and packing: exact laws on small tables."""
 
+import math
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -81,6 +83,39 @@ def test_apply_mix_repeats_rows_and_keeps_columns(spark):
     assert mixing.apply_mix(df.limit(0)).count() == 0
 
 
+def plain_shard(key, n, founded):
+    """The descent in plain Python."""
+    nodes, at = sharding.tree(n, None, founded), ""
+    for _ in range(3):
+        u = lambda name: ((xxhash.xxh64(f"{key}/{name}", seed=42).intdigest() >> 12) + 0.5) / 2 ** 52
+        at = min((-math.log(u(name)) / w, name) for name, w in nodes[at].items())[1]
+    return int(at)
+
+
+def test_growth_moves_rows_into_the_new_shard_only_at_every_count():
+    for founded in (None, 1, 7, 24):
+        for n in range(1, 41):
+            start = min(n, n if founded is None else founded)
+            for key in range(120):
+                old, new = plain_shard(key, n, start), plain_shard(key, n + 1, start)
+                assert new in (old, n) and 0 <= old < n
+
+
+@pytest.mark.parametrize("n, founded", [(1, 1), (7, 7), (23, 23), (24, 24), (23, 5), (40, 24)])
+def test_shards_match_a_plain_descent(spark, n, founded):
+    rows = [(i, "x") for i in range(200)] + [(None, "x"), (7, "x"), (8, None), (9, "y" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in ("shard", "part", "size", "n")})
+    got = sharding.assign(df, n, founded=founded).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        key = "null" if r.doc_id is None else r.doc_id
+        assert (r.shard, r.grown_shard) == (plain_shard(key, n, founded), plain_shard(key, n + 1, founded))
+    sizes = defaultdict(list)
+    for r in got:
+        sizes[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in sizes.values())
+
+
 def test_shards_obey_the_key_law(spark):
     rows = [(i, "x" * (i % 50)) for i in range(6000)] + [(None, None), (3, "é"), (3, "é")]
     got = sharding.assign(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
