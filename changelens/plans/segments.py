@@ -105,8 +105,10 @@ def code_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sized_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The functions that a duplicate scan looks at: three lines or more."""
-    units = dedup.min_size_filter(segment_units(turn_files(spark, sf_dir)))
+    """The functions that a duplicate scan looks at: three lines or more, of the
+    turns as files and of the source files that hold the turns."""
+    files = turn_files(spark, sf_dir).unionByName(turn_code(spark, sf_dir))
+    units = dedup.min_size_filter(segment_units(files))
     return units.select("file", "name", "start_line", "line_count")
 
 
@@ -230,7 +232,11 @@ SELECT file, 'line_' || i AS name, CAST(CASE WHEN is_js THEN 2 * k + 3 + 5 * (i
 FROM l
 """
 
-SQL_SIZED_FUNCTIONS = f"SELECT file, name, start_line, line_count FROM ({SQL_TURN_FUNCTIONS}) WHERE line_count >= 3"
+SQL_SIZED_FUNCTIONS = f"""
+SELECT file, name, start_line, line_count FROM ({SQL_CODE_FUNCTIONS}) WHERE line_count >= 3
+UNION ALL
+SELECT file, name, start_line, line_count FROM ({SQL_TURN_FUNCTIONS}) WHERE line_count >= 3
+"""
 
 SQL_TURN_STRUCTURES = f"""
 WITH {_TURNS}

@@ -127,3 +127,19 @@ def test_facts_are_read_from_code_only(spark):
     assert got["a.py"].symbols == ["Real"]
     assert got["b.ts"].imports == ['import a from "a";', "import b from 'b';"]
     assert got["b.ts"].symbols == ["real", "Kept"]
+
+
+def test_sized_functions_of_every_line_and_turn(spark, tmp_path):
+    """The scan's functions are those of the code files too, not of the turn files alone."""
+    import duckdb
+
+    from changelens.plans import segments
+    rows = [(1, 0, "user", "one line"), (1, 1, "assistant", "first\nsecond \"quoted\""), (2, 0, "user", "a\nb\nc"), (2, 1, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(tuple(r) for r in segments.sized_functions(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert got == sorted(con.sql(segments.SQL_SIZED_FUNCTIONS).fetchall())
+    assert {(f, n) for f, n, _, _ in got} == {
+        ("1/0.py", "line_1"), ("1/1.tsx", "line_1"), ("1/1.tsx", "line_2"), ("2/0.py", "line_1"), ("2/0.py", "line_2"), ("2/0.py", "line_3"),
+        ("2/1.tsx", "line_1"), ("1/1.js", "reply_1"), ("2/0.py", "reply_0"), ("2/1.js", "reply_1")}
