@@ -75,9 +75,17 @@ class WordEncoder(dict):
     def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def ends_in_letter(self, word: str) -> bool:
+        """Whether the normalized word does: some letters become a letter and a
+        combining mark, which goes with the marks that follow."""
+        last = word[-1]
+        if last.isalpha():
+            last = last.lower() if last < chr(LATIN) else self.tokenizer.normalizer.normalize_str(last)
+        return last[-1:].isalpha()
+
     def __missing__(self, word: str) -> bytes:
         stem = word.rstrip(string.punctuation)
-        if stem != word and stem and stem[-1].isalpha() and not any(s in word for s in self.special):
+        if stem != word and stem and self.ends_in_letter(stem) and not any(s in word for s in self.special):
             ids = self[stem] + self.marks(word[len(stem):])
         elif (low := word.lower()).isalpha() and max(word) < chr(LATIN) and len(low) == len(word):
             ids = np.asarray([t.id for t in self.model.tokenize(low.translate(self.letters))], dtype="<u4").tobytes()

@@ -159,6 +159,12 @@ def test_word_encoder_equals_the_tokenizer(words):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() + [1] == _ids(text)
 
 
+def test_letters_that_normalizing_ends_in_a_mark():
+    encoder = best_fit.WordEncoder(WORD_BPE)
+    for word in ["İ<", "aİ.", "\ufb2a<", "\u0958!", "é<", "a\u0301."]:
+        assert np.frombuffer(encoder.encode(word), "<u4").tolist() + [1] == _ids(word), word
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 99), min_size=1, max_size=120))
 def test_exchanges_raise_the_squared_fill(lengths):
