@@ -121,3 +121,17 @@ def test_rank_follows_the_rounded_similarity(spark):
     df = spark.createDataFrame(rows, "repo string, a_id long, b_id long, inter long, union_size long")
     got = sorted((r.repo, r.rank, r.a_id, r.similarity) for r in dedup.rank_in_repo(df).collect())
     assert got == [("q", 1, 5, 0.8), ("r", 1, 0, 1.0), ("r", 2, 1, 0.9), ("r", 3, 3, 0.9), ("r", 4, 7, 0.76)]
+
+
+def test_sets_and_prefixes_are_moved_once(spark):
+    """One exchange of the sets and one of slim prefix rows serve all branches."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = dedup.shingle_similar_pairs(_units(spark, _texts(5, 60)))
+        assert pairs.collect()
+        plan = pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+    assert sum("Exchange hashpartitioning(tok#" in x for x in moved) == 1, moved
+    assert sum("Exchange hashpartitioning(nid#" in x for x in moved) == 1, moved
