@@ -54,15 +54,17 @@ def mark_copies(docs: DataFrame, carry: list[str] | None = None, id_col: str = "
         F.col(id_col).cast("long").alias("_id"),
         F.octet_length(text).cast("long").alias("_len"),
         F.translate(F.substring(text, 1, FIRST), upper, lower).alias("_digit"),
-        F.encode(text, "UTF-8").alias("_text"))
+        *([] if text_col in carry else [F.encode(text, "UTF-8").alias("_text")]))
     # round 0: length and first code points.  Counting moves no text; handing out
     # the group numbers moves it once, by merge join at every size.
     groups = save(rows.groupBy("_len", "_digit").agg(F.count(F.lit(1)).alias("_n"))
                   .filter("_n > 1").select("_len", "_digit", F.monotonically_increasing_id().alias("_gid")))
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "_text"]
+    dealt = rows.join(groups.hint("merge"), ["_len", "_digit"], "left").drop("_digit")
+    if text_col in carry:         # moved once, as the column that is carried
+        dealt = dealt.withColumn("_text", F.encode(F.coalesce(F.col(names[carry.index(text_col)]), F.lit("")), "UTF-8"))
+    schema = T.StructType([f for f in dealt.schema.fields if f.name != "_text"]
                           + [T.StructField("_norm", T.BinaryType()), T.StructField("_sha", T.StringType())])
-    first = (rows.mapInArrow(_normalise, schema).join(groups.hint("merge"), ["_len", "_digit"], "left")
-             .withColumn("_norm", F.when(F.col("_gid").isNotNull(), F.col("_norm"))).drop("_digit"))
+    first = dealt.mapInArrow(_normalise, schema).withColumn("_norm", F.when(F.col("_gid").isNotNull(), F.col("_norm")))
     first = save(first.withColumn("_rid", F.monotonically_increasing_id()))
     live = first.filter(F.col("_gid").isNotNull()).select("_rid", "_id", "_len", "_gid", "_norm")
     longest = live.agg(F.max("_len")).first()[0] or 0
