@@ -141,6 +141,10 @@ def _categorize(exc: BaseException) -> str:
     return "model_error"
 
 
+# Prompts of an Arrow batch that are Python strings at a time.
+HELD_PROMPTS = 256
+
+
 def batch_infer(requests: DataFrame, fn: Callable[[str], str], parallelism: int | None = None) -> DataFrame:
     """Apply ``fn(prompt) -> text`` to every request in Arrow batches.
 
@@ -157,33 +161,28 @@ def batch_infer(requests: DataFrame, fn: Callable[[str], str], parallelism: int
         src = src.repartition(parallelism)
 
     def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            raws, cats, msgs = [], [], []
-            for p in pdf["prompt"].tolist():
-                if p is None:                      # nothing to ask (no input)
-                    raws.append(None)
-                    cats.append("no_input")
-                    msgs.append("no input to analyse")
-                    continue
-                try:
-                    r = fn(p)
-                    if r is None or not str(r).strip():
-                        raws.append(None)
-                        cats.append("unusable")
-                        msgs.append("empty answer")
-                    else:
-                        raws.append(str(r))
-                        cats.append(None)
-                        msgs.append(None)
-                except Exception as e:  # noqa: BLE001 - every failure becomes a row
-                    raws.append(None)
-                    cats.append(_categorize(e))
-                    msgs.append(str(e))
-            yield pd.DataFrame({"key": pdf["key"], "kind": pdf["kind"], "raw": raws,
-                                "error_category": cats, "error_message": msgs})
-
-    return src.mapInPandas(run, ANSWER_SCHEMA)
+        import pyarrow as pa
+        names = ["key", "kind", "raw", "error_category", "error_message"]
+        for whole in batches:
+            for start in range(0, whole.num_rows, HELD_PROMPTS):
+                part = whole.slice(start, HELD_PROMPTS)
+                answers = [ask(p) for p in part.column(2).to_pylist()]
+                told = [pa.array([x[i] for x in answers], pa.string()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *told], names=names)
+
+    def ask(p):
+        """(raw, error_category, error_message) of one prompt."""
+        if p is None:                      # nothing to ask (no input)
+            return None, "no_input", "no input to analyse"
+        try:
+            r = fn(p)
+            if r is None or not str(r).strip():
+                return None, "unusable", "empty answer"
+            return str(r), None, None
+        except Exception as e:  # noqa: BLE001 - every failure becomes a row
+            return None, _categorize(e), str(e)
+
+    return src.mapInArrow(run, ANSWER_SCHEMA)
 
 
 # Prompts are asked in so many waves; each wave's answers are stored before the next.

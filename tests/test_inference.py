@@ -162,3 +162,25 @@ def test_finding_counts_collect_nothing_per_key(spark):
     from changelens.plans import reviews
     plan = reviews.finding_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "Generate" not in plan
+
+
+def test_few_prompts_are_held_at_once(spark, monkeypatch):
+    """A batch of many prompts is asked in parts: the rows that leave Python first
+    come before the last prompts are read."""
+    import pyarrow as pa
+
+    from changelens.operators import inference
+    seen = []
+    runs = {}
+    requests = spark.createDataFrame([("k", "review", "p")], "key string, kind string, prompt string")
+    monkeypatch.setattr(type(requests), "mapInArrow", lambda self, run, schema: runs.update(run=run))
+    inference.batch_infer(requests, lambda p: seen.append(p) or ("" if p == "p3" else p.upper()))
+    n = 3 * inference.HELD_PROMPTS + 7
+    prompts = [None if i == 5 else f"p{i}" for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array(["review"] * n), pa.array(prompts)], names=["key", "kind", "prompt"])
+    out = runs["run"](iter([batch]))
+    first = next(out)
+    assert first.num_rows == inference.HELD_PROMPTS and len(seen) == inference.HELD_PROMPTS - 1
+    rows = first.to_pylist() + [r for b in out for r in b.to_pylist()]
+    assert [r["key"] for r in rows] == [str(i) for i in range(n)]
+    assert rows[5]["error_category"] == "no_input" and rows[3]["error_category"] == "unusable" and rows[-1]["raw"] == f"P{n - 1}"
