@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, save
+from .common import discard, save, without
 
 FIRST = 64        # code points in the first digit
 GROWTH = 8        # each digit is this many times longer than the one before
@@ -41,12 +41,9 @@ def _normalise(batches):
         yield pa.RecordBatch.from_arrays(cols, names=names + ["_norm", "_sha"])
 
 
-def mark_copies(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """Columns ``carry`` of ``docs`` (default: all) with ``_keep_id``, ``_size``,
-    ``_kept`` and ``_sha`` (normalised text) for every row."""
-    carry = docs.columns if carry is None else carry
-    names = [f"_c{i}" for i in range(len(carry))]
+def _groups(docs: DataFrame, carry: list[str], names: list[str], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The saved rows (columns ``carry`` as ``names``, ``_rid``, ``_id``, ``_sha``), and of
+    those in a group of equal texts ``_rid``, ``_n`` and ``_top``, which stays."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rows = docs.select(
@@ -94,8 +91,17 @@ def mark_copies(docs: DataFrame, carry: list[str] | None = None, id_col: str = "
     for p in parts[1:]:
         same = same.unionByName(p)
     tops = same.groupBy("_gid").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("_id", "_rid")).alias("_top"))
-    marked = same.join(tops, "_gid").select("_rid", "_n", "_top")
-    out = first.select(*names, "_rid", "_id", "_sha").join(marked, "_rid", "left")
+    return first.select(*names, "_rid", "_id", "_sha"), same.join(tops, "_gid").select("_rid", "_n", "_top")
+
+
+def mark_copies(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """Columns ``carry`` of ``docs`` (default: all) with ``_keep_id``, ``_size``,
+    ``_kept`` and ``_sha`` (normalised text) for every row."""
+    carry = docs.columns if carry is None else carry
+    names = [f"_c{i}" for i in range(len(carry))]
+    first, marked = _groups(docs, carry, names, id_col, text_col)
+    out = first.join(marked, "_rid", "left")
     return out.select(
         *[F.col(n).alias(c) for c, n in zip(carry, names)],
         F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_top._id")).alias("_keep_id"),
@@ -105,4 +111,7 @@ def mark_copies(docs: DataFrame, carry: list[str] | None = None, id_col: str = "
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    return mark_copies(docs).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    first, marked = _groups(docs, docs.columns, names, "doc_id", "text")
+    gone = save(marked.filter(F.col("_top._rid") != F.col("_rid")).select("_rid"))
+    return without(first.select(*names, "_rid"), gone, "_rid").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
