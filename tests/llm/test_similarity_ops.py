@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from changelens.llm import jaccard_join, mixing, packing, passages, quality_model, quality_rules
+from changelens.llm import common, jaccard_join, mixing, packing, passages, quality_model, quality_rules
 from changelens.llm.graphs import components
 
 DOCS = "doc_id bigint, text string"
@@ -111,6 +111,44 @@ def test_signature_trees_lose_no_pair(monkeypatch, percent, leaf):
     assert all(groups.find(i) == groups.find(j) for i, j in every)
 
 
+def test_pairs_that_share_an_earlier_token_are_left_out():
+    bits = jaccard_join._small_bits(np.arange(1, 200, dtype=np.uint64) << np.uint64(24))
+    rows = [(i, i, 199, 199, bits, earlier) for i, earlier in enumerate([[5, 7], [7], [8], []])]
+    found = set()
+    jaccard_join._tree_pairs(rows, 85, False, lambda x, y: found.add((x, y)))
+    assert found == {(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)}
+
+
+def test_few_pairs_of_a_family_are_checked(spark, monkeypatch):
+    """Neither a family just below the similarity nor one above it is checked pair by pair."""
+    rng = random.Random(5)
+    rows = []
+    for changed in (8, 3):
+        whole = [f"w{rng.randrange(10 ** 6)}" for _ in range(400)]
+        for _ in range(60):
+            w = list(whole)
+            for at in rng.sample(range(400), changed):
+                w[at] = f"x{rng.randrange(10 ** 9)}"
+            rows.append((len(rows), " ".join(w)))
+    counts = []
+    check = jaccard_join._Nodes.check
+    monkeypatch.setattr(jaccard_join._Nodes, "check", lambda self, pairs: counts.append(pairs.count()) or check(self, pairs))
+    got = jaccard_join.linked_groups(spark.createDataFrame(rows, DOCS), 4, 85).collect()
+    assert sorted((str(r.doc_id), r.n, str(r.component)) for r in got) == brute_groups(rows, 4, 85)
+    assert sum(counts) < 60 * 59 / 4
+
+
+@pytest.mark.parametrize("bits", [1 << 23, 8])
+def test_without_whatever_the_filter_tells(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, "t").alias("_part"))
+    gone = rows.filter("id % 7 = 0").select("id")
+    out = common.without(rows, gone, "id")
+    assert out.columns == rows.columns
+    assert sorted(map(tuple, out.collect())) == [(i, None if i % 2 else "t") for i in range(3000) if i % 7]
+    assert common.without(rows, gone.limit(0), "id").count() == 3000
+
+
 def test_groups_of_a_low_percent(spark):
     rows = near_rows(3)
     got = jaccard_join.linked_groups(spark.createDataFrame(rows, DOCS), 2, 30).collect()
