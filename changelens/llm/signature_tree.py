@@ -66,8 +66,9 @@ class Tree:
         # tokens that share a bit with another token of their set
         slack = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
         self.rows = (bits, sizes, sizes, slack, left)
-        self.levels = [_above(self.rows, LEAF)]
-        while len(self.levels[-1][0]) > 1:
+        # one leaf needs no nodes: its rows are compared at once
+        self.levels = [_above(self.rows, LEAF) if len(sizes) > LEAF else self.rows]
+        while len(sizes) > LEAF and len(self.levels[-1][0]) > 1:
             self.levels.append(_above(self.levels[-1], FANOUT))
 
     def children(self, level: int, node: int) -> range:

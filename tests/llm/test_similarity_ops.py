@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,91 @@ def test_few_pairs_of_a_family_are_checked(spark, monkeypatch):
     assert sum(counts) < 60 * 59 / 4
 
 
+def test_pairs_checked_do_not_grow_with_the_square_of_a_family(spark, monkeypatch):
+    """Near copies around the similarity: some pairs reach it, most do not."""
+    rng = random.Random(8)
+    whole = [f"w{rng.randrange(10 ** 6)}" for _ in range(90)]
+    rows = []
+    for _ in range(240):
+        w = list(whole)
+        for at in rng.sample(range(90), rng.randrange(1, 4)):
+            w[at] = f"x{rng.randrange(30)}"
+        rows.append((len(rows), " ".join(w)))
+    counts = []
+    check = jaccard_join._Nodes.check
+    monkeypatch.setattr(jaccard_join._Nodes, "check", lambda self, pairs: counts.append(pairs.count()) or check(self, pairs))
+    got = jaccard_join.linked_groups(spark.createDataFrame(rows, DOCS), 4, 85).collect()
+    assert sorted((str(r.doc_id), r.n, str(r.component)) for r in got) == brute_groups(rows, 4, 85)
+    assert sum(counts) < 5 * len(rows)
+
+
+@pytest.mark.parametrize("leaf", [32, 1])
+def test_trees_of_whole_sets_note_similar_pairs_only(monkeypatch, leaf):
+    monkeypatch.setattr(jaccard_join.tree, "LEAF", leaf)
+    rng = np.random.default_rng(4)
+    token = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    sets = []
+    for _ in range(20):
+        whole = token(60)
+        sets += [np.unique(np.r_[whole[:60 - int(rng.integers(0, 9))], token(int(rng.integers(0, 9)))]) for _ in range(6)]
+    rows = sorted(((i, i, len(s), len(s), s.tobytes()) for i, s in enumerate(sets)), key=lambda r: (r[2], r[0]))
+    own = [set(s.tolist()) for s in sets]
+    similar = {(i, j) for i in range(120) for j in range(i + 1, 120) if 100 * len(own[i] & own[j]) >= 85 * len(own[i] | own[j])}
+    every, few = set(), set()
+    jaccard_join._tree_pairs(rows, 85, False, lambda x, y: every.add((min(x, y), max(x, y))), whole=True)
+    jaccard_join._tree_pairs(rows, 85, True, lambda x, y: few.add((min(x, y), max(x, y))), whole=True)
+    assert similar and every == similar
+    groups = jaccard_join.tree.Groups(range(120))
+    for i, j in few:
+        assert (i, j) in similar and groups.find(i) != groups.find(j)
+        groups.join(i, j)
+    assert all(groups.find(i) == groups.find(j) for i, j in similar)
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 1000])
+def test_rows_left_out_of_runs_have_no_partner(size):
+    """Whatever batches cut the runs, every pair that sizes and ``left`` allow is in one list."""
+    rng = random.Random(size)
+    rows = sorted((rng.randrange(40), rng.randrange(2)) for _ in range(400))
+    rows = [(t, b, i, i, n, n - rng.randrange(0, 1 + n // 7), b"x") for i, (t, b) in enumerate(rows) for n in [rng.randrange(1, 60)]]
+    names = ["token", "block", "nid", "group", "n", "left", "bits"]
+    table = pa.table({c: [r[i] for r in rows] for i, c in enumerate(names)})
+    seen = [(token, [r[0] for r in run], [(r[2], r[0]) for r in run])
+            for token, run in jaccard_join._row_runs(iter(table.to_batches(max_chunksize=size)), 2, 85)]
+    assert all(order == sorted(order) and len(order) > 1 for _, _, order in seen)
+    together = {(x, y) for _, ids, _ in seen for x in ids for y in ids if x < y}
+    assert all(rows[x][:2] == rows[y][:2] for x, y in together)
+    for x in rows:
+        for y in rows:
+            if x[2] < y[2] and x[:2] == y[:2]:
+                share = min(x[4], y[4], x[5], y[5])
+                assert 100 * share < 85 * (x[4] + y[4] - share) or (x[2], y[2]) in together
+    assert len({i for pair in together for i in pair}) < len(rows)
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_shingle_sets_match_words(monkeypatch, k, size):
+    """Words of any length, other blanks than ASCII's, null and empty texts, whatever is hashed at once."""
+    monkeypatch.setattr(jaccard_join, "SLICE_BYTES", size)
+    rng = random.Random(k)
+    parts = ["a", "B", "\u00e9", "\u0130", "\0", "\x1c", "\x85", "\u00a0", " ", " ", "\t", "\n", "\x0b", "\x0c", "\r",
+             "x" * 7, "x" * 8, "x" * 9, "y" * 63, "y" * 64, "y" * 65, "Y" * 300]
+    texts = [None, "", "  ", *("".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))) for _ in range(300)), None]
+    want = sets_of([(0, t) for t in texts], k)
+    for column in (texts, pa.array(["left out", *texts], pa.large_string()).slice(1)):
+        got = jaccard_join.shingle_sets(column, k)
+        assert all((x[1:] > x[:-1]).all() for x in got)
+        names = {}
+        for s, x in zip(want, got):
+            assert len(s) == len(x)
+            for g in s:                                     # one hash a shingle, wherever it occurs
+                names[g] = names.get(g, set(x.tolist())) & set(x.tolist())
+        assert all(names.values())
+        assert len({h for x in got for h in x.tolist()}) == len(names)
+    assert jaccard_join.shingle_sets([], k) == []
+
+
 @pytest.mark.parametrize("bits", [1 << 23, 8])
 def test_without_whatever_the_filter_tells(spark, monkeypatch, bits):
     monkeypatch.setattr(common, "FILTER_BITS", bits)
